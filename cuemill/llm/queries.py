@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, repair
+from . import decontaminate, hamming, packing, pii, repair, revisits, secrets
 from .shared import new_table_path
 
 
@@ -44,6 +44,41 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return hamming.top_k_hamming(table, F.col("vec_id") % 100 == 0, dims=64, k=10)
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """A capture log from the pages: one full response a page, and one revisit of it under a variant of its URL; some
+    revisits come before the response, have a stale tag or have no validator."""
+    at = F.col("page_id") * 60
+    html = F.coalesce("html", F.lit(""))
+    tag = F.concat(F.lit('"'), F.md5(html), F.lit('"'))
+    response = pages.select(
+        (F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("type"), "url", F.timestamp_seconds(at).alias("captured"),
+        F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("date"), at.cast("string"), F.lit("last-modified"), F.concat(F.lit("t"), at.cast("string"))).alias("headers"), html.alias("body"),
+    )
+    later = F.when(F.col("page_id") % 7 == 0, at - 30).otherwise(at + 3600 * (F.col("page_id") % 50 + 1))
+    plain = F.create_map(F.lit("content-type"), F.lit("text/plain"), F.lit("date"), later.cast("string"), F.lit("cache-control"), F.lit("max-age=60"))
+    sent = F.when(F.col("page_id") % 11 == 0, plain).otherwise(F.map_concat(plain, F.create_map(F.lit("etag"), F.when(F.col("page_id") % 5 == 0, F.lit('"stale"')).otherwise(F.concat(F.lit("W/"), tag)))))
+    revisit = pages.select(
+        (F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("type"), F.concat(F.regexp_replace("url", "^https?", "HTTPS"), F.when(F.col("url").contains("#"), F.lit("")).otherwise(F.lit("#r"))).alias("url"),
+        F.timestamp_seconds(later).alias("captured"), sent.alias("headers"), F.lit(None).cast("string").alias("body"),
+    )
+    return response.unionAll(revisit)
+
+
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve_revisits(page_captures(_table(spark, sf_dir, "pages")))
+    fields = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("record_id", "url_key", "state", "original_id", F.array_join(fields, ";").alias("headers"), F.sha2("body", 256).alias("body_sha256"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"), secrets.labelled_findings(spark))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "tokens")
     repair.write_token_files(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
@@ -54,7 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
     "op3_packing": op3_packing,
+    "op4_exact_top_k": op4_exact_top_k,
+    "op6_revisits": op6_revisits,
     "op8_token_files": op8_token_files,
+    "op10_secrets": op10_secrets,
 }
 
 #: Words of item-sized windows, joined as lists: the plain statement of the contract, feasible at small scale only.
@@ -80,4 +118,33 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_
 FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1_SQL}
+_OP4_SQL = """
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+q AS (SELECT * FROM e WHERE vec_id % 100 = 0),
+d AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbor_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST((q.embedding[i] > 0) <> (e.embedding[i] > 0) AS INTEGER))) AS INTEGER) AS distance
+      FROM q JOIN e ON q.vec_id <> e.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d) WHERE rank <= 10
+"""
+
+_OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS body, page_id * 60 AS at, md5(coalesce(html, '')) AS tag,
+    CASE WHEN page_id % 7 = 0 THEN page_id * 60 - 30 ELSE page_id * 60 + 3600 * (page_id % 50 + 1) END AS later,
+    CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 5 = 0 THEN 'stale' ELSE md5(coalesce(html, '')) END AS sent,
+    regexp_replace(regexp_replace(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?', 2)), ':(80|443)$', ''), '^www\.', '') AS host,
+    regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?', 3), '/+$', '') AS path,
+    list_filter(string_split(ltrim(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?', 4), '?'), '&'), lambda f: NOT starts_with(f, 'utm_') AND f <> '') AS fields
+  FROM pages),
+k AS (SELECT *, host || path || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END AS url_key FROM p),
+m AS (SELECT r.page_id, r.url_key, r.later, r.sent, arg_max(o.page_id, o.at * 1000000000 + o.page_id) AS original FROM k r LEFT JOIN k o ON o.url_key = r.url_key AND o.at < r.later GROUP BY ALL),
+s AS (
+  SELECT m.*, o.at AS old_at, o.body, CASE WHEN m.original IS NULL THEN 'no_original' WHEN m.sent IS NULL THEN 'unverified' WHEN m.sent = o.tag THEN 'resolved' ELSE 'mismatch' END AS state
+  FROM m LEFT JOIN k o ON o.page_id = m.original)
+SELECT page_id * 2 + 1 AS record_id, url_key, state, CASE WHEN state = 'resolved' THEN original * 2 END AS original_id,
+  CASE WHEN state = 'resolved' THEN 'cache-control=max-age=60;content-type=text/html;date=' || later || ';etag=W/"' || sent || '";last-modified=t' || old_at END AS headers,
+  CASE WHEN state = 'resolved' THEN sha256(body) END AS body_sha256
+FROM s
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1_SQL, "op4_exact_top_k": _OP4_SQL, "op6_revisits": _OP6_SQL}
