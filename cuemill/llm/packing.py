@@ -136,8 +136,8 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             return batch
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.extend(packer.add(doc_id, encode(text) + end))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                out.extend(packer.add(doc_id, ids + end))
                 if len(out) >= 2000:
                     yield flush()
         out.extend(packer.close())

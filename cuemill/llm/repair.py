@@ -173,9 +173,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "shard", "part_start", "n_ids", "doc_ids", "payload"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 doc_ids.append(doc_id)
-                ids.append(np.frombuffer(encode(text) + end, "<u4"))
+                ids.append(np.frombuffer(encoded + end, "<u4"))
                 held += len(ids[-1])
                 if held >= SHARD_IDS:
                     yield flush()

@@ -1,68 +1,165 @@
-"""Token ids by the tokenizers library, with a memo of space-separated pieces.
+"""Token ids by the tokenizers library, each distinct piece of a block of texts encoded once.
 
-Both public vocabularies split a text before merging, and no piece of that split reaches over a single space between two
-other characters (a piece may begin with the space). So a text may be cut before such spaces and each distinct cut
-encoded once per worker. Texts in which a space touches other white space are encoded whole for the vocabulary that
-keeps white space. The memo is emptied when it holds ``MEMO_PIECES`` pieces, which bounds a worker's memory.
+Both public vocabularies split a text into pieces by a pattern and merge bytes inside each piece only. For texts of plain
+Latin characters the same split is made here on whole blocks of bytes, each distinct piece goes through the library's
+model, and its ids are copied to where the piece occurs. Any other text, and one that may hold a special token, is
+encoded whole by the library. A memo keeps pieces between blocks in two generations of ``MEMO_PIECES`` each: when the
+younger is full the older one is dropped, so pieces in use stay and a worker's memory is bounded.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
 
-MEMO_PIECES = 300_000
-_TOUCHING = re.compile("\\s | \\s|\u180e")
+from .arrow import blocks, text_buffer
+
+MEMO_PIECES = 250_000
+BLOCK = 8 << 20
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
+OTHER, LETTER, DIGIT, SPACE, BLANK = range(5)
+
+
+def _kind(c: str) -> int:
+    return {"L": LETTER, "N": DIGIT}.get(unicodedata.category(c)[0], OTHER)
+
+
+# Classes of one-byte characters, and of two-byte ones by lead byte (0xC2 to 0xC5) and second byte.
+_ONE = np.array([SPACE if b in (9, 10, 13) else BLANK if b == 32 else _kind(chr(b)) for b in range(128)] + [OTHER] * 128, np.uint8)
+_TWO = np.array([[_kind(bytes([a, b]).decode()) for b in range(0x80, 0xC0)] for a in range(0xC2, 0xC6)], np.uint8)
+# Characters that are their own normal form, whose lower case is one of them, and whose class never changed.
+_PLAIN = np.array([b in (9, 10, 13) or 0x20 <= b < 0x7F or 0x80 <= b < 0xC0 or 0xC2 <= b < 0xC6 for b in range(256)])
+# The suffixes that the split patterns of both vocabularies take first, after an apostrophe.
+_SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def byte_letters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
+def _not_plain(raw: np.ndarray) -> np.ndarray:
+    """Places of bytes of other than plain characters, and of openings of special tokens."""
+    second = np.append(raw[1:], np.uint8(0))
+    bad = ~_PLAIN[raw] | (raw == 0xC2) & (second < 0xA1) | (raw == 0xC4) & (second == 0xB0) | (raw == ord("<")) & (second == ord("|"))
+    return np.flatnonzero(bad)
+
+
+def piece_starts(raw: np.ndarray, edges: np.ndarray, keeps_space: bool) -> np.ndarray:
+    """Where the pieces of texts that begin at ``edges`` start; the pieces tile all bytes."""
+    n = len(raw)
+    kind = _ONE[raw]
+    lead = np.flatnonzero(raw[:-1] >= 0xC2)
+    lead = lead[(raw[lead] < 0xC6) & (raw[lead + 1] >= 0x80) & (raw[lead + 1] < 0xC0)]
+    kind[lead] = kind[lead + 1] = _TWO[raw[lead] - 0xC2, raw[lead + 1] - 0x80]
+    begins = np.zeros(n + 1, bool)
+    begins[edges] = True
+    white = kind >= SPACE
+    start = begins[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    if keeps_space:
+        start[1:] &= ~(white[1:] & white[:-1]) | begins[1:n]  # a run of white space is one piece ...
+        last = np.flatnonzero(white[:-1] & ~white[1:] & ~begins[1:n])  # ... but for its last character before something else
+        start[last] = True
+        start[last[kind[last] == BLANK] + 1] = False  # a blank belongs to what follows
+    else:
+        start |= kind == DIGIT
+        start[lead + 1] = False
+    mark = np.flatnonzero(raw == ord("'"))
+    if len(mark):
+        before = np.where(begins[mark], SPACE, kind[np.maximum(mark - 1, 0)])
+        mark = mark[(before != OTHER) & ((before != BLANK) if keeps_space else True)]
+        ends = np.append(edges[1:], n)[np.searchsorted(edges, mark, side="right") - 1]
+        low = np.where((raw >= 65) & (raw <= 90) & (not keeps_space), raw + np.uint8(32), raw)
+        low = np.concatenate([low, np.zeros(3, np.uint8)])
+        taken = np.zeros(len(mark), bool)
+        for suffix in _SUFFIXES:
+            fits = ~taken & (mark + len(suffix) < ends)
+            for i, c in enumerate(suffix):
+                fits &= low[np.minimum(mark + 1 + i, n + 2)] == ord(c)
+            start[mark[fits] + 1] = False
+            if len(suffix) == 2:
+                start[mark[fits] + 2] = False
+            after = mark[fits] + 1 + len(suffix)
+            start[after[after < n]] |= kind[after[after < n]] < SPACE
+            taken |= fits
+    return np.flatnonzero(start)
 
 
 class _Memo(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers."""
+    """piece -> its ids as little-endian unsigned 32-bit integers, made by ``make`` when missing."""
 
-    def __init__(self, tokenizer, prefix: str):
+    def __init__(self, make):
         super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
+        self.make, self.older = make, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO_PIECES:
-            self.clear()
-        out = _ids(self.tokenizer, self.prefix + piece)
+    def __missing__(self, piece: bytes) -> bytes:
+        out = self.older.get(piece)
+        if out is None:
+            out = self.make(piece)
         if len(piece) <= 64:
+            if len(self) >= MEMO_PIECES:
+                self.older = dict(self)
+                self.clear()
             self[piece] = out
         return out
 
 
-def _ids(tokenizer, text: str) -> bytes:
-    return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-
 class Encoder:
-    """``encode(text)`` gives the ids of a whole text as little-endian unsigned 32-bit integers."""
+    """``encode(column)`` gives, for each text, its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, keeps_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.keeps_space = keeps_space
-        self.first = _Memo(self.tokenizer, "")
-        self.later = _Memo(self.tokenizer, " " if keeps_space else "")
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.keeps_space and (_TOUCHING.search(text) or text[0] == " " or text[-1] == " "):
-            return _ids(self.tokenizer, text)
-        pieces = text.split(" ")
-        if not self.keeps_space:
-            return b"".join(map(self.first.__getitem__, pieces))
-        return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
+        self.tokenizer, self.keeps_space = Tokenizer.from_file(path), keeps_space
+        letters, tokenize = byte_letters(), self.tokenizer.model.tokenize
+
+        def make(piece: bytes) -> bytes:
+            if not keeps_space:
+                piece = piece.strip(b" \t\n\r").decode("utf-8", "replace").lower().encode("utf-8")
+            return b"".join([t.id.to_bytes(4, "little") for t in tokenize("".join([letters[b] for b in piece]))]) if piece else b""
+
+        self.memo = _Memo(make)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        raw, offsets = text_buffer(column)
+        return [ids for a, b in blocks(offsets, BLOCK) for ids in self._block(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+
+    def _block(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        if not len(raw):
+            return [b""] * (len(offsets) - 1)
+        edges = np.unique(offsets[:-1][offsets[:-1] < offsets[1:]])
+        starts = piece_starts(raw, edges, self.keeps_space)
+        kind = pa.binary() if len(raw) < 1 << 31 else pa.large_binary()
+        bounds = np.append(starts, len(raw)).astype(np.int32 if kind == pa.binary() else np.int64)
+        coded = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+        known = list(map(self.memo.__getitem__, coded.dictionary.to_pylist()))
+        code = coded.indices.to_numpy()
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = (np.cumsum(size) - size)[code]
+        size = size[code]
+        ends = np.cumsum(size)
+        flat = np.frombuffer(b"".join(known), "<u4")
+        ids = flat[np.repeat(first - (ends - size), size) + np.arange(ends[-1])].tobytes()
+        cut = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)] * 4
+        out = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for row in np.unique(np.searchsorted(offsets, _not_plain(raw), side="right") - 1).tolist():
+            out[row] = self.whole(raw[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8"))
+        return out
 
 
 def encoder(path: str, keeps_space: bool) -> Encoder:
-    """The worker's encoder for a vocabulary file; ``keeps_space``: white space is part of the ids."""
+    """The worker's encoder for a vocabulary file; ``keeps_space``: white space is part of the ids (the byte-level
+    vocabulary), else texts are lower-cased and white space is dropped (the one with word ends)."""
     if (path, keeps_space) not in _ENCODERS:
         _ENCODERS[path, keeps_space] = Encoder(path, keeps_space)
     return _ENCODERS[path, keeps_space]
