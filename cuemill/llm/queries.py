@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamming, packing, pii, repair, revisits, secrets, toxicity
+from . import decontaminate, forest, hamming, packing, pii, repair, revisits, secrets, toxicity
 from .shared import new_table_path
 
 
@@ -90,6 +90,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "tokens")
     repair.write_token_files(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_top_k": op4_exact_top_k,
     "op5_toxicity": op5_toxicity,
     "op6_revisits": op6_revisits,
+    "op7_lsh_forest": op7_lsh_forest,
     "op8_token_files": op8_token_files,
     "op10_secrets": op10_secrets,
 }
