@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, forest, hamming, packing, pii, repair, revisits, secrets, toxicity
+from . import decontaminate, forest, hamming, packing, pii, repair, repeats, revisits, secrets, toxicity
 from .shared import new_table_path
 
 
@@ -100,6 +100,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    r = F.col("repeats")
+    return found.select("doc_id", r["n_words"].alias("n_words"), r["n_removed"].alias("n_removed"), F.sha2(r["kept"], 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_revisits": op6_revisits,
     "op7_lsh_forest": op7_lsh_forest,
     "op8_token_files": op8_token_files,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_secrets": op10_secrets,
 }
 
