@@ -1 +1 @@
-"""Part of cuemill."""
+"""Column functions: text, labels and numbers, all of built-in expressions."""

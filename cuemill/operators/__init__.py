@@ -1 +1 @@
-"""Part of cuemill."""
+"""Operators: DataFrames in, DataFrames out."""

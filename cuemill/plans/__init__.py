@@ -1 +1 @@
-"""Part of cuemill."""
+"""Registered queries."""

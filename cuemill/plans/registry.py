@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import catalog_queries, text_queries, timing_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = catalog_queries.QUERIES | text_queries.QUERIES | timing_queries.QUERIES
+ORACLE_SQL: dict[str, str] = catalog_queries.ORACLE_SQL | text_queries.ORACLE_SQL | timing_queries.ORACLE_SQL

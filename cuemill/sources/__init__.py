@@ -1 +1 @@
-"""Part of cuemill."""
+"""Sources and sinks."""

@@ -1 +1 @@
-"""Part of cuemill."""
+"""Structured Streaming operators."""
