@@ -41,9 +41,9 @@ def duration_label(seconds: Column) -> Column:
 
 
 def count_label(count: Column) -> Column:
-    """1.2K, 3M, 4.5B; "-" for null."""
+    """1.2K, 3M, 4.5B, halves to the even digit; "-" for null."""
     n = F.greatest(F.lit(0), count.cast("long"))
-    part = lambda unit, sign: F.replace(F.format_string("%.1f" + sign, n / F.lit(float(unit))), F.lit(".0" + sign), F.lit(sign))
+    part = lambda unit, sign: F.replace(F.format_string("%.1f" + sign, F.bround(n / F.lit(float(unit)), 1)), F.lit(".0" + sign), F.lit(sign))
     return F.when(count.isNull(), "-").when(n >= 10**9, part(10**9, "B")).when(n >= 10**6, part(10**6, "M")).when(n >= 1000, part(1000, "K")).otherwise(n.cast("string"))
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuemill.functions.text import is_meaningful, text_key
 
@@ -29,14 +32,19 @@ def _first_fit(items, fits) -> list[list]:
 
 
 def _grouped(boxes: DataFrame, order: list[str], fits) -> DataFrame:
-    """Boxes of a frame joined first-fit in order: each choice depends on the groups made so far."""
+    """Boxes of a frame joined first-fit in order: each choice depends on the groups made so far.
+
+    A video has few sampled frames, so one group holds all of them.
+    """
+
+    key = attrgetter("frame", *order, "text", "confidence")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = list(part.sort_values([*order, "text", "confidence"]).itertuples(index=False))
-        made = [_envelope(rows[0].video_id, rows[0].frame, g) for g in _first_fit(rows, fits)]
+        rows = sorted(part.itertuples(index=False), key=key)
+        made = [_envelope(rows[0].video_id, frame, g) for frame, boxes in groupby(rows, attrgetter("frame")) for g in _first_fit(boxes, fits)]
         return pd.DataFrame(made, columns=["video_id", "frame", "x", "y", "width", "height", "text", "confidence"])
 
-    return boxes.groupBy("video_id", "frame").applyInPandas(run, BOX)
+    return boxes.groupBy("video_id").applyInPandas(run, BOX)
 
 
 def lines(boxes: DataFrame) -> DataFrame:
@@ -141,7 +149,7 @@ def phrases(text: str | None, limit: int, strict: bool = False) -> list[str]:
 
 def balanced_phrases(rows: DataFrame, text: str, limit: int, strict: bool = False, result: str = "phrases") -> DataFrame:
     """``rows`` with an array column of balanced phrases: dynamic programming over the words of one cue."""
-    schema = rows.schema.add(result, "array<string>")
+    schema = T.StructType([*rows.schema.fields, T.StructField(result, T.ArrayType(T.StringType()))])
 
     def run(parts):
         for part in parts:

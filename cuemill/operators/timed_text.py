@@ -232,8 +232,9 @@ def alignment_quality(sources: DataFrame, aligned: DataFrame, key: str, least_co
 def words_to_sentences(words: DataFrame, counts: DataFrame, by: str) -> DataFrame:
     """Words (``by``, at from 0) given to sentences (``by``, seq, n) by running counts."""
     w = Window.partitionBy(by).orderBy("seq")
-    ranges = counts.select(by, "seq", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)))).alias("k"), "n", (F.sum("n").over(w) - F.col("n")).alias("__low")).filter("n > 0")
-    return words.join(ranges.select(by, "seq", (F.col("__low") + F.col("k") - 1).alias("at")), [by, "at"])
+    low = counts.withColumn("__low", F.sum("n").over(w) - F.col("n")).filter("n > 0")
+    places = low.select(by, "seq", F.explode(F.sequence(F.col("__low"), F.col("__low") + F.col("n") - 1)).alias("at"))
+    return words.join(places, [by, "at"])
 
 
 def loud_bounds(chunks: DataFrame, by: str, level: Column) -> DataFrame:

@@ -131,8 +131,8 @@ def overlap_intrusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    """WITH a AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value) - 1 AS at, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events WHERE value IS NOT NULL)
-SELECT user_id, event_type, value FROM a WHERE at = CAST(round_even((n - 1) * 0.9::DOUBLE, 0) AS INTEGER)"""
+    """WITH a AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT user_id, event_type, value FROM a WHERE place = CAST(round_even((n - 1) * CAST(0.9 AS DOUBLE), 0) AS INTEGER)"""
 )
 def nearest_rank_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("k", F.struct("user_id", "event_type"))
