@@ -120,7 +120,13 @@ def phrases(text: str | None, limit: int, strict: bool = False) -> list[str]:
         size.append(size[-1] + len(w) + 1)
     total, n = size[-1] - 1, len(words)
     soft = limit if strict else max(max(map(len, words)), round(limit * 1.3))
-    for parts in range(max(1, math.ceil(total / soft)), n + 1):
+    fewest, filled = 1, -1
+    for w in words:  # filling lines greedily needs the fewest parts, so no smaller number can succeed
+        if filled >= 0 and filled + 1 + len(w) > soft:
+            fewest, filled = fewest + 1, len(w)
+        else:
+            filled += 1 + len(w)
+    for parts in range(max(fewest, math.ceil(total / soft)), n + 1):
         mean = total / parts
         # best[i]: least cost of words[i:] in the parts that are left, and where the first of them ends
         best: list[tuple[float, int] | None] = [None] * n + [(0.0, n)]

@@ -165,15 +165,21 @@ def cue_chunks(text: Column, limit: int) -> Column:
     cue = min(42, 2 * line)
     most = max(3, min(8, cue // 5))
     words = F.filter(F.split(squeeze(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
-    zero = F.expr("named_struct('out', cast(array() as array<string>), 'now', '', 'n', 0)")
+    zero = F.expr("named_struct('out', cast(array() as array<string>), 'now', '', 'n', 0, 'lines', 0, 'line', 0)")
 
     def step(s: Column, w: Column) -> Column:
-        joined = F.when(s["n"] > 0, F.concat(s["now"], F.lit(" "), w)).otherwise(w)
-        lines = F.length(F.regexp_replace(wrap_lines(joined, line), "[^\n]", ""))
-        full = (s["n"] > 0) & ((F.length(joined) > cue) | (s["n"] >= most) | (lines >= 2))
-        out, now, n = F.when(full, F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"]), F.when(full, w).otherwise(joined), F.when(full, 1).otherwise(s["n"] + 1)
+        size, some = F.length(w), s["n"] > 0
+        wraps = ~some | (s["line"] + 1 + size > line)  # the greedy wrap of the cue so far goes on with this word
+        lines = s["lines"] + F.when(wraps, 1).otherwise(0)
+        full = some & ((F.length(s["now"]) + 1 + size > cue) | (s["n"] >= most) | (lines >= 3))
+        out = F.when(full, F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"])
+        alone = full | ~some
+        now, n = F.when(alone, w).otherwise(F.concat(s["now"], F.lit(" "), w)), F.when(full, 1).otherwise(s["n"] + 1)
         ends = (n >= 3) & w.rlike("[.!?;:]$")
-        return F.struct(F.when(ends, F.concat(out, F.array(now))).otherwise(out).alias("out"), F.when(ends, "").otherwise(now).alias("now"), F.when(ends, 0).otherwise(n).alias("n"))
+        return F.struct(
+            F.when(ends, F.concat(out, F.array(now))).otherwise(out).alias("out"), F.when(ends, "").otherwise(now).alias("now"), F.when(ends, 0).otherwise(n).alias("n"),
+            F.when(ends, 0).when(alone, 1).otherwise(lines).alias("lines"), F.when(alone | wraps, size).otherwise(s["line"] + 1 + size).alias("line"),
+        )
 
     return F.aggregate(words, zero, step, lambda s: F.when(s["n"] > 0, F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"]))
 

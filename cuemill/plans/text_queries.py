@@ -69,7 +69,7 @@ def log_tail_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("o_orderkey").cast("string")
     tags = F.concat(F.lit("#A"), F.col("o_orderstatus"), F.lit(", #a"), F.col("o_orderstatus"), F.lit(";x-"), i, F.lit("  ##_tag_ "), F.lit("#A"), F.lower("o_orderstatus"))
-    caption = F.concat(F.lit("  Order \t"), i, F.lit(" \r\n\n  "), F.repeat(F.lit("wide 😀 text "), (F.col("o_orderkey") % 300).cast("int")))
+    caption = F.concat(F.lit("  Order \t"), i, F.lit(" \r\n\n  "), F.repeat(F.lit("wide 😀 text "), F.when(F.col("o_orderkey") % 25 == 0, F.col("o_orderkey") % 300).otherwise(F.col("o_orderkey") % 9).cast("int")))
     return table(spark, sf_dir, "orders").select("o_orderkey", tags.alias("tags"), caption.alias("caption"))
 
 

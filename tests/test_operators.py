@@ -179,9 +179,11 @@ def test_caption_region(spark):
 
 
 def test_migration(spark):
-    raws = ['{"video_id":"a","original_video_volume":999,"tts_volume":-4,"subtitle_style":{"font_size":-2},"crop":{"zoom_percent":0},"watermark_text":" a  b "}', "not json", '{"schema_version": 9}', "[1]"]
+    raws = ['{"video_id":"a","original_video_volume":999,"tts_volume":-4,"subtitle_style":{"font_size":-2},"crop":{"zoom_percent":0},"watermark_text":" a  b "}', "not json", '{"schema_version": 9}', "[1]", '{"video_id":"z","crop":"odd","files":3,"tts_volume":[1],"schema_version":"2","status":"error"}']
     kept, rejected = migrate.migrate_videos(spark.createDataFrame([(r,) for r in raws], "raw string"))
-    r = kept.first()
+    z = kept.filter("video_id = 'z'").first()
+    assert (z["crop"]["zoom_percent"], z["files"], z["tts_volume"], z["status"]) == (100, {}, 100, "failed")
+    r = kept.filter("video_id = 'a'").first()
     assert (r["schema_version"], r["original_video_volume"], r["background_music_volume"], r["tts_volume"], r["subtitle_style"]["font_size"], r["crop"]["zoom_percent"], r["watermark_text"], r["status"]) == (8, 100, 30, 0, 10, 1, "a b", "pending")
     assert sorted(x["reason"] for x in rejected.collect()) == ["corrupt", "corrupt", "newer version"]
     projects, _ = migrate.migrate_projects(spark.createDataFrame([('{"name":"N","directory":"/d"}',)], "raw string"))
