@@ -30,17 +30,27 @@ ROUNDS, PER_ROUND, LEAST = 6, 512, 12
 SHARD = "part long, shard long, part_start long, n_ids long, doc_ids array<long>, payload binary"
 
 
-def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return ((left * np.uint64(0x9E3779B1) ^ right * np.uint64(0x85EBCA77)) & np.uint64(0x3FFFF)).astype(np.int64)
+BUCKETS = 1 << 18
 
 
-def _frequent_pairs(symbols: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Codes of the pairs that occur most, most frequent first; ``inside``: whether symbol i and i + 1 share a document."""
-    left, right = symbols[:-1].astype(np.uint64), symbols[1:].astype(np.uint64)
-    bucket = _bucket(left, right)
-    counts = np.bincount(bucket[inside], minlength=1 << 18)
-    heavy = inside & (counts[bucket] >= LEAST)  # a bucket has every occurrence of its pairs, so no frequent pair is lost
-    codes, n = np.unique((left[heavy] << np.uint64(32)) | right[heavy], return_counts=True)
+def _buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A bucket of each pair, in wrapping 32-bit arithmetic."""
+    out = left * np.uint32(0x9E3779B1)
+    out ^= right * np.uint32(0x85EBCA77)
+    out >>= np.uint32(14)
+    return out
+
+
+def _codes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left.astype(np.uint64) << np.uint64(32)) | right
+
+
+def _frequent_pairs(symbols: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Codes of the pairs that occur most, most frequent first; pairs over the end of a document are in the last bucket."""
+    counts = np.bincount(bucket, minlength=BUCKETS + 1)
+    counts[BUCKETS] = 0
+    heavy = np.flatnonzero((counts >= LEAST)[bucket])  # a bucket has every occurrence of its pairs, so no frequent pair is lost
+    codes, n = np.unique(_codes(symbols[heavy], symbols[heavy + 1]), return_counts=True)
     keep = n >= LEAST
     codes, n = codes[keep], n[keep]
     return codes[np.lexsort((codes, -n))[:PER_ROUND]]
@@ -53,38 +63,39 @@ def compress(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     first = int(symbols.max()) + 1 if len(symbols) else 1
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
+    far = np.int32(1 << 30)
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        inside = owner[:-1] == owner[1:]
-        codes = _frequent_pairs(symbols, inside)
+        bucket = _buckets(symbols[:-1], symbols[1:])
+        bucket[owner[:-1] != owner[1:]] = BUCKETS
+        codes = _frequent_pairs(symbols, bucket)
         if not len(codes):
             break
         new = first + len(lengths) + np.arange(len(codes), dtype=np.uint32)
         pairs = np.stack([codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        code = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+        maybe = np.zeros(BUCKETS + 1, bool)
+        maybe[_buckets(pairs[:, 0], pairs[:, 1])] = True
+        at = np.flatnonzero(maybe[bucket])
+        code = _codes(symbols[at], symbols[at + 1])
         order = np.argsort(codes)
-        maybe = np.zeros(1 << 18, bool)
-        maybe[_bucket(codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF))] = True
-        at = np.flatnonzero(inside & maybe[_bucket(code >> np.uint64(32), code & np.uint64(0xFFFFFFFF))])
-        place = np.minimum(np.searchsorted(codes, code[at], sorter=order), len(codes) - 1)
-        rank = order[place]
-        same = codes[rank] == code[at]
+        place = np.minimum(np.searchsorted(codes, code, sorter=order), len(codes) - 1)
+        rank = order[place].astype(np.int32)
+        same = codes[rank] == code
         at, rank = at[same], rank[same]
         # of overlapping occurrences the one with the better rank stays, of a run of equal ones every other
         n = len(symbols)
-        best = np.full(n + 1, 1 << 30, np.int64)
+        best = np.full(n + 1, far, np.int32)
         best[at] = rank
         run_start = np.ones(len(at), bool)
         run_start[1:] = (at[1:] != at[:-1] + 1) | (rank[1:] != rank[:-1])
         index = np.arange(len(at))
         in_run = index - np.maximum.accumulate(np.where(run_start, index, 0))
-        left_rank = np.where(at > 0, best[at - 1], 1 << 30)
+        left_rank = np.where(at > 0, best[at - 1], far)
         stays = (in_run % 2 == 0) & ((left_rank > rank) | (left_rank == rank)) & (best[at + 1] >= rank)
         taken = np.zeros(n + 1, bool)
         taken[at[stays]] = True
         clash = stays & np.where(at > 0, taken[at - 1], False)
-        taken[at[clash]] = False
         at, rank = at[stays & ~clash], rank[stays & ~clash]
         if not len(at):
             break
@@ -135,6 +146,10 @@ class ShardReader:
     def document(self, i: int) -> np.ndarray:
         return self._expand(self.symbols[self.starts[i] : self.starts[i + 1]])
 
+    def documents(self) -> list[np.ndarray]:
+        """All documents, expanded together."""
+        return np.split(self._expand(self.symbols), np.cumsum(self.n_ids.astype(np.int64))[:-1]) if len(self.n_ids) else []
+
     def token(self, i: int, at: int) -> int:
         """Id number ``at`` of document i, expanding only the symbol that holds it."""
         s = self.symbols[self.starts[i] : self.starts[i + 1]]
@@ -199,7 +214,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 reader = ShardReader(payload)
                 n = reader.n_ids.astype(np.int64)
                 begin = before[part] + part_start + np.cumsum(n) - n
-                ids = [reader.document(i).astype("<u4").tobytes() for i in range(len(doc_ids))]
+                ids = [d.astype("<u4", copy=False).tobytes() for d in reader.documents()]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begin), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     return shards.select("part", "part_start", "doc_ids", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")

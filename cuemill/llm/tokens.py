@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from .arrow import blocks, text_buffer
 
-MEMO_PIECES = 250_000
+MEMO_PIECES = 400_000
 BLOCK = 8 << 20
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 OTHER, LETTER, DIGIT, SPACE, BLANK = range(5)
@@ -118,12 +118,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keeps_space = Tokenizer.from_file(path), keeps_space
-        letters, tokenize = byte_letters(), self.tokenizer.model.tokenize
+        letters, tokenize = dict(enumerate(byte_letters())), self.tokenizer.model.tokenize
 
         def make(piece: bytes) -> bytes:
             if not keeps_space:
                 piece = piece.strip(b" \t\n\r").decode("utf-8", "replace").lower().encode("utf-8")
-            return b"".join([t.id.to_bytes(4, "little") for t in tokenize("".join([letters[b] for b in piece]))]) if piece else b""
+            return b"".join([t.id.to_bytes(4, "little") for t in tokenize(piece.decode("latin-1").translate(letters))]) if piece else b""
 
         self.memo = _Memo(make)
 

@@ -86,6 +86,7 @@ def test_grammar_round_trip():
         docs = [rng.integers(0, 6, rng.integers(1, size + 2)).astype(np.uint32) for _ in range(20)] + [np.zeros(size + 1, np.uint32)]
         payload = repair.to_payload(docs)
         reader = repair.ShardReader(payload)
+        assert [d.tolist() for d in reader.documents()] == [d.tolist() for d in docs]
         for i, d in enumerate(docs):
             assert reader.document(i).tolist() == d.tolist()
             for at in {0, len(d) // 2, len(d) - 1}:
