@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,3 +30,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps: it does so when the driver collects its garbage, which may
+    otherwise be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
