@@ -59,7 +59,8 @@ def _frequent_pairs(symbols: np.ndarray, bucket: np.ndarray) -> np.ndarray:
 def compress(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """(rules, expansion lengths, symbols, symbols of each document, first nonterminal)."""
     symbols = np.concatenate(docs).astype(np.uint32) if docs else np.zeros(0, np.uint32)
-    owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
+    inside = np.ones(len(symbols), bool)  # whether the next symbol is of the same document
+    inside[np.cumsum([len(d) for d in docs], dtype=np.int64) - 1] = False
     first = int(symbols.max()) + 1 if len(symbols) else 1
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
@@ -68,7 +69,7 @@ def compress(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         if len(symbols) < 2:
             break
         bucket = _buckets(symbols[:-1], symbols[1:])
-        bucket[owner[:-1] != owner[1:]] = BUCKETS
+        bucket[~inside[:-1]] = BUCKETS
         codes = _frequent_pairs(symbols, bucket)
         if not len(codes):
             break
@@ -107,8 +108,9 @@ def compress(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         lengths = np.concatenate([lengths, grown])
         keep = np.ones(n, bool)
         keep[at + 1] = False
-        symbols, owner = symbols[keep], owner[keep]
-    per_doc = np.bincount(owner, minlength=len(docs)) if len(docs) else np.zeros(0, np.int64)
+        inside[at] = inside[at + 1]
+        symbols, inside = symbols[keep], inside[keep]
+    per_doc = np.diff(np.flatnonzero(~inside), prepend=-1)
     return np.concatenate([np.zeros((0, 2), np.uint32), *rules]), lengths, symbols, per_doc, first
 
 

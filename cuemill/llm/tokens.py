@@ -18,7 +18,7 @@ import pyarrow as pa
 from .arrow import blocks, text_buffer
 
 MEMO_PIECES = 400_000
-BLOCK = 8 << 20
+BLOCK = 16 << 20
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 OTHER, LETTER, DIGIT, SPACE, BLANK = range(5)
 
@@ -32,6 +32,8 @@ _ONE = np.array([SPACE if b in (9, 10, 13) else BLANK if b == 32 else _kind(chr(
 _TWO = np.array([[_kind(bytes([a, b]).decode()) for b in range(0x80, 0xC0)] for a in range(0xC2, 0xC6)], np.uint8)
 # Characters that are their own normal form, whose lower case is one of them, and whose class never changed.
 _PLAIN = np.array([b in (9, 10, 13) or 0x20 <= b < 0x7F or 0x80 <= b < 0xC0 or 0xC2 <= b < 0xC6 for b in range(256)])
+_SUSPECT = ~_PLAIN
+_SUSPECT[[0xC2, 0xC4, ord("<")]] = True
 # The suffixes that the split patterns of both vocabularies take first, after an apostrophe.
 _SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -45,9 +47,10 @@ def byte_letters() -> list[str]:
 
 def _not_plain(raw: np.ndarray) -> np.ndarray:
     """Places of bytes of other than plain characters, and of openings of special tokens."""
-    second = np.append(raw[1:], np.uint8(0))
-    bad = ~_PLAIN[raw] | (raw == 0xC2) & (second < 0xA1) | (raw == 0xC4) & (second == 0xB0) | (raw == ord("<")) & (second == ord("|"))
-    return np.flatnonzero(bad)
+    at = np.flatnonzero(_SUSPECT[raw])  # few: most bytes need one look
+    first, second = raw[at], raw[np.minimum(at + 1, len(raw) - 1)]
+    bad = ~_PLAIN[first] | (first == 0xC2) & (second < 0xA1) | (first == 0xC4) & (second == 0xB0) | (first == ord("<")) & (second == ord("|"))
+    return at[bad]
 
 
 def piece_starts(raw: np.ndarray, edges: np.ndarray, keeps_space: bool) -> np.ndarray:
@@ -144,13 +147,13 @@ class Encoder:
         coded = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
         known = list(map(self.memo.__getitem__, coded.dictionary.to_pylist()))
         code = coded.indices.to_numpy()
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        first = (np.cumsum(size) - size)[code]
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4  # a block has far fewer than 2**31 ids
+        first = (np.cumsum(size, dtype=np.int32) - size)[code]
         size = size[code]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int32)
         flat = np.frombuffer(b"".join(known), "<u4")
-        ids = flat[np.repeat(first - (ends - size), size) + np.arange(ends[-1])].tobytes()
-        cut = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)] * 4
+        ids = flat[np.repeat(first - (ends - size), size) + np.arange(ends[-1], dtype=np.int32)].tobytes()
+        cut = np.concatenate([[0], ends]).astype(np.int64)[np.searchsorted(starts, offsets)] * 4
         out = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         for row in np.unique(np.searchsorted(offsets, _not_plain(raw), side="right") - 1).tolist():
             out[row] = self.whole(raw[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8"))
