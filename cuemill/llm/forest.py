@@ -5,11 +5,13 @@ of all documents by their signature read from place t * SPAN on. In every order,
 least ``depth`` values are candidates, and the depth adapts to the region: where more than ``crowd`` documents share a
 prefix, longer prefixes are taken until a branch is small.
 
-Emission is linear in the documents. In a small branch each document is paired with its nearest members by signature, and
-with the nearest member of every other class known so far; in a crowded branch with the hubs of the branch, the members
-nearest to its most frequent signature. Candidates are confirmed on the full sets, links are joined into classes, and a
-second round over the forest looks only for pairs between different classes, so a group of copies of any size costs a few
-pairs a document while no class stays apart that a link joins. Documents with equal sets are one node throughout.
+Candidates are confirmed on the full sets and links are joined into classes, in three steps. First each document of a
+small branch is paired with its nearest members by signature, in a crowded branch with the hubs of the branch, the members
+nearest to its most frequent signature: a group of copies of any size costs a few pairs a document. Then every pair of
+different classes in a small branch that the signatures allow is confirmed, and in a crowded branch everything outside the
+largest class is compared with all. What a crowded branch leaves over is settled by an exact join on the rarest shingles
+of its sets (``rare_candidates``), so no limit on the size of a branch loses a link; links that share no branch in any tree,
+or whose signatures differ by over 4.5 standard errors, are what remains. Documents with equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import as_text, blocks, text_buffer
@@ -29,7 +31,8 @@ from .wordscan import NOT_SPACE, Words, mix, scan
 TREES, SPAN = 16, 8
 WIDTH = TREES * SPAN
 NEAREST = 3
-PAIR, STRANGER, MEMBER = range(3)
+PAIR, STRANGER, MEMBER, CROWDED = range(4)
+COMPARED = 1 << 23  # comparisons of signatures in one branch
 _SEEDS = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
 
@@ -79,58 +82,97 @@ def with_signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> Data
     return rows.mapInArrow(sign, SIGNED)
 
 
-def _possible(n: np.ndarray, m: np.ndarray, common_n: np.ndarray, common_m: np.ndarray, percent: int = 80) -> np.ndarray:
+def _possible(n: np.ndarray, m: np.ndarray, common_n: np.ndarray, common_m: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of n and m shingles, of which so many can be in another set at all, may reach the similarity."""
     both = np.minimum(common_n, common_m)
     return 100 * both >= percent * (n + m - both)
 
 
-def _pairs_of_branch(rows: np.ndarray, sig: np.ndarray, size: np.ndarray, common: np.ndarray, label: np.ndarray | None, least: float) -> list[np.ndarray]:
-    """Candidate pairs of a small branch: of each member with its nearest, or with its nearest in each other class."""
+def least_agreement(percent: int) -> float:
+    """The share of equal signature bytes that a link keeps but once in some 300,000 times: 4.5 standard errors down."""
+    p = percent / 100
+    return p - 4.53 * (p * (1 - p) / WIDTH) ** 0.5
+
+
+def least_depth(percent: int) -> int:
+    """Values of a prefix that a link shares in one of the trees but once in some 40,000 times."""
+    return 2 if percent >= 70 else 1
+
+
+def _agreement(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """How many bytes of each signature of ``s`` equal those of each of ``t``."""
+    out, same = np.zeros((len(s), len(t)), np.uint8), np.empty((len(s), len(t)), bool)
+    for x, y in zip(np.ascontiguousarray(s.T), np.ascontiguousarray(t.T), strict=True):
+        np.equal(x[:, None], y[None, :], out=same)
+        out += same.view(np.uint8)
+    return out
+
+
+def _pairs_of_branch(rows: np.ndarray, sig: np.ndarray, size: np.ndarray, common: np.ndarray, label: np.ndarray | None, least: float, percent: int) -> list[np.ndarray]:
+    """Candidate pairs of a small branch: of each member with its nearest, or all pairs of different classes."""
     s = sig[rows]
-    near = (s[:, None, :] == s[None, :, :]).sum(axis=2).astype(np.float32) / WIDTH
+    near = _agreement(s, s).astype(np.float32) / WIDTH
     n = size[rows]
-    near[~_possible(n[:, None], n[None, :], common[rows][:, None], common[rows][None, :])] = 0
+    near[~_possible(n[:, None], n[None, :], common[rows][:, None], common[rows][None, :], percent)] = 0
     np.fill_diagonal(near, 0)
     if label is None:
         best = np.argsort(-near, axis=1, kind="stable")[:, :NEAREST]
         i, j = np.nonzero(np.take_along_axis(near, best, axis=1) >= least)
         return [np.stack([rows[i], rows[best[i, j]]], axis=1)]
-    out, own = [], label[rows]
-    near[own[:, None] == own[None, :]] = 0
-    if near.max(initial=0) >= least:
-        for other in np.unique(own):
-            part = near[:, own == other]
-            best = part.argmax(axis=1)
-            ok = part[np.arange(len(rows)), best] >= least
-            out.append(np.stack([rows[ok], rows[own == other][best[ok]]], axis=1))
-    return out
+    near[label[rows][:, None] == label[rows][None, :]] = 0
+    i, j = np.nonzero(np.triu(near) >= least)
+    return [np.stack([rows[i], rows[j]], axis=1)]
 
 
-def _hub_pairs(rows: np.ndarray, bare: np.ndarray, sig: np.ndarray, size: np.ndarray, common: np.ndarray, label: np.ndarray | None, least: float, hubs: int, crowd: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Pairs of the ``bare`` members of a crowded branch with the members nearest to its most frequent signature, lists of
-    strangers and members by hub, and which members stay bare because no hub is near.
-
-    With classes known: of all members near a hub but not in its class. Where these strangers are few, they are also listed
-    with everything else that is near the hub, for ``block_links``; where they are many, longer prefixes part them first.
-    """
+def _hub_pairs(rows: np.ndarray, bare: np.ndarray, sig: np.ndarray, size: np.ndarray, common: np.ndarray, label: np.ndarray | None, least: float, hubs: int, percent: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pairs of the ``bare`` members of a crowded branch with the members nearest to its most frequent signature, and which
+    members stay bare because no hub is near. With classes known: of all members near a hub but not in its class."""
     s, n, c = sig[rows], size[rows], common[rows]
     usual = np.array([np.bincount(s[:, j], minlength=256).argmax() for j in range(WIDTH)], np.uint8)
     chosen = np.argsort(-(s == usual).sum(axis=1), kind="stable")[:hubs]
-    out, blocks_, left = [], [], bare.copy()
+    out, left = [], bare.copy()
     for h in chosen.tolist():
         near = (s == s[h]).mean(axis=1) >= least
         left &= ~near
         near[h] = False
-        ok = near & bare if label is None else near & (label[rows] != label[rows[h]]) & (100 * c >= 80 * n)  # others can have no link
+        ok = near & bare if label is None else near & (label[rows] != label[rows[h]]) & (100 * c >= percent * n)  # others can have no link
         out.append(np.stack([rows[ok], np.full(int(ok.sum()), rows[h])], axis=1))
-        if label is not None and 0 < ok.sum() <= crowd:
-            for kind, ids in ((STRANGER, np.flatnonzero(ok)), (MEMBER, np.flatnonzero(near & ~ok))):
-                blocks_.append(np.stack([np.full(len(ids), rows[h]), rows[ids], np.full(len(ids), kind)], axis=1))
-    return out, blocks_, left
+    return out, left
 
 
-def _forest_pairs(ids: np.ndarray, sig: np.ndarray, tree: int, size: np.ndarray, shared: np.ndarray, label: np.ndarray | None, depth: int, crowd: int, least: float, hubs: int) -> np.ndarray:
+def _class_pairs(rows: np.ndarray, sig: np.ndarray, size: np.ndarray, common: np.ndarray, label: np.ndarray, least: float, crowd: int, percent: int) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+    """Pairs of different classes in a crowded branch, lists (key, member, kind), and whether the lists hold the branch unseen.
+
+    All outside the largest class are compared by signature with all. Where few members have many candidates, these are
+    listed for ``block_links``; where many have, or where they are too many to compare, for ``rare_candidates``.
+    """
+    rows = rows[100 * common[rows] >= percent * size[rows]]  # others can have no link
+    names, counts = np.unique(label[rows], return_counts=True)
+    if len(names) < 2:
+        return [], [], False
+    out = rows[label[rows] != names[counts.argmax()]]
+    crowded = lambda r: [np.column_stack([r, r, np.full(len(r), CROWDED)])]
+    if len(out) * len(rows) > COMPARED:
+        return [], crowded(rows), True
+    found = []
+    for a in range(0, len(out), step := max(1, (1 << 20) // len(rows))):
+        x = out[a : a + step]
+        near = _agreement(sig[x], sig[rows]) >= least * WIDTH
+        near &= label[x][:, None] != label[rows][None, :]
+        i, j = np.nonzero(near)
+        i, j = x[i], rows[j]
+        ok = _possible(size[i], size[j], common[i], common[j], percent)
+        found.append(np.stack([i[ok], j[ok]], axis=1))
+    pairs = np.concatenate(found)
+    if len(pairs) <= 8 * len(rows):
+        return [pairs], [], False
+    met, all_ = np.unique(pairs[:, 0]), np.unique(pairs)
+    if len(met) > crowd:
+        return [], crowded(all_), False
+    return [], [np.column_stack([np.full(len(r), met[0]), r, np.full(len(r), kind)]) for kind, r in ((STRANGER, met), (MEMBER, all_))], False
+
+
+def _forest_pairs(ids: np.ndarray, sig: np.ndarray, tree: int, size: np.ndarray, shared: np.ndarray, label: np.ndarray | None, depth: int, crowd: int, least: float, hubs: int, percent: int) -> np.ndarray:
     """Candidates among rows that are sorted by tree order."""
     turned = np.roll(sig, -tree * SPAN, axis=1)
     differs = turned[1:] != turned[:-1]
@@ -145,16 +187,21 @@ def _forest_pairs(ids: np.ndarray, sig: np.ndarray, tree: int, size: np.ndarray,
             if len(branch) < 2:
                 continue
             if len(branch) <= crowd:
-                found += _pairs_of_branch(branch, sig, size, shared, label, least)
+                found += _pairs_of_branch(branch, sig, size, shared, label, least, percent)
                 continue
-            made, lists, bare = _hub_pairs(branch, bare, sig, size, shared, label, least, hubs, crowd)
+            if label is not None and d == depth:
+                made, lists, unseen = _class_pairs(branch, sig, size, shared, label, least, crowd, percent)
+                found += made
+                listed += lists
+                if not unseen:
+                    continue
+            made, bare = _hub_pairs(branch, bare, sig, size, shared, label, least, hubs, percent)
             found += made
-            listed += lists
             if d < 2 * SPAN:
                 todo.append((branch, bare, d + 1))
             else:  # over a hundred bits in common: neighbours along the order
                 for a in range(0, len(branch), crowd // 2):
-                    found += _pairs_of_branch(branch[a : a + crowd], sig, size, shared, label, least)
+                    found += _pairs_of_branch(branch[a : a + crowd], sig, size, shared, label, least, percent)
     pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
     pairs = np.unique(np.sort(ids[pairs], axis=1), axis=0)
     lists = np.unique(np.concatenate([np.zeros((0, 3), np.int64), *listed]), axis=0)
@@ -162,8 +209,9 @@ def _forest_pairs(ids: np.ndarray, sig: np.ndarray, tree: int, size: np.ndarray,
     return np.concatenate([np.column_stack([pairs, np.full(len(pairs), PAIR)]), lists])
 
 
-def forest_candidates(nodes: DataFrame, labelled: bool, depth: int = 2, crowd: int = 48, least: float = 0.64, hubs: int = 2) -> DataFrame:
-    """Distinct candidates (a, b, kind), pairs with a < b or lists of a hub a, of ``nodes`` (id, n, signature and, if ``labelled``, shared and label)."""
+def forest_candidates(nodes: DataFrame, labelled: bool, percent: int, depth: int | None = None, crowd: int = 48, least: float | None = None, hubs: int = 2) -> DataFrame:
+    """Distinct candidates (a, b, kind), pairs with a < b or lists of a key a, of ``nodes`` (id, n, signature and, if ``labelled``, shared and label)."""
+    depth, least = depth or least_depth(percent), least or least_agreement(percent)
     turn = F.concat(F.substring("signature", F.col("tree") * SPAN + 1, F.lit(WIDTH)), F.substring("signature", F.lit(1), F.col("tree") * SPAN))
     each = nodes.withColumn("tree", F.explode(F.array(*map(F.lit, range(TREES))))).withColumn("order", turn).drop("signature")
     each = each.select("tree", "order", "id", "n", *(["shared", "label"] if labelled else []))
@@ -181,10 +229,10 @@ def forest_candidates(nodes: DataFrame, labelled: bool, depth: int = 2, crowd: i
             label = part.column("label").to_numpy() if labelled else None
             size = part.column("n").to_numpy()
             common = part.column("shared").to_numpy() if labelled else size
-            pairs = _forest_pairs(part.column("id").to_numpy(), np.roll(order, t * SPAN, axis=1), t, size, common, label, depth, crowd, least, hubs)
+            pairs = _forest_pairs(part.column("id").to_numpy(), np.roll(order, t * SPAN, axis=1), t, size, common, label, depth, crowd, least, hubs, percent)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2])], names=["a", "b", "kind"])
 
-    return ordered.mapInArrow(pair, "a long, b long, kind long").filter("a <> b").distinct()
+    return ordered.mapInArrow(pair, "a long, b long, kind long").filter(f"a <> b or kind <> {PAIR}").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,9 +256,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def block_links(lists: DataFrame, sets: DataFrame, percent: int, block: int = 500) -> DataFrame:
-    """The links (a, b) of each hub's strangers with its members, found block by block of members without listing pairs.
+    """The links (a, b) of each key's strangers with its members, found block by block of members without listing pairs.
 
-    ``lists`` has (a: hub, b: id, kind). Members are dealt to blocks of about ``block``, and the hub's strangers, which are
+    ``lists`` has (a: key, b: id, kind). Members are dealt to blocks of about ``block``, and the key's strangers, which are
     few, go to each of its blocks; there the shingles of all strangers are looked up once for each member.
     """
     n = lists.filter(F.col("kind") == MEMBER).groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
@@ -250,6 +298,71 @@ def block_links(lists: DataFrame, sets: DataFrame, percent: int, block: int = 50
     return dealt.mapInArrow(look, "a long, b long")
 
 
+def _each_shingle(sets: DataFrame) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            for a in range(0, len(raw), 500):
+                part = raw[a : a + 500]
+                ids = np.repeat(batch.column(0).to_numpy()[a : a + 500], [len(x) for x in part])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(part))], names=["id", "shingle"])
+
+    return sets.select("id", "shingles").mapInArrow(each, "id long, shingle long")
+
+
+def rare_candidates(sets: DataFrame, nodes: DataFrame, percent: int, block: int = 4096) -> DataFrame:
+    """Pairs a < b of ``nodes`` (id, n, signature, label) of different classes that may be links: a prefix-filtered join.
+
+    Of two linked sets, each in the order of rarity, the first n - ceil(n * percent / 100) + 1 shingles share one. A pair is
+    kept where sizes, the places of the shared shingle and signatures allow a link. A shingle of more than ``block`` sets is
+    dealt to pairs of blocks.
+    """
+    least = least_agreement(percent) * WIDTH
+    each = _each_shingle(sets.join(nodes.select("id"), "id", "left_semi"))
+    n = each.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    order = Window.partitionBy("id").orderBy("df", "shingle")
+    lone = F.col("n") - F.count("*").over(Window.partitionBy("id"))  # those of one set come first
+    ranked = each.join(n, "shingle").join(nodes.select("id", "n"), "id").withColumn("place", (lone + F.row_number().over(order)).cast("long"))
+    prefix = written(ranked.filter(f"100 * (n - place + 1) >= {percent} * n").select("id", "n", "shingle", "place").join(nodes.select("id", "label", "signature"), "id"), "forest-prefixes")
+    met = prefix.groupBy("shingle").agg(F.ceil(F.count("*") / block).cast("int").alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").drop("x", "y")
+    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+    cells = prefix.join(met, "shingle").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = cells.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "place", "label", "signature").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+
+    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j, own, id_, n, place, label = (group.column(c).to_numpy() for c in ("i", "j", "own", "id", "n", "place", "label"))
+        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, WIDTH)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        for a in range(0, len(left), step := max(1, (1 << 20) // max(1, len(right)))):
+            x = left[a : a + step]
+            ok = label[x][:, None] != label[right][None, :]
+            p, q = np.nonzero(ok & (100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :])))
+            p, q = x[p], right[q]
+            both = 1 + np.minimum(n[p] - place[p], n[q] - place[q])
+            may = 100 * both >= percent * (n[p] + n[q] - both)
+            p, q = p[may], q[may]
+            for c in range(0, len(p), 100_000):
+                u, v = p[c : c + 100_000], q[c : c + 100_000]
+                same = (sig[u] == sig[v]).sum(axis=1) >= least
+                pairs = np.unique(np.sort(np.stack([id_[u[same]], id_[v[same]]], axis=1), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            key = np.stack([table.column(c).to_numpy() for c in ("shingle", "i", "j")])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
+                yield from compare(table.slice(a, b - a))
+            rest = table.slice(cuts[-1] if len(cuts) else 0)
+        if rest is not None and rest.num_rows:
+            yield from compare(rest)
+
+    return dealt.mapInArrow(pair, "a long, b long").distinct()
+
+
 def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
     """A bit for the hash of each id: ``bits`` / 8 bytes, however many ids there are."""
     at = F.pmod(F.xxhash64("id"), F.lit(bits))
@@ -285,16 +398,7 @@ def _ids(pairs: DataFrame) -> DataFrame:
 
 def _lone_shingles(sets: DataFrame) -> DataFrame:
     """(id, lone): how many shingles of a set are in no other set; a link shares none of them."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            for a in range(0, len(raw), 500):
-                part = raw[a : a + 500]
-                ids = np.repeat(batch.column(0).to_numpy()[a : a + 500], [len(x) for x in part])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(part))], names=["id", "shingle"])
-
-    rows = sets.select("id", "shingles").mapInArrow(each, "id long, shingle long")
+    rows = _each_shingle(sets)
     return rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("lone"))
 
 
@@ -312,19 +416,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(named.groupBy(*same_set).agg(F.min("doc_id").alias("id"), F.any_value("signature").alias("signature")), "forest-nodes")
 
     trees = nodes.select("id", F.col("n_shingles").alias("n"), "signature")
-    first = written(forest_candidates(trees, False, **forest).select("a", "b"), "forest-pairs")
+    first = written(forest_candidates(trees, False, percent, **forest).select("a", "b"), "forest-pairs")
     release(docs.sparkSession)
     sets = written(_sets(docs, id_col, text_col, _ids(first), k), "forest-sets")
     links = written(confirmed(first, sets, percent), "forest-links")
     release(docs.sparkSession)
     known = written(connected_components(links).join(_lone_shingles(sets), "id", "full_outer"), "forest-known")
     labelled = trees.join(known, "id", "left").select("id", "n", "signature", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"), F.coalesce("component", "id").alias("label"))
-    found = written(forest_candidates(labelled, True, **forest), "forest-pairs")
+    found = written(forest_candidates(labelled, True, percent, **forest), "forest-pairs")
     release(docs.sparkSession)
     sets = written(_sets(docs, id_col, text_col, _ids(found), k), "forest-sets")
     second = found.filter(F.col("kind") == PAIR).select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = written(confirmed(second, sets, percent).unionAll(block_links(found.filter(F.col("kind") != PAIR), sets, percent)), "forest-links")
+    more = written(confirmed(second, sets, percent).unionAll(block_links(found.filter(F.col("kind").isin(STRANGER, MEMBER)), sets, percent)), "forest-links")
     release(docs.sparkSession)
+    crowded = found.filter(F.col("kind") == CROWDED).select(F.col("a").alias("id")).distinct()
+    if not crowded.isEmpty():
+        known = written(connected_components(links.unionAll(more)), "forest-known")
+        left = written(trees.join(crowded, "id").join(known, "id", "left").select("id", "n", "signature", F.coalesce("component", "id").alias("label")), "forest-crowded")
+        rare = rare_candidates(sets, left, percent).join(first.unionAll(second), ["a", "b"], "left_anti")
+        more = more.unionAll(written(confirmed(rare, sets, percent), "forest-links"))
+        release(docs.sparkSession)
     repeated = named.groupBy("doc_id").count().filter("count > 1").select("doc_id")  # an id on several rows joins their classes
     shared = named.join(repeated, "doc_id", "left_semi").join(nodes.select(*same_set, "id"), same_set).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     labels = connected_components(links.unionAll(more).unionAll(shared))

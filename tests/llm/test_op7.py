@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from cuemill.llm import components, forest
 from cuemill.llm.queries import QUERIES
 
@@ -65,3 +67,48 @@ def test_query(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows = QUERIES["op7_lsh_forest"](spark, sf).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == sorted(brute(docs, 2))
+
+
+def test_links_inside_a_boilerplate_region(spark, make_docs):
+    """Texts of one template at about 0.67 of each other, far more than ``crowd``, among them pairs at just over 0.8."""
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(200)]
+    change = lambda words, n, free: [f"c{rng.randrange(10**9)}" if i in at else w for at in [set(rng.sample(free, n))] for i, w in enumerate(words)]
+    texts = [change(template, 10, range(1, 100, 2)) for _ in range(700)]
+    texts += [change(t, 11, range(101, 199, 2)) for t in texts[:70]]
+    texts = [" ".join(t) for t in texts]
+    want = brute(list(enumerate(texts)), 2)
+    assert sum(i != c for i, _, c in want) >= 70
+    got = forest.near_duplicates(make_docs(texts), k=2, crowd=8).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
+
+
+def test_rare_candidates_hold_every_link_of_two_classes(spark, make_docs):
+    rng = random.Random(12)
+    hub = [f"h{i}" for i in range(60)]
+    docs = make_docs([" ".join(varied(rng, hub, 0.06)) for _ in range(120)])
+    signed = forest.with_signatures(docs, "doc_id", "text", 2)
+    nodes = signed.selectExpr("doc_id as id", "n_shingles as n", "signature", "doc_id % 3 as label")
+    sets = forest._sets(docs, "doc_id", "text", nodes, 2)
+    texts = {r["doc_id"]: shingles(r["text"], 2) for r in docs.collect()}
+    links = {(a, b) for a in texts for b in texts if a < b and a % 3 != b % 3 and 5 * len(texts[a] & texts[b]) >= 4 * len(texts[a] | texts[b])}
+    for block in (4096, 7):
+        found = {(r["a"], r["b"]) for r in forest.rare_candidates(sets, nodes, 80, block).collect()}
+        assert links and links <= found and all(a % 3 != b % 3 for a, b in found)
+
+
+def test_all_pairs_of_two_classes_are_candidates():
+    """Where the pair that looks nearest fails on the full sets, another pair of the same classes is still confirmed."""
+    base = np.arange(forest.WIDTH, dtype=np.uint8)
+    sig = np.stack([np.where(np.arange(forest.WIDTH) < n, base, base + 100 + i) for i, n in enumerate((128, 125, 120, 110))]).astype(np.uint8)
+    n, label = np.full(4, 100), np.array([1, 1, 2, 2])
+    found = np.concatenate(forest._pairs_of_branch(np.arange(4), sig, n, n, label, forest.least_agreement(80), 80))
+    assert sorted(map(tuple, found.tolist())) == [(0, 2), (0, 3), (1, 2), (1, 3)]
+
+
+def test_bounds_follow_percent(spark, make_docs):
+    rng = random.Random(11)
+    texts = [" ".join(varied(rng, [f"w{g}.{i}" for i in range(40)], 0.09)) for g in range(30) for _ in range(4)]
+    for percent in (50, 70):
+        got = forest.near_duplicates(make_docs(texts), k=2, percent=percent).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute(list(enumerate(texts)), 2, percent))
