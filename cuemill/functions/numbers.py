@@ -40,10 +40,27 @@ def duration_label(seconds: Column) -> Column:
     return F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)).otherwise(short)
 
 
+def _tenths(n: Column, unit: int) -> Column:
+    """n / unit in whole tenths, rounded as its binary value: on what looks like a tie (30,150 thousandths of a unit) the
+    double lies a little over or under it, and only where it is exact the even digit wins."""
+    tenth, half = unit // 10, unit // 20
+    rest = n % tenth
+    near = F.call_function("div", n, F.lit(tenth))
+    ratio = n / F.lit(float(unit))
+    part = ((ratio - F.floor(ratio)) * F.lit(2.0**52)).cast("long")  # exact: a ratio of 1 or more has at most 52 binary places
+    over = F.lit(20) * part - (2 * (near % 10) + 1) * F.lit(2**52)
+    up = (rest > half) | ((rest == half) & ((over > 0) | ((over == 0) & (near % 2 == 1))))
+    return near + F.when(up, 1).otherwise(0)
+
+
 def count_label(count: Column) -> Column:
-    """1.2K, 3M, 4.5B, halves to the even digit; "-" for null."""
+    """1.2K, 3M, 4.5B; "-" for null."""
     n = F.greatest(F.lit(0), count.cast("long"))
-    part = lambda unit, sign: F.replace(F.format_string("%.1f" + sign, F.bround(n / F.lit(float(unit)), 1)), F.lit(".0" + sign), F.lit(sign))
+
+    def part(unit: int, sign: str) -> Column:
+        t = _tenths(n, unit)
+        return F.concat(F.floor(t / 10).cast("string"), F.when(t % 10 == 0, "").otherwise(F.concat(F.lit("."), (t % 10).cast("string"))), F.lit(sign))
+
     return F.when(count.isNull(), "-").when(n >= 10**9, part(10**9, "B")).when(n >= 10**6, part(10**6, "M")).when(n >= 1000, part(1000, "K")).otherwise(n.cast("string"))
 
 

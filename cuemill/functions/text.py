@@ -275,18 +275,43 @@ def wrap_lines(text: Column, limit: int) -> Column:
     return F.aggregate(words, state, add, lambda s: F.concat(s["done"], s["line"]))
 
 
-def error_code(message: Column) -> Column:
-    """A class for an error text, the first that fits."""
-    m = F.lower(message)
-    ladder = (("cancelled", "cancel"), ("timeout", "timed? ?out"), ("rate_limited", "429|too many requests|rate limit"), ("forbidden", "403|forbidden|denied"), ("network", "network|connection|dns|unreachable|reset by peer"), ("no_audio", "no audio"))
-    out = F.when(m.rlike(ladder[0][1]), ladder[0][0])
-    for name, pattern in ladder[1:]:
-        out = out.when(m.rlike(pattern), name)
-    return F.when(message.isNotNull(), out.otherwise("unknown"))
-
-
-def is_retryable(message: Column) -> Column:
-    return error_code(message).isin("timeout", "rate_limited", "network")
+# Markers of a lost accelerator, of crashes that must not be taken for one, and of errors that pass on their own.
+GPU_MARKERS = ("cuda", "cudnn", "cublas", "nvidia", "gpu", "device-side", "driver")
+CRASH_MARKERS = ("0xc0000005", "3221225477", "native torch crash", "native windows crash", "paging file is too small", "os error 1455")
+PASSING_MARKERS = ("unable to extract universal data for rehydration", "unable to extract webpage video data", "unable to download api page", "http error 429", "http error 502", "http error 503", "http error 504", "timed out", "timeout")
+FORMAT_MARKERS = ("requested format is not available", "no video formats found", "no formats found", "unable to download video data", "video data is empty")
+
+
+def _has_any(text: Column, markers: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(text, m))
+
+
+def _plain_error(message: Column) -> Column:
+    """Lower case without terminal colours; a null is empty."""
+    return F.lower(F.regexp_replace(F.coalesce(message, F.lit("")), "\\x1b\\[[0-?]*[ -/]*[@-~]", ""))
+
+
+def error_code(kind: Column, message: Column) -> Column:
+    """The class of an error from its type's name and its text; the first that fits, so a missing answer comes before a
+    timeout, and both before what the type alone says."""
+    k, m = F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(message, F.lit("")))
+    says = lambda *parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(k, p))
+    out = F.when(says("noaudioreceived") | F.contains(m, F.lit("no audio was received")), "edge_no_audio")
+    out = out.when(says("timeout") | F.contains(m, F.lit("timed out")), "network_timeout").when(says("websocket", "clientconnector", "connection"), "network_connection")
+    out = out.when(k.isin("valueerror", "unicodedecodeerror", "jsondecodeerror"), "invalid_tts_input").when(k.isin("oserror", "ioerror", "filenotfounderror", "permissionerror"), "file_io")
+    return out.when((k == "runtimeerror") & F.contains(m, F.lit("invalid mp3")), "invalid_audio").otherwise("unexpected_error")
+
+
+def is_gpu_failure(message: Column, has_gpu: Column) -> Column:
+    """Whether a lost accelerator explains the error; a native crash does not, whatever else its text names."""
+    m = F.lower(F.coalesce(message, F.lit("")))
+    return F.coalesce(has_gpu, F.lit(False)) & ~_has_any(m, CRASH_MARKERS) & _has_any(m, GPU_MARKERS)
+
+
+def is_retryable(message: Column, platform: Column) -> Column:
+    """Whether a new session may get the media: a stale format anywhere, a passing error on TikTok only."""
+    m = _plain_error(message)
+    return _has_any(m, FORMAT_MARKERS) | (F.coalesce(platform == "TikTok", F.lit(False)) & _has_any(m, PASSING_MARKERS))
 
 
 def numbered_names(name: Column, nth: Column) -> Column:

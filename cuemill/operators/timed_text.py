@@ -51,15 +51,16 @@ def batch_numbers(rows: DataFrame, by: str, order: Sequence[str], size: int) ->
     return rows.withColumn("queue_position", at + 1).withColumn("batch", F.floor(at / size).cast("int"))
 
 
-def proportional_times(rows: DataFrame, by: str, order: Sequence[str], weight: Column, start: Column, end: Column, least: float = 0.001) -> DataFrame:
-    """``cue_start`` and ``cue_end``: the span of a group shared out by weight; the last end is the span's."""
+def proportional_times(rows: DataFrame, by: str, order: Sequence[str], weight: Column, start: Column, end: Column, least: float = 0.1) -> DataFrame:
+    """``cue_start`` and ``cue_end`` in whole milliseconds: the span of a group shared out by weight, ``least`` seconds at
+    least; the last end is the span's."""
     w = Window.partitionBy(by).orderBy(*order)
     share = F.greatest(F.lit(1), weight).cast("double")
     done = F.sum(share).over(w.rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum(share).over(Window.partitionBy(by))
     begins = start + (end - start) * (done - share) / total
     ends = F.when(F.lead(share).over(w).isNull(), end).otherwise(start + (end - start) * done / total)
-    return rows.withColumn("cue_start", F.round(begins, 3)).withColumn("cue_end", F.round(F.greatest(begins + least, ends), 3))
+    return rows.withColumn("cue_start", F.bround(begins, 3)).withColumn("cue_end", F.bround(F.greatest(begins + least, ends), 3))
 
 
 def speech_weight(text: Column) -> Column:

@@ -46,14 +46,16 @@ def batch_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    """WITH c AS (SELECT conv_id, turn, greatest(1, length(coalesce(text, ''))) AS w, sum(greatest(1, length(coalesce(text, '')))) OVER (PARTITION BY conv_id) AS total, sum(greatest(1, length(coalesce(text, '')))) OVER (PARTITION BY conv_id ORDER BY turn) AS done FROM conversations)
-SELECT conv_id, turn, CAST(floor(120.0 * 10 * (done - w) / total) AS INTEGER) AS start_tenths, CAST(floor(120.0 * 10 * done / total) AS INTEGER) AS end_tenths FROM c"""
+    """WITH c AS (SELECT conv_id, turn, greatest(1, length(coalesce(text, ''))) AS w, sum(greatest(1, length(coalesce(text, '')))) OVER (PARTITION BY conv_id) AS total, sum(greatest(1, length(coalesce(text, '')))) OVER (PARTITION BY conv_id ORDER BY turn) AS done,
+  lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS last FROM conversations),
+t AS (SELECT conv_id, turn, CAST(120 * (done - w) AS DOUBLE) / total AS a, CASE WHEN last THEN 120.0 ELSE CAST(120 * done AS DOUBLE) / total END AS b FROM c)
+SELECT conv_id, turn, CAST(round_even(a * 1000, 0) AS BIGINT) AS start_ms, CAST(round_even(greatest(a + 0.1, b) * 1000, 0) AS BIGINT) AS end_ms FROM t"""
 )
 def proportional_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cue times in tenths of a second, as whole numbers: hashes of floating sums would differ."""
+    """Cue times in milliseconds, the last place that is rounded to."""
     rows = T.proportional_times(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], F.length(F.coalesce("text", F.lit(""))), F.lit(0.0), F.lit(120.0))
-    tenths = lambda c: F.floor(F.col(c) * 10 + 1e-9).cast("int")
-    return rows.select("conv_id", "turn", tenths("cue_start").alias("start_tenths"), tenths("cue_end").alias("end_tenths"))
+    ms = lambda c: F.bround(F.col(c) * 1000).cast("long")
+    return rows.select("conv_id", "turn", ms("cue_start").alias("start_ms"), ms("cue_end").alias("end_ms"))
 
 
 @R.add(

@@ -49,12 +49,20 @@ def test_texts(spark):
     assert each(spark, lambda c: X.wrap_lines(c, 10), ["one two three four", "abcdefghijklmno p", ""]) == ["one two\nthree four", "abcdefghijklmno\np", ""]
     assert each(spark, T.sentences, ["One 3.14 two. Three!? (Four.) five", "你好。再见！a", ""]) == [["One 3.14 two.", "Three!?", "(Four.)", "five"], ["你好。", "再见！", "a"], []]
     assert each(spark, X.is_standalone_label, ["A b c d", "a b c d e", "", "x" * 49]) == [True, False, False, False]
-    assert each(spark, X.error_code, ["HTTP 429", "Operation timed out", "odd", None]) == ["rate_limited", "timeout", "unknown", None]
+    kinds = ["NoAudioReceived", "ServerTimeoutError", "ClientConnectorError", "ValueError", "OSError", "RuntimeError", "KeyError", None]
+    codes = ["edge_no_audio", "network_timeout", "network_connection", "invalid_tts_input", "file_io", "invalid_audio", "unexpected_error", "unexpected_error"]
+    assert each(spark, lambda c: X.error_code(c, F.lit("Invalid MP3 data")), kinds) == codes
+    assert each(spark, lambda c: X.error_code(F.lit("ConnectionTimeout"), c), ["no audio was received, timed out", "reset", None]) == ["edge_no_audio", "network_timeout", "network_timeout"]
+    assert each(spark, lambda c: X.is_gpu_failure(c, F.lit(True)), ["CUDA error", "native torch crash in cuda", "disk full", None]) == [True, False, False, False]
+    assert each(spark, lambda c: X.is_retryable(c, F.lit("TikTok")), ["\x1b[31mHTTP Error 429", "Requested format is not available", "HTTP Error 403", None]) == [True, True, False, False]
+    assert each(spark, lambda c: X.is_retryable(c, F.lit("YouTube")), ["HTTP Error 429", "No formats found"]) == [False, True]
     assert each(spark, lambda c: X.retranscription_language(c, F.lit("xin chao"), F.lit("vi")), ["zh", "vi", "fr"]) == ["vi", "vi", "fr"]
 
 
 def test_numbers(spark):
     assert each(spark, lambda c: N.count_label(c.cast("long")), ["999", "1000", "1250000", "3000000000", None, "0"]) == ["999", "1K", "1.2M", "3B", "-", "0"]
+    ties = [str(n) for n in [*range(1050, 200_000, 100), *range(1_050_000, 90_000_000, 1_100_000), 999_950, 999_949, 10_150_000_000]]
+    assert each(spark, lambda c: N.count_label(c.cast("long")), ties) == [f"{int(n) / u:.1f}".removesuffix(".0") + s for n in ties for u, s in [next((u, s) for u, s in ((10**9, "B"), (10**6, "M"), (1000, "K")) if int(n) >= u)]]
     assert each(spark, lambda c: N.duration_label(c.cast("int")), ["59", "61", "3661", "-4", None]) == ["0:59", "1:01", "1:01:01", "0:00", "0:00"]
     assert each(spark, lambda c: N.clamped_int(c, 0, 100, 60), ["999", "-4", "x", None, "44"]) == [100, 0, 60, 60, 44]
     assert each(spark, N.date_label, ["20240131", "soon"]) == ["2024-01-31", "soon"]
