@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_queries, text_queries, timing_queries
+from . import catalog_queries, text_queries, timing_queries, workspace_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = catalog_queries.QUERIES | text_queries.QUERIES | timing_queries.QUERIES
-ORACLE_SQL: dict[str, str] = catalog_queries.ORACLE_SQL | text_queries.ORACLE_SQL | timing_queries.ORACLE_SQL
+_PARTS = (catalog_queries, text_queries, timing_queries, workspace_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
