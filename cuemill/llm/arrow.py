@@ -52,3 +52,28 @@ def append_column(docs: DataFrame, name: str, kind: T.DataType, compute: Callabl
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), compute(batch)], names=[*names, name])
 
     return docs.mapInArrow(run, schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of rows sorted by the integer columns ``keys``, tables of whole groups with the places where groups start and end."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        cuts = _group_starts(table, keys)
+        if len(cuts) > 1:
+            yield table.slice(0, cuts[-1]), cuts
+        rest = table.slice(cuts[-1])
+    if rest is not None:
+        yield rest, np.array([0, rest.num_rows])
+
+
+def _group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.ones(table.num_rows, bool)
+    new[1:] = False
+    for key in keys:
+        value = table.column(key).to_numpy()
+        new[1:] |= value[1:] != value[:-1]
+    return np.flatnonzero(new)

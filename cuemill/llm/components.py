@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Scratch
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """Links each node's larger (or not larger) neighbours to its least neighbour."""
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "components-least")  # written: a join of tables splits a hub's links
+    least = scratch.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "components-least")  # written: a join of tables splits a hub's links
     met = both.join(least, "a")
     if large:
         return met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -25,13 +25,16 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) of every node of ``links`` (a, b): the least id that it is connected with. No links, no rows."""
-    current = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
+    scratch, spent = Scratch(links.sparkSession), Scratch(links.sparkSession)
+    current = scratch.written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     seen = None
     while True:
-        current = written(_star(_star(current, True), False), "components")
+        scratch, spent = Scratch(links.sparkSession), scratch
+        current = scratch.written(_star(_star(current, True, spent), False, spent), "components")
+        spent.clear()
         state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break
         seen = state
     members = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return members.unionAll(members.select(F.col("component").alias("id"), "component").distinct())
+    return scratch.result(members.unionAll(members.select(F.col("component").alias("id"), "component").distinct()), "components")

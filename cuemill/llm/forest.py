@@ -1,17 +1,20 @@
 """Near-duplicate classes by an LSH forest over MinHash signatures.
 
-A document's set of word shingles gets a signature of ``TREES * SPAN`` MinHash values, one byte each. Tree t is the order
-of all documents by their signature read from place t * SPAN on. In every order, neighbours with a common prefix of at
-least ``depth`` values are candidates, and the depth adapts to the region: where more than ``crowd`` documents share a
-prefix, longer prefixes are taken until a branch is small.
-
-Candidates are confirmed on the full sets and links are joined into classes, in three steps. First each document of a
-small branch is paired with its nearest members by signature, in a crowded branch with the hubs of the branch, the members
-nearest to its most frequent signature: a group of copies of any size costs a few pairs a document. Then every pair of
-different classes in a small branch that the signatures allow is confirmed, and in a crowded branch everything outside the
-largest class is compared with all. What a crowded branch leaves over is settled by an exact join on the rarest shingles
-of its sets (``rare_candidates``), so no limit on the size of a branch loses a link; links that share no branch in any tree,
-or whose signatures differ by over 4.5 standard errors, are what remains. Documents with equal sets are one node throughout.
+A document's set of word shingles gets a signature of ``WIDTH`` MinHash values, one byte each. Tree t is the order of all
+documents by their signature read from place t * SPAN on; neighbours with a long common prefix are candidates. Depth adapts
+to the region: a branch of more than ``crowd`` documents with SPAN values in common is cut at one value more, and again; what
+then still is crowded is dense. A branch that ends at the border of a range partition meets its other side in a halo.
+
+Candidates are confirmed on the full sets and links are joined into classes, in two rounds:
+
+1. Every document is paired with the nearest and with one likely document that it meets in any tree: a group of copies of
+   any size costs two pairs a document. Confirmed pairs make classes.
+2. In branches that hold several classes, all pairs of different classes that the signatures allow are confirmed. Dense
+   branches with several classes are settled exactly by a prefix-filtered join on rare shingles (``dense_candidates``).
+
+So no size limit loses a link. What remains is chance, and follows ``percent``: at 80 percent a pair at exactly 0.8 shares
+SPAN values in none of the 32 trees with a chance of 5e-8 (3e-4 where branches are cut at SPAN + 2), and fails the bound on
+signatures (4.5 standard errors under the threshold) with one of 3e-6. Documents with equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -20,19 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import as_text, blocks, text_buffer
+from .arrow import as_text, blocks, text_buffer, whole_groups
 from .components import connected_components
-from .shared import release, written
+from .shared import Scratch, salted_join
 from .wordscan import NOT_SPACE, Words, mix, scan
 
-TREES, SPAN = 16, 8
+TREES, SPAN = 32, 4
 WIDTH = TREES * SPAN
-NEAREST = 3
-PAIR, STRANGER, MEMBER, CROWDED = range(4)
-COMPARED = 1 << 23  # comparisons of signatures in one branch
+KEY = 8  # values of the signature that a tree is sorted by
+BUCKETS = 1 << 20
+_SIGN = np.uint64(1 << 63)
 _SEEDS = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
 
@@ -82,21 +86,14 @@ def with_signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> Data
     return rows.mapInArrow(sign, SIGNED)
 
 
-def _possible(n: np.ndarray, m: np.ndarray, common_n: np.ndarray, common_m: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of n and m shingles, of which so many can be in another set at all, may reach the similarity."""
-    both = np.minimum(common_n, common_m)
-    return 100 * both >= percent * (n + m - both)
-
-
-def least_agreement(percent: int) -> float:
-    """The share of equal signature bytes that a link keeps but once in some 300,000 times: 4.5 standard errors down."""
+def least_agreement(percent: int) -> int:
+    """The number of equal signature bytes that a link keeps but once in some 300,000 times: 4.5 standard errors down."""
     p = percent / 100
-    return p - 4.53 * (p * (1 - p) / WIDTH) ** 0.5
+    return int(np.ceil(WIDTH * (p - 4.53 * (p * (1 - p) / WIDTH) ** 0.5)))
 
 
-def least_depth(percent: int) -> int:
-    """Values of a prefix that a link shares in one of the trees but once in some 40,000 times."""
-    return 2 if percent >= 70 else 1
+def _signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
 
 
 def _agreement(s: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -108,131 +105,123 @@ def _agreement(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs_of_branch(rows: np.ndarray, sig: np.ndarray, size: np.ndarray, common: np.ndarray, label: np.ndarray | None, least: float, percent: int) -> list[np.ndarray]:
-    """Candidate pairs of a small branch: of each member with its nearest, or all pairs of different classes."""
-    s = sig[rows]
-    near = _agreement(s, s).astype(np.float32) / WIDTH
-    n = size[rows]
-    near[~_possible(n[:, None], n[None, :], common[rows][:, None], common[rows][None, :], percent)] = 0
-    np.fill_diagonal(near, 0)
-    if label is None:
-        best = np.argsort(-near, axis=1, kind="stable")[:, :NEAREST]
-        i, j = np.nonzero(np.take_along_axis(near, best, axis=1) >= least)
-        return [np.stack([rows[i], rows[best[i, j]]], axis=1)]
-    near[label[rows][:, None] == label[rows][None, :]] = 0
-    i, j = np.nonzero(np.triu(near) >= least)
-    return [np.stack([rows[i], rows[j]], axis=1)]
-
-
-def _hub_pairs(rows: np.ndarray, bare: np.ndarray, sig: np.ndarray, size: np.ndarray, common: np.ndarray, label: np.ndarray | None, least: float, hubs: int, percent: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Pairs of the ``bare`` members of a crowded branch with the members nearest to its most frequent signature, and which
-    members stay bare because no hub is near. With classes known: of all members near a hub but not in its class."""
-    s, n, c = sig[rows], size[rows], common[rows]
-    usual = np.array([np.bincount(s[:, j], minlength=256).argmax() for j in range(WIDTH)], np.uint8)
-    chosen = np.argsort(-(s == usual).sum(axis=1), kind="stable")[:hubs]
-    out, left = [], bare.copy()
-    for h in chosen.tolist():
-        near = (s == s[h]).mean(axis=1) >= least
-        left &= ~near
-        near[h] = False
-        ok = near & bare if label is None else near & (label[rows] != label[rows[h]]) & (100 * c >= percent * n)  # others can have no link
-        out.append(np.stack([rows[ok], np.full(int(ok.sum()), rows[h])], axis=1))
-    return out, left
-
-
-def _class_pairs(rows: np.ndarray, sig: np.ndarray, size: np.ndarray, common: np.ndarray, label: np.ndarray, least: float, crowd: int, percent: int) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
-    """Pairs of different classes in a crowded branch, lists (key, member, kind), and whether the lists hold the branch unseen.
-
-    All outside the largest class are compared by signature with all. Where few members have many candidates, these are
-    listed for ``block_links``; where many have, or where they are too many to compare, for ``rare_candidates``.
-    """
-    rows = rows[100 * common[rows] >= percent * size[rows]]  # others can have no link
-    names, counts = np.unique(label[rows], return_counts=True)
-    if len(names) < 2:
-        return [], [], False
-    out = rows[label[rows] != names[counts.argmax()]]
-    crowded = lambda r: [np.column_stack([r, r, np.full(len(r), CROWDED)])]
-    if len(out) * len(rows) > COMPARED:
-        return [], crowded(rows), True
-    found = []
-    for a in range(0, len(out), step := max(1, (1 << 20) // len(rows))):
-        x = out[a : a + step]
-        near = _agreement(sig[x], sig[rows]) >= least * WIDTH
-        near &= label[x][:, None] != label[rows][None, :]
-        i, j = np.nonzero(near)
-        i, j = x[i], rows[j]
-        ok = _possible(size[i], size[j], common[i], common[j], percent)
-        found.append(np.stack([i[ok], j[ok]], axis=1))
-    pairs = np.concatenate(found)
-    if len(pairs) <= 8 * len(rows):
-        return [pairs], [], False
-    met, all_ = np.unique(pairs[:, 0]), np.unique(pairs)
-    if len(met) > crowd:
-        return [], crowded(all_), False
-    return [], [np.column_stack([np.full(len(r), met[0]), r, np.full(len(r), kind)]) for kind, r in ((STRANGER, met), (MEMBER, all_))], False
-
-
-def _forest_pairs(ids: np.ndarray, sig: np.ndarray, tree: int, size: np.ndarray, shared: np.ndarray, label: np.ndarray | None, depth: int, crowd: int, least: float, hubs: int, percent: int) -> np.ndarray:
-    """Candidates among rows that are sorted by tree order."""
-    turned = np.roll(sig, -tree * SPAN, axis=1)
-    differs = turned[1:] != turned[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), WIDTH)
-    found: list[np.ndarray] = []
-    listed: list[np.ndarray] = []
-    todo = [(np.arange(len(ids)), np.ones(len(ids), bool), depth)]
-    while todo:
-        rows, open_, d = todo.pop()
-        cuts = np.flatnonzero(common[rows[:-1]] < d) + 1
-        for branch, bare in zip(np.split(rows, cuts), np.split(open_, cuts), strict=True):
-            if len(branch) < 2:
-                continue
-            if len(branch) <= crowd:
-                found += _pairs_of_branch(branch, sig, size, shared, label, least, percent)
+def _leaves(tree: np.ndarray, order: np.ndarray, crowd: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows, the leaf of each (numbers rise along the order) and whether it is part of a dense branch."""
+    n = len(order)
+    leaf, open_ = np.zeros(n, np.int64), np.ones(n, bool)
+    for level in range(3):
+        prefix = order >> np.uint64(64 - 8 * (depth + level))
+        new = np.ones(n, bool)
+        new[1:] = (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1])
+        group = np.cumsum(new) - 1
+        small = open_ & (np.bincount(group)[group] <= crowd)
+        leaf[small] = level * n + group[small]
+        open_ &= ~small
+    first = np.flatnonzero(new)[group]
+    leaf[open_] = 3 * n + (first + (np.arange(n) - first) // (2 * crowd) * (2 * crowd))[open_]  # a dense branch in windows
+    new[1:] = leaf[1:] != leaf[:-1]
+    return np.cumsum(new) - 1, open_
+
+
+def tree_members(nodes: DataFrame, crowd: int, depth: int) -> DataFrame:
+    """(chunk, branch, id): who meets whom in which tree. ``branch`` names the dense branch that a chunk is part of, or -1."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            if label is not None and d == depth:
-                made, lists, unseen = _class_pairs(branch, sig, size, shared, label, least, crowd, percent)
-                found += made
-                listed += lists
-                if not unseen:
-                    continue
-            made, bare = _hub_pairs(branch, bare, sig, size, shared, label, least, hubs, percent)
-            found += made
-            if d < 2 * SPAN:
-                todo.append((branch, bare, d + 1))
-            else:  # over a hundred bits in common: neighbours along the order
-                for a in range(0, len(branch), crowd // 2):
-                    found += _pairs_of_branch(branch[a : a + crowd], sig, size, shared, label, least, percent)
-    pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
-    pairs = np.unique(np.sort(ids[pairs], axis=1), axis=0)
-    lists = np.unique(np.concatenate([np.zeros((0, 3), np.int64), *listed]), axis=0)
-    lists = np.column_stack([ids[lists[:, 0]], ids[lists[:, 1]], lists[:, 2]])
-    return np.concatenate([np.column_stack([pairs, np.full(len(pairs), PAIR)]), lists])
-
-
-def forest_candidates(nodes: DataFrame, labelled: bool, percent: int, depth: int | None = None, crowd: int = 48, least: float | None = None, hubs: int = 2) -> DataFrame:
-    """Distinct candidates (a, b, kind), pairs with a < b or lists of a key a, of ``nodes`` (id, n, signature and, if ``labelled``, shared and label)."""
-    depth, least = depth or least_depth(percent), least or least_agreement(percent)
-    turn = F.concat(F.substring("signature", F.col("tree") * SPAN + 1, F.lit(WIDTH)), F.substring("signature", F.lit(1), F.col("tree") * SPAN))
-    each = nodes.withColumn("tree", F.explode(F.array(*map(F.lit, range(TREES))))).withColumn("order", turn).drop("signature")
-    each = each.select("tree", "order", "id", "n", *(["shared", "label"] if labelled else []))
-    ordered = each.repartitionByRange("tree", "order", "id").sortWithinPartitions("tree", "order", "id")
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]  # one range partition: some 150 bytes a row
+            sig = _signatures(batch.column(1))
+            sig = np.concatenate([sig, sig[:, :KEY]], axis=1)
+            for t in range(TREES):
+                order = np.ascontiguousarray(sig[:, t * SPAN : t * SPAN + KEY]).view(">u8").ravel().astype(np.uint64) ^ _SIGN
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), t, np.int32)), pa.array(order.view(np.int64)), batch.column(0)], names=["tree", "order", "id"])
+
+    each = nodes.select("id", "signature").mapInArrow(spread, "tree int, order long, id long")
+    by = ["tree", "order", F.xxhash64("id", "tree")]  # rows of one order are dealt differently in every tree
+    ordered = each.repartitionByRange(*by).sortWithinPartitions(*by)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # one range partition: 20 bytes a row
         if not held:
             return
+        part = TaskContext.get().partitionId()
         table = pa.Table.from_batches(held)
-        trees = table.column("tree").to_numpy()
-        for t in np.unique(trees).tolist():
-            part = table.filter(pa.array(trees == t)).combine_chunks()
-            order = np.frombuffer(b"".join(part.column("order").to_pylist()), np.uint8).reshape(-1, WIDTH)
-            label = part.column("label").to_numpy() if labelled else None
-            size = part.column("n").to_numpy()
-            common = part.column("shared").to_numpy() if labelled else size
-            pairs = _forest_pairs(part.column("id").to_numpy(), np.roll(order, t * SPAN, axis=1), t, size, common, label, depth, crowd, least, hubs, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2])], names=["a", "b", "kind"])
-
-    return ordered.mapInArrow(pair, "a long, b long, kind long").filter(f"a <> b or kind <> {PAIR}").distinct()
+        tree, ids = table.column("tree").to_numpy(), table.column("id").to_numpy()
+        order = table.column("order").to_numpy().view(np.uint64) ^ _SIGN
+        leaf, dense = _leaves(tree, order, crowd, depth)
+        keep = np.flatnonzero(dense | (np.bincount(leaf)[leaf] > 1))
+        branch = np.where(dense, (tree.astype(np.int64) << 56) | (order >> np.uint64(64 - 8 * (depth + 2))).astype(np.int64), -1)[keep]
+        edge = (tree.astype(np.uint64) << np.uint64(56)) | (order >> np.uint64(64 - 8 * depth))
+        head, tail = np.flatnonzero(edge[:crowd] == edge[0]), len(ids) - 1 - np.flatnonzero(edge[::-1][:crowd] == edge[-1])
+        rows = np.concatenate([keep, head, tail])
+        chunk = np.concatenate([(np.int64(part) << 40) | leaf[keep], np.full(len(head), -1 - part), np.full(len(tail), -2 - part)])
+        branch = np.concatenate([branch, np.full(len(head) + len(tail), -1)])
+        for a in range(0, len(rows), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (chunk, branch, ids[rows])], names=["chunk", "branch", "id"])
+
+    return ordered.mapInArrow(cut, "chunk long, branch long, id long")
+
+
+def _compared(dealt: DataFrame, percent: int, pick, schema: str) -> DataFrame:
+    """``pick(ids, near, rows)`` of every chunk of ``dealt`` (chunk, id, n, signature and maybe label); ``near`` has the
+    equal signature bytes of its members where sizes and signatures allow a link, else 0."""
+    least = least_agreement(percent)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in schema.split(",")]
+        for table, cuts in whole_groups(batches, ["chunk"]):
+            id_, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+            label = table.column("label").to_numpy() if "label" in table.column_names else None
+            sig = _signatures(table.column("signature"))
+            found = []
+            size = np.diff(cuts)
+            i = cuts[:-1][size == 2]  # most are pairs: all at once
+            both = (sig[i] == sig[i + 1]).sum(axis=1)
+            ok = (both >= least) & (100 * np.minimum(n[i], n[i + 1]) >= percent * np.maximum(n[i], n[i + 1])) & (id_[i] != id_[i + 1])
+            for a, near in zip(i[ok].tolist(), both[ok].tolist(), strict=True):
+                found.append(pick(id_[a : a + 2], np.array([[0, near], [near, 0]], np.uint8), label if label is None else label[a : a + 2]))
+            for a, m in zip(cuts[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                k = n[a : a + m]
+                near = _agreement(sig[a : a + m], sig[a : a + m])
+                near[(near < least) | (100 * np.minimum(k[:, None], k[None, :]) < percent * np.maximum(k[:, None], k[None, :]))] = 0
+                near[id_[a : a + m, None] == id_[None, a : a + m]] = 0
+                if near.any():
+                    found.append(pick(id_[a : a + m], near, label if label is None else label[a : a + m]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
+
+    return dealt.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(compare, schema)
+
+
+def nearest_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b: of each document the nearest of all that it meets, and one picked by hash of the likely ones."""
+    likely = int(WIDTH * percent / 100) + 4
+
+    def pick(ids: np.ndarray, near: np.ndarray, _) -> tuple[np.ndarray, ...]:
+        with np.errstate(over="ignore"):
+            u = ids.astype(np.uint64)
+            h = mix((u[:, None] + u[None, :]) * np.uint64(0x9E3779B97F4A7C15) ^ (u[:, None] ^ u[None, :])) >> np.uint64(1)
+        some = np.where(near >= likely, h, np.uint64(2**63))
+        best, other, x = near.argmax(axis=1), some.argmin(axis=1), np.arange(len(ids))
+        met = near[x, best] > 0
+        other = np.where(near[x, other] >= likely, other, best)
+        return ids[met], near[x, best][met].astype(np.int64), ids[best][met], h[x, other][met].astype(np.int64), ids[other][met]
+
+    found = _compared(members.join(nodes, "id"), percent, pick, "id long, near long, best long, h long, other long")
+    two = found.groupBy("id").agg(F.max(F.struct("near", "best")).alias("x"), F.min(F.struct("h", "other")).alias("y"))
+    pairs = two.select("id", F.explode(F.array("x.best", "y.other")).alias("b"))
+    return pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+
+
+def class_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of different classes that meet in a chunk of ``members`` (chunk, id, label)."""
+
+    def pick(ids: np.ndarray, near: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, ...]:
+        i, j = np.nonzero(np.triu(near) * (label[:, None] != label[None, :]))
+        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+    mixed = members.groupBy("chunk").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("chunk")
+    return _compared(members.join(mixed, "chunk").join(nodes, "id"), percent, pick, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -255,137 +244,105 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
-def block_links(lists: DataFrame, sets: DataFrame, percent: int, block: int = 500) -> DataFrame:
-    """The links (a, b) of each key's strangers with its members, found block by block of members without listing pairs.
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(44)).astype(np.int64)
 
-    ``lists`` has (a: key, b: id, kind). Members are dealt to blocks of about ``block``, and the key's strangers, which are
-    few, go to each of its blocks; there the shingles of all strangers are looked up once for each member.
-    """
-    n = lists.filter(F.col("kind") == MEMBER).groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    sized = lists.join(n, "a")
-    members = sized.filter(F.col("kind") == MEMBER).withColumn("block", F.pmod(F.xxhash64("b"), F.col("n")).cast("int"))
-    strangers = sized.filter(F.col("kind") == STRANGER).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    both = strangers.unionByName(members).select("a", "block", "kind", F.col("b").alias("id")).join(sets, "id")
-    dealt = both.repartition("a", "block").sortWithinPartitions("a", "block", "kind")
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, held, index = None, [], [], None
-        for batch in batches:
-            found = []
-            for hub, part, kind, id_, raw in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "block", "kind", "id", "shingles")), strict=True):
-                mine = np.frombuffer(raw, np.uint64)
-                if (hub, part) != current:
-                    current, ids, held, index = (hub, part), [], [], None
-                if kind == STRANGER:
-                    ids.append(id_)
-                    held.append(mine)
-                    continue
-                if not ids:
-                    continue
-                if index is None:
-                    owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
-                    flat = np.concatenate(held)
-                    order = np.argsort(flat, kind="stable")
-                    index = flat[order], owner[order], np.array([len(h) for h in held])
-                flat, owner, size = index
-                low, high = np.searchsorted(flat, mine), np.searchsorted(flat, mine, side="right")
-                at = np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange((high - low).sum())
-                common = np.bincount(owner[at], minlength=len(size))
-                found += [(min(ids[i], id_), max(ids[i], id_)) for i in np.flatnonzero((100 * common >= percent * (size + len(mine) - common)) & (common > 0)).tolist() if ids[i] != id_]
-            a, b = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(look, "a long, b long")
-
-
-def _each_shingle(sets: DataFrame) -> DataFrame:
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            for a in range(0, len(raw), 500):
-                part = raw[a : a + 500]
-                ids = np.repeat(batch.column(0).to_numpy()[a : a + 500], [len(x) for x in part])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(part))], names=["id", "shingle"])
 
-    return sets.select("id", "shingles").mapInArrow(each, "id long, shingle long")
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each of ``BUCKETS`` buckets: a table of fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            for a in range(0, len(raw), 1000):
+                total += np.bincount(_bucket(np.frombuffer(b"".join(raw[a : a + 1000]), np.uint64)), minlength=BUCKETS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["bucket", "n"])
+
+    rows = sets.select("shingles").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    out = np.zeros(BUCKETS, np.int64)
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return out
 
 
-def rare_candidates(sets: DataFrame, nodes: DataFrame, percent: int, block: int = 4096) -> DataFrame:
+def dense_candidates(sets: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, block: int = 4096) -> DataFrame:
     """Pairs a < b of ``nodes`` (id, n, signature, label) of different classes that may be links: a prefix-filtered join.
 
-    Of two linked sets, each in the order of rarity, the first n - ceil(n * percent / 100) + 1 shingles share one. A pair is
-    kept where sizes, the places of the shared shingle and signatures allow a link. A shingle of more than ``block`` sets is
-    dealt to pairs of blocks.
+    All sets are put in one order, rarest shingles first as far as ``_frequencies`` can tell (any one order is exact). Of
+    two linked sets of n and m shingles the first n - ceil(n * percent / 100) + 1 share one, and if the first they share
+    has places p and q in them, 1 + min(n - p, m - q) >= t * (n + m) with t = percent / (100 + percent). So its *lateness*
+    p - (1 - 2t) * n and that of the other set add up to 2 at most. Shingles of one class only, and rows too late for the
+    earliest row of their shingle, are dropped. Of a shingle's rows, those outside its largest class are compared with
+    blocks of about ``block`` of all, in order of lateness, so hardly more pairs are looked at than the bound allows.
     """
-    least = least_agreement(percent) * WIDTH
-    each = _each_shingle(sets.join(nodes.select("id"), "id", "left_semi"))
-    n = each.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    order = Window.partitionBy("id").orderBy("df", "shingle")
-    lone = F.col("n") - F.count("*").over(Window.partitionBy("id"))  # those of one set come first
-    ranked = each.join(n, "shingle").join(nodes.select("id", "n"), "id").withColumn("place", (lone + F.row_number().over(order)).cast("long"))
-    prefix = written(ranked.filter(f"100 * (n - place + 1) >= {percent} * n").select("id", "n", "shingle", "place").join(nodes.select("id", "label", "signature"), "id"), "forest-prefixes")
-    met = prefix.groupBy("shingle").agg(F.ceil(F.count("*") / block).cast("int").alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").drop("x", "y")
+    least, t = least_agreement(percent), percent / (100 + percent)
+    shared = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for id_, label, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                n = len(s) - -(-len(s) * percent // 100) + 1
+                first = s[np.lexsort((s, shared.value[_bucket(s)]))[:n]]
+                place = np.arange(1, n + 1)
+                out.append((np.full(n, id_), np.full(n, label), np.full(n, len(s)), first.view(np.int64), place, place - (1 - 2 * t) * len(s)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["id", "label", "n", "shingle", "place", "late"])
+
+    rows = sets.join(nodes.select("id", "label"), "id").select("id", "label", "shingles")
+    rows = scratch.written(rows.mapInArrow(prefix, "id long, label long, n long, shingle long, place long, late double"), "forest-prefixes")
+    lists = rows.groupBy("shingle", "label").agg(F.count("*").alias("c"), F.min("late").alias("early")).groupBy("shingle")
+    lists = lists.agg(F.sum("c").alias("df"), F.max_by("label", "c").alias("major"), F.min("early").alias("early"), F.count("*").alias("labels")).filter("labels > 1 and 2 * early <= 2.0001")
+    met = rows.join(lists, "shingle").filter("late + early <= 2.0001").withColumn("k", F.ceil(F.col("df") / block).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    cells = prefix.join(met, "shingle").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = cells.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "place", "label", "signature").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-
-    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        i, j, own, id_, n, place, label = (group.column(c).to_numpy() for c in ("i", "j", "own", "id", "n", "place", "label"))
-        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, WIDTH)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        for a in range(0, len(left), step := max(1, (1 << 20) // max(1, len(right)))):
-            x = left[a : a + step]
-            ok = label[x][:, None] != label[right][None, :]
-            p, q = np.nonzero(ok & (100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :])))
-            p, q = x[p], right[q]
-            both = 1 + np.minimum(n[p] - place[p], n[q] - place[q])
-            may = 100 * both >= percent * (n[p] + n[q] - both)
-            p, q = p[may], q[may]
-            for c in range(0, len(p), 100_000):
-                u, v = p[c : c + 100_000], q[c : c + 100_000]
-                same = (sig[u] == sig[v]).sum(axis=1) >= least
-                pairs = np.unique(np.sort(np.stack([id_[u[same]], id_[v[same]]], axis=1), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    right = met.select("shingle", own.alias("block"), F.lit(1).alias("role"), "id", "label", "n", "place", "late", (F.col("label") != F.col("major")).alias("minor"))
+    left = met.filter("label <> major").select("shingle", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), F.lit(0).alias("role"), "id", "label", "n", "place", "late", F.lit(True).alias("minor"))
+    dealt = left.unionAll(right).join(nodes.select("id", "signature"), "id").repartition("shingle", "block").sortWithinPartitions("shingle", "block", "role", "late")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            key = np.stack([table.column(c).to_numpy() for c in ("shingle", "i", "j")])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
-                yield from compare(table.slice(a, b - a))
-            rest = table.slice(cuts[-1] if len(cuts) else 0)
-        if rest is not None and rest.num_rows:
-            yield from compare(rest)
+        for table, cuts in whole_groups(batches, ["shingle", "block"]):
+            role, id_, label, n, place, late, minor = (table.column(c).to_numpy() for c in ("role", "id", "label", "n", "place", "late", "minor"))
+            sig = _signatures(table.column("signature"))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                middle = a + int(np.searchsorted(role[a:b], 1))
+                count = np.searchsorted(late[middle:b], 2.0001 - late[a:middle], side="right")
+                ends = np.cumsum(count)
+                at = 0
+                while at < middle - a:  # some 100,000 pairs at once
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 100_000, side="right")))
+                    c = count[at:to]
+                    i = np.repeat(np.arange(a + at, a + to), c)
+                    j = middle + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+                    at = to
+                    both = 1 + np.minimum(n[i] - place[i], n[j] - place[j])
+                    ok = (label[i] != label[j]) & ((id_[i] < id_[j]) | ~minor[j]) & (100 * both >= percent * (n[i] + n[j] - both))
+                    ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                    i, j = i[ok], j[ok]
+                    same = (sig[i] == sig[j]).sum(axis=1) >= least
+                    x, y = id_[i[same]], id_[j[same]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return dealt.mapInArrow(pair, "a long, b long").distinct()
 
 
-def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bit for the hash of each id: ``bits`` / 8 bytes, however many ids there are."""
-    at = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.select(F.floor(at / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, k: int, bits: int = 1 << 24) -> DataFrame:
-    """Shingle sets, as bytes of sorted hashes, of the rows whose id is in ``wanted`` (id, distinct), without a shuffle.
+    """Shingle sets, as bytes of sorted hashes, of the rows whose id is in ``wanted`` (id), without a shuffle of texts.
 
-    A bitmap of fixed size keeps out most others. Those that share a bit with a wanted id come along; the joins by id that
-    follow ignore them. With ``bits`` some ten times the number of wanted ids they are few.
+    A bitmap over hashed ids, at most ``bits`` / 64 rows of 16 bytes however many ids there are, is broadcast and keeps out
+    most others. Those that share a bit with a wanted id come along; the joins by id that follow ignore them. With ``bits``
+    some ten times the number of wanted ids they are few.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, bits))
-    rows = as_text(docs, text_col).select(F.col(id_col).cast("long").alias("id"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(bits)).alias("at"), F.col(text_col).alias("text"))
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    bit = lambda: F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))")
+    words = wanted.select(F.floor(at / 64).alias("w"), bit().alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    rows = as_text(docs, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    rows = rows.withColumn("w", F.floor(at / 64)).join(F.broadcast(words), "w").filter(F.col("b").bitwiseAND(bit()) != 0).select("id", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            batch = batch.filter(pa.array((shared.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1))
-            raw, offsets = text_buffer(batch.column(2))
+            raw, offsets = text_buffer(batch.column(1))
             out = [s.tobytes() for a, b in blocks(offsets) for s in shingle_sets(scan(raw[offsets[a] : offsets[b]], offsets[a : b + 1], NOT_SPACE, lower=True), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "shingles"])
 
@@ -393,16 +350,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, k: int
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
 
-def _lone_shingles(sets: DataFrame) -> DataFrame:
-    """(id, lone): how many shingles of a set are in no other set; a link shares none of them."""
-    rows = _each_shingle(sets)
-    return rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("lone"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, **forest) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, crowd: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
     Rows are linked when their sets of ``k``-word shingles (A-Z lower-cased; a text with fewer words is one shingle) have a
@@ -410,32 +361,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text has no shingle and is linked with nothing. Rows that share an id stand for one node; a row without id is never
     linked and has no component, but is kept. Extra columns are ignored; an empty table gives no rows.
     """
-    signed = written(with_signatures(docs, id_col, text_col, k), "forest-signed")
+    scratch = Scratch(docs.sparkSession)
+    depth = SPAN if percent >= 70 else SPAN // 2
+    signed = scratch.written(with_signatures(docs, id_col, text_col, k), "forest-signed")
     named = signed.filter("n_shingles > 0 and doc_id is not null")
     same_set = ["set_a", "set_b", "n_shingles"]
-    nodes = written(named.groupBy(*same_set).agg(F.min("doc_id").alias("id"), F.any_value("signature").alias("signature")), "forest-nodes")
+    nodes = scratch.written(named.groupBy(*same_set).agg(F.min("doc_id").alias("id"), F.any_value("signature").alias("signature")), "forest-nodes")
 
     trees = nodes.select("id", F.col("n_shingles").alias("n"), "signature")
-    first = written(forest_candidates(trees, False, percent, **forest).select("a", "b"), "forest-pairs")
-    release(docs.sparkSession)
-    sets = written(_sets(docs, id_col, text_col, _ids(first), k), "forest-sets")
-    links = written(confirmed(first, sets, percent), "forest-links")
-    release(docs.sparkSession)
-    known = written(connected_components(links).join(_lone_shingles(sets), "id", "full_outer"), "forest-known")
-    labelled = trees.join(known, "id", "left").select("id", "n", "signature", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"), F.coalesce("component", "id").alias("label"))
-    found = written(forest_candidates(labelled, True, percent, **forest), "forest-pairs")
-    release(docs.sparkSession)
-    sets = written(_sets(docs, id_col, text_col, _ids(found), k), "forest-sets")
-    second = found.filter(F.col("kind") == PAIR).select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = written(confirmed(second, sets, percent).unionAll(block_links(found.filter(F.col("kind").isin(STRANGER, MEMBER)), sets, percent)), "forest-links")
-    release(docs.sparkSession)
-    crowded = found.filter(F.col("kind") == CROWDED).select(F.col("a").alias("id")).distinct()
-    if not crowded.isEmpty():
-        known = written(connected_components(links.unionAll(more)), "forest-known")
-        left = written(trees.join(crowded, "id").join(known, "id", "left").select("id", "n", "signature", F.coalesce("component", "id").alias("label")), "forest-crowded")
-        rare = rare_candidates(sets, left, percent).join(first.unionAll(second), ["a", "b"], "left_anti")
-        more = more.unionAll(written(confirmed(rare, sets, percent), "forest-links"))
-        release(docs.sparkSession)
+    members = scratch.written(tree_members(trees, crowd, depth), "forest-members")
+    first = scratch.written(nearest_pairs(members, trees, percent), "forest-pairs")
+    sets = scratch.written(_sets(docs, id_col, text_col, _ids(first), k), "forest-sets")
+    links = scratch.written(confirmed(first, sets, percent), "forest-links")
+
+    known = scratch.written(connected_components(links), "forest-known")
+    labelled = members.join(known, "id", "left").select("chunk", "branch", "id", F.coalesce("component", "id").alias("label"))
+    labelled = scratch.written(labelled, "forest-labelled")
+    second = class_pairs(labelled.filter("branch = -1").drop("branch"), trees, percent)
+    mixed = labelled.filter("branch <> -1").groupBy("branch").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    mixed = scratch.written(mixed.filter("x < y").select("branch", "n"), "forest-mixed")
+    dense = scratch.written(salted_join(labelled, mixed, ["branch"], ["id"]).select("id", "label").distinct(), "forest-dense")
+    if not dense.isEmpty():
+        crowded = scratch.written(_sets(docs, id_col, text_col, dense, k).join(dense.select("id"), "id", "left_semi"), "forest-sets")
+        second = second.unionAll(dense_candidates(crowded, trees.join(dense, "id"), percent, scratch)).distinct()
+    second = scratch.written(second.join(first, ["a", "b"], "left_anti"), "forest-pairs")
+    sets = scratch.written(_sets(docs, id_col, text_col, _ids(second), k), "forest-sets")
+    more = scratch.written(confirmed(second, sets, percent), "forest-links")
+
     repeated = named.groupBy("doc_id").count().filter("count > 1").select("doc_id")  # an id on several rows joins their classes
     shared = named.join(repeated, "doc_id", "left_semi").join(nodes.select(*same_set, "id"), same_set).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     labels = connected_components(links.unionAll(more).unionAll(shared))
@@ -443,4 +395,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = nodes.select(*same_set, "id").join(labels, "id", "left").select(*same_set, F.coalesce("component", "id").alias("component_id"))
     rows = named.select("doc_id", *same_set).join(classes, same_set).select("doc_id", "n_shingles", "component_id")
     lone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.unionAll(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return scratch.result(rows.unionAll(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")

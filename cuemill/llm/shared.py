@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HOT = 10_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where the setting is absent (local tests) a new folder is set."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a local master gets a new folder; a cluster is an error,
+    since executors would each write to a folder of their own."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or (sc.getCheckpointDir() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
     if root is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(root)
@@ -32,8 +37,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps: it does so when the driver collects its garbage, which may
-    otherwise be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+class Scratch:
+    """The intermediate tables of one run of an operator; ``result`` writes its rows and deletes the others."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_table_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        self.clear()
+        return out
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: list[str], tie: list[str]) -> DataFrame:
+    """The rows whose key is in ``table`` (key, n: how many of ``rows`` have it, and other columns), joined with it.
+
+    A key with more than one in ``HOT`` of these rows gets a salt for each such share. There are at most ``HOT`` such keys,
+    and they alone are broadcast. ``tie`` names columns that tell the rows of a key apart.
+    """
+    share = max(1000, (table.agg(F.sum("n")).first()[0] or 0) // HOT)
+    parts = F.ceil(F.col("n") / share).cast("int")
+    hot = table.filter(F.col("n") > share).select(*key, parts.alias("parts"))
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(*tie), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return salted.join(spread, [*key, "salt"]).drop("salt")

@@ -2,17 +2,26 @@
 
 Every byte of a multi-byte character is 0x80 or more, so a word class that excludes ASCII characters only can be decided
 byte by byte. Words, their 64-bit hashes and the hashes of word n-grams come out as numpy arrays without a Python loop
-over rows or words. Hashes only select candidates or count; callers that need exact words compare the bytes.
+over rows or words.
+
+A word's hash reads it eight bytes at a time, each step a keyed bijection of state and bytes with multiplications and
+shifts between (no polynomial, so no family of words collides by algebra; two words of at most eight bytes and one length
+never do). Words over ``LONG`` bytes take a keyed BLAKE2b. Runs of words are hashed from their words' hashes; callers that
+take equal hashes of runs for equal runs use ``identity``, whose two values are independent, or compare the words.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4D)
+_KEY, _SECOND = np.uint64(0x8F1BBCDC5A827999), np.uint64(0x6ED9EBA1CA62C1D6)
+_K1, _K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+LONG = 64
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _alphanumeric() -> np.ndarray:
@@ -33,16 +42,18 @@ ALPHANUMERIC = _alphanumeric()
 NOT_SPACE = _not_space()
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse, n of each at least."""
-    if len(_POWERS.get("up", ())) < n:
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
         size = 1 << max(17, (n - 1).bit_length())
+        made = []
         with np.errstate(over="ignore"):
-            for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                out = np.full(size, base, np.uint64)
+            for x in (base, pow(base, -1, 1 << 64)):
+                out = np.full(size, x, np.uint64)
                 out[0] = 1
-                _POWERS[key] = np.multiply.accumulate(out)
-    return _POWERS["up"], _POWERS["down"]
+                made.append(np.multiply.accumulate(out))
+        _POWERS[base] = made[0], made[1]
+    return _POWERS[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -56,15 +67,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASES[0]) -> np.ndarray:
     """Hash of values[s:e] for each s, e."""
-    up, down = powers(len(values) + 1)
+    up, down = powers(len(values) + 1, base)
     with np.errstate(over="ignore"):
         total = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * up[: len(values)], out=total[1:])
         return mix((total[ends] - total[starts]) * down[starts])
 
 
+def _hash_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of raw[s:e] for each s, e."""
+    aligned = np.zeros(len(raw) // 8 + 2, np.uint64)
+    aligned.view(np.uint8)[: len(raw)] = raw
+    length = ends - starts
+    with np.errstate(over="ignore"):
+        out = (length.astype(np.uint64) * _K2) ^ _KEY
+        todo = np.flatnonzero(length <= LONG)
+        at, left = starts[todo], length[todo]
+        while len(todo):
+            shift = (at & 7).astype(np.uint64) << np.uint64(3)
+            chunk = aligned[at >> 3] >> shift
+            chunk |= (aligned[(at >> 3) + 1] << (np.uint64(63) - shift)) << np.uint64(1)
+            spare = np.maximum(8 - left, 0).astype(np.uint64) << np.uint64(3)
+            h = out[todo] ^ ((chunk << spare) >> spare)
+            h *= _K1
+            h ^= h >> np.uint64(29)
+            h *= _K2
+            h ^= h >> np.uint64(32)
+            out[todo] = h
+            more = left > 8
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = int.from_bytes(blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, key=b"cuemill").digest(), "little")
+    return mix(out)
+
+
 @dataclass
 class Words:
     """Words of a block of texts: byte range and hash of each, and the n + 1 word offsets of the rows."""
@@ -83,18 +121,24 @@ class Words:
         """For each word, the index after the last word of its row."""
         return np.repeat(self.rows[1:], self.counts)
 
+    def gram_starts(self, k: int) -> np.ndarray:
+        """Starts of the runs of k words inside one row."""
+        n = max(0, len(self.hashes) - k + 1)
+        return np.flatnonzero(np.arange(k, k + n) <= self.row_end()[:n])
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the runs of k words inside one row, and their hashes."""
-        n = len(self.hashes) - k + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        starts = np.flatnonzero(np.arange(k, k + n) <= self.row_end()[:n])
+        starts = self.gram_starts(k)
         return starts, _ranges(self.hashes, starts, starts + k)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of the word runs [start, end)."""
         return _ranges(self.hashes, starts, ends)
 
+    def identity(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the word runs [start, end)."""
+        return self.spans(starts, ends), _ranges(mix(self.hashes ^ _SECOND), starts, ends, _BASES[1])
+
     def word(self, i: int) -> bytes:
         return self.raw[self.starts[i] : self.ends[i]].tobytes()
 
@@ -112,16 +156,14 @@ def scan(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool =
         edges = offsets[(offsets > 0) & (offsets < len(raw))]
         before[edges] = after[edges - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    hashes = _ranges(raw.astype(np.uint64) + np.uint64(1), starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    return Words(raw, starts, ends, hashes, np.searchsorted(starts, offsets))
+    return Words(raw, starts, ends, _hash_bytes(raw, starts, ends), np.searchsorted(starts, offsets))
 
 
 def hash_words(words: list[str]) -> np.ndarray:
     """Hashes of single words, equal to those of ``scan``."""
     encoded = [w.encode("utf-8") for w in words]
     offsets = np.concatenate([[0], np.cumsum([len(w) for w in encoded])]).astype(np.int64)
-    raw = np.frombuffer(b"".join(encoded), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-    return _ranges(raw, offsets[:-1], offsets[1:])
+    return _hash_bytes(np.frombuffer(b"".join(encoded), dtype=np.uint8), offsets[:-1], offsets[1:])
 
 
 def hash_run(hashes: np.ndarray) -> np.uint64:

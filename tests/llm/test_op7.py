@@ -5,6 +5,7 @@ import numpy as np
 
 from cuemill.llm import components, forest
 from cuemill.llm.queries import QUERIES
+from cuemill.llm.shared import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,8 +70,22 @@ def test_query(spark, sf):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == sorted(brute(docs, 2))
 
 
-def test_links_inside_a_boilerplate_region(spark, make_docs):
-    """Texts of one template at about 0.67 of each other, far more than ``crowd``, among them pairs at just over 0.8."""
+def templated(rng, n, own, copies, changed):
+    """n texts of one template with ``own`` words of their own in a row, and copies of some with the last words changed."""
+    template = [f"t{i}" for i in range(100 - own)]
+    texts = [template + [f"o{g}.{i}" for i in range(own)] for g in range(n)]
+    texts += [t[: 100 - changed] + [f"c{rng.randrange(10**9)}" for _ in range(changed)] for t in texts[:copies]]
+    return [" ".join(t) for t in texts]
+
+
+def test_links_inside_a_dense_region(spark, make_docs):
+    """Texts of one template at about 0.75 of each other, far more than ``crowd``, among them pairs at just over 0.8."""
+    texts = templated(random.Random(8), 8000, 14, 400, 10)
+    got = {r["doc_id"]: r["component_id"] for r in forest.near_duplicates(make_docs(texts), k=2).collect()}
+    assert all(got[8000 + i] == i for i in range(400)) and all(got[i] == i for i in range(8000))
+
+
+def test_scattered_changes_in_a_dense_region(spark, make_docs):
     rng = random.Random(8)
     template = [f"t{i}" for i in range(200)]
     change = lambda words, n, free: [f"c{rng.randrange(10**9)}" if i in at else w for at in [set(rng.sample(free, n))] for i, w in enumerate(words)]
@@ -79,31 +94,52 @@ def test_links_inside_a_boilerplate_region(spark, make_docs):
     texts = [" ".join(t) for t in texts]
     want = brute(list(enumerate(texts)), 2)
     assert sum(i != c for i, _, c in want) >= 70
-    got = forest.near_duplicates(make_docs(texts), k=2, crowd=8).collect()
-    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
+    for crowd in (16, 4):
+        got = forest.near_duplicates(make_docs(texts), k=2, crowd=crowd).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
 
 
-def test_rare_candidates_hold_every_link_of_two_classes(spark, make_docs):
+def test_dense_candidates_hold_every_link_of_two_classes(spark, make_docs):
     rng = random.Random(12)
     hub = [f"h{i}" for i in range(60)]
     docs = make_docs([" ".join(varied(rng, hub, 0.06)) for _ in range(120)])
     signed = forest.with_signatures(docs, "doc_id", "text", 2)
-    nodes = signed.selectExpr("doc_id as id", "n_shingles as n", "signature", "doc_id % 3 as label")
-    sets = forest._sets(docs, "doc_id", "text", nodes, 2)
     texts = {r["doc_id"]: shingles(r["text"], 2) for r in docs.collect()}
-    links = {(a, b) for a in texts for b in texts if a < b and a % 3 != b % 3 and 5 * len(texts[a] & texts[b]) >= 4 * len(texts[a] | texts[b])}
-    for block in (4096, 7):
-        found = {(r["a"], r["b"]) for r in forest.rare_candidates(sets, nodes, 80, block).collect()}
-        assert links and links <= found and all(a % 3 != b % 3 for a, b in found)
-
-
-def test_all_pairs_of_two_classes_are_candidates():
-    """Where the pair that looks nearest fails on the full sets, another pair of the same classes is still confirmed."""
-    base = np.arange(forest.WIDTH, dtype=np.uint8)
-    sig = np.stack([np.where(np.arange(forest.WIDTH) < n, base, base + 100 + i) for i, n in enumerate((128, 125, 120, 110))]).astype(np.uint8)
-    n, label = np.full(4, 100), np.array([1, 1, 2, 2])
-    found = np.concatenate(forest._pairs_of_branch(np.arange(4), sig, n, n, label, forest.least_agreement(80), 80))
-    assert sorted(map(tuple, found.tolist())) == [(0, 2), (0, 3), (1, 2), (1, 3)]
+    for labels in (3, 120):
+        nodes = signed.selectExpr("doc_id as id", "n_shingles as n", "signature", f"doc_id % {labels} as label")
+        sets = forest._sets(docs, "doc_id", "text", nodes, 2)
+        links = {(a, b) for a in texts for b in texts if a < b and a % labels != b % labels and 5 * len(texts[a] & texts[b]) >= 4 * len(texts[a] | texts[b])}
+        for block in (4096, 7):
+            found = {(r["a"], r["b"]) for r in forest.dense_candidates(sets, nodes, 80, Scratch(spark), block).collect()}
+            assert links and links <= found and all(a % labels != b % labels for a, b in found)
+
+
+def test_leaves_get_deeper_where_it_is_crowded():
+    order = np.array([[1, 1, 1, 1, x, y, 0, 0] for x, y in [(0, i) for i in range(9)] + [(1, 0), (1, 1), (2, 0)]] + [[1, 1, 1, 2, 0, 0, 0, 0]] * 3, np.uint8)
+    order = np.ascontiguousarray(order).view(">u8").ravel().astype(np.uint64)
+    leaf, dense = forest._leaves(np.zeros(len(order), np.int32), order, 4, 4)
+    assert not dense.any() and leaf.tolist() == [*range(9), 9, 9, 10, 11, 11, 11]
+    leaf, dense = forest._leaves(np.zeros(40, np.int32), np.zeros(40, np.uint64), 4, 4)
+    assert dense.all() and leaf.tolist() == [i // 8 for i in range(40)]
+
+
+def test_branches_cut_by_a_range_border_meet(spark):
+    sig = bytes(forest.WIDTH)
+    nodes = spark.createDataFrame([(i, sig) for i in range(12)], "id long, signature binary").repartition(3)
+    chunks = {}
+    for r in forest.tree_members(nodes, 16, 4).collect():
+        chunks.setdefault(r["chunk"], set()).add(r["id"])
+    linked = {frozenset((a, b)) for c in chunks.values() for a in c for b in c if a != b}
+    assert len(linked) == 66
+
+
+def test_words_that_collide_in_a_polynomial_hash(spark, make_docs):
+    """The Thue-Morse word and its complement have one hash under any polynomial of odd base modulo 2**64."""
+    for n in (10, 12):
+        word = "".join("ab"[i.bit_count() % 2] for i in range(1 << n))
+        texts = [word + " " + word, word.translate({97: 98, 98: 97}) + " " + word.translate({97: 98, 98: 97})]
+        got = forest.near_duplicates(make_docs(texts), k=2).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(0, 0), (1, 1)]
 
 
 def test_bounds_follow_percent(spark, make_docs):
