@@ -1,14 +1,16 @@
 """Token ids in grammar-compressed files (Re-Pair), with random access by document.
 
-Documents are range-partitioned and sorted by id, encoded, and gathered into shards. In each shard the most frequent
-pairs of neighbouring symbols are replaced by nonterminals, round after round, until no pair is frequent enough. Each
-shard is one row of a Parquet table written by Spark (so a lost executor or a second attempt leaves no half-written
-file): its rules, the expansion length of every rule, the compressed sequence and a directory of documents. A document
-is decoded from its own symbols alone: replacement never reaches over the end of a document, and expansion lengths give
-the place of any id without expanding what comes before it.
-
-Payload (little-endian): ``magic | n_terminals | n_rules | n_symbols | n_docs`` as u32, then rules (left, right) u32,
-expansion lengths u32, symbols u32, and per document symbol count u32 and id count u32.
+Documents are range-partitioned and sorted by id, encoded, and gathered into shards of some ``SHARD_IDS`` ids. In each shard
+the most frequent pairs of neighbouring symbols are replaced by nonterminals, in descending order of frequency (those within
+one factor of ``STEP`` in one round, better pairs first where they overlap), until no pair occurs ``LEAST`` times or more: a
+rarer pair's rule would take more bits than it saves. Each shard is one row of a Parquet table written by Spark (so a lost
+executor or a second attempt leaves no half-written file): its rules, the expansion length of every rule, the compressed
+sequence and a directory of documents. A document is decoded from its own symbols alone: replacement never reaches over the
+end of a document, and expansion lengths lead to any id without expanding what comes before it.
+
+Payload: seven little-endian u32 ``magic | terminals | rules | symbols | documents | bits of an id | bits of a length``, then
+bit-packed little-endian columns, each filled up to a byte: the terminals' ids, rules (left, right), expansion lengths,
+symbols, and per document its numbers of symbols and of ids. Symbols below the number of terminals are places in their list.
 """
 
 from __future__ import annotations
@@ -24,126 +26,162 @@ from pyspark.sql import functions as F
 from .arrow import as_text
 from .tokens import encoder
 
-MAGIC = 0x52503031
+MAGIC = 0x52503032
 SHARD_IDS = 1 << 18
-ROUNDS, PER_ROUND, LEAST = 6, 512, 12
+LEAST, STEP = 3, 4
 SHARD = "part long, shard long, part_start long, n_ids long, doc_ids array<long>, payload binary"
+BUCKETS = 1 << 18
 
 
-BUCKETS = 1 << 18
+def _places(symbols: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Places where a pair starts that lies in one document; of a run of one symbol every other, so none overlaps itself."""
+    ok = inside[:-1].copy()
+    twin = np.flatnonzero(ok & (symbols[1:] == symbols[:-1]))
+    if len(twin):
+        run = np.ones(len(twin), bool)
+        run[1:] = twin[1:] != twin[:-1] + 1
+        first = twin[np.maximum.accumulate(np.where(run, np.arange(len(twin)), 0))]
+        ok[twin[(twin - first) % 2 == 1]] = False
+    return ok
+
+
+def _ranked(symbols: np.ndarray, ok: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs that occur ``least`` times or more, the rank of each by frequency, and the pairs' counts by rank."""
+    bucket = symbols[:-1] * np.uint32(0x9E3779B1)
+    bucket ^= symbols[1:] * np.uint32(0x85EBCA77)
+    bucket >>= np.uint32(14)
+    bucket[~ok] = BUCKETS
+    often = np.bincount(bucket, minlength=BUCKETS + 1) >= least  # a bucket has every occurrence of its pairs
+    often[BUCKETS] = False
+    at = np.flatnonzero(often[bucket])
+    code = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(code)), bool), code[1:] != code[:-1]]))
+    n = np.diff(np.append(start, len(code)))
+    best = np.argsort(-n, kind="stable")[: int((n >= least).sum())]
+    rank = np.full(len(n), len(n), np.int32)
+    rank[best] = np.arange(len(best), dtype=np.int32)
+    each = np.empty(len(code), np.int32)
+    each[order] = np.repeat(rank, n)
+    kept = each < len(best)
+    return at[kept], each[kept], n[best]
+
+
+def _choose(n: int, at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of overlapping occurrences those of better rank (of equal rank the left one); pairs with too few left are dropped."""
+    far = np.int32(1 << 30)
+    open_ = np.full(n + 2, far, np.int32)  # rank of the undecided occurrence that starts before each place
+    open_[at + 1] = rank
+    taken = np.zeros(n + 2, bool)
+    todo, todo_rank = at, rank
+    for _ in range(3):
+        wins = (open_[todo] > todo_rank) & (open_[todo + 2] >= todo_rank)
+        won = todo[wins]
+        taken[won + 1] = True
+        open_[won] = open_[won + 1] = open_[won + 2] = far
+        todo, todo_rank = todo[~wins], todo_rank[~wins]
+        free = ~taken[todo] & ~taken[todo + 2]
+        todo, todo_rank = todo[free], todo_rank[free]
+        if not len(todo):
+            break
+    kept = taken[at + 1]
+    at, rank = at[kept], rank[kept]
+    enough = np.bincount(rank, minlength=1)[rank] >= LEAST
+    return at[enough], rank[enough]
 
 
-def _buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A bucket of each pair, in wrapping 32-bit arithmetic."""
-    out = left * np.uint32(0x9E3779B1)
-    out ^= right * np.uint32(0x85EBCA77)
-    out >>= np.uint32(14)
-    return out
+def compress(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terminals' ids, rules, expansion lengths, symbols, symbols of each document); a document has one id at least."""
+    ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
+    terminals, symbols = np.unique(ids, return_inverse=True)
+    symbols = symbols.astype(np.uint32)
+    inside = np.ones(len(symbols), bool)  # whether the next symbol is of the same document
+    inside[np.cumsum([len(d) for d in docs], dtype=np.int64) - 1] = False
+    first = len(terminals)
+    rules: list[np.ndarray] = []
+    lengths = np.ones(first, np.int64)
+    least = max(LEAST, len(symbols) // 64)
+    while len(symbols) > 1:
+        at, rank, counts = _ranked(symbols, _places(symbols, inside), least)
+        if not len(counts):
+            if least == LEAST:
+                break
+            least = max(LEAST, least // STEP)
+            continue
+        places, used = _choose(len(symbols), at, rank)
+        if not len(places):  # overlaps leave no pair enough: the best one alone
+            places, used = at[rank == 0], rank[rank == 0]
+        kept, slot = np.unique(used, return_inverse=True)
+        example = np.empty(len(kept), np.int64)
+        example[slot] = places
+        pairs = np.stack([symbols[example], symbols[example + 1]], axis=1)
+        rules.append(pairs)
+        symbols[places] = (len(lengths) + slot).astype(np.uint32)
+        lengths = np.concatenate([lengths, lengths[pairs[:, 0]] + lengths[pairs[:, 1]]])
+        stays = np.ones(len(symbols), bool)
+        stays[places + 1] = False
+        inside[places] = inside[places + 1]
+        symbols, inside = symbols[stays], inside[stays]
+        least = max(LEAST, least // STEP)
+    per_doc = np.diff(np.flatnonzero(~inside), prepend=-1)
+    return terminals, np.concatenate([np.zeros((0, 2), np.uint32), *rules]), lengths[first:], symbols, per_doc
 
 
-def _codes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (left.astype(np.uint64) << np.uint64(32)) | right
+def _bits(largest: int) -> int:
+    return max(1, int(largest).bit_length())
 
 
-def _frequent_pairs(symbols: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """Codes of the pairs that occur most, most frequent first; pairs over the end of a document are in the last bucket."""
-    counts = np.bincount(bucket, minlength=BUCKETS + 1)
-    counts[BUCKETS] = 0
-    heavy = np.flatnonzero((counts >= LEAST)[bucket])  # a bucket has every occurrence of its pairs, so no frequent pair is lost
-    codes, n = np.unique(_codes(symbols[heavy], symbols[heavy + 1]), return_counts=True)
-    keep = n >= LEAST
-    codes, n = codes[keep], n[keep]
-    return codes[np.lexsort((codes, -n))[:PER_ROUND]]
+def pack_bits(values: np.ndarray, width: int) -> bytes:
+    bits = np.unpackbits(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
 
 
-def compress(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(rules, expansion lengths, symbols, symbols of each document, first nonterminal)."""
-    symbols = np.concatenate(docs).astype(np.uint32) if docs else np.zeros(0, np.uint32)
-    inside = np.ones(len(symbols), bool)  # whether the next symbol is of the same document
-    inside[np.cumsum([len(d) for d in docs], dtype=np.int64) - 1] = False
-    first = int(symbols.max()) + 1 if len(symbols) else 1
-    rules: list[np.ndarray] = []
-    lengths = np.zeros(0, np.int64)
-    far = np.int32(1 << 30)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        bucket = _buckets(symbols[:-1], symbols[1:])
-        bucket[~inside[:-1]] = BUCKETS
-        codes = _frequent_pairs(symbols, bucket)
-        if not len(codes):
-            break
-        new = first + len(lengths) + np.arange(len(codes), dtype=np.uint32)
-        pairs = np.stack([codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        maybe = np.zeros(BUCKETS + 1, bool)
-        maybe[_buckets(pairs[:, 0], pairs[:, 1])] = True
-        at = np.flatnonzero(maybe[bucket])
-        code = _codes(symbols[at], symbols[at + 1])
-        order = np.argsort(codes)
-        place = np.minimum(np.searchsorted(codes, code, sorter=order), len(codes) - 1)
-        rank = order[place].astype(np.int32)
-        same = codes[rank] == code
-        at, rank = at[same], rank[same]
-        # of overlapping occurrences the one with the better rank stays, of a run of equal ones every other
-        n = len(symbols)
-        best = np.full(n + 1, far, np.int32)
-        best[at] = rank
-        run_start = np.ones(len(at), bool)
-        run_start[1:] = (at[1:] != at[:-1] + 1) | (rank[1:] != rank[:-1])
-        index = np.arange(len(at))
-        in_run = index - np.maximum.accumulate(np.where(run_start, index, 0))
-        left_rank = np.where(at > 0, best[at - 1], far)
-        stays = (in_run % 2 == 0) & ((left_rank > rank) | (left_rank == rank)) & (best[at + 1] >= rank)
-        taken = np.zeros(n + 1, bool)
-        taken[at[stays]] = True
-        clash = stays & np.where(at > 0, taken[at - 1], False)
-        at, rank = at[stays & ~clash], rank[stays & ~clash]
-        if not len(at):
-            break
-        used, slot = np.unique(rank, return_inverse=True)
-        rules.append(pairs[used])
-        known = lambda s: np.where(s >= first, lengths[np.maximum(s.astype(np.int64) - first, 0)] if len(lengths) else 1, 1)
-        symbols[at] = new[: len(used)][slot]
-        grown = known(pairs[used][:, 0]) + known(pairs[used][:, 1])
-        lengths = np.concatenate([lengths, grown])
-        keep = np.ones(n, bool)
-        keep[at + 1] = False
-        inside[at] = inside[at + 1]
-        symbols, inside = symbols[keep], inside[keep]
-    per_doc = np.diff(np.flatnonzero(~inside), prepend=-1)
-    return np.concatenate([np.zeros((0, 2), np.uint32), *rules]), lengths, symbols, per_doc, first
+def unpack_bits(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 32), np.uint8)
+    out[:, :width] = np.unpackbits(raw, count=n * width, bitorder="little").reshape(n, width)
+    return np.packbits(out, axis=1, bitorder="little").view("<u4").ravel()
 
 
 def to_payload(docs: list[np.ndarray]) -> bytes:
-    rules, lengths, symbols, per_doc, first = compress(docs)
-    head = np.array([MAGIC, first, len(rules), len(symbols), len(docs)], "<u4")
-    parts = [head, rules.ravel(), lengths, symbols, per_doc, [len(d) for d in docs]]
-    return b"".join(np.asarray(p).astype("<u4").tobytes() for p in parts)
+    terminals, rules, lengths, symbols, per_doc = compress(docs)
+    sizes = np.array([len(d) for d in docs], np.int64)
+    head = [MAGIC, len(terminals), len(rules), len(symbols), len(docs), _bits(terminals.max(initial=0)), _bits(max(sizes.max(initial=0), lengths.max(initial=0)))]
+    symbol, size = _bits(len(terminals) + len(rules)), head[-1]
+    columns = [(terminals, head[-2]), (rules.ravel(), symbol), (lengths, size), (symbols, symbol), (per_doc, size), (sizes, size)]
+    return np.array(head, "<u4").tobytes() + b"".join(pack_bits(v, w) for v, w in columns)
 
 
 class ShardReader:
     """Random access to the documents of a payload."""
 
     def __init__(self, payload: bytes):
-        magic, self.first, n_rules, n_symbols, n_docs = np.frombuffer(payload, "<u4", 5).tolist()
+        magic, n_terminals, n_rules, n_symbols, n_docs, wide, size = np.frombuffer(payload, "<u4", 7).tolist()
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        cut = np.cumsum([5, 2 * n_rules, n_rules, n_symbols, n_docs, n_docs])
-        self.rules, self.lengths, self.symbols, per_doc, self.n_ids = (np.frombuffer(payload, "<u4")[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True))
-        self.rules = self.rules.reshape(-1, 2)
+        raw, at, columns = np.frombuffer(payload, np.uint8), 28, []
+        symbol = _bits(n_terminals + n_rules)
+        for n, width in ((n_terminals, wide), (2 * n_rules, symbol), (n_rules, size), (n_symbols, symbol), (n_docs, size), (n_docs, size)):
+            columns.append(unpack_bits(raw[at:], n, width))
+            at += -(-n * width // 8)
+        self.terminals, rules, lengths, self.symbols, per_doc, self.n_ids = columns
+        self.first, self.rules = n_terminals, rules.reshape(-1, 2)
+        self.lengths = np.concatenate([np.ones(n_terminals, np.int64), lengths])
         self.starts = np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int64)
 
     def _expand(self, s: np.ndarray) -> np.ndarray:
-        while len(at := np.flatnonzero(s >= self.first)):
-            size = np.ones(len(s), np.int64)
-            size[at] = 2
-            place = np.cumsum(size) - size
-            out = np.empty(int(size.sum()), s.dtype)
-            out[place] = s
-            pair = self.rules[s[at] - self.first]
-            out[place[at]], out[place[at] + 1] = pair[:, 0], pair[:, 1]
-            s = out
-        return s
+        """Every symbol goes straight to where its expansion starts; a rule leaves its left part there and sends its right
+        part on, so each symbol of the grammar's trees is touched once."""
+        size = self.lengths[s]
+        place = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), "<u4")
+        while len(s):
+            plain = s < self.first
+            out[place[plain]] = self.terminals[s[plain]]
+            s, place = s[~plain], place[~plain]
+            pair = self.rules[s - self.first]
+            s, place = np.concatenate([pair[:, 0], pair[:, 1]]), np.concatenate([place, place + self.lengths[pair[:, 0]]])
+        return out
 
     def document(self, i: int) -> np.ndarray:
         return self._expand(self.symbols[self.starts[i] : self.starts[i + 1]])
@@ -153,13 +191,16 @@ class ShardReader:
         return np.split(self._expand(self.symbols), np.cumsum(self.n_ids.astype(np.int64))[:-1]) if len(self.n_ids) else []
 
     def token(self, i: int, at: int) -> int:
-        """Id number ``at`` of document i, expanding only the symbol that holds it."""
+        """Id number ``at`` of document i: down one path of rules, by their lengths."""
         s = self.symbols[self.starts[i] : self.starts[i + 1]]
-        size = np.ones(len(s), np.int64)
-        size[s >= self.first] = self.lengths[s[s >= self.first] - self.first]
-        ends = np.cumsum(size)
+        ends = np.cumsum(self.lengths[s])
         k = int(np.searchsorted(ends, at, side="right"))
-        return int(self._expand(s[k : k + 1])[at - int(ends[k] - size[k])])
+        at -= int(ends[k] - self.lengths[s[k]])
+        symbol = int(s[k])
+        while symbol >= self.first:
+            left, right = self.rules[symbol - self.first].tolist()
+            symbol, at = (left, at) if at < self.lengths[left] else (right, at - int(self.lengths[left]))
+        return int(self.terminals[symbol])
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:

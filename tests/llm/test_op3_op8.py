@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -94,6 +94,39 @@ def test_grammar_round_trip():
     assert len(repair.to_payload([np.tile(np.arange(8, dtype=np.uint32), 4000)])) < 32_000
 
 
+def pairs_left(symbols, per_doc):
+    """Greatest number of occurrences of a pair inside documents, those that overlap themselves counted once."""
+    seen, at = Counter(), 0
+    for n in per_doc.tolist():
+        doc, i, last = symbols[at : at + n].tolist(), 0, {}
+        for i in range(n - 1):
+            pair = doc[i], doc[i + 1]
+            if last.get(pair) != i - 1:
+                seen[pair] += 1
+                last[pair] = i
+        at += n
+    return max(seen.values(), default=0)
+
+
+def test_grammar_is_complete_and_smaller_than_plain_ids(spark, sf):
+    encode = encoder(public_tokenizers.path("byte_bpe_50k.json"), True).encode
+    texts = pa.array([r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()])
+    docs = [np.frombuffer(e + b"\2\0\0\0", "<u4") for e in encode(texts)]
+    rng = np.random.default_rng(5)
+    for sample in (docs, [rng.integers(0, 3, 3000).astype(np.uint32) for _ in range(4)], [np.ones(50, np.uint32)]):
+        *_, symbols, per_doc = repair.compress(sample)
+        assert pairs_left(symbols, per_doc) < repair.LEAST
+    assert len(repair.to_payload(docs)) < 0.75 * 2 * sum(map(len, docs))
+
+
+def test_bits_round_trip():
+    rng = np.random.default_rng(6)
+    for width in (1, 7, 13, 17, 32):
+        values = rng.integers(0, 1 << width, 1001).astype(np.uint32)
+        packed = repair.pack_bits(values, width)
+        assert len(packed) == -(-1001 * width // 8) and (repair.unpack_bits(np.frombuffer(packed + b"xx", np.uint8), 1001, width) == values).all()
+
+
 def test_token_file_query(spark, sf):
     want = reference("byte_bpe_50k.json")
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
