@@ -156,7 +156,7 @@ WITH p AS (
   SELECT page_id, url, coalesce(html, '') AS body, page_id * 60 AS at, md5(coalesce(html, '')) AS tag,
     CASE WHEN page_id % 7 = 0 THEN page_id * 60 - 30 ELSE page_id * 60 + 3600 * (page_id % 50 + 1) END AS later,
     CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 5 = 0 THEN 'stale' ELSE md5(coalesce(html, '')) END AS sent,
-    regexp_replace(regexp_replace(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?', 2)), ':(80|443)$', ''), '^www\.', '') AS host,
+    regexp_replace(lower(regexp_extract(url, '^[^:]*://([^@/?#]*@)?([^/?#]*)', 2)), CASE WHEN url ILIKE 'http:%' THEN ':80$' ELSE ':443$' END, '') AS host,
     regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?', 3), '/+$', '') AS path,
     list_filter(string_split(ltrim(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?', 4), '?'), '&'), lambda f: NOT starts_with(f, 'utm_') AND f <> '') AS fields
   FROM pages),

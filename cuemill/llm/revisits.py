@@ -17,13 +17,35 @@ PERMITTED_HEADERS = ("cache-control", "content-location", "date", "etag", "expir
 URL_PATTERN = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
+def _escapes(text: Column) -> Column:
+    """Percent escapes with upper-case digits; those of letters, digits and ``-._~`` decoded."""
+    parts = F.split(text, "%")
+
+    def mend(p: Column) -> Column:
+        digits = F.upper(F.left(p, F.lit(2)))
+        letter = F.chr(F.conv(digits, 16, 10).cast("int"))
+        whole = F.when(letter.rlike("^[A-Za-z0-9._~-]$"), letter).otherwise(F.concat(F.lit("%"), digits))
+        return F.when(digits.rlike("^[0-9A-F]{2}$"), F.concat(whole, F.substring(p, 3, 1 << 30))).otherwise(F.concat(F.lit("%"), p))
+
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), mend), ""))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path with its "." and ".." parts resolved."""
+    empty = F.array().cast("array<string>")
+    step = lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(p == ".", done).otherwise(F.concat(done, F.array(p)))
+    parts = F.filter(F.split(path, "/"), lambda p, i: (i > 0) | (p != ""))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(F.aggregate(parts, empty, step), "/"))).otherwise(path)
+
+
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without default port and ``www.``, path without closing slash, query without ``utm_`` fields;
-    scheme and fragment dropped. A string that is no such URL stays as it is."""
+    """Host in lower case without user and the scheme's default port, path without dot parts and closing slashes, query
+    without ``utm_`` fields, escapes in one form; scheme and fragment dropped. A string that is no such URL stays as it is."""
     part = lambda i: F.regexp_extract(url, URL_PATTERN, i)
-    host = F.regexp_replace(F.regexp_replace(F.lower(part(2)), ":(80|443)$", ""), r"^www\.", "")
-    path = F.regexp_replace(part(3), "/+$", "")
-    fields = F.filter(F.split(F.regexp_replace(part(4), r"^\?", ""), "&"), lambda f: ~f.startswith("utm_") & (f != ""))
+    scheme, host = F.lower(part(1)), F.lower(F.regexp_replace(part(2), "^.*@", ""))
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    path = F.regexp_replace(_without_dots(_escapes(part(3))), "/+$", "")
+    fields = F.filter(F.split(F.regexp_replace(_escapes(part(4)), r"^\?", ""), "&"), lambda f: ~f.startswith("utm_") & (f != ""))
     query = F.when(F.size(fields) > 0, F.concat(F.lit("?"), F.array_join(fields, "&"))).otherwise("")
     return F.when(url.rlike(URL_PATTERN), F.concat(host, path, query)).otherwise(url)
 
@@ -33,11 +55,12 @@ def strong_etag(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+def resolve_revisits(records: DataFrame, bucket_seconds: int = 3_600) -> DataFrame:
     """For each revisit of ``records`` (record_id, type, url, captured, headers, body): record_id, url_key, captured,
     state, original_id, headers, body.
 
-    ``type`` is "response" or "revisit"; other and null types are ignored. ``headers`` is a map with names in lower case.
+    ``type`` is "response" or "revisit"; other and null types are ignored. With a column ``status``, a response of another
+    status than 200 (or null) is no full response. ``headers`` is a map with names in lower case.
     state: "resolved"; "no_original" (no response of that URL was captured strictly earlier); "mismatch" (entity tags,
     or without both tags the last-modified dates, differ); "unverified" (no validator that both have). Only a resolved
     revisit gets a body and merged headers: those of the response, replaced and extended by the permitted ones of the
@@ -46,6 +69,8 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
     tables give no rows; extra columns are ignored.
     """
     seconds = F.unix_micros(F.col("captured").cast("timestamp"))
+    if "status" in records.columns:
+        records = records.filter("type is null or type <> 'response' or status is null or status = 200")
     keyed = records.select("record_id", "type", canonical_url(F.col("url")).alias("url_key"), "captured", seconds.alias("at"), "headers").filter(F.col("type").isin("response", "revisit"))
     keyed = keyed.withColumn("bucket", F.floor(F.col("at") / (bucket_seconds * 1_000_000)))
     headers = F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>"))
@@ -75,4 +100,6 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
     met = met.select("record_id", "url_key", "captured", "state", F.when(F.col("ok"), F.col("original")["record_id"]).alias("original_id"), F.when(F.col("ok"), merged).alias("headers"))
 
     bodies = records.filter("type = 'response'").groupBy(F.col("record_id").alias("original_id")).agg(F.min("body").alias("body"))
-    return met.join(bodies, "original_id", "left").select("record_id", "url_key", "captured", "state", "original_id", "headers", "body")
+    found = met.filter("original_id is not null").join(bodies, "original_id")  # the others would all meet under one key
+    names = ["record_id", "url_key", "captured", "state", "original_id", "headers"]
+    return found.select(*names, "body").unionByName(met.filter("original_id is null").select(*names, F.lit(None).cast(records.schema["body"].dataType).alias("body")))
