@@ -1,12 +1,13 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code is the signs of its components. The queries are broadcast in blocks of at most ``block`` rows (16 bytes a
-query and 64 dimensions), and every partition of the table searches them in an index of its own: codes are cut into
-segments of about log2(rows) bits with a bucket table each. For radius r = 0, 1, 2 ... all buckets whose segment differs
-from the query's in exactly r bits are read and their codes verified. A code at distance d has a segment with at most
-d // m differing bits, so once radius r is done every code nearer than m * (r + 1) has been seen; the search stops when
-k verified neighbours lie below that. Each partition sends its k nearest per query, and a window keeps the k nearest of
-all. Equal codes share one index entry, so a very common vector costs one comparison.
+A vector's code is the signs of its components. Codes are dealt by id to parts of at most about ``part_rows`` rows, each of
+which is indexed once, and every query is sent to every part and streams through its index: one scan of the table, whatever
+the number of queries. In an index codes are cut into segments of about log2(rows) bits with a bucket table each. For radius
+r = 0, 1, 2 ... all buckets whose segment differs from the query's in exactly r bits are read and their codes verified. A
+code at distance d has a segment with at most d // m differing bits, so once radius r is done every code nearer than
+m * (r + 1) has been seen; the search stops when k verified neighbours lie below that. Each part sends its k nearest per
+query, and a window keeps the k nearest of all. Equal codes share one index entry, so a very common vector costs one
+comparison.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
 FOUND = "query_id long, neighbor_id long, distance int"
 
 
@@ -77,31 +80,48 @@ class MultiIndex:
         return places, distances
 
 
-def _top(index: MultiIndex, members: list[np.ndarray], query_id: int, code: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The k nearest ids other than the query's, each once, by (distance, id)."""
-
-    def enough(places: np.ndarray) -> bool:
-        total = 0
-        for p in places:
-            total += len(members[p])
-            if total >= k + 1 and len({i for q in places for i in members[q][: k + 1].tolist()} - {query_id}) >= k:
-                return True
-        return False
-
-    places, distances = index.search(code, enough)
-    out: dict[int, int] = {}
-    order = np.argsort(distances, kind="stable")
-    places, distances = places[order], distances[order]
-    for d in np.unique(distances):
-        ids = sorted({i for p in places[distances == d] for i in members[p][: k + 1].tolist()} - {query_id})
-        for i in ids:
-            out.setdefault(i, int(d))
-        if len(out) >= k:
-            break
-    return sorted(out.items(), key=lambda x: (x[1], x[0]))[:k]
+class Part:
+    """The codes of one part: distinct ones in an index, the ids of each in one flat array (16 bytes a row and 64 dimensions)."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, dims: int):
+        order = np.lexsort((ids, *codes.T[::-1]))
+        ids, codes = ids[order], codes[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (codes[1:] != codes[:-1]).any(axis=1)
+        keep = new.copy()
+        keep[1:] |= ids[1:] != ids[:-1]
+        self.index = MultiIndex(codes[new], dims)
+        self.ids = ids[keep]
+        self.starts = np.append(np.flatnonzero(new[keep]), len(self.ids))
+
+    def members(self, place: int, n: int) -> list[int]:
+        """The n least ids with a code."""
+        return self.ids[self.starts[place] : min(self.starts[place] + n, self.starts[place + 1])].tolist()
+
+    def top(self, query_id: int, code: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The k nearest ids other than the query's, each once, by (distance, id)."""
+
+        def enough(places: np.ndarray) -> bool:
+            if (self.starts[places + 1] - self.starts[places]).sum() <= k:
+                return False
+            seen: set[int] = set()
+            for p in places.tolist():
+                seen.update(self.members(p, k + 1))
+                if len(seen - {query_id}) >= k:
+                    return True
+            return False
+
+        places, distances = self.index.search(code, enough)
+        out: dict[int, int] = {}
+        for d in np.unique(distances):
+            for i in sorted({i for p in places[distances == d].tolist() for i in self.members(p, k + 1)} - {query_id}):
+                out.setdefault(i, int(d))
+            if len(out) >= k:
+                break
+        return sorted(out.items(), key=lambda x: (x[1], x[0]))[:k]
 
 
-def top_k_hamming(table: DataFrame, query_rows: Column, id_col: str = "vec_id", vector_col: str = "embedding", dims: int = 64, k: int = 10, block: int = 20_000) -> DataFrame:
+def top_k_hamming(table: DataFrame, query_rows: Column, id_col: str = "vec_id", vector_col: str = "embedding", dims: int = 64, k: int = 10, part_rows: int = 1_000_000) -> DataFrame:
     """query_id, rank, neighbor_id, distance: for each row where ``query_rows`` holds, its k nearest rows of ``table``.
 
     Ties go to the smaller id. A query's own id is never its neighbour. An id that repeats is listed once per query, with
@@ -109,46 +129,48 @@ def top_k_hamming(table: DataFrame, query_rows: Column, id_col: str = "vec_id",
     component or another length than ``dims`` are left out. With fewer than k other rows, all are listed; an empty table
     gives no rows. Extra columns are ignored.
     """
+    spark = table.sparkSession
+    scratch = Scratch(spark)
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(query_rows, F.lit(False)).alias("is_query")).filter("id is not null and vector is not null")
     words = -(-dims // 64)
 
     def to_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, codes = sign_codes(batch.column(1), dims)
+            good = pa.array(good)
             codes = pa.FixedSizeListArray.from_arrays(pa.array(codes.view(np.int64).ravel()), words).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), codes], names=["id", "code"])
-
-    queries = rows.filter("is_query").select("id", "vector").mapInArrow(to_codes, "id long, code array<long>").groupBy("id").agg(F.min("code").alias("code"))
-    n_blocks = max(1, -(-queries.count() // block))
-    found = None
-    for b in range(n_blocks):
-        part = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b)
-        part = part.collect()  # at most about ``block`` short rows
-        shared = table.sparkSession.sparkContext.broadcast(([r["id"] for r in part], np.array([r["code"] for r in part], np.int64).reshape(-1, words).view(np.uint64)))
-        one = rows.select("id", "vector").mapInArrow(_searcher(shared, dims, k), FOUND)
-        found = one if found is None else found.unionAll(one)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(2).take(good), codes], names=["id", "is_query", "code"])
+
+    coded = scratch.written(rows.mapInArrow(to_codes, "id long, is_query boolean, code array<long>"), "hamming-codes")
+    parts = max(spark.sparkContext.defaultParallelism, -(-coded.count() // part_rows))
+    queries = coded.filter("is_query").groupBy("id").agg(F.min("code").alias("code"))
+    each = coded.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "code")
+    sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "id", "code")
+    dealt = each.unionAll(sent).repartition(parts, "part").sortWithinPartitions("part", "kind")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, part = None, [], None
+        for batch in batches:
+            at, kind, ids = (batch.column(i).to_numpy() for i in range(3))
+            codes = batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, words)
+            edges = np.flatnonzero((np.diff(at) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(ids)], strict=True):
+                if a == b:
+                    continue
+                if at[a] != current:
+                    current, held, part = at[a], [], None
+                if kind[a] == 0:
+                    held.append((ids[a:b], codes[a:b]))
+                    continue
+                if held:
+                    part, held = Part(*(np.concatenate(x) for x in zip(*held, strict=True)), dims), []
+                if part is None:
+                    continue
+                found = [(q, i, d) for q, c in zip(ids[a:b].tolist(), codes[a:b], strict=True) for i, d in part.top(q, c, k)]
+                q, i, d = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.int32())], names=["query_id", "neighbor_id", "distance"])
+
+    nearest = dealt.mapInArrow(search, FOUND).groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    nearest = found.groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))
-    return nearest.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
-
-
-def _searcher(shared, dims: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, codes = [], []
-        for batch in batches:  # 16 bytes a row of the partition
-            good, c = sign_codes(batch.column(1), dims)
-            ids.append(np.asarray(batch.column(0).take(pa.array(good))))
-            codes.append(c)
-        query_ids, query_codes = shared.value
-        if not ids or not sum(map(len, ids)) or not query_ids:
-            return
-        ids, codes = np.concatenate(ids), np.concatenate(codes)
-        distinct, group = np.unique(codes, axis=0, return_inverse=True)
-        order = np.lexsort((ids, group.ravel()))
-        members = [np.unique(m) for m in np.split(ids[order], np.cumsum(np.bincount(group.ravel()))[:-1])]
-        index = MultiIndex(distinct, dims)
-        rows = [(q, i, d) for q, c in zip(query_ids, query_codes, strict=True) for i, d in _top(index, members, q, c, k)]
-        q, i, d = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.int32())], names=["query_id", "neighbor_id", "distance"])
-
-    return run
+    ranked = nearest.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    return scratch.result(ranked, "hamming-nearest")
