@@ -1,9 +1,10 @@
 """Secret scans: candidate strings judged by a random forest, in DataFrame operations only.
 
-Candidates are token-like runs with a digit, plus values after a secret-like name. For each, SQL expressions compute its
-length, character transitions, dictionary coverage, path-likeness and neighbouring words; a random forest trained on
-labelled findings gives the probability that it is a secret, which removes false positives such as hashes in paths,
-identifiers, numbers and placeholders.
+Candidates are token-like runs with a digit, and values of any length after a secret-like name and a separator; of
+``name=value`` the value alone. For each, SQL expressions compute its length, character transitions, dictionary coverage,
+path-likeness and neighbouring words; a random forest trained on labelled findings gives the probability that it is a
+secret, which removes false positives such as hashes in paths, identifiers, numbers and placeholders. Labelled findings are
+what the scan itself finds in labelled texts, so training and scanning see the same spans and neighbours.
 """
 
 from __future__ import annotations
@@ -14,14 +15,22 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A run of token characters, at least 16 of them, with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.~-])(?=[A-Za-z_+/=.~-]*+[0-9])[A-Za-z0-9_+/=.~-]{16,}"
+from .shared import Scratch
+
+#: A run of token characters, at least 16 of them, with a digit among them, and base64 padding.
+TOKEN = r"(?<![A-Za-z0-9_+/.~-])(?=[A-Za-z_+/.~-]*+[0-9])[A-Za-z0-9_+/.~-]{16,}={0,2}"
+NAME = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|credentials?|auth|authorization|bearer|client[_-]?secret)"
+#: What follows a name, a separator ("=", ":", "=>", ":=", or a blank after "bearer") and perhaps a quote.
+VALUE = r"(?<=[=:>\"'`\s])(?<=" + NAME + r"[\"'`]?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}[\"'`]?|(?i:bearer) )(?!(?i:bearer) )[^\s\"'`<>,;]{3,}[^\s\"'`<>,;.:!?)\]}]"
+CANDIDATE = f"(?:{VALUE}|{TOKEN})"
+#: A separator after a name: what every text with a ``VALUE`` has, looked for from the separators, of which there are few.
+NAMED = r"[=:](?<=" + NAME + r"[\"'`]?[ \t]{0,3}[=:])|(?<=(?i:bearer)) "
 CUE = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer|client[_-]?secret)"
 BENIGN = r"(?i)(sha1|sha256|md5|commit|revision|checksum|digest|uuid|guid|build|version|static|assets|example|sample|order|invoice|isbn|phone|card|call|page|ref|file|path|image|img)"
 #: Words that mark prose, paths and placeholders when they cover much of a candidate.
-DICTIONARY = "example|sample|dummy|placeholder|changeme|password|secret|token|your|insert|here|test|static|assets|images|image|files|file|path|page|index|main|build|release|version|node|modules|https|http|www|html|json|user|admin|local|host|config|default|value|name|data|info|the|and|for|with|this|that|not|null|none|true|false"
+DICTIONARY = "example|sample|dummy|placeholder|changeme|required|optional|hidden|redacted|password|passwd|secret|token|your|insert|here|test|static|assets|images|image|files|file|path|page|index|main|build|release|version|node|modules|https|http|www|html|json|user|admin|local|host|config|default|value|name|data|info|api|key|the|and|for|with|this|that|not|null|none|true|false|must|should|never|always|next|please|enter|reset|forgot|change|empty|missing|invalid|expired|bearer|basic"
 LEFT, RIGHT = 48, 24
-FEATURES = ("length", "digit_share", "upper_share", "lower_share", "other_share", "transitions", "distinct_share", "hex", "dictionary", "path", "separators", "cue", "benign", "assigned", "quoted", "repeats")
+FEATURES = ("length", "digit_share", "upper_share", "lower_share", "other_share", "transitions", "distinct_share", "hex", "dictionary", "path", "separators", "cue", "benign", "assigned", "quoted", "repeats", "word")
 
 
 def _share(candidate: Column, kept: str) -> Column:
@@ -34,13 +43,13 @@ def with_features(found: DataFrame) -> DataFrame:
     n = F.greatest(F.length(c), F.lit(1))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]+", "\u0001"), "[a-z]+", "\u0002"), "[A-Z]+", "\u0003"), "[^\u0001\u0002\u0003]+", "\u0004")
     made = {
-        "length": F.least(F.length(c), F.lit(200)).cast("double"),
+        "length": F.length(c).cast("double"),
         "digit_share": _share(c, "0-9"),
         "upper_share": _share(c, "A-Z"),
         "lower_share": _share(c, "a-z"),
         "other_share": 1 - _share(c, "A-Za-z0-9"),
         "transitions": (F.length(classes) - 1) / n,
-        "distinct_share": F.size(F.array_distinct(F.split(F.left(c, F.lit(200)), ""))) / F.least(n, F.lit(200)),
+        "distinct_share": F.size(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))) / n,
         "hex": c.rlike("^[0-9a-f]+$").cast("double"),
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), DICTIONARY, "")) / n,
         "path": (left.rlike(r"[/\\.]$") | c.rlike(r"/.*/|\.[a-z]{2,4}$") | right.rlike(r"^[/\\]")).cast("double"),
@@ -50,6 +59,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "assigned": left.rlike(r"[=:]\s*[\"']?$").cast("double"),
         "quoted": (left.rlike("[\"'`]$") & right.rlike("^[\"'`]")).cast("double"),
         "repeats": c.rlike(r"(.)\1{3}|0123|1234|abcd").cast("double"),
+        "word": c.rlike(r"^[$({%]|^[A-Z]?[a-z]+$|^[A-Z_-]+$|^[a-z_-]+$").cast("double"),
     }
     return found.select("*", *[v.cast("double").alias(k) for k, v in made.items()])
 
@@ -60,10 +70,12 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The text is cut at the candidates, so the pieces give contexts, and their running lengths the places.
     """
     text = F.col("__text")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text")).filter(text.rlike(CANDIDATE))
-    rows = rows.withColumn("__row", F.monotonically_increasing_id())
-    hits = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    trimmed = F.transform(F.split(text, CANDIDATE, -1), lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(LEFT)).alias("end"), F.left(p, F.lit(RIGHT)).alias("begin")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text")).withColumn("__named", text.rlike(NAMED))
+    rows = rows.filter(F.col("__named") | text.rlike(TOKEN)).withColumn("__row", F.monotonically_increasing_id())
+    either = lambda cut: F.when(F.col("__named"), cut(CANDIDATE)).otherwise(cut(TOKEN))
+    hits = either(lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    pieces = either(lambda pattern: F.split(text, pattern, -1))
+    trimmed = F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(LEFT)).alias("end"), F.left(p, F.lit(RIGHT)).alias("begin")))
     rows = rows.select("doc_id", "__row", trimmed.alias("pieces"), hits.alias("hits"))
     each = rows.select("doc_id", "__row", F.posexplode(F.arrays_zip("pieces", F.slice("pieces", 2, F.size("pieces")).alias("next"), "hits"))).filter("col.hits is not null")
     before = Window.partitionBy("__row", "doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -72,39 +84,62 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return each.select("doc_id", (end - size).cast("long").alias("start"), end.cast("long").alias("end"), F.col("col")["hits"].alias("candidate"), F.col("col")["pieces"]["end"].alias("left"), F.col("col")["next"]["begin"].alias("right"))
 
 
-def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """candidate, left, right, label: findings of known kind, made from hashes of row numbers (the same on every run).
+def labelled_texts(spark: SparkSession, n: int = 9000) -> DataFrame:
+    """text, label: sentences with a finding of known kind, made from hashes of row numbers (the same on every run).
 
-    Secrets: keys, tokens and passwords after an assignment or alone. Others: content hashes, identifiers in paths and
-    URLs, numbers, versions, placeholders and joined words.
+    Secrets: keys, tokens and passwords, short and long, after a name or alone. Others: content hashes, identifiers in
+    paths and URLs, numbers, versions, placeholders, variables, and plain words after a secret-like name.
     """
-    i = F.col("id")
-    md5 = F.md5(i.cast("string"))
-    sha = F.sha1(F.concat(F.lit("s"), i.cast("string")))
-    b64 = F.regexp_replace(F.base64(F.unhex(sha)), "=", "")
-    upper = F.upper(F.translate(F.left(b64, F.lit(16)), "+/abcdefghij", "23KLMNOPQRST"))
-    word = lambda k: F.element_at(F.array(*map(F.lit, ("loading", "thereof", "chapter", "station", "mention", "weather", "another", "between"))), (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(8)) + 1).cast("int"))
-    digits = F.translate(md5, "abcdef", "102938")
+    i, md5, sha, b64, upper, digits, short = map(F.col, ("id", "md5", "sha", "b64", "upper", "digits", "short"))
+    one = lambda k, *of: F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(of))) + 1).cast("int"))
+    scratch = Scratch(spark)  # each step is written, or the optimizer would copy its expressions into the next ones
+    step = lambda df, **made: scratch.written(df.select("*", *[v.alias(k) for k, v in made.items()]), "labelled")
+    base = step(spark.range(0, n, 1, 1), md5=F.md5(i.cast("string")), sha=F.sha1(F.concat(F.lit("s"), i.cast("string"))))
+    base = step(base, b64=F.regexp_replace(F.base64(F.unhex(sha)), "=", ""), digits=F.translate(md5, "abcdef", "102938"))
+    words = {f"word{k}": one(k, "loading", "thereof", "chapter", "station", "mention", "weather", "another", "between") for k in range(1, 9)}
+    base = step(
+        base, **words, upper=F.upper(F.translate(F.left(b64, F.lit(16)), "+/abcdefghij", "23KLMNOPQRST")), sign=one(2, "=", ": ", " = ", ":", "='", '": "', ' = "'),
+        name=one(1, "password", "secret", "token", "api_key", "pwd", "access-key", "client_secret", "Passphrase", "AUTH_TOKEN", "credential"),
+        short=F.concat(F.left(b64, (F.pmod(i, F.lit(5)) + 3).cast("int")), one(3, "!", "-", "#", "@", "_", ""), F.left(digits, (F.pmod(F.xxhash64(i), F.lit(4)) + 1).cast("int")), F.substring(b64, 12, 3)),
+    )
+    word = lambda k: F.col(f"word{k}")
+    after = one(9, " ", "\n", " and", "' ", '" ', ", ", ".")
+    camel = F.concat(word(4), F.initcap(word(5)), F.initcap(word(6)), F.initcap(word(7)))
     kinds = [
-        (1, F.concat(F.lit("AKIA"), upper), F.concat(word(1), F.lit(" ")), F.lit(" and")),
-        (1, sha, F.concat(word(1), F.lit(' token = "')), F.lit('" ')),
-        (1, F.left(md5, F.lit(18)), F.concat(word(1), F.lit(" password=")), F.lit(" ")),
-        (1, b64, F.concat(word(2), F.lit(" api_key: ")), F.lit("\n")),
-        (1, F.concat(F.lit("sk_live_"), F.left(b64, F.lit(24))), F.concat(word(2), F.lit(" secret ")), F.lit(" ")),
-        (1, F.left(b64, F.lit(20)), F.lit("client_secret='"), F.lit("'")),
-        (0, sha, F.concat(F.lit("commit "), F.lit("")), F.lit(" ")),
-        (0, md5, F.concat(F.lit("/static/"), word(1), F.lit(".")), F.lit("/")),
-        (0, F.concat(word(1), F.lit("-"), word(2), F.lit("-"), word(3), F.lit("-2024")), F.concat(word(4), F.lit(" ")), F.lit(" ")),
-        (0, F.left(digits, F.lit(16)), F.concat(F.lit("order "), F.lit("")), F.lit(" ")),
-        (0, F.left(digits, F.lit(17)), F.concat(word(1), F.lit(" ")), F.lit(" ")),
-        (0, F.concat(F.lit("your_token_here_1234"), F.left(digits, F.lit(2))), F.lit("token = "), F.lit(" ")),
-        (0, F.concat_ws("-", F.substring(md5, 1, 8), F.substring(md5, 9, 4), F.substring(md5, 13, 4), F.substring(md5, 17, 4), F.substring(md5, 21, 12)), F.lit("uuid: "), F.lit(" ")),
-        (0, F.concat(word(1), F.lit("/"), word(2), F.lit("/"), word(3), F.left(digits, F.lit(3)), F.lit(".html")), F.lit("see "), F.lit(" ")),
-        (0, F.concat(F.lit("mail"), F.left(digits, F.lit(2)), F.lit(".example.com")), F.concat(word(1), F.lit("@")), F.lit(" ")),
-        (0, F.concat(F.lit("v"), F.left(digits, F.lit(2)), F.lit(".0.0-release."), F.substring(digits, 3, 5)), F.lit("version "), F.lit(" ")),
+        (1, word(1), " ", F.concat(F.lit("AKIA"), upper)),
+        (1, F.col("name"), F.col("sign"), sha),
+        (1, F.col("name"), F.col("sign"), F.left(md5, F.lit(18))),
+        (1, F.col("name"), F.col("sign"), b64),
+        (1, word(2), one(2, " ", ": ", " = "), F.concat(one(4, "sk_live_", "ghp_", "xoxb-", "glpat-", "rk_test_"), F.left(b64, F.lit(24)))),
+        (1, F.col("name"), F.col("sign"), F.left(b64, F.lit(20))),
+        (1, F.col("name"), F.col("sign"), short),
+        (1, F.col("name"), F.col("sign"), short),
+        (1, F.col("name"), F.col("sign"), camel),
+        (1, "Authorization: ", "Bearer ", F.concat(F.lit("eyJ"), b64, F.lit("."), F.substring(b64, 3, 20))),
+        (0, "commit", " ", sha),
+        (0, one(1, "sha256", "checksum", "md5", "digest", "revision"), one(2, " ", ": ", "="), F.concat(md5, F.left(sha, F.lit(32)))),
+        (0, F.concat(F.lit("/static/"), word(1)), ".", F.concat(md5, F.lit("/app.js"))),
+        (0, word(4), " ", F.concat(word(1), F.lit("-"), word(2), F.lit("-"), word(3), F.lit("-2024"))),
+        (0, one(1, "order", "invoice", "call", "page"), " ", F.left(digits, F.lit(16))),
+        (0, word(1), " ", F.left(digits, F.lit(17))),
+        (0, F.col("name"), F.col("sign"), F.concat(one(4, "your_token_here_1234", "example-key-000000", "insert-password-here"), F.left(digits, F.lit(2)))),
+        (0, one(1, "uuid", "guid", "id"), one(2, ": ", "=", " "), F.concat_ws("-", F.substring(md5, 1, 8), F.substring(md5, 9, 4), F.substring(md5, 13, 4), F.substring(md5, 17, 4), F.substring(md5, 21, 12))),
+        (0, "see", " ", F.concat(word(1), F.lit("/"), word(2), F.lit("/"), word(3), F.left(digits, F.lit(3)), F.lit(".html"))),
+        (0, word(1), "@", F.concat(F.lit("mail"), F.left(digits, F.lit(2)), F.lit(".example.com"))),
+        (0, "version", " ", F.concat(F.lit("v"), F.left(digits, F.lit(2)), F.lit(".0.0-release."), F.substring(digits, 3, 5))),
+        (0, F.col("name"), F.col("sign"), one(4, "required", "changeme", "never", "optional", "hidden", "password", "none", "null", "redacted", "must", "invalid", "expired", "missing")),
+        (0, F.col("name"), F.col("sign"), word(4)),
+        (0, F.col("name"), F.col("sign"), one(4, "${TOKEN}", "$PASSWORD", "{{secret}}", "%PASS%", "YOUR_API_KEY", "********", "xxxxxxxx", "os.environ['KEY']", "config.get(key)")),
     ]
-    pick = lambda j: F.element_at(F.array(*[k[j] if isinstance(k[j], Column) else F.lit(k[j]) for k in kinds]), (F.pmod(i, F.lit(len(kinds))) + 1).cast("int"))
-    return spark.range(0, n, 1, 1).select(pick(1).alias("candidate"), pick(2).alias("left"), pick(3).alias("right"), pick(0).cast("double").alias("label"))
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    texts = [F.concat(word(8), F.lit(" "), column(before), column(between), value, after) for _, before, between, value in kinds]
+    at = (F.pmod(i, F.lit(len(kinds))) + 1).cast("int")
+    return scratch.result(base.select(F.element_at(F.array(*texts), at).alias("text"), F.element_at(F.array(*[F.lit(k[0]) for k in kinds]), at).cast("double").alias("label")), "labelled")
+
+
+def labelled_findings(spark: SparkSession, n: int = 9000) -> DataFrame:
+    """candidate, left, right, label: the findings of the scan in ``labelled_texts``."""
+    return find_candidates(labelled_texts(spark, n), "label").select("candidate", "left", "right", F.col("doc_id").alias("label"))
 
 
 def train_forest(findings: DataFrame, trees: int = 24, depth: int = 7, limit: int = 50_000) -> RandomForestClassificationModel:
