@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import append_column, as_text, blocks, text_buffer
+from .shared import written
 from .wordscan import ALPHANUMERIC, Words, hash_run, hash_words, scan
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -173,6 +174,7 @@ def find_contamination(
     windows = benchmark_windows(items, item_col, item_text_col, window)
     total = windows.agg(F.sum(F.size("words"))).first()[0] or 0
     n_blocks = max(1, -(-total // max_words))
+    windows = windows if n_blocks == 1 else written(windows, "benchmark-windows")
     out = docs
     for block in range(n_blocks):
         part = windows if n_blocks == 1 else windows.filter(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == block)

@@ -31,7 +31,7 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_USERINFO = re.compile(r"://([^\s/@:\[\]<>\"']{1,128}:[^\s/@\[\]<>\"']{1,128})@[A-Za-z0-9]")
+_USERINFO = re.compile(r"://([^\s/@:\[\]<>\"']+:[^\s/@\[\]<>\"']+)@[A-Za-z0-9]")
 _AFTER_CUE = re.compile(r"(?:[ \t]*(?:no\.?|nr\.?|number|num\.?|#|:|=))*[ \t]*", re.IGNORECASE)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){5,33}(?![A-Za-z0-9])")

@@ -64,6 +64,40 @@ def test_no_labels(spark, make_docs):
         assert all(r["toxicity"] < 0.5 for r in toxicity.score_toxicity(docs, machine).collect())
 
 
+def plain_score(machine, text):
+    """The score of a text by definition: its best word's weighted subsequences, one by one."""
+    weights = dict(zip(machine.ids.tolist(), machine.weights.tolist(), strict=True))
+
+    def margin(piece):
+        w, bag = f"\x02{piece[: toxicity.PIECE]}\x03", {}
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(i + toxicity.SPAN, len(w))):
+                    a, b, c = (min(ord(w[x]), 0xFFFFF) for x in (i, j, k))
+                    key = a << 40 | b << 20 | c
+                    bag[key] = bag.get(key, 0) + toxicity.DECAY ** (k - i - 2)
+        norm = sum(v * v for v in bag.values()) ** 0.5 or 1
+        return machine.bias + sum(v / norm * weights.get(k, 0.0) for k, v in bag.items())
+
+    best = max(margin(p) for word in (toxicity.words_of(text) or {""}) for p in toxicity._pieces(word))
+    return 1 / (1 + np.exp(-np.clip(machine.slope * best + machine.shift, -30, 30)))
+
+
+def test_query_equals_brute_force(spark, sf):
+    from pyspark.sql import functions as F
+
+    from cuemill.llm.queries import is_held_out
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    machine = toxicity.train_machine(docs.select("doc_id", "text"), labels, ~is_held_out(F.col("doc_id")))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = QUERIES["op5_toxicity"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = plain_score(machine, texts[r["doc_id"]])
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == int(r["score"] >= 0.5)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in QUERIES["op5_toxicity"](spark, sf).collect()}
