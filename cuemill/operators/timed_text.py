@@ -130,7 +130,7 @@ def repair_overlaps(rows: DataFrame, by: str, order: Sequence[str], duration: Co
         out, last = s["out"], F.try_element_at(s["out"], F.lit(-1))
         room = lambda y: F.least(F.lit(least), F.greatest(F.lit(0.001), (y["end"] - y["start"]) / 2))
         low, high = last["start"] + room(last), F.least(x["end"] - room(x), limit)
-        cut = F.round(F.least(F.greatest((last["end"] + x["start"]) / 2, low), high), 3)
+        cut = F.bround(F.least(F.greatest((last["end"] + x["start"]) / 2, low), high) * 1000) / 1000
         mends = (F.size(out) > 0) & (last["end"] - x["start"] > OVERLAP) & (low <= high)
         fixed = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(last.withField("end", cut), x.withField("start", cut)))
         return F.struct(F.when(mends, fixed).otherwise(F.concat(out, F.array(x))).alias("out"), (s["n"] + F.when(mends, 1).otherwise(0)).alias("n"))

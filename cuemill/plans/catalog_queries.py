@@ -147,7 +147,13 @@ def candidate_mark_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.mark_duplicates(_candidates(spark, sf_dir), known).select("position", "duplicate", "status")
 
 
-@R.add()
+@R.add(
+    """WITH e AS (SELECT user_id, list({'kept': CAST([] AS BIGINT[]), 'ids': CAST([] AS BIGINT[]), 'urls': CAST([] AS BIGINT[]), 'e': event_id, 'r': event_id * 7919 % 23, 'u': event_id * 104729 % 29} ORDER BY event_id) AS l FROM events GROUP BY user_id),
+f AS (SELECT user_id, unnest(list_reduce(l, lambda a, b: CASE WHEN list_contains(a.ids, b.r) OR list_contains(a.urls, b.u) THEN {'kept': a.kept, 'ids': a.ids, 'urls': a.urls, 'e': b.e, 'r': b.r, 'u': b.u}
+  ELSE {'kept': list_append(a.kept, b.e), 'ids': list_append(a.ids, b.r), 'urls': list_append(a.urls, b.u), 'e': b.e, 'r': b.r, 'u': b.u} END,
+  {'kept': CAST([] AS BIGINT[]), 'ids': CAST([] AS BIGINT[]), 'urls': CAST([] AS BIGINT[]), 'e': 0, 'r': 0, 'u': 0}).kept) AS event_id FROM e)
+SELECT user_id, event_id, event_id * 7919 % 23 AS remote, event_id * 104729 % 29 AS link FROM f"""
+)
 def candidate_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By (user, type) of events: few ids and links, so that rows clash in all ways. Tested against a plain fold."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") * 7919 % 23).alias("remote"), (F.col("event_id") * 104729 % 29).alias("link"))

@@ -55,3 +55,8 @@ SEGMENTS_SQL = """segments AS (SELECT user_id, event_id AS seq, event_type AS la
 VIDEOS_SQL = """videos AS (SELECT o_custkey AS project_key, o_orderkey AS video_id, CASE o_orderstatus WHEN 'O' THEN 'processing' WHEN 'P' THEN 'pending' ELSE 'done' END AS status,
   CASE o_orderstatus WHEN 'O' THEN 50 WHEN 'P' THEN 0 ELSE 100 END AS progress, o_orderdate AS updated_at, o_orderdate AS created_at, o_orderkey % 4 AS batch_import_order,
   CASE WHEN o_orderkey % 3 = 0 THEN 'thumb/' || o_orderkey ELSE '' END AS thumbnail, o_orderpriority AS language, CAST(floor(o_totalprice) AS BIGINT) AS views FROM orders)"""
+
+
+def wrapped_sql(words: str, width: int) -> str:
+    """A list of words as lines of at most ``width`` characters, in SQL."""
+    return f"list_reduce({words}, lambda s, w: CASE WHEN s = '' THEN w WHEN length(string_split(s, chr(10))[-1]) + 1 + length(w) > {width} THEN s || chr(10) || w ELSE s || ' ' || w END, '')"

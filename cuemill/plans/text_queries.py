@@ -10,7 +10,7 @@ from cuemill.functions import text as X
 from cuemill.operators import migrate, publish
 from cuemill.operators.timed_text import sentences
 
-from .tables import Registry, table
+from .tables import Registry, table, wrapped_sql
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -50,7 +50,13 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.text_key(F.col("text")), 256).alias("text_key"))
 
 
-@R.add()
+@R.add(
+    r"""WITH a AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '(?i)\b(authorization|cookie|password|passwd|secret|token|api[_-]?key)\b(\s*[:=]\s*)([^\s,;]+)', '\1\2<redacted>', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(t, '(?i)https?://[^\s"''<>]+', '<url>', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(t, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}([^\p{L}\p{N}_.-]|$)', '<email>\1', 'g') AS t FROM b),
+d AS (SELECT doc_id, regexp_replace(t, '(?i)(?:[A-Z]:\\|\\\\)[^\r\n"''<>|]*', '<path>', 'g') AS t FROM c)
+SELECT doc_id, sha256(regexp_replace(t, '(?i)(^|[^\p{L}\p{N}_.-])/(?:home|users)/[^/\s]+(?:/[^\s"''<>]*)?', '\1<path>', 'g')) AS redacted FROM d"""
+)
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("redacted"))
 
@@ -78,7 +84,13 @@ def hashtag_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tagged(spark, sf_dir).select("o_orderkey", F.array_join(X.hashtag_list(F.col("tags")), " ").alias("tags"))
 
 
-@R.add()
+@R.add(
+    """WITH o AS (SELECT o_orderkey, o_orderkey AS k, CASE WHEN o_orderkey % 25 = 0 THEN o_orderkey % 300 ELSE o_orderkey % 9 END AS r, 'Order ' || o_orderkey AS base, '#A' || o_orderstatus || ' #x' || o_orderkey || ' #tag' AS tags FROM orders),
+u AS (SELECT *, 2200 - 1 - length(tags) AS room, 2200 - 1 - length(tags) - length(base) - 1 AS left_over FROM o),
+c AS (SELECT *, CASE WHEN r = 0 THEN base WHEN length(base) + 13 * r <= room THEN base || chr(10) || rtrim(repeat('wide 😀 text ', r))
+  ELSE base || chr(10) || rtrim(repeat('wide 😀 text ', left_over // 13) || left('wide 😀 text ', CASE WHEN left_over % 13 <= 5 THEN left_over % 13 WHEN left_over % 13 = 6 THEN 5 ELSE left_over % 13 - 1 END)) END || chr(10) || tags AS post FROM u)
+SELECT o_orderkey, post, CAST(2 * length(post) - length(replace(post, '😀', '')) AS INTEGER) AS units FROM c"""
+)
 def compose_post(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = publish.with_post_text(_tagged(spark, sf_dir).withColumnRenamed("tags", "hashtags"))
     return post.select("o_orderkey", F.col("post_text").alias("post"), X.utf16_length(F.col("post_text")).alias("units"))
@@ -117,17 +129,25 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@R.add()
+@R.add(f"""SELECT conv_id, turn, {wrapped_sql("list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')", 32)} AS lines FROM conversations""")
 def word_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.wrap_lines(F.col("text"), 32).alias("lines"))
 
 
-@R.add()
+@R.add(
+    r"""WITH a AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([…。！？][.!?…。！？"''”’)\]}」』]*)', '\1' || chr(1), 'g') AS t FROM conversations),
+b AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(t, '([.!?][.!?…。！？"''”’)\]}」』]*) ', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM a)
+SELECT conv_id, turn, CAST(k - 1 AS INTEGER) AS pos, s[k] AS sentence FROM (SELECT conv_id, turn, s, unnest(range(1, len(s) + 1)) AS k FROM b)"""
+)
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@R.add()
+@R.add(
+    r"""WITH a AS (SELECT conv_id, turn, translate(replace(coalesce(text, ''), chr(8230), '...'), chr(160) || chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(8211) || chr(8212), ' ' || chr(39) || chr(39) || chr(34) || chr(34) || ',,') AS t FROM conversations),
+b AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(regexp_replace(t, '[\x{200b}\x{200c}\x{200d}\x{feff}]', '', 'g'), '\s+', ' ', 'g')), '\s+([,.;:!?])', '\1', 'g') AS t FROM a)
+SELECT conv_id, turn, CASE WHEN regexp_matches(t, '[^.!?,;:]$') THEN t || '.' ELSE t END AS spoken FROM b"""
+)
 def speech_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.speech_text(F.col("text")).alias("spoken"))
 

@@ -9,7 +9,7 @@ from cuemill.functions.numbers import eta_seconds
 from cuemill.operators import publish, regions
 from cuemill.operators import timed_text as T
 
-from .tables import SEGMENTS_SQL, Registry, segments, table
+from .tables import SEGMENTS_SQL, Registry, segments, table, wrapped_sql
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -71,36 +71,95 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).withColumn("start", F.round(F.col("start") / 7200, 3)).withColumn("end", F.round(F.col("start") + F.col("value") / 150, 3))
 
 
-@R.add()
+
+#: Segments as ``_near`` gives them, and folds over a user's segments in order: a list of states, reduced by a lambda.
+_NEAR_SQL = f"""{SEGMENTS_SQL}, near AS (SELECT user_id, seq, round("start" / 7200, 3) AS s, round(round("start" / 7200, 3) + value / 150, 3) AS e, CASE WHEN language = 'purchase' THEN 'fr' ELSE 'en' END AS l FROM segments)"""
+_NEW = "(a.id = 0 OR b.l <> a.l OR b.s - a.last >= 3 OR b.e - a.first > 75)"
+_ROOM = "least(0.25, greatest(0.001, ({0}.e - {0}.s) / 2))"
+_LOW, _HIGH = f"(a.out[-1].s + {_ROOM.format('a.out[-1]')})", f"(b.e - {_ROOM.format('b')})"
+_CUT = f"(round_even(least(greatest((a.out[-1].e + b.s) / 2, {_LOW}), {_HIGH}) * 1000, 0) / 1000)"
+_REPAIRED_SQL = f"""folded AS (SELECT user_id, list_reduce(list({{'out': CAST([] AS STRUCT(seq BIGINT, s DOUBLE, e DOUBLE)[]), 'n': 0, 'seq': seq, 's': s, 'e': e}} ORDER BY s, seq), lambda a, b:
+  CASE WHEN len(a.out) > 0 AND a.out[-1].e - b.s > 0.05 AND {_LOW} <= {_HIGH}
+  THEN {{'out': list_append(list_append(a.out[1:len(a.out) - 1], {{'seq': a.out[-1].seq, 's': a.out[-1].s, 'e': {_CUT}}}), {{'seq': b.seq, 's': {_CUT}, 'e': b.e}}), 'n': a.n + 1, 'seq': b.seq, 's': b.s, 'e': b.e}}
+  ELSE {{'out': list_append(a.out, {{'seq': b.seq, 's': b.s, 'e': b.e}}), 'n': a.n, 'seq': b.seq, 's': b.s, 'e': b.e}} END,
+  {{'out': CAST([] AS STRUCT(seq BIGINT, s DOUBLE, e DOUBLE)[]), 'n': 0, 'seq': 0, 's': 0.0, 'e': 0.0}}) AS f FROM near GROUP BY user_id),
+repaired AS (SELECT user_id, n, x.seq AS seq, x.s AS s, x.e AS e FROM (SELECT user_id, f.n AS n, unnest(f.out) AS x FROM folded))"""
+_TEXTS = "STRUCT(s DOUBLE, e DOUBLE, t VARCHAR)[]"
+
+
+def _merged_sql(text: str, joins: str, merged: str) -> str:
+    """A fold over ``repaired`` with ``text``, joining a segment to the last one where ``joins``."""
+    return f"""WITH {_NEAR_SQL}, {_REPAIRED_SQL}, m AS (SELECT user_id, list_reduce(list({{'out': CAST([] AS {_TEXTS}), 's': s, 'e': e, 't': {text}}} ORDER BY s, seq), lambda a, b:
+  CASE WHEN len(a.out) > 0 AND {joins} THEN {{'out': list_append(a.out[1:len(a.out) - 1], {{'s': a.out[-1].s, 'e': greatest(a.out[-1].e, b.e), 't': {merged}}}), 's': b.s, 'e': b.e, 't': b.t}}
+  ELSE {{'out': list_append(a.out, {{'s': b.s, 'e': b.e, 't': b.t}}), 's': b.s, 'e': b.e, 't': b.t}} END, {{'out': CAST([] AS {_TEXTS}), 's': 0.0, 'e': 0.0, 't': ''}}).out AS out FROM repaired GROUP BY user_id)"""
+
+
+@R.add(
+    """WITH NEAR_SQL, f AS (SELECT user_id, list(seq ORDER BY s, seq) AS seqs, list_reduce(list({'out': CAST([] AS INTEGER[]), 'id': 0, 'first': s, 'last': e, 'l': l, 's': s, 'e': e} ORDER BY s, seq), lambda a, b:
+  {'out': list_append(a.out, a.id + CAST(NEW AS INTEGER)), 'id': a.id + CAST(NEW AS INTEGER), 'first': CASE WHEN NEW THEN b.s ELSE a.first END, 'last': b.e, 'l': b.l, 's': b.s, 'e': b.e},
+  {'out': CAST([] AS INTEGER[]), 'id': 0, 'first': 0.0, 'last': 0.0, 'l': '', 's': 0.0, 'e': 0.0}).out AS ids FROM near GROUP BY user_id)
+SELECT user_id, unnest(seqs) AS seq, unnest(ids) AS group_id FROM f""".replace("NEW", _NEW).replace("NEAR_SQL", _NEAR_SQL)
+)
 def span_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _near(spark, sf_dir).withColumn("language", F.when(F.col("language") == "purchase", "fr").otherwise("en"))
     return T.span_groups(rows, "user_id", ["start", "seq"]).select("user_id", "seq", "group_id")
 
 
-@R.add()
+@R.add(f"""WITH {_NEAR_SQL}, {_REPAIRED_SQL} SELECT user_id, seq, s AS "start", e AS "end", n AS repaired FROM repaired""")
 def overlap_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.repair_overlaps(_near(spark, sf_dir), "user_id", ["start", "seq"]).select("user_id", "seq", "start", "end", "repaired")
 
 
-@R.add()
+@R.add(
+    _merged_sql("'t' || seq", "b.e - b.s < 0.45 AND b.s - a.out[-1].e <= 0.15", "trim(rtrim(a.out[-1].t) || ' ' || ltrim(b.t))")
+    + """, h AS (SELECT user_id, CASE WHEN len(out) > 1 AND out[1].e - out[1].s < 0.45 AND out[2].s - out[1].e <= 0.15
+  THEN list_concat([{'s': least(out[1].s, out[2].s), 'e': out[2].e, 't': out[1].t || ' ' || out[2].t}], out[3:]) ELSE out END AS out FROM m)
+SELECT user_id, CAST(k - 1 AS INTEGER) AS pos, out[k].s AS "start", out[k].e AS "end", out[k].t AS text FROM (SELECT user_id, out, unnest(range(1, len(out) + 1)) AS k FROM h)"""
+)
 def coalesce_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.repair_overlaps(_near(spark, sf_dir), "user_id", ["start", "seq"]).withColumn("text", F.concat(F.lit("t"), F.col("seq").cast("string")))
     return T.coalesce_short(rows, "user_id", ["start", "seq"])
 
 
-@R.add()
+@R.add(
+    _merged_sql("'cue ' || seq || CASE WHEN seq % 6 = 0 THEN '.' ELSE '' END", "abs(round(b.s - a.out[-1].e, 6)) <= 0.12 AND NOT ends_with(a.out[-1].t, '.') AND b.e - a.out[-1].s <= 8 AND length(a.out[-1].t) + 1 + length(b.t) <= 180", "a.out[-1].t || ' ' || b.t")
+    + """ SELECT user_id, CAST(k - 1 AS INTEGER) AS pos, out[k].s AS "start", out[k].e AS "end", out[k].t AS text FROM (SELECT user_id, out, unnest(range(1, len(out) + 1)) AS k FROM m)"""
+)
 def merge_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.repair_overlaps(_near(spark, sf_dir), "user_id", ["start", "seq"]).withColumn("text", F.concat(F.lit("cue "), F.col("seq").cast("string"), F.when(F.col("seq") % 6 == 0, ".").otherwise("")))
     return T.merge_contiguous(rows, "user_id", ["start", "seq"])
 
 
-@R.add()
+
+_FULL = "(a.n > 0 AND (length(a.now) + 1 + length(b.w) > 42 OR a.n >= 8 OR a.lines + CAST(a.line + 1 + length(b.w) > 24 AS INTEGER) >= 3))"
+_ALONE = f"({_FULL} OR a.n = 0)"
+_N = f"(CASE WHEN {_FULL} THEN 1 ELSE a.n + 1 END)"
+_NOW = f"(CASE WHEN {_ALONE} THEN b.w ELSE a.now || ' ' || b.w END)"
+_OUT = f"(CASE WHEN {_FULL} THEN list_append(a.out, a.now) ELSE a.out END)"
+_ENDS = f"({_N} >= 3 AND regexp_matches(b.w, '[.!?;:]$'))"
+
+
+@R.add(
+    f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM conversations),
+f AS (SELECT conv_id, turn, list_reduce(list_transform(ws, lambda x: {{'out': CAST([] AS VARCHAR[]), 'now': '', 'n': 0, 'lines': 0, 'line': 0, 'w': x}}), lambda a, b:
+  {{'out': CASE WHEN {_ENDS} THEN list_append({_OUT}, {_NOW}) ELSE {_OUT} END, 'now': CASE WHEN {_ENDS} THEN '' ELSE {_NOW} END, 'n': CASE WHEN {_ENDS} THEN 0 ELSE {_N} END,
+   'lines': CASE WHEN {_ENDS} THEN 0 WHEN {_ALONE} THEN 1 ELSE a.lines + CAST(a.line + 1 + length(b.w) > 24 AS INTEGER) END,
+   'line': CASE WHEN {_ALONE} OR a.line + 1 + length(b.w) > 24 THEN length(b.w) ELSE a.line + 1 + length(b.w) END, 'w': b.w}}, {{'out': CAST([] AS VARCHAR[]), 'now': '', 'n': 0, 'lines': 0, 'line': 0, 'w': ''}}) AS s FROM w),
+c AS (SELECT conv_id, turn, CASE WHEN s.n > 0 THEN list_append(s.out, s.now) ELSE s.out END AS cs FROM f),
+e AS (SELECT conv_id, turn, cs[k] AS c, k, length(cs[k]) AS n, list_sum(list_transform(cs, lambda x: length(x))) AS total, list_sum(list_transform(cs[1:k], lambda x: length(x))) AS done, k = len(cs) AS last FROM (SELECT conv_id, turn, cs, unnest(range(1, len(cs) + 1)) AS k FROM c)),
+t AS (SELECT *, turn * 10.0 + 8.0 * (done - n) / total AS a, CASE WHEN last THEN turn * 10.0 + 8 ELSE turn * 10.0 + 8.0 * done / total END AS b FROM (SELECT * REPLACE (CAST(done AS DOUBLE) AS done, CAST(total AS DOUBLE) AS total, CAST(n AS DOUBLE) AS n) FROM e))
+SELECT conv_id, turn, CAST(k - 1 AS INTEGER) AS pos, round(a, 3) AS cue_start, round(greatest(a + 0.1, b), 3) AS cue_end, {wrapped_sql("string_split(c, ' ')", 24)} AS cue FROM t"""
+)
 def cue_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") * 10.0).alias("start"), (F.col("turn") * 10.0 + 8).alias("end"), "text")
     return T.split_cues(rows, ["conv_id", "turn"], 24)
 
 
-@R.add()
+@R.add(
+    r"""SELECT conv_id, list_reduce(list(coalesce(text, '') ORDER BY turn), lambda a, b: CASE WHEN trim(a) = '' THEN trim(b) WHEN trim(b) = '' THEN trim(a) WHEN regexp_matches(b, '^\s') THEN trim(a) || ' ' || trim(b)
+WHEN regexp_matches(trim(b), '^[,.;:!?%)\]}\x{3001}\x{3002}\x{ff0c}\x{ff01}\x{ff1f}]') THEN trim(a) || trim(b)
+WHEN regexp_matches(right(trim(a), 1) || left(trim(b), 1), '^[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]{2}$') THEN trim(a) || trim(b) ELSE trim(a) || ' ' || trim(b) END, '') AS text FROM conversations GROUP BY conv_id"""
+)
 def transcript_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.transcripts(table(spark, sf_dir, "conversations"), "conv_id", ["turn"])
 
