@@ -6,9 +6,12 @@ document would have to meet every shard. Instead shards and documents are brough
 a stretch; stretches whose anchor occurs once anywhere cannot hold a repeated window and go no further. The distinct
 stretches of the other anchors are the reference. They are dealt to shards of about ``max_words`` words by anchor, a
 suffix automaton with occurrence counts is built of each shard, and the shard's stretches are streamed through it for
-matching statistics: a window is repeated where the longest suffix that occurs twice has its length. Equal stretches are
-counted before the shuffle, and an anchor with more than ``max_contexts`` distinct stretches is taken out of the shards
-and settled window by window, so a very frequent line burdens no single task.
+matching statistics: a window is repeated where the longest suffix that occurs twice has its length. Only what the automata
+cannot add anything to is settled without them: stretches that are equal wherever their anchor occurs, and anchors with more
+than ``max_contexts`` distinct stretches, whose windows are counted one by one, so a very frequent line burdens no task.
+
+Equal stretches are those with two equal 64-bit hashes (``Words.identity``) and equal lengths. Frequent anchors and
+stretches are salted where they are joined.
 """
 
 from __future__ import annotations
@@ -25,22 +28,22 @@ from pyspark.sql import types as T
 
 from .arrow import as_text, blocks, text_buffer
 from .automaton import SuffixAutomaton
-from .shared import new_table_path, written
+from .shared import Scratch, new_table_path, salted_join, written
 from .wordscan import NOT_SPACE, Words, mix, scan
 
 ANCHOR = 9
-ROW = "__row"
+STRETCH = ["m", "s", "t"]  # anchor and both hashes of the words
 #: Places are word number * 64 + windows in the stretch.
-STRETCH = "m long, s long, row long, place long"
+FOUND = "m long, s long, t long, row long, place long"
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 _ARROW = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def stretches(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, content hash, first word and number of windows of every stretch."""
-    starts, _ = words.grams(window)
+def stretches(words: Words, window: int) -> tuple[np.ndarray, ...]:
+    """Anchor hash, both content hashes, first word and number of windows of every stretch."""
+    starts = words.gram_starts(window)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (*[np.zeros(0, np.uint64)] * 3, *[np.zeros(0, np.int64)] * 2)
     k = min(ANCHOR, window)
     at, hashes = words.grams(k)
     order = np.full(len(words.hashes), np.uint64(2**64 - 1))
@@ -53,7 +56,7 @@ def stretches(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.nda
     new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(starts)))
-    return order[anchor[first]], words.spans(starts[first], starts[first] + n + window - 1), starts[first], n
+    return order[anchor[first]], *words.identity(starts[first], starts[first] + n + window - 1), starts[first], n
 
 
 def _scan_blocks(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int, Words]]:
@@ -67,18 +70,19 @@ def _find_stretches(rows: DataFrame, text_col: str, window: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, _, words in _scan_blocks(batch.column(1)):
-                m, s, first, n = stretches(words, window)
+                *hashes, first, n = stretches(words, window)
                 row = np.searchsorted(words.rows, first, side="right") - 1
-                place = (first - words.rows[row]) * 64 + n
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m.view(np.int64), s.view(np.int64), ids[a + row], place)], names=["m", "s", "row", "place"])
+                place = (first - words.rows[row]) * 64 + n - 1
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(h.view(np.int64) for h in hashes), ids[a + row], place)], names=[*STRETCH, "row", "place"])
 
-    return rows.select(ROW, text_col).mapInArrow(find, STRETCH)
+    return rows.select("row", text_col).mapInArrow(find, FOUND)
 
 
 def _contents(distinct: DataFrame, rows: DataFrame, text_col: str, window: int) -> DataFrame:
-    """(m, s, n, words): the word hashes of one occurrence of each distinct stretch."""
-    wanted = distinct.select(F.col("one.row").alias(ROW), F.struct("m", "s", "n", F.col("one.place").alias("place")).alias("w")).groupBy(ROW).agg(F.collect_list("w").alias("wanted"))
-    met = rows.select(ROW, text_col).join(wanted, ROW)  # both by row number: the list holds places of that text only
+    """(m, s, t, n, words): the word hashes of one occurrence of each distinct stretch."""
+    wanted = distinct.select(F.col("one.row").alias("row"), F.struct(*STRETCH, "n", F.col("one.place").alias("place")).alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
+    met = rows.select("row", text_col).join(wanted, "row")  # both by row number: the list holds places of that text only
+    names = [*STRETCH, "n"]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,30 +93,31 @@ def _contents(distinct: DataFrame, rows: DataFrame, text_col: str, window: int)
                     base = words.rows[i - a]
                     for w in wanted[i]:
                         at = base + w["place"] // 64
-                        out.append((w["m"], w["s"], w["n"], words.hashes[at : at + w["place"] % 64 + window - 1].tobytes()))
-                m, s, n, c = zip(*out, strict=True) if out else ((),) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.binary())], names=["m", "s", "n", "words"])
+                        out.append((*(w[x] for x in names), words.hashes[at : at + w["place"] % 64 + window].tobytes()))
+                *columns, c = zip(*out, strict=True) if out else ((),) * 5
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array(c, pa.binary())], names=[*names, "words"])
 
-    return met.select(text_col, "wanted").mapInArrow(extract, "m long, s long, n long, words binary")
+    return met.select(text_col, "wanted").mapInArrow(extract, "m long, s long, t long, n long, words binary")
 
 
 def shard_masks(contents: DataFrame, window: int, n_shards: int) -> DataFrame:
-    """(m, s, mask): bit i is set where window i of the stretch occurs at least twice, by a suffix automaton per shard."""
+    """(m, s, t, n, mask): bit i is set where window i of the stretch occurs at least twice, by a suffix automaton per shard."""
     dealt = contents.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(n_shards)).cast("int")).repartition(n_shards, "shard").sortWithinPartitions("shard")
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         automaton = SuffixAutomaton()
-        rows = [(m, s, n, np.frombuffer(words, np.int64).tolist()) for m, s, n, words in rows]
-        for _, _, n, words in rows:
+        rows = [(*key, n, np.frombuffer(words, np.int64).tolist()) for *key, n, words in rows]
+        for *_, n, words in rows:
             automaton.add(words, n)
         automaton.finish()
         masks = [sum(1 << i for i, length in enumerate(automaton.repeated(words)[window - 1 :]) if length >= window) for *_, words in rows]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(masks, pa.int64())], names=["m", "s", "mask"])
+        masks = np.array(masks, np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(4)), pa.array(masks)], names=[*STRETCH, "n", "mask"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, current = [], None
         for batch in batches:
-            for shard, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for shard, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if held and shard != current:
                     yield settle(held)
                     held = []
@@ -121,78 +126,89 @@ def shard_masks(contents: DataFrame, window: int, n_shards: int) -> DataFrame:
         if held:
             yield settle(held)
 
-    return dealt.select("shard", "m", "s", "n", "words").mapInArrow(build, "m long, s long, mask long")
+    return dealt.select("shard", *STRETCH, "n", "words").mapInArrow(build, "m long, s long, t long, n long, mask long")
 
 
 def single_masks(contents: DataFrame, window: int) -> DataFrame:
     """The same masks, each window counted by itself."""
+    names = [*STRETCH, "n", "i", "window"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-            rows = [(m, s, n, i, words[8 * i : 8 * (i + window)]) for m, s, n, words in columns for i in range(len(words) // 8 - window + 1)]
-            m, s, n, i, w = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(i, pa.int32()), pa.array(w, pa.binary())], names=["m", "s", "n", "i", "words"])
+            columns = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+            rows = [(*key, i, words[8 * i : 8 * (i + window)]) for *key, words in columns for i in range(len(words) // 8 - window + 1)]
+            *ints, w = zip(*rows, strict=True) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in ints), pa.array(w, pa.binary())], names=names)
 
-    each = contents.select("m", "s", "n", "words").mapInArrow(cut, "m long, s long, n long, i int, words binary").select("m", "s", "n", "i", F.xxhash64("words").alias("x"), F.xxhash64("words", F.lit(1)).alias("y"))
-    often = each.groupBy("x", "y").agg(F.sum("n").alias("total")).filter("total >= 2").select("x", "y")
-    return each.join(often, ["x", "y"]).groupBy("m", "s").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    each = contents.select(*STRETCH, "n", "words").mapInArrow(cut, "m long, s long, t long, n long, i long, window binary").withColumn("window", F.unhex(F.md5("window")))
+    often = each.groupBy("window").agg(F.sum("n").alias("total")).filter("total >= 2").select("window")
+    return each.join(often, "window").groupBy(*STRETCH).agg(F.max("n").alias("n"), F.bit_or(F.expr("shiftleft(1L, cast(i as int))")).alias("mask"))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows under a stable number each, as a table bucketed by it: joins by row then move no text."""
+    """(row, d: the struct of all columns): the rows under a stable number each, in files bucketed by it, so that joins by
+    row move no text. The catalogue knows the table only while the plan is made."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"cuemill_rows_{uuid.uuid4().hex}"
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    rows.repartition(n, ROW).write.bucketBy(n, ROW).option("path", new_table_path(spark, "rows")).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
+    rows.repartition(n, "row").write.bucketBy(n, "row").option("path", new_table_path(spark, "rows")).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    return table
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, result_col: str = "repeats", max_words: int = 150_000, max_contexts: int = 1000) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, result_col: str = "repeats", max_words: int = 50_000, max_contexts: int = 1000) -> DataFrame:
     """``docs`` with a struct column ``result_col``: n_words, n_removed and kept (the words left, joined by one space).
 
     A word is removed if a window of ``window`` (at most 64) words that covers it, all of one text, also starts anywhere
     else in the input, the same text included. Of repeated rows every one loses its windows. A null, empty or shorter text
-    has no window; without words kept is empty. Empty tables give empty tables. Other columns pass through; one already
-    called ``result_col`` is replaced.
+    has no window; without words kept is empty. Empty tables give empty tables. Other columns, whatever their names, pass
+    through; one already called ``result_col`` is replaced.
     """
+    if not 1 <= window <= 64:
+        raise ValueError("window must be 1 to 64 words")
+    scratch = Scratch(docs.sparkSession)
     rows = _numbered(as_text(docs, text_col).drop(result_col))
-    found = _find_stretches(rows, text_col, window)
-    anchors = found.groupBy("m").agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high"))
-    anchors = written(anchors.filter("n > 1").select("m", (F.col("low") != F.col("high")).alias("mixed")), "repeats-anchors")
-    met = written(found.join(anchors, "m"), "repeats-met")
-
-    distinct = met.filter("mixed").groupBy("m", "s").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"))
-    contents = written(_contents(distinct, rows, text_col, window), "repeats-contents")
+    kept = rows.schema["d"].dataType.fields
+    texts = rows.select("row", F.col("d")[text_col].alias("text"))
+    found = _find_stretches(texts, "text", window)
+    low_high = [f(c).alias(f"{c}_{f.__name__}") for c in ("s", "t") for f in (F.min, F.max)]
+    anchors = found.groupBy("m").agg(F.count("*").alias("n"), *low_high).filter("n > 1")
+    anchors = scratch.written(anchors.select("m", "n", (F.expr("s_min <> s_max or t_min <> t_max")).alias("mixed")), "repeats-anchors")
+    met = scratch.written(salted_join(found, anchors, ["m"], ["row", "place"]), "repeats-met")
+
+    distinct = met.filter("mixed").groupBy(*STRETCH).agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"))
+    contents = scratch.written(_contents(distinct, texts, "text", window), "repeats-contents")
     contexts = contents.groupBy("m").agg(F.count("*").alias("contexts"))
-    frequent = written(contexts.filter(F.col("contexts") > max_contexts).select("m"), "repeats-frequent")
+    frequent = scratch.written(contexts.filter(F.col("contexts") > max_contexts).select("m"), "repeats-frequent")
     plain = contents.join(frequent, "m", "left_anti")
     total = plain.agg(F.sum(F.length("words")) / 8).first()[0] or 0
     masks = shard_masks(plain, window, max(1, int(-(-total // max_words))))
     masks = masks.unionAll(single_masks(contents.join(frequent, "m", "left_semi"), window)).filter("mask <> 0")
+    masks = scratch.written(masks, "repeats-masks")
 
-    settled = met.filter("mixed").join(masks, ["m", "s"]).select("row", "place", "mask")
-    certain = met.filter("not mixed").select("row", "place", F.expr("shiftleft(1L, cast(place & 63 as int)) - 1").alias("mask"))
-    spots = settled.unionAll(certain).groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("place", "mask")).alias("__spots"))
-    kept = [f for f in rows.schema.fields if f.name != ROW]
+    settled = salted_join(met.filter("mixed").select(*STRETCH, "row", "place"), masks, STRETCH, ["row", "place"]).select("row", "place", "mask")
+    certain = met.filter("not mixed").select("row", "place", F.expr("shiftrightunsigned(-1L, 63 - cast(place & 63 as int))").alias("mask"))
+    spots = written(settled.unionAll(certain).groupBy("row").agg(F.collect_list(F.struct("place", "mask")).alias("spots")), "repeats-spots")
+    scratch.clear()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots = batch.column(batch.num_columns - 1).to_pylist()
+            d, spots = batch.column(0), batch.column(1).to_pylist()
+            columns = d.flatten()
             out = []
-            for a, b, words in _scan_blocks(batch.column(batch.schema.get_field_index(text_col))):
+            for a, b, words in _scan_blocks(columns[[f.name for f in kept].index(text_col)]):
                 for i in range(a, b):
                     lo, hi = words.rows[i - a], words.rows[i - a + 1]
                     edge = np.zeros(hi - lo + 1, np.int32)
                     for p in spots[i] or ():
                         at, mask = p["place"] // 64, p["mask"]
-                        on = [at + j for j in range(p["place"] % 64) if mask >> j & 1]
+                        on = [at + j for j in range(p["place"] % 64 + 1) if mask >> j & 1]
                         np.add.at(edge, on, 1)
                         np.add.at(edge, [x + window for x in on], -1)
                     left = np.flatnonzero(np.cumsum(edge)[:-1] == 0) + lo
                     out.append({"n_words": int(hi - lo), "n_removed": int(hi - lo - len(left)), "kept": b" ".join([words.word(j) for j in left.tolist()]).decode("utf-8")})
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(out, _ARROW)], names=[*(f.name for f in kept), result_col])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, _ARROW)], names=[*(f.name for f in kept), result_col])
 
-    joined = rows.join(spots, ROW, "left").select(*(F.col(f"`{f.name}`") for f in kept), "__spots")
-    return joined.mapInArrow(cut, T.StructType([*kept, T.StructField(result_col, RESULT)]))
+    return rows.join(spots, "row", "left").select("d", "spots").mapInArrow(cut, T.StructType([*kept, T.StructField(result_col, RESULT)]))

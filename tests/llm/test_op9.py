@@ -3,7 +3,9 @@ import random
 import re
 from collections import Counter
 
-from cuemill.llm import repeats
+import pytest
+
+from cuemill.llm import repeats, shared
 from cuemill.llm.automaton import SuffixAutomaton
 from cuemill.llm.queries import QUERIES
 
@@ -34,16 +36,44 @@ def cases():
 
 def test_equals_brute_force(spark, make_docs):
     texts = cases()
-    docs = make_docs(texts, [i // 2 for i in range(len(texts))]).selectExpr("*", "1 as repeats", "2 as row", "3 as m")
+    docs = make_docs(texts, [i // 2 for i in range(len(texts))]).selectExpr("*", "1 as repeats", "2 as row", "3 as m", "4 as d", "5 as `a.b`")
     for window, options in ((35, {}), (35, {"max_contexts": 5, "max_words": 500}), (6, {"max_contexts": 20, "max_words": 300})):
         got = repeats.remove_repeats(docs, window=window, **options)
-        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "m", "repeats"]
+        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "m", "d", "a.b", "repeats"]
         want = sorted((t or "", *b) for t, b in zip(texts, brute(texts, window), strict=True))
         assert sorted((r["text"] or "", *r["repeats"]) for r in got.collect()) == want
 
 
 def test_empty(spark, make_docs):
     assert repeats.remove_repeats(make_docs([])).collect() == []
+    assert not [t for t in spark.catalog.listTables() if "cuemill" in t.name]
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(make_docs(["a"]), window=65)
+
+
+def test_windows_of_64_words(spark, make_docs):
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(150))
+    texts = [" ".join(f"u{rng.random()}" for _ in range(n)) + " " + passage for n in (0, 1, 70, 90)] + [passage + " end"]
+    got = repeats.remove_repeats(make_docs(texts), window=64).collect()
+    assert sorted(tuple(r["repeats"]) for r in got) == sorted(brute(texts, 64))
+
+
+def test_frequent_stretches_are_salted(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(shared, "HOT", 3)
+    texts = cases()[3:40] + [" ".join(f"l{i}" for i in range(45))] * 1500
+    got = repeats.remove_repeats(make_docs(texts)).collect()
+    assert sorted((r["text"] or "", *r["repeats"]) for r in got) == sorted((t or "", *b) for t, b in zip(texts, brute(texts, 35), strict=True))
+
+
+def test_words_that_collide_in_a_polynomial_hash(spark, make_docs):
+    """Thue-Morse words and their complements: one hash under any polynomial of odd base modulo 2**64."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(1 << 12))
+    b = a.translate({97: 98, 98: 97})
+    texts = [" ".join([*(f"w{i}" for i in range(34)), x]) for x in (a, b)] + [" ".join("xy"[(i.bit_count() + j) % 2] for i in range(64)) for j in (0, 1)]
+    got = {r["doc_id"]: r["repeats"] for r in repeats.remove_repeats(make_docs(texts)).collect()}
+    for i, (n, gone, kept) in enumerate(brute(texts, 35)):
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept"]) == (n, gone, kept)
 
 
 def test_automaton():
