@@ -152,9 +152,12 @@ def hashtag_list(text: Column) -> Column:
     """Tags with "#", cleaned, the first spelling of each kept, in order."""
     tokens = F.split(F.coalesce(text, F.lit("")), r"(?U)[\s,;]+")
     clean = F.filter(F.transform(tokens, lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "^#+", ""), r"(?U)[^\w]", ""), "^_+|_+$", "")), lambda t: t != "")
-    keys = F.transform(clean, lambda t: F.lower(t))
-    kept = F.filter(F.arrays_zip(clean.alias("tag"), F.sequence(F.lit(1), F.greatest(F.size(clean), F.lit(1))).alias("at")), lambda x: x["tag"].isNotNull() & (F.array_position(keys, F.lower(x["tag"])) == x["at"]))
-    return F.transform(kept, lambda x: F.concat(F.lit("#"), x["tag"]))
+    bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  # evaluates the value once, however often it is used
+
+    def first_ones(tags: Column) -> Column:
+        return bound(F.transform(tags, lambda t: F.lower(t)), lambda keys: F.filter(tags, lambda t, i: F.array_position(keys, keys[i]) == i + 1))
+
+    return F.transform(bound(clean, first_ones), lambda t: F.concat(F.lit("#"), t))
 
 
 def fitting_tags(tags: Column) -> Column:

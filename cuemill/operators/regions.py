@@ -6,6 +6,7 @@ import math
 from itertools import groupby
 from operator import attrgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,29 +127,32 @@ def phrases(text: str | None, limit: int, strict: bool = False) -> list[str]:
             fewest, filled = fewest + 1, len(w)
         else:
             filled += 1 + len(w)
+    widths = []  # for 1, 2 ... words, the length of a part that starts at each word, and infinity where that is too long
+    for k in range(1, n + 1):
+        length = np.full(n, np.inf)
+        length[: n - k + 1] = np.array(size[k:]) - np.array(size[: n - k + 1]) - 1
+        if k > 1:
+            length[length > soft] = np.inf
+            if not np.isfinite(length).any():
+                break
+        widths.append(length)
     for parts in range(max(fewest, math.ceil(total / soft)), n + 1):
         mean = total / parts
-        # best[i]: least cost of words[i:] in the parts that are left, and where the first of them ends
-        best: list[tuple[float, int] | None] = [None] * n + [(0.0, n)]
-        ends: list[list[int]] = []
-        for left in range(1, parts + 1):
-            now: list[tuple[float, int] | None] = [None] * (n + 1)
-            for i in range(n - left, -1, -1):
-                for j in range(i + 1, n - left + 2):
-                    length = size[j] - size[i] - 1
-                    if length > soft and j > i + 1:
-                        break
-                    if best[j] is not None:
-                        cost = (length - mean) ** 2 + (mean**2 if j == i + 1 and n >= 2 * parts else 0) + best[j][0]
-                        if now[i] is None or cost < now[i][0]:
-                            now[i] = (cost, j)
-            best = now
-            ends.append([x[1] if x else -1 for x in now])
-        if best[0] is not None:
+        cost = [np.where(np.isfinite(w), (w - mean) ** 2 + (mean**2 if k == 0 and n >= 2 * parts else 0), np.inf) for k, w in enumerate(widths)]
+        # best[i]: least cost of words[i:] in the parts that are left; ends: how many words the first of them takes
+        best = np.full(n + len(widths) + 1, np.inf)
+        best[n] = 0
+        ends = []
+        for _ in range(parts):
+            every = np.stack([c + best[k + 1 : k + 1 + n] for k, c in enumerate(cost)])
+            ends.append(every.argmin(axis=0) + 1)
+            best = np.full(n + len(widths) + 1, np.inf)
+            best[:n] = every.min(axis=0)
+        if np.isfinite(best[0]):
             out, at = [], 0
-            for left in range(parts - 1, -1, -1):
-                out.append(" ".join(words[at : ends[left][at]]))
-                at = ends[left][at]
+            for taken in reversed(ends):
+                out.append(" ".join(words[at : at + taken[at]]))
+                at += int(taken[at])
             return out
     return words
 
@@ -159,6 +163,7 @@ def balanced_phrases(rows: DataFrame, text: str, limit: int, strict: bool = Fals
 
     def run(parts):
         for part in parts:
-            yield part.assign(**{result: [phrases(t, limit, strict) for t in part[text]]})
+            made = {t: phrases(t, limit, strict) for t in part[text].unique()}
+            yield part.assign(**{result: part[text].map(made)})
 
     return rows.mapInPandas(run, schema)

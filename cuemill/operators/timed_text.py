@@ -1,7 +1,8 @@
 """Timed text: windows, ordered folds and interval joins over segments (start, end in seconds).
 
-Every ordered operator takes its key and a total order. Folds run in the JVM over the sorted array of one key, such as
-the segments of one recording, which is bounded by its length.
+Every ordered operator takes its key and a total order. Where a result depends on what came before, windows first cut a key
+into runs at places where no state is carried over (a long silence, a segment that can not be joined to anything); only
+inside a run a fold goes over the sorted array, in the JVM.
 """
 
 from __future__ import annotations
@@ -76,30 +77,44 @@ def segment_faults(rows: DataFrame, by: str, order: Sequence[str], duration: Col
     return rows.withColumn("fault", fault.when(overlap, "overlap").when(F.col("end") > duration + 0.5, "outside"))
 
 
-def _sorted(rows: DataFrame, by: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def _sorted(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One row a key: ``seg``, its segments in order."""
-    return rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias("seg"))
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias("seg"))
+
+
+def _runs(rows: DataFrame, by: str, order: Sequence[str], starts: Column) -> DataFrame:
+    """``rows`` with ``__run``: numbered up in each key where ``starts`` holds; a null starts a run."""
+    w = Window.partitionBy(by).orderBy(*order)
+    marked = rows.withColumn("__starts", F.coalesce(starts, F.lit(True)).cast("int"))
+    return marked.withColumn("__run", F.sum("__starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__starts")
 
 
 def span_groups(rows: DataFrame, by: str, order: Sequence[str], language: str = "language", gap: float = SPLIT_GAP, span: float = GROUP_SPAN) -> DataFrame:
     """``group_id`` from 1: a new group at a change of language, a silence of ``gap`` or when the span from the group's own
-    start would be over ``span``; so the last depends on where the group began, which only a fold in order knows."""
-    folded = _sorted(rows, by, order, ["start", "end", language])
-    zero = F.expr(f"named_struct('out', cast(array() as array<int>), 'id', 0, 'first', cast(0 as double), 'last', cast(0 as double), 'lang', cast('' as string))")
+    start would be over ``span``. The first two end a run; the last depends on where the group began, so a run is folded."""
+    w = Window.partitionBy(by).orderBy(*order)
+    kind = F.coalesce(F.nullif(F.col(language), F.lit("")), F.lit("en"))
+    cut = (kind != F.lag(kind).over(w)) | (F.col("start") - F.lag("end").over(w) >= gap)
+    folded = _sorted(_runs(rows, by, order, cut), [by, "__run"], order, ["start", "end", language])
+    zero = F.expr("named_struct('out', cast(array() as array<int>), 'id', 0, 'first', cast(0 as double))")
 
     def step(s: Column, x: Column) -> Column:
-        lang = F.coalesce(F.nullif(x[language], F.lit("")), F.lit("en"))
-        new = (s["id"] == 0) | (lang != s["lang"]) | (x["start"] - s["last"] >= gap) | (x["end"] - s["first"] > span)
+        new = (s["id"] == 0) | (x["end"] - s["first"] > span)
         number = F.when(new, s["id"] + 1).otherwise(s["id"])
-        return F.struct(F.concat(s["out"], F.array(number)).alias("out"), number.alias("id"), F.when(new, x["start"]).otherwise(s["first"]).alias("first"), x["end"].alias("last"), lang.alias("lang"))
+        return F.struct(F.concat(s["out"], F.array(number)).alias("out"), number.alias("id"), F.when(new, x["start"]).otherwise(s["first"]).alias("first"))
 
-    ids = F.aggregate("seg", zero, step, lambda s: s["out"])
-    return folded.select(by, F.explode(F.arrays_zip("seg", ids.alias("group_id"))).alias("z")).select(by, "z.seg.*", "z.group_id")
+    done = folded.withColumn("ids", F.aggregate("seg", zero, step, lambda s: s["out"]))
+    before = F.coalesce(F.sum(F.try_element_at("ids", F.lit(-1))).over(Window.partitionBy(by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = done.withColumn("__before", before).select(by, "__before", F.explode(F.arrays_zip("seg", "ids")).alias("z"))
+    return each.select(by, "z.seg.*", (F.col("__before") + F.col("z.ids")).cast("int").alias("group_id"))
 
 
 def coalesce_short(rows: DataFrame, by: str, order: Sequence[str], text: str = "text") -> DataFrame:
-    """Segments under 0.45 s joined to the one before where it is near; then a short first one to the second."""
-    folded = _sorted(rows, by, order, ["start", "end", text])
+    """Segments under 0.45 s joined to the one before where it is near; then a short first one to the second.
+
+    A longer segment is never joined to the one before, so it starts a run.
+    """
+    folded = _sorted(_runs(rows, by, order, F.col("end") - F.col("start") >= SHORT_SPAN), [by, "__run"], order, ["start", "end", text])
     one = lambda x: F.struct(x["start"].cast("double").alias("start"), x["end"].cast("double").alias("end"), F.coalesce(x[text], F.lit("")).alias(text))
     spaced = lambda a, b: F.trim(F.concat(F.rtrim(a), F.lit(" "), F.ltrim(b)))
 
@@ -110,17 +125,23 @@ def coalesce_short(rows: DataFrame, by: str, order: Sequence[str], text: str = "
         return F.when(joins, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(out, F.array(x)))
 
     done = F.aggregate("seg", F.expr(f"cast(array() as array<struct<start:double,end:double,{text}:string>>)"), step)
-    a, b = F.try_element_at("out", F.lit(1)), F.try_element_at("out", F.lit(2))
-    head = (F.size("out") > 1) & (a["end"] - a["start"] < SHORT_SPAN) & (b["start"] - a["end"] <= JOIN_GAP)
-    first = F.struct(F.least(a["start"], b["start"]).alias("start"), b["end"].alias("end"), spaced(a[text], b[text]).alias(text))
-    out = folded.select(by, done.alias("out")).withColumn("out", F.when(head, F.concat(F.array(first), F.slice("out", 3, F.greatest(F.size("out"), F.lit(1))))).otherwise(F.col("out")))
-    return out.select(by, F.posexplode("out").alias("pos", "s")).select(by, "pos", "s.*")
+    each = folded.select(by, "__run", F.posexplode(done).alias("__at", "s")).select(by, "__run", "__at", "s.*")
+    w = Window.partitionBy(by).orderBy("__run", "__at")
+    each = each.withColumn("pos", F.row_number().over(w) - 1)
+    head = (F.col("pos") == 0) & (F.col("end") - F.col("start") < SHORT_SPAN) & (F.lead("start").over(w) - F.col("end") <= JOIN_GAP)
+    each = each.withColumn("__head", F.coalesce(head, F.lit(False)))
+    first = Window.partitionBy(by)
+    joined = F.coalesce(F.lag("__head").over(w), F.lit(False))
+    out = each.withColumn("__joined", joined).withColumn("__start", F.when(joined, F.least(F.lag("start").over(w), "start")).otherwise(F.col("start"))).withColumn("__text", F.when(joined, spaced(F.lag(text).over(w), F.col(text))).otherwise(F.col(text)))
+    out = out.withColumn("pos", F.col("pos") - F.max(F.col("__head").cast("int")).over(first)).filter("not __head")
+    return out.select(by, "pos", F.col("__start").alias("start"), "end", F.col("__text").alias(text))
 
 
 def repair_overlaps(rows: DataFrame, by: str, order: Sequence[str], duration: Column | None = None, least: float = 0.25) -> DataFrame:
     """Overlaps over 0.05 s cut at the middle, each side keeping ``least`` seconds or half its span; a pair sees what the pair
-    before it has repaired, so this is a fold. ``repaired`` counts the boundaries of the key."""
-    folded = _sorted(rows, by, order, ["start", "end"])
+    before it has repaired, so chains of overlaps are folded. ``repaired`` counts the boundaries of the key."""
+    w = Window.partitionBy(by).orderBy(*order)
+    folded = _sorted(_runs(rows, by, order, F.lag("end").over(w) - F.col("start") <= OVERLAP), [by, "__run"], order, ["start", "end"])
     if duration is not None:
         folded = folded.join(rows.groupBy(by).agg(F.max(duration).alias("__duration")), by)
     limit = F.col("__duration") if duration is not None else F.lit(float("inf"))
@@ -136,28 +157,37 @@ def repair_overlaps(rows: DataFrame, by: str, order: Sequence[str], duration: Co
         return F.struct(F.when(mends, fixed).otherwise(F.concat(out, F.array(x))).alias("out"), (s["n"] + F.when(mends, 1).otherwise(0)).alias("n"))
 
     done = F.aggregate("seg", F.expr(f"named_struct('out', cast(array() as array<struct<{fields}>>), 'n', 0)"), step)
-    return folded.select(by, done.alias("d")).select(by, F.col("d.n").alias("repaired"), F.explode("d.out").alias("s")).select(by, "repaired", "s.*")
+    done = folded.select(by, done.alias("d")).withColumn("repaired", F.sum("d.n").over(Window.partitionBy(by)).cast("int"))
+    return done.select(by, "repaired", F.explode("d.out").alias("s")).select(by, "repaired", "s.*")
 
 
 def merge_contiguous(rows: DataFrame, by: str, order: Sequence[str], text: str = "text") -> DataFrame:
-    """Cues joined with the one before when it is within 0.12 s, ends no sentence, and both make at most 8 s and 180 characters."""
-    folded = _sorted(rows, by, order, ["start", "end", text])
+    """Cues joined with the one before when it is within 0.12 s, ends no sentence, and both make at most 8 s and 180 characters.
+
+    A cue after the end of a sentence, or over 0.12 s after all before it, starts a run.
+    """
+    w = Window.partitionBy(by).orderBy(*order)
+    stop = "[.!?。！？…][\"'”’)]*$"
+    plain = squeeze(F.coalesce(F.col(text), F.lit("")))
+    late = F.round(F.col("start") - F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), 6) > 0.12
+    folded = _sorted(_runs(rows, by, order, F.lag(plain).over(w).rlike(stop) | late), [by, "__run"], order, ["start", "end", text])
 
     def step(out: Column, raw: Column) -> Column:
         x = F.struct(raw["start"].cast("double").alias("start"), raw["end"].cast("double").alias("end"), squeeze(F.coalesce(raw[text], F.lit(""))).alias(text))
         last = F.try_element_at(out, F.lit(-1))
         near = F.abs(F.round(x["start"] - last["end"], 6)) <= 0.12
-        joins = (F.size(out) > 0) & near & ~last[text].rlike("[.!?。！？…][\"'”’)]*$") & (x["end"] - last["start"] <= 8) & (F.length(last[text]) + 1 + F.length(x[text]) <= 180)
+        joins = (F.size(out) > 0) & near & ~last[text].rlike(stop) & (x["end"] - last["start"] <= 8) & (F.length(last[text]) + 1 + F.length(x[text]) <= 180)
         merged = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.trim(F.concat_ws(" ", last[text], x[text])).alias(text))
         return F.when(joins, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(out, F.array(x)))
 
     done = F.aggregate("seg", F.expr(f"cast(array() as array<struct<start:double,end:double,{text}:string>>)"), step)
-    return folded.select(by, F.posexplode(done).alias("pos", "s")).select(by, "pos", "s.*")
+    each = folded.select(by, "__run", F.posexplode(done).alias("__at", "s")).select(by, "__run", "__at", "s.*")
+    return each.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy("__run", "__at")) - 1).drop("__run", "__at").select(by, "pos", "start", "end", text)
 
 
 def transcripts(rows: DataFrame, by: str, order: Sequence[str], text: str = "text") -> DataFrame:
     """The text of a key's segments as one, joined as their scripts need."""
-    return _sorted(rows, by, order, [text]).select(by, F.aggregate("seg", F.lit(""), lambda s, x: join_text(s, x[text])).alias(text))
+    return _sorted(rows, [by], order, [text]).select(by, F.aggregate("seg", F.lit(""), lambda s, x: join_text(s, x[text])).alias(text))
 
 
 def cue_chunks(text: Column, limit: int) -> Column:
@@ -206,21 +236,41 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def best_overlap(segments: DataFrame, sources: DataFrame, by: str) -> DataFrame:
+def _overlapping(left: DataFrame, right: DataFrame, by: str, seconds: float) -> DataFrame:
+    """Rows of ``left`` (start, end) with those of ``right`` (__a, __b) of their key that they overlap, each pair once: both
+    sides are dealt to the buckets of time that they touch, and a pair counts in the first bucket that both touch."""
+    bucket = lambda c: F.floor(c / seconds)
+    touched = lambda a, b: F.explode(F.sequence(bucket(a), F.greatest(bucket(a), bucket(b))))
+    x, y = left.withColumn("__bucket", touched(F.col("start"), F.col("end"))), right.withColumn("__bucket", touched(F.col("__a"), F.col("__b")))
+    met = x.join(y, [by, "__bucket"]).filter((F.least("end", "__b") > F.greatest("start", "__a")) & (F.col("__bucket") == F.greatest(bucket(F.col("start")), bucket(F.col("__a")))))
+    return met.drop("__bucket")
+
+
+def best_overlap(segments: DataFrame, sources: DataFrame, by: str, bucket_seconds: float = 300.0) -> DataFrame:
     """For each segment (``by``, seq, start, end) the source (same columns) with the greatest overlap: ties by nearer middle,
-    then by order. The join is within ``by``; sources that do not overlap compete too."""
+    then by order. A segment that overlaps no source gets the one with the nearest middle, found by windows over both."""
     s = sources.select(by, F.col("seq").alias("source_seq"), F.col("start").alias("__a"), F.col("end").alias("__b"))
-    overlap = F.greatest(F.lit(0.0), F.least("end", "__b") - F.greatest("start", "__a"))
+    overlap = F.least("end", "__b") - F.greatest("start", "__a")
     apart = F.abs((F.col("start") + F.col("end")) / 2 - (F.col("__a") + F.col("__b")) / 2)
     best = F.min_by(F.struct("source_seq", F.round(overlap, 3).alias("overlap")), F.struct((-overlap).alias("o"), apart.alias("m"), F.col("source_seq").alias("q")))
-    return segments.join(s, by).groupBy(by, "seq").agg(best.alias("b")).select(by, "seq", "b.*")
+    met = _overlapping(segments.select(by, "seq", "start", "end"), s, by, bucket_seconds).groupBy(by, "seq").agg(best.alias("b")).select(by, "seq", "b.*")
+
+    middle = (F.col("start") + F.col("end")) / 2
+    both = segments.select(by, "seq", F.lit(None).cast("long").alias("source_seq"), middle.alias("m")).unionByName(sources.select(by, F.lit(None).cast("long").alias("seq"), F.col("seq").cast("long").alias("source_seq"), middle.alias("m")))
+    w = Window.partitionBy(by).orderBy("m")
+    source = lambda sign: F.when(F.col("source_seq").isNotNull(), F.struct("m", (sign * F.col("source_seq")).alias("q")))
+    near = both.withColumn("__p", F.max(source(-1)).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.min(source(1)).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    before = F.when(F.col("__p").isNotNull(), F.struct((F.col("m") - F.col("__p.m")).alias("d"), (-F.col("__p.q")).alias("q")))
+    after = F.when(F.col("__n").isNotNull(), F.struct((F.col("__n.m") - F.col("m")).alias("d"), F.col("__n.q").alias("q")))
+    nearest = near.filter("source_seq is null and (__p is not null or __n is not null)").select(by, "seq", F.least(before, after)["q"].alias("source_seq"), F.lit(0.0).alias("overlap"))
+    return met.unionByName(nearest.join(met, [by, "seq"], "left_anti"))
 
 
-def intrusions(aligned: DataFrame, sources: DataFrame, by: str, group: str) -> DataFrame:
+def intrusions(aligned: DataFrame, sources: DataFrame, by: str, group: str, bucket_seconds: float = 300.0) -> DataFrame:
     """Aligned segments that overlap a source of another group by over 0.05 s more than their own source did: the first such."""
     own = sources.select(by, "seq", F.col("start").alias("__s"), F.col("end").alias("__e"), F.col(group).alias("__g"))
     other = sources.select(by, F.col("seq").alias("other_seq"), F.col("start").alias("__a"), F.col("end").alias("__b"), F.col(group).alias("__og"))
-    met = aligned.select(by, "seq", "start", "end").join(own, [by, "seq"]).join(other, by).filter("__og <> __g")
+    met = _overlapping(aligned.select(by, "seq", "start", "end").join(own, [by, "seq"]), other, by, bucket_seconds).filter("__og <> __g")
     over = lambda a, b: F.greatest(F.lit(0.0), F.least(b, "__b") - F.greatest(a, "__a"))
     found = met.withColumn("overlap", over("start", "end")).withColumn("before", over("__s", "__e")).filter(F.col("overlap") > F.col("before") + OVERLAP)
     return found.groupBy(by, "seq").agg(F.min_by(F.struct("other_seq", F.round("overlap", 3).alias("overlap")), "other_seq").alias("f")).select(by, "seq", "f.*")

@@ -17,9 +17,11 @@ def changes_since(changes: DataFrame, revision: int, retained: int = 4096) -> Da
 
     Nothing after it gives no ids. If changes right after it are no longer retained, everything must be refreshed.
     """
-    recent = changes.filter(F.col("revision") > revision).groupBy().agg(F.max("revision").alias("newest"), F.array_sort(F.collect_set("id")).alias("ids"))
-    newest, old = F.coalesce("newest", F.lit(revision)), F.coalesce(F.col("newest") - retained > revision, F.lit(False))
-    return recent.select(newest.alias("newest"), old.alias("refresh"), F.when(old, F.slice("ids", 1, 0)).otherwise(F.col("ids")).alias("ids"))
+    newest = changes.filter(F.col("revision") > revision).agg(F.coalesce(F.max("revision"), F.lit(revision)).alias("newest"))
+    newest = newest.withColumn("refresh", F.col("newest") - retained > revision)
+    wanted = changes.filter(F.col("revision") > revision).join(F.broadcast(newest.filter("not refresh").select(F.lit(True).alias("__few"))), F.lit(True))  # at most ``retained`` revisions
+    ids = wanted.agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return newest.join(F.broadcast(ids), F.lit(True)).select("newest", "refresh", "ids")
 
 
 def current_only(results: DataFrame, generations: DataFrame, key: str) -> DataFrame:
