@@ -45,17 +45,22 @@ def _places(symbols: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _ranked(symbols: np.ndarray, ok: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the pairs that occur ``least`` times or more, the rank of each by frequency, and the pairs' counts by rank."""
+def _often(symbols: np.ndarray, ok: np.ndarray, least: int) -> np.ndarray:
+    """Places that hold every pair that occurs ``least`` times or more, and few others."""
     bucket = symbols[:-1] * np.uint32(0x9E3779B1)
     bucket ^= symbols[1:] * np.uint32(0x85EBCA77)
     bucket >>= np.uint32(14)
     bucket[~ok] = BUCKETS
     often = np.bincount(bucket, minlength=BUCKETS + 1) >= least  # a bucket has every occurrence of its pairs
     often[BUCKETS] = False
-    at = np.flatnonzero(often[bucket])
+    return np.flatnonzero(often[bucket])
+
+
+def _ranked(symbols: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs at these places, which have all occurrences of a pair or none: the places of pairs that occur ``least`` times
+    or more, the rank of each by frequency, and the pairs' counts by rank."""
     code = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code)
     code = code[order]
     start = np.flatnonzero(np.concatenate([np.ones(min(1, len(code)), bool), code[1:] != code[:-1]]))
     n = np.diff(np.append(start, len(code)))
@@ -91,37 +96,62 @@ def _choose(n: int, at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.nd
     return at[enough], rank[enough]
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the number of each value among them."""
+    top = int(values.max(initial=0)) + 1
+    if top > 1 << 22:
+        distinct, number = np.unique(values, return_inverse=True)
+        return distinct, number.astype(np.uint32)
+    seen = np.zeros(top, bool)
+    seen[values] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.uint32) - np.uint32(1))[values]
+
+
 def compress(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terminals' ids, rules, expansion lengths, symbols, symbols of each document); a document has one id at least."""
     ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
-    terminals, symbols = np.unique(ids, return_inverse=True)
-    symbols = symbols.astype(np.uint32)
+    terminals, symbols = _numbered(ids)
     inside = np.ones(len(symbols), bool)  # whether the next symbol is of the same document
     inside[np.cumsum([len(d) for d in docs], dtype=np.int64) - 1] = False
     first = len(terminals)
     rules: list[np.ndarray] = []
     lengths = np.ones(first, np.int64)
-    least = max(LEAST, len(symbols) // 64)
+    least = LEAST
+    while least * STEP <= len(symbols) // 64:
+        least *= STEP
+    known = None  # places to look at, where the last round had the same threshold
     while len(symbols) > 1:
-        at, rank, counts = _ranked(symbols, _places(symbols, inside), least)
+        ok = _places(symbols, inside)
+        at, rank, counts = _ranked(symbols, _often(symbols, ok, least) if known is None else known[ok[known]], least)
         if not len(counts):
+            if known is not None:  # a last look at everything
+                known = None
+                continue
             if least == LEAST:
                 break
-            least = max(LEAST, least // STEP)
+            least //= STEP
             continue
         places, used = _choose(len(symbols), at, rank)
         if not len(places):  # overlaps leave no pair enough: the best one alone
             places, used = at[rank == 0], rank[rank == 0]
-        kept, slot = np.unique(used, return_inverse=True)
+        kept, slot = _numbered(used)
         example = np.empty(len(kept), np.int64)
         example[slot] = places
         pairs = np.stack([symbols[example], symbols[example + 1]], axis=1)
         rules.append(pairs)
-        symbols[places] = (len(lengths) + slot).astype(np.uint32)
+        new = len(lengths)
+        symbols[places] = (new + slot).astype(np.uint32)
         lengths = np.concatenate([lengths, lengths[pairs[:, 0]] + lengths[pairs[:, 1]]])
         stays = np.ones(len(symbols), bool)
         stays[places + 1] = False
         inside[places] = inside[places + 1]
+        if least == LEAST:  # only pairs that were frequent, and those with a new symbol, can be frequent now
+            moved = np.cumsum(stays) - 1
+            look = np.zeros(int(moved[-1]) + 2, bool)
+            look[moved[at[stays[at]]]] = True
+            look[moved[places]] = look[moved[places] - 1] = True
+            look[-2:] = False
+            known = np.flatnonzero(look)
         symbols, inside = symbols[stays], inside[stays]
         least = max(LEAST, least // STEP)
     per_doc = np.diff(np.flatnonzero(~inside), prepend=-1)
