@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,20 +29,46 @@ def current_only(results: DataFrame, generations: DataFrame, key: str) -> DataFr
     return results.join(generations.select(key, F.col("generation").alias("__now")), key).filter(F.col("generation") == F.col("__now")).drop("__now")
 
 
-def maintain(stream: DataFrame, path: str, key: str, checkpoint: str, affected: Callable[[DataFrame, DataFrame], DataFrame] | None = None):
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a maintained table."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a maintained table."""
+    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1]}")
+
+
+def maintain(stream: DataFrame, path: str, key: str, checkpoint: str, affected: Callable[[DataFrame, DataFrame], DataFrame] | None = None, kept: int = 2):
     """Keeps a Parquet table of the latest row of each key; ``affected`` (table, batch) may add what else to write.
 
-    A batch is written beside the table under its number, and readers take the newest complete one, so a batch that is
-    run twice after a failure gives the same table.
+    A batch is written beside the table under its number, and readers take the newest complete one (``newest``), so a batch
+    that is run twice after a failure gives the same table. Versions older than the last ``kept`` are deleted.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(*[c for c in ("revision", "updated_at") if c in batch.columns] or [key])).alias("r")).select("r.*")
-        table = last if number == 0 else upsert(spark.read.parquet(f"{path}/{number - 1}"), last, key)
+        before = [n for n in _versions(spark, path) if n < number]
+        if before:
+            current = spark.read.parquet(f"{path}/{before[-1]}")
+            order = [c for c in ("revision", "updated_at") if c in batch.columns]
+            fresh = last.join(current.select(key, *[F.col(c).alias(f"__{c}") for c in order]), key, "left")
+            for c in order:  # a late row does not replace a newer one
+                fresh = fresh.filter(F.col(f"__{c}").isNull() | (F.col(c) >= F.col(f"__{c}")))
+            last = fresh.select(*batch.columns)
+            table = upsert(current, last, key)
+        else:
+            table = last
         table.write.mode("overwrite").parquet(f"{path}/{number}")
         if affected is not None:
             affected(table, last)
+        for old in before[: len(before) + 1 - kept]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}")
+            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
