@@ -19,22 +19,26 @@ _ROLLUP = """SELECT project_key, count(*) AS video_count, CAST(round_even(avg(pr
   CASE WHEN bool_or(status = 'processing') THEN 'processing' WHEN bool_or(status = 'pending') THEN 'pending' WHEN bool_and(status = 'done') THEN 'done' ELSE 'other' END AS status FROM videos GROUP BY project_key"""
 
 
-@R.add(f"WITH {VIDEOS_SQL}, r AS ({_ROLLUP}) SELECT p.c_custkey AS project_key, r.video_count, r.status, r.progress, r.updated_at FROM customer p JOIN r ON r.project_key = p.c_custkey")
+_LADDER = "CASE WHEN video_count IS NULL THEN CASE WHEN c_mktsegment = 'BUILDING' THEN 'ready' ELSE 'empty' END ELSE status END"
+
+
+@R.add(f"WITH {VIDEOS_SQL}, r AS ({_ROLLUP}) SELECT p.c_custkey AS project_key, coalesce(r.video_count, 0) AS video_count, {_LADDER} AS status, coalesce(r.progress, 0) AS progress, r.updated_at FROM customer p LEFT JOIN r ON r.project_key = p.c_custkey")
 def catalog_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = catalog.rollup_projects(projects(spark, sf_dir), videos(spark, sf_dir))
-    return rolled.filter("video_count > 0").select("project_key", "video_count", "status", "progress", "updated_at")
+    return rolled.select("project_key", "video_count", "status", "progress", "updated_at")
 
 
 @R.add(
-    f"""WITH {VIDEOS_SQL}, recent AS (SELECT * FROM videos WHERE updated_at >= TIMESTAMP '1997-06-01' AND project_key % 10 <> 3), r AS ({_ROLLUP.replace('FROM videos', 'FROM recent')}),
-t AS (SELECT project_key, thumbnail, row_number() OVER (PARTITION BY project_key ORDER BY CASE WHEN batch_import_order > 0 THEN 0 ELSE 1 END, batch_import_order, created_at, video_id) AS n FROM recent WHERE thumbnail <> '')
+    f"""WITH {VIDEOS_SQL}, p AS (SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey + 10000000, c_mktsegment FROM customer), r AS ({_ROLLUP}),
+t AS (SELECT project_key, thumbnail, row_number() OVER (PARTITION BY project_key ORDER BY CASE WHEN batch_import_order > 0 THEN 0 ELSE 1 END, batch_import_order, created_at, video_id) AS n FROM videos WHERE thumbnail <> '')
 SELECT p.c_custkey AS project_key, CASE WHEN c_mktsegment = 'BUILDING' THEN 'download' ELSE 'batch' END AS project_type, coalesce(video_count, 0) AS video_count,
-  CASE WHEN video_count IS NULL THEN CASE WHEN c_mktsegment = 'BUILDING' THEN 'ready' ELSE 'empty' END ELSE status END AS status, coalesce(progress, 0) AS progress, updated_at, coalesce(thumbnail, '') AS thumbnail
-FROM customer p LEFT JOIN r ON r.project_key = p.c_custkey LEFT JOIN t ON t.project_key = p.c_custkey AND t.n = 1"""
+  {_LADDER} AS status, coalesce(progress, 0) AS progress, updated_at, coalesce(thumbnail, '') AS thumbnail
+FROM p LEFT JOIN r ON r.project_key = p.c_custkey LEFT JOIN t ON t.project_key = p.c_custkey AND t.n = 1"""
 )
 def catalog_rollup_with_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recent = videos(spark, sf_dir).filter("updated_at >= timestamp_ntz'1997-06-01' and project_key % 10 <> 3")
-    return catalog.rollup_projects(projects(spark, sf_dir), recent)
+    """All projects and as many more without videos."""
+    rows = projects(spark, sf_dir)
+    return catalog.rollup_projects(rows.unionByName(rows.withColumn("project_key", F.col("project_key") + 10000000)), videos(spark, sf_dir))
 
 
 @R.add(f"WITH {VIDEOS_SQL} SELECT language, count(*) AS total, count(*) FILTER (status = 'done') AS completed, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'paused') AS paused, CAST(round_even(avg(progress), 0) AS INTEGER) AS progress FROM videos GROUP BY language")

@@ -26,7 +26,7 @@ def _folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors share."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         root = tempfile.mkdtemp(prefix="spark-")
     return f"{root}/cuemill-files-{uuid.uuid4().hex}"

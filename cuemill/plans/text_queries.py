@@ -39,9 +39,9 @@ def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy("source").agg(F.array_join(parts, ", ").alias("summary"))
 
 
-@R.add("SELECT source, count(*) AS labels, max(n) AS most, CAST(sum(n) AS BIGINT) AS total, count(*) >= 2 AND max(n) <= 0.8 * sum(n) AS varied FROM (SELECT source, lower(left(text, 3)) AS label, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source")
+@R.add("SELECT source, count(*) AS labels, max(n) AS most, CAST(sum(n) AS BIGINT) AS total, count(*) >= 2 AND max(n) <= 0.8 * sum(n) AS varied FROM (SELECT source, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS label, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source")
 def label_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = table(spark, sf_dir, "documents").groupBy("source", F.lower(F.left("text", F.lit(3))).alias("label")).count()
+    counted = table(spark, sf_dir, "documents").groupBy("source", X.text_key(F.col("text")).alias("label")).count()
     return counted.groupBy("source").agg(F.count("*").alias("labels"), F.max("count").alias("most"), F.sum("count").alias("total"), ((F.count("*") >= 2) & (F.max("count") <= 0.8 * F.sum("count"))).alias("varied"))
 
 

@@ -170,13 +170,14 @@ def phrase_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    f"""WITH {SEGMENTS_SQL}, m AS (SELECT a.user_id, a.seq, b.seq AS source_seq, greatest(0.0, least(a."end", b."end") - greatest(a."start", b."start")) AS overlap, abs((a."start" + a."end") / 2 - (b."start" + b."end") / 2) AS apart
-  FROM segments a JOIN segments b ON a.user_id = b.user_id AND b.seq % 3 = 0 WHERE a.seq % 3 = 1)
+    f"""WITH {SEGMENTS_SQL}, a AS (SELECT user_id, seq, "start" + 5000 AS "start", "end" + 5000 AS "end" FROM segments),
+m AS (SELECT a.user_id, a.seq, b.seq AS source_seq, greatest(0.0, least(a."end", b."end") - greatest(a."start", b."start")) AS overlap, abs((a."start" + a."end") / 2 - (b."start" + b."end") / 2) AS apart FROM a JOIN segments b ON a.user_id = b.user_id)
 SELECT user_id, seq, source_seq, round(overlap, 3) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY user_id, seq ORDER BY overlap DESC, apart, source_seq) AS n FROM m) WHERE n = 1"""
 )
 def best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment, moved by 5,000 seconds, against all segments."""
     rows = segments(spark, sf_dir).select("user_id", "seq", "start", "end")
-    return T.best_overlap(rows.filter("seq % 3 = 1"), rows.filter("seq % 3 = 0"), "user_id")
+    return T.best_overlap(rows.withColumn("start", F.col("start") + 5000).withColumn("end", F.col("end") + 5000), rows, "user_id")
 
 
 @R.add(
@@ -232,12 +233,13 @@ def loud_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    """WITH c AS (SELECT conv_id, turn AS seq, turn % 3 AS n, sum(turn % 3) OVER (PARTITION BY conv_id ORDER BY turn) AS hi FROM conversations), w AS (SELECT DISTINCT conv_id, unnest(range(0, 6)) AS at FROM conversations)
+    """WITH c AS (SELECT conv_id, turn AS seq, turn % 3 AS n, sum(turn % 3) OVER (PARTITION BY conv_id ORDER BY turn) AS hi FROM conversations), w AS (SELECT conv_id, unnest(range(0, CAST(max(hi) AS BIGINT) + 3)) AS at FROM c GROUP BY conv_id)
 SELECT w.conv_id, w.at, c.seq FROM w JOIN c ON c.conv_id = w.conv_id AND w.at >= c.hi - c.n AND w.at < c.hi"""
 )
 def words_to_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    words = turns.select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("at"))
+    total = turns.groupBy("conv_id").agg(F.sum(F.col("turn") % 3).alias("n"))
+    words = total.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") + 2)).alias("at"))
     return T.words_to_sentences(words, turns.select("conv_id", F.col("turn").alias("seq"), (F.col("turn") % 3).alias("n")), "conv_id").select("conv_id", "at", "seq")
 
 
