@@ -23,18 +23,19 @@ def _star(links: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     return met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node has one link to a smaller node at most, and those smaller nodes have none."""
+    roles = links.select(F.col("a").alias("id"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionAll(links.select(F.col("b").alias("id"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    return roles.groupBy("id").agg(F.sum("child").alias("child"), F.max("root").alias("root")).filter("child > 1 or child > 0 and root > 0").isEmpty()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) of every node of ``links`` (a, b): the least id that it is connected with. No links, no rows."""
     scratch, spent = Scratch(links.sparkSession), Scratch(links.sparkSession)
     current = scratch.written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    seen = None
-    while True:
+    while not _are_stars(current):
         scratch, spent = Scratch(links.sparkSession), scratch
         current = scratch.written(_star(_star(current, True, spent), False, spent), "components")
         spent.clear()
-        state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
     members = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return scratch.result(members.unionAll(members.select(F.col("component").alias("id"), "component").distinct()), "components")
