@@ -441,3 +441,18 @@ def maintained_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     feeds.maintain(stream, f"{path}/kept", "user_id", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     counts = spark.read.parquet(source).groupBy("user_id").agg(F.count("*").alias("events"))
     return feeds.newest(spark, f"{path}/kept").join(counts, "user_id").select("user_id", "events", F.col("event_id").alias("newest"))
+
+
+@R.add(
+    """WITH e AS (SELECT user_id, list({'kept': CAST([] AS BIGINT[]), 'last': '', 'since': 0.0, 'id': event_id, 'v': event_type, 't': epoch_us(ts) / 1e6} ORDER BY ts, event_id) AS l FROM events GROUP BY user_id)
+SELECT unnest(list_reduce(l, lambda a, b: CASE WHEN len(a.kept) = 0 OR a.last <> b.v OR b.t - a.since >= 36000 THEN {'kept': list_append(a.kept, b.id), 'last': b.v, 'since': b.t, 'id': b.id, 'v': b.v, 't': b.t}
+  ELSE {'kept': a.kept, 'last': a.last, 'since': a.since, 'id': b.id, 'v': b.v, 't': b.t} END, {'kept': CAST([] AS BIGINT[]), 'last': '', 'since': 0.0, 'id': 0, 'v': '', 't': 0.0}).kept) AS event_id FROM e"""
+)
+def throttled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of events: of each user those of another type than the one let through last, or ten hours after it."""
+    path = _folder(spark)
+    table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(f"{path}/source")
+    stream = spark.readStream.schema("user_id long, event_id long, event_type string, ts timestamp").parquet(f"{path}/source")
+    out = feeds.throttled(stream, "user_id", "event_type", "ts", 36_000)
+    out.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{path}/kept").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/kept").select("event_id")
