@@ -123,7 +123,7 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     ordered = with_curve_key(rows).repartitionByRange(F.col(KEY), F.col("doc_id"), tie).sortWithinPartitions(KEY, "doc_id", tie)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, False).encode
+        encode = encoder(tokenizer_path, False).stream
         end = end_id.to_bytes(4, "little")
         packer = _Packer(length, TaskContext.get().partitionId() << 36)
         out: list[tuple] = []
@@ -136,7 +136,7 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             return batch
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1), 8 << 20), strict=True):
                 out.extend(packer.add(doc_id, ids + end))
                 if len(out) >= 2000:
                     yield flush()

@@ -244,7 +244,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
     ordered = rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, True).encode
+        encode = encoder(tokenizer_path, True).stream
         end = end_id.to_bytes(4, "little")
         part, shard = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []

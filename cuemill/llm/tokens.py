@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,9 +134,14 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def encode(self, column: pa.Array) -> list[bytes]:
+    def stream(self, column: pa.Array, block: int = BLOCK) -> Iterator[bytes]:
+        """The ids of one text after the other; the ids of about ``block`` bytes of text are held at once."""
         raw, offsets = text_buffer(column)
-        return [ids for a, b in blocks(offsets, BLOCK) for ids in self._block(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+        for a, b in blocks(offsets, block):
+            yield from self._block(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        return list(self.stream(column))
 
     def _block(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         if not len(raw):
