@@ -136,7 +136,7 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             return batch
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1), 8 << 20), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1), 4 << 20), strict=True):
                 out.extend(packer.add(doc_id, ids + end))
                 if len(out) >= 2000:
                     yield flush()

@@ -3,7 +3,7 @@
 Both public vocabularies split a text into pieces by a pattern and merge bytes inside each piece only. For texts of plain
 Latin characters the same split is made here on whole blocks of bytes, each distinct piece goes through the library's
 model, and its ids are copied to where the piece occurs. Any other text, and one that may hold a special token, is
-encoded whole by the library. A memo keeps pieces between blocks in two generations of ``MEMO_PIECES`` each: when the
+encoded whole by the library. A memo keeps pieces between blocks in two generations of ``MEMO_PIECES`` at most: when the
 younger is full the older one is dropped, so pieces in use stay and a worker's memory is bounded.
 """
 
@@ -98,16 +98,16 @@ def piece_starts(raw: np.ndarray, edges: np.ndarray, keeps_space: bool) -> np.nd
 class _Memo(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers, made by ``make`` when missing."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, piece: bytes) -> bytes:
         out = self.older.get(piece)
         if out is None:
             out = self.make(piece)
         if len(piece) <= 64:
-            if len(self) >= MEMO_PIECES:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[piece] = out
@@ -129,7 +129,7 @@ class Encoder:
                 piece = piece.strip(b" \t\n\r").decode("utf-8", "replace").lower().encode("utf-8")
             return b"".join([t.id.to_bytes(4, "little") for t in tokenize(piece.decode("latin-1").translate(letters))]) if piece else b""
 
-        self.memo = _Memo(make)
+        self.memo = _Memo(make, MEMO_PIECES if keeps_space else MEMO_PIECES // 4)  # without spaces there are far fewer pieces
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()

@@ -31,7 +31,7 @@ from .shared import written
 from .wordscan import NOT_SPACE, scan
 
 SPAN, DECAY, PIECE, STEP = 6, 0.4, 24, 8
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Least log odds ratio, toxic to clean, of a word that may be what makes a text toxic.
 LEAST_ODDS = 2.5
 _APART = re.compile(r"(?<!\w)(?:[^\W\d_][\W_]{1,3}){3,}[^\W\d_](?!\w)")
