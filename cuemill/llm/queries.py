@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, forest, hamming, packing, pii, repair, repeats, revisits, secrets, toxicity
+from . import decontaminate, forest, hamming, packing, pii, repair, repeats, revisits, secrets, shards, toxicity
 from .shared import new_table_path
 
 
@@ -106,6 +106,10 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", r["n_words"].alias("n_words"), r["n_removed"].alias("n_removed"), F.sha2(r["kept"], 256).alias("kept_sha256"))
 
 
+def op13_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
@@ -117,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_secrets": op10_secrets,
+    "op13_minimax_shards": op13_minimax_shards,
 }
 
 #: Words of item-sized windows, joined as lists: the plain statement of the contract, feasible at small scale only.
