@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, forest, hamming, packing, pii, repair, repeats, revisits, secrets, shards, toxicity
+from . import decontaminate, filter_audit, forest, hamming, packing, pii, repair, repeats, revisits, secrets, shards, toxicity
 from .shared import new_table_path
 
 
@@ -106,6 +106,10 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", r["n_words"].alias("n_words"), r["n_removed"].alias("n_removed"), F.sha2(r["kept"], 256).alias("kept_sha256"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _table(spark, sf_dir, "labels"))
+
+
 def op13_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
 
@@ -121,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_secrets": op10_secrets,
+    "op12_filter_audit": op12_filter_audit,
     "op13_minimax_shards": op13_minimax_shards,
 }
 
@@ -176,4 +181,31 @@ SELECT page_id * 2 + 1 AS record_id, url_key, state, CASE WHEN state = 'resolved
 FROM s
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1_SQL, "op4_exact_top_k": _OP4_SQL, "op6_revisits": _OP6_SQL}
+_OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+m AS (
+  SELECT doc_id, part, {A: len(words) < 200, B: 100 * len(list_distinct(words)) < 50 * len(words),
+    C: 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), D: regexp_matches(text, '[#$%&*|]'), E: coalesce(doc_id > least, false)} AS f
+  FROM w),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT part, f.A::VARCHAR || f.B || f.C || f.D || f.E AS k, [f.A, f.B, f.C, f.D, f.E] AS fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 3, 4, 5]) AS i),
+o AS (
+  SELECT a.x || b.x || c.x || e.x || g.x AS filter_order, [a.i, b.i, c.i, e.i, g.i] AS bits
+  FROM letters a JOIN letters b ON b.i <> a.i JOIN letters c ON c.i NOT IN (a.i, b.i) JOIN letters e ON e.i NOT IN (a.i, b.i, c.i) JOIN letters g ON g.i NOT IN (a.i, b.i, c.i, e.i)),
+run AS (SELECT part, filter_order, bits, fails, n, good, toxic, coalesce(list_position(list_transform(bits, lambda b: fails[b]), true), 6) AS first FROM d CROSS JOIN o),
+steps AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, bits[step] AS b, sum(CASE WHEN first > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN first = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails[bits[step]] AND first < step THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails[bits[step]] AND len(list_filter(fails, lambda y: y)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN first = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN first = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM run CROSS JOIN (SELECT unnest(range(1, 6)) AS step) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley
+FROM steps
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1_SQL, "op4_exact_top_k": _OP4_SQL, "op6_revisits": _OP6_SQL, "op12_filter_audit": _OP12_SQL}
