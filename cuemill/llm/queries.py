@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, forest, hamming, packing, pii, repair, repeats, revisits, secrets, shards, toxicity
+from . import alignment, decontaminate, filter_audit, forest, hamming, packing, pii, repair, repeats, revisits, secrets, shards, toxicity
 from .shared import new_table_path
 
 
@@ -106,6 +106,12 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", r["n_words"].alias("n_words"), r["n_removed"].alias("n_removed"), F.sha2(r["kept"], 256).alias("kept_sha256"))
 
 
+def op11_byte_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align_corpus(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _table(spark, sf_dir, "labels"))
 
@@ -125,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_secrets": op10_secrets,
+    "op11_byte_owners": op11_byte_owners,
     "op12_filter_audit": op12_filter_audit,
     "op13_minimax_shards": op13_minimax_shards,
 }

@@ -20,7 +20,7 @@ from .arrow import blocks, text_buffer
 
 MEMO_PIECES = 400_000
 BLOCK = 16 << 20
-_ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
+_ENCODERS: dict[tuple[str, bool, bool], "Encoder"] = {}
 OTHER, LETTER, DIGIT, SPACE, BLANK = range(5)
 
 
@@ -117,11 +117,12 @@ class _Memo(dict):
 class Encoder:
     """``encode(column)`` gives, for each text, its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keeps_space = Tokenizer.from_file(path), keeps_space
+        self.tokenizer.encode_special_tokens = plain
         letters, tokenize = dict(enumerate(byte_letters())), self.tokenizer.model.tokenize
 
         def make(piece: bytes) -> bytes:
@@ -131,6 +132,18 @@ class Encoder:
 
         self.memo = _Memo(make, MEMO_PIECES if keeps_space else MEMO_PIECES // 4)  # without spaces there are far fewer pieces
 
+    def starts(self, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        return piece_starts(raw, edges, self.keeps_space)
+
+    def not_plain(self, raw: np.ndarray) -> np.ndarray:
+        return _not_plain(raw)
+
+    def token_bytes(self) -> list[bytes]:
+        """Of each id the bytes it stands for."""
+        letters = {c: b for b, c in enumerate(byte_letters())}
+        tokens = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        return [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode("utf-8") for t in tokens]
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
@@ -147,7 +160,7 @@ class Encoder:
         if not len(raw):
             return [b""] * (len(offsets) - 1)
         edges = np.unique(offsets[:-1][offsets[:-1] < offsets[1:]])
-        starts = piece_starts(raw, edges, self.keeps_space)
+        starts = self.starts(raw, edges)
         kind = pa.binary() if len(raw) < 1 << 31 else pa.large_binary()
         bounds = np.append(starts, len(raw)).astype(np.int32 if kind == pa.binary() else np.int64)
         coded = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
@@ -161,14 +174,56 @@ class Encoder:
         ids = flat[np.repeat(first - (ends - size), size) + np.arange(ends[-1], dtype=np.int32)].tobytes()
         cut = np.concatenate([[0], ends]).astype(np.int64)[np.searchsorted(starts, offsets)] * 4
         out = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        for row in np.unique(np.searchsorted(offsets, _not_plain(raw), side="right") - 1).tolist():
+        for row in np.unique(np.searchsorted(offsets, self.not_plain(raw), side="right") - 1).tolist():
             out[row] = self.whole(raw[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8"))
         return out
 
 
-def encoder(path: str, keeps_space: bool) -> Encoder:
+class PieceEncoder(Encoder):
+    """The same for a sentencepiece model with byte fallback that adds a space before a text; the texts given here begin
+    with that space.
+
+    Where no piece has a space behind another character, no merge crosses the start of a run of spaces, so a text's runs
+    from space to space are encoded apart; else texts are encoded whole.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.apart = not any("\u2581" in p.lstrip("\u2581") for p in self.pieces)
+        self.memo = _Memo(lambda piece: self.whole(piece.decode("utf-8", "replace")), MEMO_PIECES // 4)
+
+    def starts(self, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        start = np.zeros(len(raw), bool)
+        if self.apart:
+            start[1:] = (raw[1:] == 32) & (raw[:-1] != 32)
+        start[edges] = True
+        return np.flatnonzero(start)
+
+    def not_plain(self, raw: np.ndarray) -> np.ndarray:
+        return np.zeros(0, np.int64)
+
+    def token_bytes(self) -> list[bytes]:
+        return [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("\u2581", " ").encode("utf-8") for i, p in enumerate(self.pieces)]
+
+    def whole(self, text: str) -> bytes:
+        ids = self.model.encode(text[1:], num_threads=1) if text != " " else [self.model.piece_to_id("\u2581")]  # it adds no space to nothing
+        return np.array(ids, "<u4").tobytes()
+
+
+def encoder(path: str, keeps_space: bool, plain: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file; ``keeps_space``: white space is part of the ids (the byte-level
-    vocabulary), else texts are lower-cased and white space is dropped (the one with word ends)."""
-    if (path, keeps_space) not in _ENCODERS:
-        _ENCODERS[path, keeps_space] = Encoder(path, keeps_space)
-    return _ENCODERS[path, keeps_space]
+    vocabulary), else texts are lower-cased and white space is dropped (the one with word ends); ``plain``: special
+    tokens' strings are ordinary text."""
+    if (path, keeps_space, plain) not in _ENCODERS:
+        _ENCODERS[path, keeps_space, plain] = Encoder(path, keeps_space, plain)
+    return _ENCODERS[path, keeps_space, plain]
+
+
+def piece_encoder(path: str) -> PieceEncoder:
+    """The worker's encoder for a sentencepiece model."""
+    if (path, True, True) not in _ENCODERS:
+        _ENCODERS[path, True, True] = PieceEncoder(path)
+    return _ENCODERS[path, True, True]
