@@ -5,25 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .links import bound
 from .numbers import clamp
-from .text import host_of, platform_of_host
 
 GIB = 1024**3
 # Names that Windows keeps for devices, and characters that it bars from names.
 RESERVED_NAMES = ("CON", "PRN", "AUX", "NUL", *(f"{n}{i}" for n in ("COM", "LPT") for i in range(1, 10)))
 BARRED_CHARACTERS = r'[<>:"/\\|?*\x00-\x1f]'
-# Parts of a path that show a single video of a platform instead of a profile.
-VIDEO_MARKERS = {
-    "Bilibili": ("/video/",),
-    "Instagram": ("/p/", "/reel/", "/tv/", "/stories/"),
-    "Facebook": ("/watch", "/reel/", "/share/"),
-    "X": ("/status/",),
-    "Vimeo": ("/video/",),
-    "Dailymotion": ("/video/",),
-    "Twitch": ("/videos/", "/clip/", "/clips/"),
-    "Reddit": ("/comments/",),
-    "VK": ("video",),
-}
 
 
 def _box(x: Column, y: Column, width: Column, height: Column, *line: Column) -> Column:
@@ -32,6 +20,10 @@ def _box(x: Column, y: Column, width: Column, height: Column, *line: Column) ->
 
 def crop_box(width: Column, height: Column, crop: Column) -> Column:
     """What a crop leaves of a picture: by its edges if any is set, else by zoom and pan."""
+    return bound(crop, lambda c: _crop_box(width, height, c))
+
+
+def _crop_box(width: Column, height: Column, crop: Column) -> Column:
     edge = lambda name: clamp(crop[name], 0, 84) / 100
     has_edges = F.greatest(*[F.abs(crop[f"{n}_percent"]) for n in ("left", "right", "top", "bottom")]) > 0
     left, right, top, bottom = (edge(f"{n}_percent") for n in ("left", "right", "top", "bottom"))
@@ -48,6 +40,11 @@ def output_region(region: Column, width: Column, height: Column, crop: Column, o
     ``crop`` is the struct of ``crop_box``. A plain format stretches the crop to the output, the two upright ones scale
     it to cover or to fit 1080 by 1920 and centre it.
     """
+    given = F.struct(region.alias("region"), crop.alias("crop"), output_format.alias("format"))
+    return bound(given, lambda g: _output_region(g["region"], width, height, g["crop"], g["format"], output_width, output_height))
+
+
+def _output_region(region: Column, width: Column, height: Column, crop: Column, output_format: Column, output_width: Column, output_height: Column) -> Column:
     cover = F.greatest(1080 / crop["width"], 1920 / crop["height"])
     fit = F.least(1080 / crop["width"], 1920 / crop["height"])
     upright = output_format.isin("tiktok_9_16_crop", "blur_background_9_16")
@@ -57,15 +54,20 @@ def output_region(region: Column, width: Column, height: Column, crop: Column, o
     shift = lambda size, out: F.when(upright, (out - size * scale) / 2).otherwise(0.0)
     x = (width * region["x_percent"] / 100 - crop["x"]) * across + shift(crop["width"], output_width)
     y = (height * region["y_percent"] / 100 - crop["y"]) * down + shift(crop["height"], output_height)
-    left, top = F.greatest(F.lit(0.0), x), F.greatest(F.lit(0.0), y)
     right = F.least(output_width, x + width * region["width_percent"] / 100 * across)
     bottom = F.least(output_height, y + height * region["height_percent"] / 100 * down)
     line = height * F.coalesce(region["line_height_percent"], region["height_percent"]) / 100 * down
-    return F.when((right - left >= 24) & (bottom - top >= 20), _box(left, top, right - left, bottom - top, line))
+    edges = F.struct(F.greatest(F.lit(0.0), x).alias("left"), F.greatest(F.lit(0.0), y).alias("top"), right.alias("right"), bottom.alias("bottom"), line.alias("line"))
+    cut = lambda e: F.when((e["right"] - e["left"] >= 24) & (e["bottom"] - e["top"] >= 20), _box(e["left"], e["top"], e["right"] - e["left"], e["bottom"] - e["top"], e["line"]))
+    return bound(edges, cut)
 
 
 def region_style(layout: Column, outline: Column, output_width: Column, output_height: Column) -> Column:
     """Position, font size and outline of captions centred in a region, sized after one of its rows."""
+    return bound(layout, lambda box: _region_style(box, outline, output_width, output_height))
+
+
+def _region_style(layout: Column, outline: Column, output_width: Column, output_height: Column) -> Column:
     at = lambda start, size, whole: F.bround(clamp((layout[start] + layout[size] / 2) * 100 / whole, 0.0, 100.0)).cast("int")
     font = clamp(F.bround(F.coalesce(layout["line_height"], layout["height"]) * 0.6), 12.0, 112.0).cast("int")
     return F.when(layout.isNotNull(), F.struct(at("x", "width", output_width).alias("position_x_percent"), at("y", "height", output_height).alias("position_y_percent"), font.alias("font_size"), F.least(outline, F.greatest(F.lit(1), F.floor(font / 14).cast("int"))).alias("outline")))
@@ -119,23 +121,6 @@ def is_inside(path: Column, root: Column) -> Column:
     return ~plain(path).rlike(r"(^|/)\.\.(/|$)") & plain(path).startswith(F.concat(plain(root), F.lit("/")))
 
 
-def channel_error(url: Column, expected: Column) -> Column:
-    """What is wrong with a channel's URL, null if nothing."""
-    raw = F.trim(url)
-    full = F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    host, path = host_of(raw), F.lower(F.regexp_replace(F.regexp_extract(full, r"^[^:/?#]*://[^/?#]*([^?#]*)", 1), "/+$", ""))
-    platform = platform_of_host(host)
-    out = F.when(F.coalesce(raw, F.lit("")) == "", "empty").when(~F.lower(full).rlike("^https?://") | (host == ""), "no link").when(platform == "", "unknown platform")
-    out = out.when((F.coalesce(F.trim(expected), F.lit("")) != "") & (F.lower(F.trim(expected)) != F.lower(platform)), "other platform")
-    out = out.when((platform == "YouTube") & path.rlike("^/(watch|shorts/)"), "single video").when((platform == "YouTube") & ~path.rlike("^/(@|channel/|c/|user/)"), "no channel")
-    out = out.when((platform == "TikTok") & (path.contains("/video/") | ~path.startswith("/@")), "single video")
-    out = out.when((platform == "Douyin") & path.contains("/video/"), "single video").when((platform == "Douyin") & ~path.contains("/user/") & ~host.startswith("v."), "no channel")
-    for name, markers in VIDEO_MARKERS.items():
-        for marker in markers:
-            out = out.when((platform == name) & path.contains(marker), "single video")
-    return out
-
-
 def is_mp3(content: Column, least: int = 512) -> Column:
     """By the header of the content and its size."""
     head = F.hex(F.substring(content, 1, 3))

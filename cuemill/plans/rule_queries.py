@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill.functions import geometry as G
+from cuemill.functions import links as L
 from cuemill.functions import numbers as N
 from cuemill.functions import text as X
 from cuemill.operators import candidates as C
@@ -90,23 +91,55 @@ def hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(i.alias("k"), "title", "duration_seconds", "view_count", "needed")
 
 
-# A case of each kind of URL: the address, the platform asked for, and what is wrong with it.
-_URLS = (
-    ("", "YouTube", "empty"), ("https://", "", "no link"), ("ftp://youtube.com/@a", "", "no link"), ("example.org/@a", "", "unknown platform"), ("https://www.youtube.com/@a", "TikTok", "other platform"), ("youtube.com/watch?v=1", "", "single video"),
-    ("https://youtube.com/shorts/x", "YouTube", "single video"), ("https://youtube.com/feed", "", "no channel"), ("https://YouTube.com/@A/videos", "youtube", None), ("https://youtube.com/channel/UC1", "", None), ("https://www.tiktok.com/@a/video/1", "", "single video"),
-    ("https://tiktok.com/foo", "", "single video"), ("https://www.tiktok.com/@a", "TikTok", None), ("https://www.douyin.com/video/1", "", "single video"), ("https://www.douyin.com/user/a", "", None), ("https://v.douyin.com/abc", "", None),
-    ("https://www.bilibili.com/video/BV1", "", "single video"), ("https://space.bilibili.com/1", "", None), ("https://instagram.com/reel/1", "", "single video"), ("https://x.com/a/status/1", "X", "single video"), ("https://x.com/a", "", None), ("https://vimeo.com/a", "", None),
-    ("https://www.reddit.com/r/a/comments/1", "", "single video"), ("https://facebook.com/watch?v=1", "", "single video"), ("https://twitch.tv/a", "Twitch", None),
-)
 _case = lambda column, values, kind="string": F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), (F.pmod(column, F.lit(len(values))) + 1).cast("int"))
 _quoted = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
 _listed = lambda column, values: f"([{', '.join(map(_quoted, values))}])[{column} % {len(values)} + 1]"
 
 
-@R.add(f"SELECT o_orderkey, {_listed('o_orderkey', [u[2] for u in _URLS])} AS fault FROM orders")
+# Parts that links are put together from: what comes before the host, hosts, paths, and platforms asked for.
+_SCHEMES = ("https://", "", "http://", "ftp://", "https://u:p@")
+_HOSTS = ("youtube.com", "www.YouTube.com", "m.youtube.com:443", "tiktok.com", "www.douyin.com", "v.douyin.com", "space.bilibili.com", "instagram.com", "facebook.com", "x.com", "mobile.twitter.com", "vimeo.com", "dailymotion.com", "twitch.tv", "reddit.com", "vk.com", "notyoutube.com", "example.org", "streamable.com", "")
+_PATHS_OF_LINKS = ("/@", "/channel/", "/c/", "/user/", "/watch?v=", "/shorts/", "/Video/", "/p/", "/reel/", "/share/", "/a/status/", "/clip/", "/r/a/comments/", "/feed/", "/video", "")
+_WANTED = ("", "YouTube", " tiktok ", "", "X", "Vimeo", "")
+_LINKS_SQL = f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, {_listed('o_custkey', _SCHEMES)} AS scheme, {_listed('(o_orderkey // 3)', _HOSTS)} AS host, {_listed('(o_orderkey // 7 + o_custkey)', _PATHS_OF_LINKS)} AS path, {_listed('(o_orderkey // 5)', _WANTED)} AS wanted FROM orders),
+l AS (SELECT *, CASE WHEN path = '' THEN '' ELSE path || c || CASE WHEN c % 3 = 0 THEN '/' ELSE '' END END || CASE WHEN c % 4 = 0 THEN '#x' ELSE '' END AS rest, lower(regexp_replace(host, ':.*', '')) AS h FROM o),
+m AS (SELECT *, scheme || host || rest AS link, rtrim(regexp_replace(rest, '[?#].*', ''), '/') AS p, list_filter([{', '.join(f"['{d}', '{n}']" for d, n in X.PLATFORM_HOSTS)}, ['streamable.com', 'Streamable']], lambda x: h = x[1] OR ends_with(h, '.' || x[1])) AS hit FROM l),
+n AS (SELECT *, coalesce(hit[1][2], '') AS platform, lower(p) AS low, trim(link) = '' AS nothing, scheme = 'ftp://' OR host = '' AND (scheme <> '' OR starts_with(rest, '/')) AS broken FROM m)
+"""
+
+
+@R.add(
+    _LINKS_SQL
+    + """, f AS (SELECT *, CASE WHEN nothing THEN 'empty' WHEN broken OR host = '' THEN 'no link' WHEN platform IN ('', 'Streamable') THEN 'unknown platform' WHEN trim(wanted) <> '' AND lower(trim(wanted)) <> lower(platform) THEN 'other platform'
+  WHEN platform = 'YouTube' AND (low LIKE '/watch%' OR low LIKE '/shorts/%') THEN 'single video' WHEN platform = 'YouTube' AND NOT (low LIKE '/@%' OR low LIKE '/channel/%' OR low LIKE '/c/%' OR low LIKE '/user/%') THEN 'no channel'
+  WHEN platform = 'TikTok' AND low NOT LIKE '/@%' THEN 'single video' WHEN platform IN ('TikTok', 'Douyin', 'Bilibili', 'Vimeo', 'Dailymotion') AND low LIKE '%/video/%' THEN 'single video'
+  WHEN platform = 'Douyin' AND low NOT LIKE '%/user/%' AND NOT starts_with(h, 'v.') THEN 'no channel' WHEN platform = 'Instagram' AND (low LIKE '%/p/%' OR low LIKE '%/reel/%') THEN 'single video'
+  WHEN platform = 'Facebook' AND (low LIKE '%/watch%' OR low LIKE '%/reel/%' OR low LIKE '%/share/%') THEN 'single video' WHEN platform = 'X' AND low LIKE '%/status/%' THEN 'single video' WHEN platform = 'Twitch' AND low LIKE '%/clip/%' THEN 'single video'
+  WHEN platform = 'Reddit' AND low LIKE '%/comments/%' THEN 'single video' WHEN platform = 'VK' AND low LIKE '%video%' THEN 'single video' END AS fault FROM n)
+SELECT k, fault, CASE WHEN fault IS NULL THEN 'https://' || CASE WHEN contains(scheme, '@') THEN 'u:p@' ELSE '' END || lower(host) || CASE WHEN p = '' THEN '/' ELSE p END END AS url, CASE WHEN fault IS NULL THEN platform END AS platform FROM f"""
+)
 def channel_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(k, G.channel_error(_case(k, [u[0] for u in _URLS]), _case(k, [u[1] for u in _URLS])).alias("fault"))
+    """Links put together from the keys of orders, and what is wrong with them as links of a channel."""
+    k, link, wanted = _links()
+    return table(spark, sf_dir, "orders").select(k.alias("k"), L.channel_check(link, wanted).alias("c")).select("k", "c.fault", "c.url", "c.platform")
+
+
+def _links() -> tuple[Column, Column, Column]:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    path = _case(F.floor(k / 7) + c, _PATHS_OF_LINKS)
+    rest = F.concat(L.bound(path, lambda p: F.when(p == "", p).otherwise(F.concat(p, c.cast("string"), F.when(c % 3 == 0, "/").otherwise("")))), F.when(c % 4 == 0, "#x").otherwise(""))
+    return k, F.concat(_case(c, _SCHEMES), _case(F.floor(k / 3), _HOSTS), rest), _case(F.floor(k / 5), _WANTED)
+
+
+@R.add(
+    _LINKS_SQL
+    + """SELECT k, CASE WHEN nothing THEN 'empty' WHEN broken OR host = '' THEN 'no link' WHEN platform = '' THEN 'unknown source' END AS fault,
+CASE WHEN NOT nothing AND NOT broken AND host <> '' AND platform <> '' THEN CASE WHEN scheme = '' THEN 'https://' ELSE '' END || link END AS url, CASE WHEN NOT nothing AND NOT broken AND host <> '' AND platform <> '' THEN platform END AS platform FROM n"""
+)
+def video_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same links as links of a video."""
+    k, link, _ = _links()
+    return table(spark, sf_dir, "orders").select(k.alias("k"), L.video_check(link).alias("c")).select("k", "c.fault", "c.url", "c.platform")
 
 
 @R.add(

@@ -38,8 +38,6 @@ def test_crop_and_region(spark):
 def test_rules(spark):
     assert column(spark, G.name_error, ["ok", " ", "a<b", "x.", "con.txt", "n" * 121]) == [None, "empty", "barred character", "bad end", "reserved", "too long"]
     assert column(spark, lambda c: G.is_inside(c, F.lit("/data/p")), ["/data/p/a", "/data/p", "/data/pq/a", "/data/p/../q", "/data/p//x/"]) == [True, False, False, False, True]
-    urls = ["youtube.com/@me", "https://youtube.com/watch?v=1", "https://tiktok.com/@a/video/1", "ftp://x.com/a", "https://nowhere.org/a", "", "https://x.com/a/status/1", "https://reddit.com/r/a"]
-    assert column(spark, lambda c: G.channel_error(c, F.lit("")), urls) == [None, "single video", "single video", "no link", "unknown platform", "empty", "single video", None]
     mp3 = lambda head: F.lit(head + bytes(600))
     assert [value(spark, G.is_mp3(mp3(h))) for h in (b"ID3", b"\xff\xfb\x00", b"RIF")] == [True, True, False] and value(spark, G.is_mp3(F.lit(b"ID3"))) is False
     assert value(spark, G.runtime_profile(F.lit(False), F.lit(0), F.lit(8 * G.GIB), F.lit(16)))["key"] == "cpu_low_memory"
