@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,22 +14,12 @@ from cuemill.operators import catalog, migrate, publish
 from cuemill.sources import files
 from cuemill.streaming import feeds
 
-from .tables import VIDEOS_SQL, Registry, table, videos
+from .tables import VIDEOS_SQL, Registry, new_folder, table, videos
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/cuemill-files-{uuid.uuid4().hex}"
-
-
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as raw entries of a scan, with gaps in every field."""
     k = F.col("o_orderkey")
@@ -382,7 +369,7 @@ def checkpoint_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subtitle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues to one subtitle text a conversation, written as text files, listed and read again."""
     cues = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 2.5).alias("start"), (F.col("turn") * 2.5 + 2).alias("end"), F.concat(F.lit("cue "), F.col("turn").cast("string")).alias("text"))
-    path = _folder(spark)
+    path = new_folder(spark)
     files.to_srt(cues, "conv_id").select("conv_id", "value").write.partitionBy("conv_id").option("lineSep", "\n").text(path)
     read = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
     found = files.parse_srt(read).withColumn("conv_id", F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long"))
@@ -394,7 +381,7 @@ def segment_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments as JSON array files, one a conversation, and back."""
     seg = F.struct((F.col("turn") * 2.0).alias("start"), (F.col("turn") * 2.0 + 1).alias("end"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").alias("language"))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", seg.alias("s")))), lambda x: x["s"])).alias("value"))
-    path = _folder(spark)
+    path = new_folder(spark)
     rows.write.partitionBy("conv_id").text(path)
     read = files.read_segments(spark, f"{path}/conv_id=*")
     return read.select(F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id"), F.col("seq").cast("long").alias("turn"), "start", "language")
@@ -404,7 +391,7 @@ def segment_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written as JSON and as a table; the table is written again only if something changed."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
-    a, b = _folder(spark), _folder(spark)
+    a, b = new_folder(spark), new_folder(spark)
     files.write_json(rows, a)
     read = spark.read.schema(rows.schema).json(a)
     files.write_table(rows, b)
@@ -416,7 +403,7 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("SELECT event_id, 'event ' || event_id || ' token: <redacted> <url>' AS line FROM events")
 def redacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "events").select(F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" token: abc https://a.b/c")).alias("value"))
-    path = _folder(spark)
+    path = new_folder(spark)
     files.write_redacted(lines, path)
     return files.read_log(spark, path).filter("value <> ''").select(F.regexp_extract("value", "event ([0-9]+)", 1).cast("long").alias("event_id"), F.col("value").alias("line"))
 
@@ -467,7 +454,7 @@ def last_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("SELECT user_id, count(*) AS events, max(event_id) AS newest FROM events GROUP BY user_id")
 def maintained_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of events that keeps a table of the latest event of each user, then counted again from the source."""
-    path = _folder(spark)
+    path = new_folder(spark)
     source = f"{path}/source"
     table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").alias("revision")).repartition(3).write.parquet(source)
     stream = spark.readStream.schema("user_id long, event_id long, revision long").option("maxFilesPerTrigger", 1).parquet(source)
@@ -483,7 +470,7 @@ SELECT unnest(list_reduce(l, lambda a, b: CASE WHEN len(a.kept) = 0 OR a.last <>
 )
 def throttled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of events: of each user those of another type than the one let through last, or ten hours after it."""
-    path = _folder(spark)
+    path = new_folder(spark)
     table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(f"{path}/source")
     stream = spark.readStream.schema("user_id long, event_id long, event_type string, ts timestamp").parquet(f"{path}/source")
     out = feeds.throttled(stream, "user_id", "event_type", "ts", 36_000)
