@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions.numbers import published_day
 from cuemill.functions.text import first_filled, url_key
+from cuemill.operators.dedup import first_accepted
 
 SHORT_SECONDS = 180
 IMAGE_EXTENSIONS = ("avif", "bmp", "gif", "heic", "jpeg", "jpg", "png", "webp")
@@ -114,28 +114,9 @@ def mark_duplicates(candidates: DataFrame, existing: DataFrame, key: str = "remo
 def greedy_dedup(rows: DataFrame, group: str, id_col: str, url_col: str, position: str) -> DataFrame:
     """Rows in order of position, one dropped if its id or its URL is that of a row kept before in its group.
 
-    A dropped row blocks nothing, so this is a fold in order and no window can express it. Groups are scans of one channel.
-    First occurrences of both keys are found by windows: rows whose id and URL are new are surely kept, rows of groups
-    without any clash never reach Python.
+    A dropped row blocks nothing, so no window can express it; see ``dedup``.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(group)
-    first = (F.row_number().over(w.partitionBy(group, id_col).orderBy(position)) == 1) & (F.row_number().over(w.partitionBy(group, url_col).orderBy(position)) == 1)
-    marked = rows.withColumn("__new", first).withColumn("__clash", F.bool_or(~F.col("__new")).over(w))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        ids, urls, keep = set(), set(), []
-        for i, u in zip(*(part.sort_values(position)[c] for c in (id_col, url_col)), strict=True):
-            keep.append(i not in ids and u not in urls)
-            if keep[-1]:
-                ids.add(i)
-                urls.add(u)
-        return part.sort_values(position)[keep]
-
-    clean = marked.filter(~F.col("__clash")).drop("__new", "__clash")
-    mixed = marked.filter("__clash").drop("__new", "__clash")
-    return clean.unionByName(mixed.groupBy(group).applyInPandas(fold, rows.schema))
+    return first_accepted(rows, [[group, id_col], [group, url_col]], [position])
 
 
 def session_metrics(candidates: DataFrame, by: str) -> DataFrame:

@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuemill.sources.shared import new_folder as new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/cuemill-files-{uuid.uuid4().hex}"
-
-
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer as projects."""
     kind = F.when(F.col("c_mktsegment") == "BUILDING", "download").otherwise("batch")

@@ -45,9 +45,10 @@ class BucketTable:
     def read(self, version: int | None = None) -> DataFrame:
         return self._rows(sorted(set(self.manifest(version)["folders"].values())))
 
-    def patch(self, changes: DataFrame, version: int, revision: int | None = None, gone: str | None = None) -> dict:
+    def patch(self, changes: DataFrame, version: int, revision: int | None = None, gone: str | None = None, check: Callable[[DataFrame], None] = lambda rows: None) -> dict:
         """Version ``version``: ``changes`` put in by key, the greatest ``order`` winning (a null is the newest), also over what the table
-        has; rows whose boolean column ``gone`` is true are deleted. The new manifest, with the number of buckets written."""
+        has; rows whose boolean column ``gone`` is true are deleted. ``check`` is given the buckets written, before anyone else sees them; if it raises, no
+        version is made. The new manifest, with the number of buckets written."""
         last = self.manifest(max((v for v in self.versions() if v < version), default=-1))
         names, late = self.names, F.col(self.order).isNull()
         fresh = changes.select(*names, *([gone] if gone else [F.lit(False).alias("__gone")])).withColumnRenamed(gone or "__gone", "__gone")
@@ -60,11 +61,17 @@ class BucketTable:
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{version}")
         written = {n.split("=")[1] for n in self.files.names(f"data/{version}") if n.startswith("bucket=")}
         folders = {b: f for b, f in last["folders"].items() if int(b) not in set(touched)} | {b: f"data/{version}/bucket={b}" for b in written}
+        check(self._rows([f"data/{version}/bucket={b}" for b in sorted(written)]))
         made = {"version": version, "revision": last["revision"] if revision is None else revision, "folders": folders}
         self.files.write(f"manifest/{version}", json.dumps(made))
         self._vacuum()
         return made | {"touched": len(touched)}
 
+    def roll_back(self, version: int) -> None:
+        """Takes the newest version back; the one before it, which must be kept, is the newest again."""
+        self.files.delete(f"manifest/{version}")
+        self.files.delete(f"data/{version}")
+
     def rebuild(self, rows: DataFrame, version: int, revision: int) -> dict:
         """Version ``version`` from ``rows`` alone, for when changes were lost."""
         placed = rows.groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), self.order).alias("r")).select("r.*").withColumn("bucket", self._bucket())
