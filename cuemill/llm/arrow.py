@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 1 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def as_text(docs: DataFrame, text_col: str) -> DataFrame:
@@ -41,6 +43,13 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def release() -> None:
+    """Gives memory that a finished task has freed back to the system: workers stay, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def append_column(docs: DataFrame, name: str, kind: T.DataType, compute: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     """``docs`` with one more column made batch by batch; a column of that name is replaced."""
     kept = [f for f in docs.schema.fields if f.name != name]
@@ -50,6 +59,7 @@ def append_column(docs: DataFrame, name: str, kind: T.DataType, compute: Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), compute(batch)], names=[*names, name])
+        release()
 
     return docs.mapInArrow(run, schema)
 

@@ -6,8 +6,9 @@ window its rarest shingle is the whole necessary prefix: a document that lacks i
 joined on that shingle, the place of the shingle in the window bounds where the window must start (position) and end
 (length), and the words themselves are compared over the item-sized window.
 
-The index of windows is broadcast in blocks of at most ``max_words`` words, its checked size bound; a larger benchmark
-makes more blocks, each with its own pass over the documents, never a larger broadcast.
+The index of windows is broadcast in blocks of at most ``max_words`` words, its checked size bound. A benchmark of one
+block takes one pass. A larger one takes a job a block: each writes what it found by row, its broadcast is given up before the
+next is made, and the findings are merged by row; so no task ever holds more than one block.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import append_column, as_text, blocks, text_buffer
-from .shared import written
+from .shared import free_name, written
 from .wordscan import ALPHANUMERIC, Words, hash_run, hash_words, scan
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,15 +53,22 @@ def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str
 
 @dataclass
 class WindowIndex:
-    """One block of windows; ``prefix`` has, for each shingle length, the sorted prefix shingles and where they lead."""
-
-    words: list[list[str]]
-    items: list[list[str]]
+    """One block of windows, as flat arrays; ``prefix`` has, for each shingle length, the sorted prefix shingles and where
+    they lead."""
+
+    spelled: bytes = b""  # the words of all windows, joined by blanks in each
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    names: list[str] = field(default_factory=list)  # distinct item ids
+    items: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # places in ``names``, window by window
+    item_bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     lengths: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     shingles: dict[int, np.ndarray] = field(default_factory=dict)
     prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
+    def items_of(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.items[self.item_bounds[window] : self.item_bounds[window + 1]]]
+
 
 def _window_shingles(words: list[str], k: int) -> np.ndarray:
     h = hash_words(words)
@@ -105,28 +113,34 @@ def _rarity(docs: DataFrame, text_col: str, index: WindowIndex) -> dict[int, int
 
 
 def _build(rows: list, shingle: int) -> WindowIndex:
-    index = WindowIndex([list(r["words"]) for r in rows], [list(r["items"]) for r in rows])
+    index = WindowIndex()
     keys: dict[int, set[int]] = {}
-    for words in index.words:
-        keys.setdefault(min(shingle, len(words)), set()).update(int(x) for x in _window_shingles(words, shingle))
+    for r in rows:
+        keys.setdefault(min(shingle, len(r["words"])), set()).update(int(x) for x in _window_shingles(r["words"], shingle))
     index.shingles = {k: np.array(sorted(v), np.uint64) for k, v in keys.items()}
-    index.hashes = np.array([hash_run(hash_words(w)) for w in index.words], np.uint64)
-    index.lengths = np.array([len(w) for w in index.words], np.int64)
+    spelled = [" ".join(r["words"]).encode("utf-8") for r in rows]
+    index.spelled, index.bounds = b"".join(spelled), np.concatenate([[0], np.cumsum([len(x) for x in spelled], dtype=np.int64)])
+    index.names = sorted({i for r in rows for i in r["items"]})
+    number = {name: i for i, name in enumerate(index.names)}
+    index.items = np.array([number[i] for r in rows for i in r["items"]], np.int32)
+    index.item_bounds = np.concatenate([[0], np.cumsum([len(r["items"]) for r in rows], dtype=np.int64)])
+    index.hashes = np.array([hash_run(hash_words(r["words"])) for r in rows], np.uint64)
+    index.lengths = np.array([len(r["words"]) for r in rows], np.int64)
     return index
 
 
-def _choose_prefixes(index: WindowIndex, rarity: dict[int, int], shingle: int) -> None:
+def _choose_prefixes(index: WindowIndex, rows: list, rarity: dict[int, int], shingle: int) -> None:
     """The rarest shingle of each window, ties by hash then place."""
     chosen: dict[int, list[tuple[int, int, int]]] = {}
-    for i, words in enumerate(index.words):
-        best = min((rarity.get(int(h), 0), int(h), at) for at, h in enumerate(_window_shingles(words, shingle)))
+    for i, r in enumerate(rows):
+        best = min((rarity.get(int(h), 0), int(h), at) for at, h in enumerate(_window_shingles(r["words"], shingle)))
         if best[0]:  # a shingle that no document has cannot be met
-            chosen.setdefault(min(shingle, len(words)), []).append((best[1], i, best[2]))
-    for k, rows in chosen.items():
-        rows.sort()
-        h = np.array([r[0] for r in rows], np.uint64)
+            chosen.setdefault(min(shingle, len(r["words"])), []).append((best[1], i, best[2]))
+    for k, found in chosen.items():
+        found.sort()
+        h = np.array([r[0] for r in found], np.uint64)
         keys, first, n = np.unique(h, return_index=True, return_counts=True)
-        index.prefix[k] = (keys, np.stack([first, n]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+        index.prefix[k] = (keys, np.stack([first, n]), np.array([r[1] for r in found]), np.array([r[2] for r in found]))
 
 
 def _match(words: Words, index: WindowIndex) -> list[tuple[int, int]]:
@@ -146,7 +160,7 @@ def _match(words: Words, index: WindowIndex) -> list[tuple[int, int]]:
         begin, window = begin[fits], window[fits]
         same = words.spans(begin, begin + index.lengths[window]) == index.hashes[window]
         for b, w in zip(begin[same].tolist(), window[same].tolist(), strict=True):
-            if all(words.word(b + j) == x.encode("utf-8") for j, x in enumerate(index.words[w])):
+            if b" ".join(words.word(b + j) for j in range(index.lengths[w])) == index.spelled[index.bounds[w] : index.bounds[w + 1]]:
                 found.append((b, w))
     return found
 
@@ -166,49 +180,72 @@ def find_contamination(
 ) -> DataFrame:
     """``docs`` with a struct column ``result_col``: n_words, n_hit, spans (word ranges, end exclusive) and items (sorted).
 
-    Rows are judged one by one, so repeated rows and repeated or null ids each get their own result, and no shuffle is
-    needed whatever the skew. A null text has no words. Empty tables give no rows (documents) or no hits (benchmark).
+    Rows are judged one by one, so repeated rows and repeated or null ids each get their own result; with one block no
+    shuffle is needed whatever the skew, with more the findings and the rows meet by row. A null text has no words. Empty tables give no rows (documents) or no hits (benchmark).
     Other columns pass through; one that is already called ``result_col`` is replaced. Texts are read whole.
     """
     docs = as_text(docs, text_col)
     windows = benchmark_windows(items, item_col, item_text_col, window)
-    total = windows.agg(F.sum(F.size("words"))).first()[0] or 0
-    n_blocks = max(1, -(-total // max_words))
-    windows = windows if n_blocks == 1 else written(windows, "benchmark-windows")
-    out = docs
+    n_blocks = max(1, -(-(windows.agg(F.sum(F.size("words"))).first()[0] or 0) // max_words))
+    if n_blocks == 1:
+        return append_column(docs, result_col, FOUND, _finder(_block(docs, text_col, windows, shingle), text_col))
+    windows = written(windows, "benchmark-windows")
+    row, kept = free_name(docs, "row"), [F.col(f"`{c}`") for c in docs.columns if c != result_col]
+    texts = written(docs.select(*kept, F.monotonically_increasing_id().alias(row)), "benchmark-texts")
+    found = None
     for block in range(n_blocks):
-        part = windows if n_blocks == 1 else windows.filter(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == block)
-        index = _build(part.collect(), shingle)  # at most about max_words words
-        if index.words:
-            _choose_prefixes(index, _rarity(docs, text_col, index), shingle)
-        index.shingles = {}
-        out = append_column(out, result_col, FOUND, _finder(docs.sparkSession.sparkContext.broadcast(index), text_col, result_col if block else None))
-    return out
-
-
-def _finder(shared, text_col: str, earlier_col: str | None):
+        shared = _block(texts, text_col, windows.filter(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == block), shingle)
+        each = append_column(texts.select(text_col, row), "__found", FOUND, _finder(shared, text_col)).select(F.col(row).alias("__row"), "__found.*")
+        each = written(each if block == 0 else each.filter("n_hit > 0"), "benchmark-found")
+        shared.destroy()
+        found = each if found is None else found.unionByName(each)
+    flat = lambda name: F.flatten(F.collect_list(name))  # noqa: E731  # at most n_blocks lists a row
+    merged = found.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.array_sort(flat("spans")).alias("spans"), F.array_sort(F.array_distinct(flat("items"))).alias("items"))
+    joined = F.aggregate("spans", F.array().cast("array<array<bigint>>"), _with_span)
+    merged = written(merged.withColumn("spans", joined), "benchmark-merged")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
+    merged = merged.select("__row", F.struct("n_words", n_hit.alias("n_hit"), "spans", "items").alias(result_col))
+    return texts.join(merged, texts[row] == merged["__row"]).select(*kept, result_col)
+
+
+def _with_span(spans: Column, span: Column) -> Column:
+    """Disjoint spans in order with one more that starts no earlier than the last of them."""
+    last = F.element_at(spans, -1)
+    longer = F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(F.array(last[0], F.greatest(last[1], span[1]))))
+    return F.when((F.size(spans) > 0) & (span[0] <= F.try_element_at(spans, F.lit(-1))[1]), longer).otherwise(F.concat(spans, F.array(span)))
+
+
+def _block(docs: DataFrame, text_col: str, windows: DataFrame, shingle: int):
+    """The broadcast index of some windows, at most about ``max_words`` words of them."""
+    rows = windows.collect()
+    index = _build(rows, shingle)
+    if rows:
+        _choose_prefixes(index, rows, _rarity(docs, text_col, index), shingle)
+    index.shingles = {}
+    return docs.sparkSession.sparkContext.broadcast(index)
+
+
+def _finder(shared, text_col: str):
     def find(batch: pa.RecordBatch) -> pa.Array:
         index: WindowIndex = shared.value
-        earlier = batch.column(batch.schema.get_field_index(earlier_col)).to_pylist() if earlier_col else None
         out = []
-        for a, _, words in _words_of(batch, text_col):
+        for _, _, words in _words_of(batch, text_col):
             spans: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[str]] = {}
             rows = words.rows
             for begin, w in _match(words, index):
                 row = int(np.searchsorted(rows, begin, side="right")) - 1
-                spans.setdefault(row, []).append((begin - int(rows[row]), begin - int(rows[row]) + len(index.words[w])))
-                items.setdefault(row, set()).update(index.items[w])
+                spans.setdefault(row, []).append((begin - int(rows[row]), begin - int(rows[row]) + int(index.lengths[w])))
+                items.setdefault(row, set()).update(index.items_of(w))
             for row, n in enumerate(words.counts.tolist()):
-                old = earlier[a + row] if earlier else None
-                merged = _merge(spans.get(row, []) + [tuple(x) for x in (old or {}).get("spans") or []])
-                out.append({"n_words": n, "n_hit": sum(y - x for x, y in merged), "spans": merged, "items": sorted(items.get(row, set()) | set((old or {}).get("items") or []))})
+                merged = _merge(spans.get(row, []))
+                out.append({"n_words": n, "n_hit": sum(y - x for x, y in merged), "spans": merged, "items": sorted(items.get(row, ()))})
         return pa.array(out, _ARROW)
 
     return find
 
 
-def is_contaminated(result_col: str = "contamination") -> F.Column:
+def is_contaminated(result_col: str = "contamination") -> Column:
     """The rule: words in occurring windows are at least a twentieth of all words."""
     c = F.col(result_col)
     return (c["n_hit"] > 0) & (c["n_hit"] * 20 >= c["n_words"])

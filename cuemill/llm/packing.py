@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import append_column, as_text, blocks, text_buffer
+from .arrow import append_column, as_text, blocks, release, text_buffer
 from .tokens import encoder
 from .wordscan import NOT_SPACE, scan
 
@@ -142,5 +142,6 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                     yield flush()
         out.extend(packer.close())
         yield flush()
+        release()
 
     return ordered.select("doc_id", "text").mapInArrow(pack, PIECE)

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from cuemill.llm.decontaminate import find_contamination, is_contaminated
+from cuemill.llm.decontaminate import benchmark_windows, find_contamination, is_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -46,7 +46,8 @@ def test_equals_brute_force(spark, make_docs):
     texts, items = cases()
     table = spark.createDataFrame(items, "item_id long, text string")
     ids = [1, 1, *range(2, len(texts))]  # a repeated id: each row has its own result
-    for options in ({}, {"max_words": 40}):
+    total = benchmark_windows(table).selectExpr("sum(size(words))").first()[0]
+    for options in ({}, {"max_words": -(-total // 10)}):  # one block, and ten
         got = run(make_docs(texts, ids), table, **options)
         assert sorted(got) == sorted((i, brute(t, items)) for i, t in zip(ids, texts, strict=True))
 
@@ -56,8 +57,13 @@ def test_empty_tables_and_clashing_columns(spark, make_docs):
     assert run(make_docs([]), items) == []
     assert run(make_docs(["one two"]), items.limit(0)) == [(0, (2, 0, [], False))]
     clash = make_docs(["one two three"]).selectExpr("*", "1 as contamination", "2 as n_words")
-    out = find_contamination(clash, items).first()
-    assert out["n_words"] == 2 and out["contamination"]["n_hit"] == 2
+    clash = clash.selectExpr("*", "3 as row", "4 as __row2")
+    for most in (2_000_000, 1):
+        found = find_contamination(clash, items, max_words=most)
+        out = found.first()
+        assert out["n_words"] == 2 and out["row"] == 3 and out["contamination"]["n_hit"] == 2
+        assert found.columns == [c for c in clash.columns if c != "contamination"] + ["contamination"]
+        assert str(found._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == (most > 1)  # no chain of indexes in one task
 
 
 def test_query_digest(spark, sf):
