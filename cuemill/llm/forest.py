@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .arrow import as_text, blocks, text_buffer, whole_groups
 from .components import connected_components
-from .shared import Scratch, salted_join
+from .shared import Scratch, salted_join, spread_join
 from .wordscan import NOT_SPACE, Words, mix, scan
 
 TREES, SPAN = 32, 4
@@ -225,10 +225,13 @@ def class_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets in ``sets`` (id, shingles) have 100 * intersection >= percent * union."""
+    """The written ``pairs`` whose sets in ``sets`` (id, shingles) have 100 * intersection >= percent * union.
+
+    A set that many pairs name is sent once for each share of them.
+    """
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = spread_join(spread_join(pairs, left, "a", ["b"]), right, "b", ["a"], pairs)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

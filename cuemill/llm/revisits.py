@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import spread_join, written
+
 #: Fields that a 304 answer may replace in the stored response.
 PERMITTED_HEADERS = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "age", "warning", "set-cookie", "x-cache")
 URL_PATTERN = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
@@ -99,7 +101,9 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 3_600) -> DataFra
     met = met.withColumn("state", state).withColumn("ok", F.col("state") == "resolved")
     met = met.select("record_id", "url_key", "captured", "state", F.when(F.col("ok"), F.col("original")["record_id"]).alias("original_id"), F.when(F.col("ok"), merged).alias("headers"))
 
-    bodies = records.filter("type = 'response'").groupBy(F.col("record_id").alias("original_id")).agg(F.min("body").alias("body"))
-    found = met.filter("original_id is not null").join(bodies, "original_id")  # the others would all meet under one key
+    met = written(met, "revisits")
+    resolved = met.filter("original_id is not null")  # the others would all meet under one key
+    bodies = records.filter("type = 'response'").select(F.col("record_id").alias("original_id"), "body").join(resolved.select("original_id").distinct(), "original_id", "left_semi")
+    found = spread_join(resolved, bodies.groupBy("original_id").agg(F.min("body").alias("body")), "original_id", ["record_id", "captured"])
     names = ["record_id", "url_key", "captured", "state", "original_id", "headers"]
     return found.select(*names, "body").unionByName(met.filter("original_id is null").select(*names, F.lit(None).cast(records.schema["body"].dataType).alias("body")))

@@ -84,3 +84,16 @@ def salted_join(rows: DataFrame, table: DataFrame, key: list[str], tie: list[str
     salted = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(*tie), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
     return salted.join(spread, [*key, "salt"]).drop("salt")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, tie: list[str], counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``. Like ``salted_join``, with the frequencies counted here, in ``counted``, if
+    that has the keys of ``rows`` and is cheaper to read. Of ``table`` only the rows of hot keys are repeated, once a share.
+    """
+    counts = (rows if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    share = max(1000, (counts.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(counts.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("parts")))  # at most HOT rows
+    parts = F.coalesce("parts", F.lit(1))
+    salted = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(*tie), parts).cast("int")).drop("parts")
+    spread = table.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return salted.join(spread, [key, "salt"]).drop("salt")
