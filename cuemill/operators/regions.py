@@ -1,87 +1,101 @@
-"""Caption regions from text boxes, and balanced phrases: greedy and dynamic programming, so grouped maps."""
+"""Caption regions from text boxes by first-fit grouping in the JVM, and balanced phrases by dynamic programming.
+
+First-fit is a fold in order, as each choice depends on the groups made so far. Boxes that no group could ever join are parted
+first: along a sweep, a gap wider than any group reaches over cuts the boxes of a frame, or of a video, into independent
+pieces, and only a piece is folded.
+"""
 
 from __future__ import annotations
 
 import math
-from itertools import groupby
-from operator import attrgetter
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuemill.functions.links import bound
 from cuemill.functions.text import is_meaningful, text_key
 
 LEAST_CONFIDENCE = 0.68
 BOX = "video_id string, frame int, x double, y double, width double, height double, text string, confidence double"
+GROUP = "array<struct<n:int,middles:double,x:double,y:double,right:double,bottom:double,text:string,confidence:double>>"
+#: Added to the widest gap that a group may reach over: pieces may be too large, never too small.
+SLACK = 1e-6
 
 
-def _envelope(video, frame, boxes: list) -> tuple:
-    left, top = min(b.x for b in boxes), min(b.y for b in boxes)
-    right, bottom = max(b.x + b.width for b in boxes), max(b.y + b.height for b in boxes)
-    return video, frame, left, top, right - left, bottom - top, " ".join(b.text for b in boxes), sum(b.confidence for b in boxes) / len(boxes)
-
+def _first_fit(items: Column, kind: str, start: Callable, fits: Callable, joined: Callable) -> Column:
+    """Groups of the ``items`` of an array: each joins the first group that ``fits`` it, or starts one."""
 
-def _first_fit(items, fits) -> list[list]:
-    groups: list[list] = []
-    for item in items:
-        home = next((g for g in groups if fits(g, item)), None)
-        home.append(item) if home is not None else groups.append([item])
-    return groups
+    def step(groups: Column, item: Column) -> Column:
+        first = F.array_position(F.transform(groups, lambda g: fits(g, item)), F.lit(True))
+        put = lambda at: F.when(at == 0, F.concat(groups, F.array(start(item)))).otherwise(F.transform(groups, lambda g, i: F.when(i + 1 == at, joined(g, item)).otherwise(g)))
+        return bound(first, put)
 
+    return F.aggregate(items, F.array().cast(kind), step)
 
-def _grouped(boxes: DataFrame, order: list[str], fits) -> DataFrame:
-    """Boxes of a frame joined first-fit in order: each choice depends on the groups made so far.
 
-    A video has few sampled frames, so one group holds all of them.
-    """
+def _pieces(rows: DataFrame, by: list[str], low: Column, high: Column, reach: float) -> DataFrame:
+    """``rows`` with ``piece``, counted up where ``low`` is further than ``reach`` from every ``high`` before it."""
+    w = Window.partitionBy(*by).orderBy("__low")
+    far = F.max("__high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("__low", low).withColumn("__high", high).withColumn("__new", (F.col("__low") - far > reach + SLACK).cast("int"))
+    return marked.withColumn("piece", F.sum(F.coalesce("__new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__low", "__high", "__new")
 
-    key = attrgetter("frame", *order, "text", "confidence")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(part.itertuples(index=False), key=key)
-        made = [_envelope(rows[0].video_id, frame, g) for frame, boxes in groupby(rows, attrgetter("frame")) for g in _first_fit(boxes, fits)]
-        return pd.DataFrame(made, columns=["video_id", "frame", "x", "y", "width", "height", "text", "confidence"])
-
-    return boxes.groupBy("video_id").applyInPandas(run, BOX)
+def _grouped(pieces: DataFrame, order: list[str], fits: Callable) -> DataFrame:
+    """Boxes of each piece of a frame joined first-fit in order to their envelopes."""
+    rest = [c for c in ("x", "y", "text", "confidence", "width", "height") if c not in order]
+    found = pieces.groupBy("video_id", "frame", "piece").agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("items"))
+    middle = lambda b: b["y"] + b["height"] / 2
+    right, bottom = (lambda b: b["x"] + b["width"]), (lambda b: b["y"] + b["height"])
+    made = lambda *values: F.struct(*[v.alias(n) for v, n in zip(values, ("n", "middles", "x", "y", "right", "bottom", "text", "confidence"), strict=True)])
+    start = lambda b: made(F.lit(1), middle(b), b["x"], b["y"], right(b), bottom(b), b["text"], b["confidence"])
+    joined = lambda g, b: made(g["n"] + 1, g["middles"] + middle(b), F.least(g["x"], b["x"]), F.least(g["y"], b["y"]), F.greatest(g["right"], right(b)), F.greatest(g["bottom"], bottom(b)), F.concat_ws(" ", g["text"], b["text"]), g["confidence"] + b["confidence"])
+    each = found.select("video_id", "frame", F.explode(_first_fit(F.col("items"), GROUP, start, fits, joined)).alias("g"))
+    g = F.col("g")
+    return each.select("video_id", "frame", g["x"].alias("x"), g["y"].alias("y"), (g["right"] - g["x"]).alias("width"), (g["bottom"] - g["y"]).alias("height"), g["text"].alias("text"), (g["confidence"] / g["n"]).alias("confidence"))
 
 
 def lines(boxes: DataFrame) -> DataFrame:
     """Word boxes joined to lines: middles within 2.5 and a gap of at most 8 per cent."""
-
-    def fits(line: list, b) -> bool:
-        middle = sum(v.y + v.height / 2 for v in line) / len(line)
-        return abs(b.y + b.height / 2 - middle) <= 2.5 and b.x - max(v.x + v.width for v in line) <= 8
-
-    return _grouped(boxes.filter((F.col("confidence") >= LEAST_CONFIDENCE) & is_meaningful(F.col("text"))), ["x", "y"], fits)
+    usable = boxes.filter((F.col("confidence") >= LEAST_CONFIDENCE) & is_meaningful(F.col("text")))
+    middle = F.col("y") + F.col("height") / 2
+    fits = lambda g, b: (F.abs(b["y"] + b["height"] / 2 - g["middles"] / g["n"]) <= 2.5) & (b["x"] - g["right"] <= 8)
+    return _grouped(_pieces(usable, ["video_id", "frame"], middle, middle, 2.5), ["x", "y"], fits)
 
 
 def blocks(line_boxes: DataFrame) -> DataFrame:
     """Lines joined to blocks: a gap of at most 2.5, centres within 22, at most 20 high."""
 
-    def fits(block: list, b) -> bool:
-        _, _, x, y, w, h, _, _ = _envelope(None, None, block)
-        gap = max(0.0, b.y - (y + h), y - (b.y + b.height))
-        tall = max(y + h, b.y + b.height) - min(y, b.y)
-        return gap <= 2.5 and abs(b.x + b.width / 2 - (x + w / 2)) <= 22 and tall <= 20
+    def fits(g: Column, b: Column) -> Column:
+        low = b["y"] + b["height"]
+        gap = F.greatest(F.lit(0.0), b["y"] - g["bottom"], g["y"] - low)
+        return (gap <= 2.5) & (F.abs(b["x"] + b["width"] / 2 - (g["x"] + g["right"]) / 2) <= 22) & (F.greatest(g["bottom"], low) - F.least(g["y"], b["y"]) <= 20)
 
-    return _grouped(line_boxes, ["y", "x"], fits)
+    return _grouped(_pieces(line_boxes, ["video_id", "frame"], F.col("y"), F.col("y") + F.col("height"), 2.5), ["y", "x"], fits)
 
 
 def clusters(block_boxes: DataFrame) -> DataFrame:
-    """Centred blocks with ``cluster``: first-fit against the first member of each cluster of the video."""
+    """Centred blocks with ``cluster``, the first member's (y, x, frame, text): first-fit against the first members.
+
+    A block's cluster depends on its centre alone, so only distinct centres are folded, and a video may have any number of
+    frames.
+    """
     centre = F.col("x") + F.col("width") / 2
     usable = (F.col("confidence") >= LEAST_CONFIDENCE) & is_meaningful(F.col("text")) & F.col("width").between(12, 82) & F.col("height").between(1, 20) & centre.between(25, 75) & (F.col("y") >= 0) & (F.col("y") + F.col("height") <= 100)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = list(part.sort_values(["y", "x", "frame", "text"]).itertuples(index=False))
-        near = lambda g, b: abs(b.x + b.width / 2 - g[0].x - g[0].width / 2) <= 10 and abs(b.y + b.height / 2 - g[0].y - g[0].height / 2) <= 6
-        made = [(*b, k) for k, g in enumerate(_first_fit(rows, near)) for b in g]
-        return pd.DataFrame(made, columns=[*part.columns, "cluster"])
-
-    return block_boxes.filter(usable).groupBy("video_id").applyInPandas(run, BOX + ", cluster int")
+    placed = block_boxes.filter(usable).withColumn("across", centre).withColumn("down", F.col("y") + F.col("height") / 2)
+    points = placed.groupBy("video_id", "across", "down").agg(F.min(F.struct("y", "x", "frame", "text")).alias("first"))
+    items = _pieces(points, ["video_id"], F.col("down"), F.col("down"), 6).groupBy("video_id", "piece").agg(F.array_sort(F.collect_list(F.struct("first", "across", "down"))).alias("items"))
+    kind = "array<struct<first:struct<y:double,x:double,frame:int,text:string>,across:double,down:double,points:array<struct<across:double,down:double>>>>"
+    point = lambda b: F.array(F.struct(b["across"].alias("across"), b["down"].alias("down")))
+    start = lambda b: F.struct(b["first"].alias("first"), b["across"].alias("across"), b["down"].alias("down"), point(b).alias("points"))
+    near = lambda g, b: (F.abs(b["across"] - g["across"]) <= 10) & (F.abs(b["down"] - g["down"]) <= 6)
+    joined = lambda g, b: g.withField("points", F.concat(g["points"], point(b)))
+    made = items.select("video_id", F.explode(_first_fit(F.col("items"), kind, start, near, joined)).alias("g"))
+    homes = made.select("video_id", F.col("g.first").alias("cluster"), F.explode("g.points").alias("p")).select("video_id", "cluster", "p.across", "p.down")
+    return placed.join(homes, ["video_id", "across", "down"]).drop("across", "down")
 
 
 def caption_regions(boxes: DataFrame, samples: int = 24) -> DataFrame:
@@ -92,7 +106,8 @@ def caption_regions(boxes: DataFrame, samples: int = 24) -> DataFrame:
     key = ["video_id", "cluster"]
     labels = best.groupBy(*key, text_key(F.col("text")).alias("label")).count().groupBy(*key).agg(F.count("*").alias("labels"), F.max("count").alias("most"), F.sum("count").alias("frames"))
     rank = best.groupBy(*key).agg(F.avg("confidence").alias("mean")).join(labels, key).filter((F.col("frames") >= max(3, math.ceil(samples * 0.25))) & (F.col("labels") >= 2) & (F.col("most") / F.col("frames") <= 0.8))
-    chosen = rank.groupBy("video_id").agg(F.max_by(F.struct("cluster", "mean", "frames"), F.struct("frames", "mean", (-F.col("cluster")).alias("early"))).alias("c")).select("video_id", "c.*")
+    order = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("frames"), F.desc("mean"), "cluster"))
+    chosen = rank.withColumn("n", order).filter("n = 1").select(*key, "mean", "frames")
     selected = best.join(chosen, key)
     p90 = lambda c: F.array_sort(F.collect_list(c))[F.bround((F.count(c) - 1) * 0.9).cast("int")]
     sizes = selected.groupBy("video_id").agg(p90(F.col("height")).alias("tall"), F.max_by(F.struct("x", "width"), F.struct("width", (-F.col("frame")).alias("f"))).alias("wide"), F.first("mean").alias("mean"), F.first("frames").alias("samples"))

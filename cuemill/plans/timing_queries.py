@@ -243,11 +243,74 @@ def words_to_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.words_to_sentences(words, turns.select("conv_id", F.col("turn").alias("seq"), (F.col("turn") % 3).alias("n")), "conv_id").select("conv_id", "at", "seq")
 
 
-@R.add()
+def _caption_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a frame of its user's video: two words low in the picture, a third at times on a line of its own, and a logo."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("video_id"), F.col("event_id").cast("int").alias("frame"), "event_type", (F.floor(F.col("value") * 8) / 8 % 4).alias("s"), (F.col("event_id") % 3).alias("k"))
+    word = lambda x, y, w, text: F.struct(x.alias("x"), y.alias("y"), F.lit(w).alias("width"), F.lit(4.0).alias("height"), text.alias("text"), F.lit(0.875).alias("confidence"))
+    frame, s, k = F.col("frame").cast("string"), F.col("s"), F.col("k").cast("double")
+    low = word(25 + s, F.lit(80.0), 20.0, F.concat(F.lit("word"), frame)), word(48 + s, F.lit(80.5), 22.0, F.col("event_type"))
+    third = word(30 + s, 85 + k * 3, 20.0, F.concat(F.lit("line"), frame))
+    return e.select("video_id", "frame", F.explode(F.array(*low, third, word(F.lit(40.0), F.lit(5.0), 15.0, F.lit("LOGO")))).alias("b")).select("video_id", "frame", "b.*")
+
+
+def _fold_sql(start: str, fits: str, joined: str, fields: str) -> str:
+    """First-fit over a list ``l`` of structs b, in SQL: groups of structs g."""
+    return f"""list_reduce(l, lambda a, c: {{'groups': CASE WHEN len(list_filter(a.groups, lambda g: {fits})) = 0 THEN list_append(a.groups, {start})
+    ELSE list_transform(a.groups, lambda g, i: CASE WHEN i = list_position(list_transform(a.groups, lambda g: {fits}), true) THEN {joined} ELSE g END) END, 'b': c.b}}, {{'groups': CAST([] AS {fields}[]), 'b': l[1].b}}).groups"""
+
+
+_G = "STRUCT(n INTEGER, m DOUBLE, x DOUBLE, y DOUBLE, r DOUBLE, o DOUBLE, t VARCHAR, c DOUBLE)"
+_START = "{'n': 1, 'm': c.b.y + c.b.h / 2, 'x': c.b.x, 'y': c.b.y, 'r': c.b.x + c.b.w, 'o': c.b.y + c.b.h, 't': c.b.t, 'c': c.b.c}"
+_JOINED = "{'n': g.n + 1, 'm': g.m + c.b.y + c.b.h / 2, 'x': least(g.x, c.b.x), 'y': least(g.y, c.b.y), 'r': greatest(g.r, c.b.x + c.b.w), 'o': greatest(g.o, c.b.y + c.b.h), 't': g.t || ' ' || c.b.t, 'c': g.c + c.b.c}"
+_ITEM = "{'groups': CAST([] AS " + _G + "[]), 'b': {'x': x, 'y': y, 'w': w, 'h': h, 't': t, 'c': c}}"
+_SPREAD = "SELECT v, f, g.x AS x, g.y AS y, g.r - g.x AS w, g.o - g.y AS h, g.t AS t, g.c / g.n AS c FROM (SELECT v, f, unnest({fold}) AS g FROM (SELECT v, f, list({item} ORDER BY {order}, t, c) AS l FROM {rows} GROUP BY v, f))"
+_LINE_FITS = "abs(c.b.y + c.b.h / 2 - g.m / g.n) <= 2.5 AND c.b.x - g.r <= 8"
+_BLOCK_FITS = "greatest(0.0, c.b.y - g.o, g.y - (c.b.y + c.b.h)) <= 2.5 AND abs(c.b.x + c.b.w / 2 - (g.x + g.r) / 2) <= 22 AND greatest(g.o, c.b.y + c.b.h) - least(g.y, c.b.y) <= 20"
+_CLUSTER = "STRUCT(x DOUBLE, y DOUBLE, f INTEGER, t VARCHAR, ax DOUBLE, ay DOUBLE, k INTEGER)"
+_CAPTIONS_SQL = f"""WITH e AS (SELECT 'v' || user_id AS v, CAST(event_id AS INTEGER) AS f, event_type, floor(value * 8) / 8 % 4 AS s, CAST(event_id % 3 AS DOUBLE) AS k FROM events),
+boxes AS (SELECT v, f, 25 + s AS x, 80.0::DOUBLE AS y, 20.0::DOUBLE AS w, 4.0::DOUBLE AS h, 'word' || f AS t, 0.875::DOUBLE AS c FROM e UNION ALL SELECT v, f, 48 + s, 80.5, 22.0, 4.0, event_type, 0.875 FROM e
+  UNION ALL SELECT v, f, 30 + s, 85 + k * 3, 20.0, 4.0, 'line' || f, 0.875 FROM e UNION ALL SELECT v, f, 40.0, 5.0, 15.0, 4.0, 'LOGO', 0.875 FROM e),
+lines AS ({_SPREAD.format(fold=_fold_sql(_START, _LINE_FITS, _JOINED, _G), item=_ITEM, order='x, y', rows='boxes')}),
+blocks AS ({_SPREAD.format(fold=_fold_sql(_START, _BLOCK_FITS, _JOINED, _G), item=_ITEM, order='y, x', rows='lines')}),
+usable AS (SELECT *, x + w / 2 AS ax, y + h / 2 AS ay FROM blocks WHERE c >= 0.68 AND w BETWEEN 12 AND 82 AND h BETWEEN 1 AND 20 AND x + w / 2 BETWEEN 25 AND 75 AND y >= 0 AND y + h <= 100),
+firsts AS (SELECT v, unnest({_fold_sql("{'x': c.b.x, 'y': c.b.y, 'f': c.b.f, 't': c.b.t, 'ax': c.b.ax, 'ay': c.b.ay, 'k': CAST(len(a.groups) + 1 AS INTEGER)}", 'abs(c.b.ax - g.ax) <= 10 AND abs(c.b.ay - g.ay) <= 6', 'g', _CLUSTER)}) AS g
+  FROM (SELECT v, list({{'groups': CAST([] AS {_CLUSTER}[]), 'b': {{'x': x, 'y': y, 'f': f, 't': t, 'ax': ax, 'ay': ay}}}} ORDER BY y, x, f, t) AS l FROM usable GROUP BY v)),
+placed AS (SELECT u.*, min(g.k) AS k FROM usable u JOIN firsts ON firsts.v = u.v AND abs(u.ax - g.ax) <= 10 AND abs(u.ay - g.ay) <= 6 GROUP BY ALL)
+"""
+
+
+@R.add(_CAPTIONS_SQL + "SELECT v AS video_id, f AS frame, x, y, width, h AS height, t AS text FROM (SELECT *, w AS width FROM lines)")
+def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word boxes of each frame joined to lines."""
+    return regions.lines(_caption_boxes(spark, sf_dir)).drop("confidence")
+
+
+@R.add(_CAPTIONS_SQL + "SELECT v AS video_id, f AS frame, x, y, w AS width, h AS height, t AS text FROM blocks")
+def caption_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each frame joined to blocks."""
+    return regions.blocks(regions.lines(_caption_boxes(spark, sf_dir))).drop("confidence")
+
+
+@R.add(_CAPTIONS_SQL + "SELECT p.v AS video_id, p.f AS frame, p.t AS text, g.f AS first_frame, g.y AS first_y, g.x AS first_x FROM placed p JOIN firsts ON firsts.v = p.v AND g.k = p.k")
+def caption_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of all frames of a video joined to clusters of one place, each named by its first member."""
+    found = regions.clusters(regions.blocks(regions.lines(_caption_boxes(spark, sf_dir))))
+    return found.select("video_id", "frame", "text", F.col("cluster.frame").alias("first_frame"), F.col("cluster.y").alias("first_y"), F.col("cluster.x").alias("first_x"))
+
+
+@R.add(
+    _CAPTIONS_SQL
+    + """, best AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY v, k, f ORDER BY c DESC, y, x) = 1),
+ranked AS (SELECT v, k, avg(c) AS mean, count(*) AS n, count(DISTINCT t) AS labels, max(same) AS most FROM (SELECT *, count(*) OVER (PARTITION BY v, k, t) AS same FROM best) GROUP BY v, k),
+chosen AS (SELECT * FROM ranked WHERE n >= 6 AND labels >= 2 AND most / n <= 0.8 QUALIFY row_number() OVER (PARTITION BY v ORDER BY n DESC, mean DESC, k) = 1),
+sel AS (SELECT b.*, n, mean FROM best b JOIN chosen USING (v, k)),
+sizes AS (SELECT v, list_sort(list(h))[CAST(round_even((count(*) - 1) * 0.9, 0) AS BIGINT) + 1] AS tall, arg_max({'x': x, 'w': w}, {'w': w, 'f': -f}) AS wide, max(mean) AS mean, max(n) AS samples FROM sel GROUP BY v),
+ref AS (SELECT sel.v, arg_min({'y': sel.y, 'h': sel.h}, {'d': abs(sel.h - tall), 'w': -sel.w, 'f': sel.f}) AS r FROM sel JOIN sizes USING (v) GROUP BY sel.v),
+inside AS (SELECT l.v, l.h FROM lines l JOIN sel s ON l.v = s.v AND l.f = s.f AND l.x >= s.x - 0.5 AND l.y >= s.y - 0.5 AND l.x + l.w <= s.x + s.w + 0.5 AND l.y + l.h <= s.y + s.h + 0.5),
+tall AS (SELECT v, list_sort(list(h))[CAST(round_even((count(*) - 1) * 0.9, 0) AS BIGINT) + 1] AS line FROM inside GROUP BY v)
+SELECT v AS video_id, samples, round(greatest(0.0, wide.x), 2) AS x_percent, round(greatest(0.0, r.y), 2) AS y_percent, round(greatest(1.0, least(100.0, wide.x + wide.w) - greatest(0.0, wide.x)), 2) AS width_percent,
+  round(greatest(1.0, least(100.0, r.y + r.h) - greatest(0.0, r.y)), 2) AS height_percent, round(greatest(1.0, coalesce(line, tall)), 2) AS line_height_percent FROM sizes JOIN ref USING (v) LEFT JOIN tall USING (v)"""
+)
 def caption_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes made of events: captions low in the picture whose text changes, and a logo that does not."""
-    e = table(spark, sf_dir, "events").withColumn("frame", (F.col("event_id") % 24).cast("int")).withColumn("video_id", F.concat(F.lit("v"), (F.col("user_id") % 40).cast("string")))
-    word = lambda x, w, text, y: F.struct((x + F.col("value") % 1).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("width"), F.lit(4.0).alias("height"), text.alias("text"), F.lit(0.9).alias("confidence"))
-    caption = F.array(word(F.lit(25.0), 20.0, F.concat(F.lit("word"), F.col("event_id").cast("string")), 80.0), word(F.lit(48.0), 22.0, F.col("event_type"), 80.5), word(F.lit(40.0), 15.0, F.lit("LOGO"), 5.0))
-    boxes = e.dropDuplicates(["video_id", "frame"]).select("video_id", "frame", F.explode(caption).alias("b")).select("video_id", "frame", "b.*")
-    return regions.caption_regions(boxes).select("video_id", "samples", "height_percent")
+    """Where the captions of each video are: low in the picture, with changing text."""
+    return regions.caption_regions(_caption_boxes(spark, sf_dir)).drop("confidence")
