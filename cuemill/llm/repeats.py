@@ -4,14 +4,18 @@ The reference is the corpus itself, so its automata cannot all be broadcast: the
 document would have to meet every shard. Instead shards and documents are brought together by content. The least hashed
 ``ANCHOR``-word run of a window (its anchor) is the same wherever the window occurs. Runs of windows with one anchor are
 a stretch; stretches whose anchor occurs once anywhere cannot hold a repeated window and go no further. The distinct
-stretches of the other anchors are the reference. They are dealt to shards of about ``max_words`` words by anchor, a
-suffix automaton with occurrence counts is built of each shard, and the shard's stretches are streamed through it for
-matching statistics: a window is repeated where the longest suffix that occurs twice has its length. Only what the automata
-cannot add anything to is settled without them: stretches that are equal wherever their anchor occurs, and anchors with more
-than ``max_contexts`` distinct stretches, whose windows are counted one by one, so a very frequent line burdens no task.
-
-Equal stretches are those with two equal 64-bit hashes (``Words.identity``) and equal lengths. Frequent anchors and
-stretches are salted where they are joined.
+stretches of all other anchors, each weighted by how often it occurs, are the reference. They are dealt to shards of about
+``max_words`` words by anchor, a suffix automaton with occurrence counts is built of each shard, and the shard's stretches
+are streamed through it for matching statistics: a window is repeated where the longest suffix that occurs twice has its
+length.
+
+An anchor with more than ``max_contexts`` distinct stretches (a frequent line) would make a shard too large. Its stretches are
+cut again by a longer anchor, up to the window itself, which has one context only; pieces whose longer anchor occurs once go no
+further, and the others come to shards of their own. So every repeated window is found by an automaton, and no task holds
+more than a bounded shard.
+
+Equal stretches are those with two equal 64-bit hashes (``Words.identity``, or two hashes of the word hashes) and equal
+lengths. Frequent anchors and stretches are salted where they are joined.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +34,7 @@ from pyspark.sql import types as T
 from .arrow import as_text, blocks, text_buffer
 from .automaton import SuffixAutomaton
 from .shared import Scratch, new_table_path, salted_join, written
-from .wordscan import NOT_SPACE, Words, mix, scan
+from .wordscan import NOT_SPACE, Words, mix, run_hashes, scan
 
 ANCHOR = 9
 STRETCH = ["m", "s", "t"]  # anchor and both hashes of the words
@@ -129,20 +134,63 @@ def shard_masks(contents: DataFrame, window: int, n_shards: int) -> DataFrame:
     return dealt.select("shard", *STRETCH, "n", "words").mapInArrow(build, "m long, s long, t long, n long, mask long")
 
 
-def single_masks(contents: DataFrame, window: int) -> DataFrame:
-    """The same masks, each window counted by itself."""
-    names = [*STRETCH, "n", "i", "window"]
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Words in each value of a column of word hashes."""
+    return pc.binary_length(column).to_numpy().astype(np.int64) // 8
+
+
+def _cut_by_anchor(contents: DataFrame, window: int, run: int) -> DataFrame:
+    """(m, s, t, first, m2, n, words): the stretches of ``contents`` cut into runs of windows with one anchor of ``run`` words;
+    ``first`` is the first window's number in the stretch."""
+    names = [*STRETCH, "first", "m2", "n", "words"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
-            rows = [(*key, i, words[8 * i : 8 * (i + window)]) for *key, words in columns for i in range(len(words) // 8 - window + 1)]
-            *ints, w = zip(*rows, strict=True) if rows else ((),) * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in ints), pa.array(w, pa.binary())], names=names)
-
-    each = contents.select(*STRETCH, "n", "words").mapInArrow(cut, "m long, s long, t long, n long, i long, window binary").withColumn("window", F.unhex(F.md5("window")))
-    often = each.groupBy("window").agg(F.sum("n").alias("total")).filter("total >= 2").select("window")
-    return each.join(often, "window").groupBy(*STRETCH).agg(F.max("n").alias("n"), F.bit_or(F.expr("shiftleft(1L, cast(i as int))")).alias("mask"))
+            flat = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64)
+            ends = np.cumsum(_sizes(batch.column(4)))
+            begins = np.concatenate([[0], ends[:-1]])
+            row = np.repeat(np.arange(batch.num_rows), ends - begins)
+            at = np.arange(len(flat))
+            starts = at[at + window <= ends[row]]
+            hashes = np.full(len(flat), np.uint64(2**64 - 1))
+            inner = at[at + run <= ends[row]]
+            hashes[inner] = run_hashes(flat, inner, inner + run)
+            view = sliding_window_view(hashes, window - run + 1)
+            anchor = np.empty(len(starts), np.int64)
+            for x in range(0, len(starts), 1 << 16):
+                anchor[x : x + (1 << 16)] = view[starts[x : x + (1 << 16)]].argmin(axis=1) + starts[x : x + (1 << 16)]
+            new = np.ones(len(starts), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(starts)))
+            home, begin = row[starts[first]], starts[first]
+            words = pa.array([flat[p : p + c + window - 1].tobytes() for p, c in zip(begin.tolist(), count.tolist(), strict=True)], pa.binary())
+            parents = [batch.column(i).take(pa.array(home)) for i in range(4)]
+            columns = [*parents[:3], pa.array(begin - begins[home]), pa.array(hashes[anchor[first]].view(np.int64)), parents[3], words]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return contents.select(*STRETCH, "n", "words").mapInArrow(cut, "m long, s long, t long, first long, m2 long, n long, words binary")
+
+
+def masks_of(contents: DataFrame, window: int, max_words: int, max_contexts: int, scratch: Scratch, runs: list[int]) -> DataFrame:
+    """(m, s, t, mask) of the stretches of ``contents`` that have a repeated window. Anchors with too many contexts are cut by
+    anchors of the first of ``runs``, then of the others."""
+    contexts = contents.groupBy("m").agg(F.count(F.lit(1)).alias("contexts"))
+    frequent = scratch.written(contexts.filter(F.col("contexts") > max_contexts).select("m"), "repeats-frequent")
+    plain = contents.join(frequent, "m", "left_anti")
+    total = plain.agg(F.sum(F.length("words")) / 8).first()[0] or 0
+    masks = shard_masks(plain, window, max(1, int(-(-total // max_words)))).filter("mask <> 0").select(*STRETCH, "mask")
+    if frequent.isEmpty():
+        return scratch.written(masks, "repeats-masks")
+    pieces = scratch.written(_cut_by_anchor(contents.join(frequent, "m", "left_semi"), window, runs[0]), "repeats-pieces")
+    parents = {"pm": F.col("m"), "ps": F.col("s"), "pt": F.col("t"), "m": F.col("m2"), "s": F.xxhash64("words"), "t": F.xxhash64(F.lit(ANCHOR), "words")}
+    pieces = pieces.select(*[c.alias(k) for k, c in parents.items()], "first", "n", "words")
+    distinct = pieces.groupBy(*STRETCH).agg(F.sum("n").alias("n"), F.min("words").alias("words"))
+    often = pieces.groupBy("m").agg(F.sum("n").alias("total")).filter("total > 1").select("m")
+    deeper = masks_of(scratch.written(distinct.join(often, "m", "left_semi"), "repeats-contents"), window, max_words, max_contexts, scratch, runs[1:] or runs)
+    back = pieces.drop("n", "words").join(deeper, STRETCH).withColumn("mask", F.expr("shiftleft(mask, cast(first as int))"))
+    found = back.groupBy(F.col("pm").alias("m"), F.col("ps").alias("s"), F.col("pt").alias("t")).agg(F.bit_or("mask").alias("mask"))
+    return scratch.written(masks.unionByName(found), "repeats-masks")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -173,24 +221,16 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, re
     kept = rows.schema["d"].dataType.fields
     texts = rows.select("row", F.col("d")[text_col].alias("text"))
     found = _find_stretches(texts, "text", window)
-    low_high = [f(c).alias(f"{c}_{f.__name__}") for c in ("s", "t") for f in (F.min, F.max)]
-    anchors = found.groupBy("m").agg(F.count("*").alias("n"), *low_high).filter("n > 1")
-    anchors = scratch.written(anchors.select("m", "n", (F.expr("s_min <> s_max or t_min <> t_max")).alias("mixed")), "repeats-anchors")
+    anchors = scratch.written(found.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1"), "repeats-anchors")
     met = scratch.written(salted_join(found, anchors, ["m"], ["row", "place"]), "repeats-met")
 
-    distinct = met.filter("mixed").groupBy(*STRETCH).agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"))
+    distinct = met.groupBy(*STRETCH).agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"))
     contents = scratch.written(_contents(distinct, texts, "text", window), "repeats-contents")
-    contexts = contents.groupBy("m").agg(F.count("*").alias("contexts"))
-    frequent = scratch.written(contexts.filter(F.col("contexts") > max_contexts).select("m"), "repeats-frequent")
-    plain = contents.join(frequent, "m", "left_anti")
-    total = plain.agg(F.sum(F.length("words")) / 8).first()[0] or 0
-    masks = shard_masks(plain, window, max(1, int(-(-total // max_words))))
-    masks = masks.unionAll(single_masks(contents.join(frequent, "m", "left_semi"), window)).filter("mask <> 0")
-    masks = scratch.written(masks, "repeats-masks")
-
-    settled = salted_join(met.filter("mixed").select(*STRETCH, "row", "place"), masks, STRETCH, ["row", "place"]).select("row", "place", "mask")
-    certain = met.filter("not mixed").select("row", "place", F.expr("shiftrightunsigned(-1L, 63 - cast(place & 63 as int))").alias("mask"))
-    spots = written(settled.unionAll(certain).groupBy("row").agg(F.collect_list(F.struct("place", "mask")).alias("spots")), "repeats-spots")
+    runs = [k for k in (2 * ANCHOR, 3 * ANCHOR) if k < window] + [window]
+    masks = masks_of(contents, window, max_words, max_contexts, scratch, runs)
+    counted = masks.join(contents.select(*STRETCH, "n"), STRETCH)
+    settled = salted_join(met.select(*STRETCH, "row", "place"), counted, STRETCH, ["row", "place"]).select("row", "place", "mask")
+    spots = written(settled.groupBy("row").agg(F.collect_list(F.struct("place", "mask")).alias("spots")), "repeats-spots")
     scratch.clear()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

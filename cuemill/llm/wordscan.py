@@ -169,3 +169,8 @@ def hash_words(words: list[str]) -> np.ndarray:
 def hash_run(hashes: np.ndarray) -> np.uint64:
     """Hash of one run of word hashes, equal to that of ``Words.grams``."""
     return _ranges(hashes, np.array([0]), np.array([len(hashes)]))[0]
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of runs of word hashes, in another order than those of ``Words.grams``."""
+    return mix(_ranges(values, starts, ends, _BASES[1]))

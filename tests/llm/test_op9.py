@@ -66,6 +66,21 @@ def test_frequent_stretches_are_salted(spark, make_docs, monkeypatch):
     assert sorted((r["text"] or "", *r["repeats"]) for r in got) == sorted((t or "", *b) for t, b in zip(texts, brute(texts, 35), strict=True))
 
 
+def test_a_very_common_line_goes_through_automata(spark, make_docs, monkeypatch):
+    """A line of 30 words among others in every text, some of its surroundings twice: its anchors have hundreds of contexts, its windows
+    one or two."""
+    rng = random.Random(11)
+    line = " ".join(f"l{i}" for i in range(30))
+    sides = [" ".join(f"s{rng.randrange(10**6)}" for _ in range(30)) for _ in range(300)]
+    texts = [f"{rng.choice(sides)} {line} {rng.choice(sides)}" for _ in range(300)]
+    levels = []
+    cut = repeats._cut_by_anchor
+    monkeypatch.setattr(repeats, "_cut_by_anchor", lambda contents, window, run: levels.append(run) or cut(contents, window, run))
+    got = repeats.remove_repeats(make_docs(texts), max_contexts=20).collect()
+    assert sorted((r["text"], *r["repeats"]) for r in got) == sorted((t, *b) for t, b in zip(texts, brute(texts, 35), strict=True))
+    assert levels == [18, 27, 35] and not hasattr(repeats, "single_masks")
+
+
 def test_words_that_collide_in_a_polynomial_hash(spark, make_docs):
     """Thue-Morse words and their complements: one hash under any polynomial of odd base modulo 2**64."""
     a = "".join("ab"[i.bit_count() % 2] for i in range(1 << 12))
