@@ -12,7 +12,7 @@ from cuemill.functions import text as X
 from cuemill.operators import candidates as C
 from cuemill.operators import catalog, migrate, publish
 from cuemill.sources import files
-from cuemill.streaming import feeds
+from cuemill.streaming import feeds, maintained
 
 from .tables import VIDEOS_SQL, Registry, new_folder, table, videos
 
@@ -140,14 +140,25 @@ def channel_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.alias("k"), F.array_join(F.transform(tabs, lambda t: F.concat_ws("=", t["url"], t["content_type"])), " ").alias("tabs"))
 
 
-_NAMES = (("", "empty"), ("  ", "empty"), ("x" * 121, "too long"), ("a/b", "barred character"), ("a|b", "barred character"), ("con", "reserved"), ("LPT1.txt", "reserved"), ("end.", "bad end"), ("fine name", None), ("COM10", None), ("x" * 120, None))
-_PATHS = (("/a/b/c", True), ("/a/b", False), ("/a/bc", False), ("/a/b/../c", False), ("\\a\\b\\c", True), ("/a//b/./c", True), ("/x", False))
+# What new projects' names and paths below a folder are put together from.
+_BEFORE, _AFTER = ("", "", "con", "LPT1.", "a|", "<", "  ", "COM10", "Aux"), ("", ".", " ", "*", ".txt", " x", "", "")
+_STEPS = ("/a/b", "/a/b/", "\\a\\b\\", "/a/bc/", "/a//b/./", "/a/b/../", "/x/", "/A/b/")
 
 
-@R.add(f"SELECT o_orderkey, {_listed('o_orderkey', [n[1] for n in _NAMES])} AS fault, {_listed('o_orderkey', [p[1] for p in _PATHS])} AS inside FROM orders")
+@R.add(
+    f"""WITH o AS (SELECT o_orderkey AS k, {_listed('o_orderkey', _BEFORE)} || CASE WHEN o_custkey % 4 = 0 THEN '' WHEN o_custkey % 4 = 1 THEN repeat('n', CAST(o_custkey % 130 AS INTEGER)) ELSE CAST(o_custkey AS VARCHAR) END || {_listed('(o_orderkey // 5)', _AFTER)} AS name,
+  {_listed('o_orderkey', _STEPS)} || CASE WHEN o_custkey % 3 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) || '/' END AS path FROM orders),
+n AS (SELECT *, trim(name) AS t, rtrim(replace(replace(replace(path, '\\', '/'), '/./', '/'), '//', '/'), '/') AS p FROM o)
+SELECT k, CASE WHEN t = '' THEN 'empty' WHEN length(t) > 120 THEN 'too long' WHEN t LIKE '%|%' OR t LIKE '%<%' OR t LIKE '%*%' THEN 'barred character' WHEN ends_with(t, '.') THEN 'bad end'
+  WHEN upper(split_part(t, '.', 1)) IN ('CON', 'AUX', 'LPT1') THEN 'reserved' END AS fault, starts_with(p, '/a/b/') AND NOT contains(p || '/', '/../') AS inside FROM n""".replace("\\\\", "\\")
+)
 def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(k, G.name_error(_case(k, [n[0] for n in _NAMES])).alias("fault"), G.is_inside(_case(k, [p[0] for p in _PATHS]), F.lit("/a/b/")).alias("inside"))
+    """Names and paths put together from the keys of orders."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    middle = F.when(c % 4 == 0, "").when(c % 4 == 1, F.repeat(F.lit("n"), (c % 130).cast("int"))).otherwise(c.cast("string"))
+    name = F.concat(_case(k, _BEFORE), middle, _case(F.floor(k / 5), _AFTER))
+    path = F.concat(_case(k, _STEPS), F.when(c % 3 == 0, "").otherwise(F.concat(c.cast("string"), F.lit("/"))))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), G.name_error(name).alias("fault"), G.is_inside(path, F.lit("/a/b/")).alias("inside"))
 
 
 @R.add(
@@ -304,9 +315,9 @@ def to_download(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.downloadable(c).select("video_id")
 
 
-@R.add("WITH l AS (SELECT c_custkey * 3 % 1500 AS id, c_custkey AS pos FROM customer WHERE c_custkey % 7 < 3) SELECT pos, o_orderkey AS id FROM l JOIN orders ON o_orderkey = l.id")
+@R.add("WITH l AS (SELECT c_custkey * 13 AS id, c_custkey AS pos FROM customer) SELECT pos, o_orderkey AS id FROM l JOIN orders ON o_orderkey = l.id")
 def rows_in_list_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "customer").filter("c_custkey % 7 < 3").select((F.col("c_custkey") * 3 % 1500).alias("id"), F.col("c_custkey").alias("pos"))
+    ids = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 13).alias("id"), F.col("c_custkey").alias("pos"))
     return catalog.find_rows(ids, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), "id").select("pos", "id")
 
 
@@ -367,24 +378,23 @@ def checkpoint_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT conv_id, turn, CAST(turn * 2.5 AS DOUBLE) AS start, CAST(turn * 2.5 + 2 AS DOUBLE) AS "end", 'cue ' || turn AS text FROM conversations"""
 )
 def subtitle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cues to one subtitle text a conversation, written as text files, listed and read again."""
+    """Cues to one subtitle text a conversation, many to a file, read again."""
     cues = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 2.5).alias("start"), (F.col("turn") * 2.5 + 2).alias("end"), F.concat(F.lit("cue "), F.col("turn").cast("string")).alias("text"))
     path = new_folder(spark)
-    files.to_srt(cues, "conv_id").select("conv_id", "value").write.partitionBy("conv_id").option("lineSep", "\n").text(path)
-    read = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
-    found = files.parse_srt(read).withColumn("conv_id", F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long"))
-    return found.select("conv_id", F.regexp_extract("text", "([0-9]+)$", 1).cast("long").alias("turn"), F.col("start"), F.col("end"), "text")
+    files.write_json(files.to_srt(cues, "conv_id").select("conv_id", "value"), path)
+    found = files.parse_srt(spark.read.schema("conv_id long, value string").json(path), key="conv_id")
+    return found.select("conv_id", F.regexp_extract("text", "([0-9]+)$", 1).cast("long").alias("turn"), "start", "end", "text")
 
 
 @R.add("SELECT conv_id, turn, CAST(turn * 2.0 AS DOUBLE) AS start, role AS language FROM conversations")
 def segment_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments as JSON array files, one a conversation, and back."""
+    """Segments as a JSON array a conversation, many to a file, and back."""
     seg = F.struct((F.col("turn") * 2.0).alias("start"), (F.col("turn") * 2.0 + 1).alias("end"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").alias("language"))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", seg.alias("s")))), lambda x: x["s"])).alias("value"))
     path = new_folder(spark)
-    rows.write.partitionBy("conv_id").text(path)
-    read = files.read_segments(spark, f"{path}/conv_id=*")
-    return read.select(F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id"), F.col("seq").cast("long").alias("turn"), "start", "language")
+    files.write_json(rows, path)
+    read = files.parse_segments(spark.read.schema("conv_id long, value string").json(path), key="conv_id")
+    return read.select("conv_id", F.col("seq").cast("long").alias("turn"), "start", "language")
 
 
 @R.add("SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
@@ -425,10 +435,9 @@ def recent_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.recent_files(rows, 25).select(F.col("path").cast("long").alias("event_id"))
 
 
-@R.add("SELECT conv_id, turn, 'Dialogue: 0,0:00:' || printf('%02d', CAST(turn AS BIGINT)) || '.50,0:00:' || printf('%02d', CAST(turn AS BIGINT)) || '.75,Default,,0,0,0,,a\\{' || turn || '\\}' AS line FROM conversations WHERE turn < 60")
+@R.add("SELECT conv_id, turn, 'Dialogue: 0,' || c || '.50,' || c || '.75,Default,,0,0,0,,a\\{' || turn || '\\}' AS line FROM (SELECT conv_id, turn, printf('%d:%02d:%02d', turn // 3600, turn % 3600 // 60, turn % 60) AS c FROM conversations)")
 def positioned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").filter("turn < 60")
-    cues = rows.select("conv_id", "turn", (F.col("turn") + 0.5).alias("start"), (F.col("turn") + 0.75).alias("end"), F.concat(F.lit("a{"), F.col("turn").cast("string"), F.lit("}")).alias("text"))
+    cues = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") + 0.5).alias("start"), (F.col("turn") + 0.75).alias("end"), F.concat(F.lit("a{"), F.col("turn").cast("string"), F.lit("}")).alias("text"))
     return files.to_ass_events(cues).select("conv_id", "turn", F.col("value").alias("line"))
 
 
@@ -457,10 +466,12 @@ def maintained_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark)
     source = f"{path}/source"
     table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").alias("revision")).repartition(3).write.parquet(source)
-    stream = spark.readStream.schema("user_id long, event_id long, revision long").option("maxFilesPerTrigger", 1).parquet(source)
-    feeds.maintain(stream, f"{path}/kept", "user_id", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = "user_id long, event_id long, revision long"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    kept = maintained.BucketTable(spark, f"{path}/kept", "user_id", "revision", schema, buckets=16)
+    maintained.maintain_buckets(stream, kept, f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     counts = spark.read.parquet(source).groupBy("user_id").agg(F.count("*").alias("events"))
-    return feeds.newest(spark, f"{path}/kept").join(counts, "user_id").select("user_id", "events", F.col("event_id").alias("newest"))
+    return kept.read().join(counts, "user_id").select("user_id", "events", F.col("event_id").alias("newest"))
 
 
 @R.add(

@@ -332,13 +332,13 @@ def rejected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    f"""WITH {VIDEOS_SQL}, m AS (SELECT language, count(*) FILTER (status = 'processing') AS d, count(*) FILTER (status = 'done') AS i, count(*) FILTER (status = 'pending') AS f FROM videos WHERE language <> '5-LOW' OR status <> 'processing' GROUP BY language)
-SELECT language, CASE WHEN d = 0 THEN CASE WHEN f > 0 THEN 'partial' ELSE 'success' END END AS state, CASE WHEN d = 0 THEN 'Imported ' || i || ' videos' || CASE WHEN f > 0 THEN '; ' || f || ' need attention' ELSE '' END END AS message FROM m"""
+    f"""WITH {VIDEOS_SQL}, m AS (SELECT project_key, count(*) FILTER (status = 'processing') AS d, count(*) FILTER (status = 'done') AS i, count(*) FILTER (status = 'pending') AS f FROM videos GROUP BY project_key)
+SELECT project_key, CASE WHEN d = 0 THEN CASE WHEN f > 0 THEN 'partial' ELSE 'success' END END AS state, CASE WHEN d = 0 THEN 'Imported ' || i || ' videos' || CASE WHEN f > 0 THEN '; ' || f || ' need attention' ELSE '' END END AS message FROM m"""
 )
 def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("status") == "processing", "downloading").when(F.col("status") == "done", "imported").otherwise("failed")
-    v = videos(spark, sf_dir).filter("language <> '5-LOW' or status <> 'processing'").withColumn("status", status).withColumn("selected", F.lit(True))
-    return W.final_states(C.session_metrics(v, "language")).select("language", "state", "message")
+    v = videos(spark, sf_dir).withColumn("status", status).withColumn("selected", F.lit(True))
+    return W.final_states(C.session_metrics(v, "project_key")).select("project_key", "state", "message")
 
 
 @R.add("SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING max(l_quantity) < 10 OR max(l_discount) > 0.08")
@@ -360,10 +360,9 @@ def lock_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.unlocked(rows, lock).select("p_partkey", "fault")
 
 
-@R.add("SELECT page_id, sha256(encode(CAST(octet_length(b) AS VARCHAR)) || b[1:1000] || b[(octet_length(b) - 1000) // 2 + 1:(octet_length(b) - 1000) // 2 + 1000] || b[octet_length(b) - 999:octet_length(b)]) AS print FROM (SELECT page_id, encode(repeat(html, 3)) AS b FROM pages WHERE length(html) >= 1000)")
+@R.add("SELECT page_id, sha256(encode(CAST(octet_length(b) AS VARCHAR)) || b[1:4000] || b[m:m + 3999] || b[greatest(octet_length(b) - 3999, 1):octet_length(b)]) AS print FROM (SELECT *, CAST(greatest(floor((octet_length(b) - 4000) / 2) + 1, 1) AS BIGINT) AS m FROM (SELECT page_id, encode(html) AS b FROM pages))")
 def sampled_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").filter(F.length("html") >= 1000)
-    return rows.select("page_id", W.fingerprint(F.encode(F.repeat("html", F.lit(3)), "UTF-8"), 1000).alias("print"))
+    return table(spark, sf_dir, "pages").select("page_id", W.fingerprint(F.encode("html", "UTF-8"), 4000).alias("print"))
 
 
 @R.add("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN replace(replace(event_type || ' Female', 'Female', 'Nữ'), 'Male', 'Nam') ELSE event_type || ' Female' END AS label FROM events")

@@ -23,11 +23,15 @@ def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "raw"), F.col("_metadata.file_path").alias("path"))
 
 
+def parse_segments(texts: DataFrame, text: str = "value", key: str = "path") -> DataFrame:
+    """key, seq and the fields of the segments of JSON array texts, in their order."""
+    each = texts.select(key, F.posexplode(F.from_json(text, f"array<struct<{SEGMENT.replace(' double', ':double').replace(' string', ':string')}>>")).alias("seq", "s"))
+    return each.select(key, "seq", "s.*")
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments of JSON array files in their order: path, seq and the fields."""
-    whole = spark.read.text(path, wholetext=True)
-    each = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.from_json("value", f"array<struct<{SEGMENT.replace(' double', ':double').replace(' string', ':string')}>>")).alias("seq", "s"))
-    return each.select("path", "seq", "s.*")
+    return parse_segments(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path")))
 
 
 def parse_srt(texts: DataFrame, text: str = "value", key: str = "path") -> DataFrame:

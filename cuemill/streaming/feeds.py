@@ -1,24 +1,25 @@
-"""Change feeds, late results, throttles and timeouts on streams."""
+"""Change feeds, late results and throttles on streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cuemill.operators.catalog import upsert
 
+def change_state(changes: DataFrame, revision: int, retained: int = 4096) -> DataFrame:
+    """``newest`` revision of a change table (revision, id) and ``refresh``: whether changes right after ``revision`` are no
+    longer retained, so that everything must be refreshed."""
+    newest = changes.filter(F.col("revision") > revision).agg(F.coalesce(F.max("revision"), F.lit(revision)).alias("newest"))
+    return newest.withColumn("refresh", F.col("newest") - retained > revision)
 
-def changes_since(changes: DataFrame, revision: int, retained: int = 4096) -> DataFrame:
-    """``refresh`` and, sorted, the ids changed after ``revision`` of a change table (revision, id).
 
-    Nothing after it gives no ids. If changes right after it are no longer retained, everything must be refreshed.
-    """
-    newest = changes.filter(F.col("revision") > revision).agg(F.coalesce(F.max("revision"), F.lit(revision)).alias("newest"))
-    newest = newest.withColumn("refresh", F.col("newest") - retained > revision)
+def changes_since(changes: DataFrame, revision: int, retained: int = 4096) -> DataFrame:
+    """``change_state`` and, sorted, the ids changed after ``revision``; nothing after it, or a refresh, gives no ids."""
+    newest = change_state(changes, revision, retained)
     wanted = changes.filter(F.col("revision") > revision).join(F.broadcast(newest.filter("not refresh").select(F.lit(True).alias("__few"))), F.lit(True))  # at most ``retained`` revisions
     ids = wanted.agg(F.array_sort(F.collect_set("id")).alias("ids"))
     return newest.join(F.broadcast(ids), F.lit(True)).select("newest", "refresh", "ids")
@@ -29,50 +30,6 @@ def current_only(results: DataFrame, generations: DataFrame, key: str) -> DataFr
     return results.join(generations.select(key, F.col("generation").alias("__now")), key).filter(F.col("generation") == F.col("__now")).drop("__now")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions of a maintained table."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
-    return sorted(int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-
-
-def newest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version of a maintained table."""
-    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1]}")
-
-
-def maintain(stream: DataFrame, path: str, key: str, checkpoint: str, affected: Callable[[DataFrame, DataFrame], DataFrame] | None = None, kept: int = 2):
-    """Keeps a Parquet table of the latest row of each key; ``affected`` (table, batch) may add what else to write.
-
-    A batch is written beside the table under its number, and readers take the newest complete one (``newest``), so a batch
-    that is run twice after a failure gives the same table. Versions older than the last ``kept`` are deleted.
-    """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(*[c for c in ("revision", "updated_at") if c in batch.columns] or [key])).alias("r")).select("r.*")
-        before = [n for n in _versions(spark, path) if n < number]
-        if before:
-            current = spark.read.parquet(f"{path}/{before[-1]}")
-            order = [c for c in ("revision", "updated_at") if c in batch.columns]
-            fresh = last.join(current.select(key, *[F.col(c).alias(f"__{c}") for c in order]), key, "left")
-            for c in order:  # a late row does not replace a newer one
-                fresh = fresh.filter(F.col(f"__{c}").isNull() | (F.col(c) >= F.col(f"__{c}")))
-            last = fresh.select(*batch.columns)
-            table = upsert(current, last, key)
-        else:
-            table = last
-        table.write.mode("overwrite").parquet(f"{path}/{number}")
-        if affected is not None:
-            affected(table, last)
-        for old in before[: len(before) + 1 - kept]:
-            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}")
-            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-
-
 def throttled(events: DataFrame, key: str, value: str, at: str, seconds: float = 0.25) -> DataFrame:
     """Events whose value is new for their key, or repeats after ``seconds``; state is the last one let through."""
     schema = events.schema
@@ -92,25 +49,6 @@ def throttled(events: DataFrame, key: str, value: str, at: str, seconds: float =
     return events.groupBy(key).applyInPandasWithState(step, schema, "last string, at double", "append", GroupStateTimeout.NoTimeout)
 
 
-def idle_keys(events: DataFrame, key: str, at: str, idle_seconds: int) -> DataFrame:
-    """A row for each key once it has had no event for ``idle_seconds`` of event time; needs a watermark on ``at``."""
-    kind = events.schema[key].dataType.simpleString()
-
-    def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({key: [keys[0]], "last_ms": [last]})
-            return
-        last = state.get[0] if state.exists else 0
-        for part in parts:
-            last = max(last, int(pd.to_datetime(part[at]).max().timestamp() * 1000))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, last_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def latest_state(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last event of each candidate decides its state; on a stream in complete or update mode."""
     return events.groupBy(key).agg(F.max_by(F.struct(*events.columns), F.struct(*order)).alias("e")).select("e.*")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fanout import Files
-from .feeds import changes_since
+from .feeds import change_state
 
 
 class BucketTable:
@@ -99,7 +99,7 @@ class BucketTable:
         with the rows of the changed ids in ``source`` (ids that it lacks are deleted); or "rebuilt", where changes after the
         table's revision are no longer retained."""
         have = self.manifest()
-        found = changes_since(changes, have["revision"], retained).first()
+        found = change_state(changes, have["revision"], retained).first()
         if found["newest"] <= have["revision"]:
             return "unchanged", have
         if found["refresh"] or have["version"] < 0:
