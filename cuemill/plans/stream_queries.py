@@ -69,7 +69,7 @@ def _updates(orders: DataFrame) -> DataFrame:
     row = lambda batch, revision, session, v, done: orders.select(F.lit(batch).alias("batch"), k.alias("candidate"), F.lit(revision).cast("long").alias("revision"), session.alias("session"), v.alias("views"), done.cast("long").alias("imported"))
     first = row(1, 1, F.col("o_custkey"), views, F.lit(0))
     second = row(2, 2, F.when(k % 5 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")), views + k % 100, k % 3).filter(F.col("candidate") % 2 == 0)
-    late = row(3, 1, F.col("o_custkey"), views * 9, F.lit(7)).filter(F.col("candidate") % 3 == 0)
+    late = row(3, 0, F.col("o_custkey"), views * 9, F.lit(7)).filter(F.col("candidate") % 3 == 0)
     newer = row(3, 3, F.col("o_custkey"), F.when(k % 14 != 0, views - 1), F.lit(1)).filter(F.col("candidate") % 7 == 0)
     return first.unionByName(second).unionByName(late).unionByName(newer)
 
@@ -77,16 +77,16 @@ def _updates(orders: DataFrame) -> DataFrame:
 @R.add(
     """WITH c AS (SELECT o_orderkey AS k, o_custkey AS s, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders),
 l AS (SELECT CASE WHEN k % 7 = 0 THEN s WHEN k % 2 = 0 AND k % 5 = 0 THEN s + 1 ELSE s END AS session, CASE WHEN k % 14 = 0 THEN 0 WHEN k % 7 = 0 THEN v - 1 WHEN k % 2 = 0 THEN v + k % 100 ELSE v END AS views, CASE WHEN k % 7 = 0 THEN 1 WHEN k % 2 = 0 THEN k % 3 ELSE 0 END AS imported FROM c)
-SELECT CAST(session AS VARCHAR) AS session, count(*) AS "rows", CAST(sum(views) AS BIGINT) AS views, CAST(sum(imported) AS BIGINT) AS imported FROM l GROUP BY session"""
+SELECT session, count(*) AS "rows", CAST(sum(views) AS BIGINT) AS views, CAST(sum(imported) AS BIGINT) AS imported FROM l GROUP BY session"""
 )
 def session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of sessions from a stream of updates: each takes back what its row had given before, in whatever session."""
     path = new_folder(spark)
     rows = _updates(table(spark, sf_dir, "orders"))
     stream = _files(rows, f"{path}/source", [F.col("batch") == n for n in (1, 2, 3)])
-    signed = keyed.signed_contributions(stream, "candidate", "session", ["views", "imported"], "revision")
-    _run(signed.writeStream.format("parquet").option("path", f"{path}/signed").option("checkpointLocation", f"{path}/checkpoint"))
-    return keyed.totals(spark.read.schema("session string, rows long, views long, imported long").parquet(f"{path}/signed"), "session")
+    kept = maintained.BucketTable(spark, f"{path}/kept", "candidate", "revision", "candidate long, revision long, session long, views long, imported long")
+    _run(maintained.maintain_totals(stream, kept, "session", ["views", "imported"], f"{path}/signed", f"{path}/checkpoint"))
+    return maintained.totals(spark.read.parquet(f"{path}/signed"), "session")
 
 
 @R.add(

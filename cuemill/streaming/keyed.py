@@ -1,7 +1,7 @@
-"""Keyed state on streams: idle timers, failure memory, and contributions that take back what they gave before.
+"""Keyed state on streams: idle timers and failure memory.
 
-State lives in RocksDB under the checkpoint, keyed finely (a job, a video, a candidate), so it survives lost executors and no key
-gathers what belongs to others. Sums over coarse keys are made from the contributions by ordinary aggregations.
+State lives in RocksDB under the checkpoint, keyed finely (a job, a video), so it survives lost executors and no key gathers what
+belongs to others.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -142,47 +141,3 @@ def started_requests(events: DataFrame, key: str, ttl_seconds: int, keep_seconds
     keep = max(ttl_seconds, ttl_seconds + 86_400 if keep_seconds is None else keep_seconds)
     processor = _Memory(events.columns, ttl_seconds * 1_000_000, keep * 1000)
     return events.groupBy(key).transformWithStateInPandas(processor, events.schema, "append", "processingTime")
-
-
-class _Contribution(StatefulProcessor):
-    """The values that a row gave last."""
-
-    def __init__(self, keys: list[str], group: str, values: list[str], order: str):
-        self.keys, self.group, self.values, self.order = keys, group, values, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [T.StructField("revision", T.LongType()), T.StructField("group", T.StringType()), *(T.StructField(v, T.LongType()) for v in self.values)]
-        self.last = handle.getValueState("last", T.StructType(fields))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        newest = max((part.loc[part[self.order].idxmax()] for part in rows), key=lambda r: r[self.order])
-        before = self.last.get() if self.last.exists() else None
-        if before is not None and before[0] >= newest[self.order]:
-            return
-        now = [int(newest[v]) for v in self.values]
-        self.last.update((int(newest[self.order]), newest["into"], *now))
-        out = [(newest["into"], 1, *now)]
-        if before is not None:
-            out.append((before[1], -1, *(-v for v in before[2:])))
-        yield pd.DataFrame(out, columns=[self.group, "rows", *self.values])
-
-    def close(self) -> None: ...
-
-
-def signed_contributions(updates: DataFrame, key: str, group: str, values: list[str], order: str) -> DataFrame:
-    """Of updates of rows, what they add to the totals of their group and, negative, what they take back: group (as text),
-    rows (1 or -1) and the values.
-
-    State is kept a row, so a group of any size has no hot key; a row that moves to another group is taken from the old one.
-    Updates that are not newer than what was counted change nothing. Nulls count as 0. ``totals`` sums the result.
-    """
-    use_state_store(updates.sparkSession)
-    plain = updates.select(key, F.col(order).cast("long").alias(order), F.col(group).cast("string").alias("into"), *[F.coalesce(F.col(v).cast("long"), F.lit(0)).alias(v) for v in values])
-    schema = ", ".join([f"`{group}` string", "rows long", *(f"`{v}` long" for v in values)])
-    return plain.groupBy(key).transformWithStateInPandas(_Contribution([key], group, values, order), schema, "append", "none")
-
-
-def totals(contributions: DataFrame, group: str) -> DataFrame:
-    """The totals of each group that still has rows."""
-    values = [c for c in contributions.columns if c != group]
-    return contributions.groupBy(group).agg(*[F.sum(v).alias(v) for v in values]).filter("rows > 0")

@@ -45,6 +45,12 @@ class BucketTable:
     def read(self, version: int | None = None) -> DataFrame:
         return self._rows(sorted(set(self.manifest(version)["folders"].values())))
 
+    def rows_of(self, keys: DataFrame, version: int) -> DataFrame:
+        """The rows of some keys in a version, from the buckets that they are in alone."""
+        folders = self.manifest(version)["folders"]
+        touched = [str(r["b"]) for r in keys.select(self._bucket().alias("b")).distinct().collect()]  # at most ``buckets``
+        return self._rows(sorted(folders[b] for b in touched if b in folders)).join(keys.select(self.key).distinct(), self.key, "left_semi")
+
     def patch(self, changes: DataFrame, version: int, revision: int | None = None, gone: str | None = None, check: Callable[[DataFrame], None] = lambda rows: None) -> dict:
         """Version ``version``: ``changes`` put in by key, the greatest ``order`` winning (a null is the newest), also over what the table
         has; rows whose boolean column ``gone`` is true are deleted. ``check`` is given the buckets written, before anyone else sees them; if it raises, no
@@ -127,3 +133,28 @@ def accept_current(stream: DataFrame, generations: Callable[[SparkSession], Data
         kept.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def maintain_totals(stream: DataFrame, table: BucketTable, group: str, values: list[str], path: str, checkpoint: str):
+    """A writer that patches ``table`` (keeping two versions at least) and puts what each batch adds to the totals of ``group``, and
+    takes back from them, into a folder of the batch: group, rows and the sums of the values.
+
+    A row that changes or moves to another group gives its new state and takes back the old one; one that is older than what the
+    table has changes nothing; only the buckets of changed rows are read. Nulls count as 0. A batch that is run again replaces its folder.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        keys = batch.select(table.key).distinct()
+        before = max((v for v in table.versions() if v < number), default=-1)
+        table.patch(batch, number)
+        side = lambda version, sign: table.rows_of(keys, version).select(group, F.lit(sign).cast("long").alias("rows"), *[(F.coalesce(F.col(v).cast("long"), F.lit(0)) * sign).alias(v) for v in values])
+        both = side(number, 1).unionByName(side(before, -1))
+        both.groupBy(group).agg(*[F.sum(c).alias(c) for c in ("rows", *values)]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def totals(contributions: DataFrame, group: str) -> DataFrame:
+    """The totals of each group that still has rows, from the folders that ``maintain_totals`` wrote."""
+    values = [c for c in contributions.columns if c not in (group, "batch")]
+    return contributions.groupBy(group).agg(*[F.sum(v).alias(v) for v in values]).filter("rows > 0")

@@ -91,3 +91,14 @@ def test_stream_that_never_gets_its_rows_is_an_error(spark, tmp_path):
     idle = keyed.idle_timeouts(stream, "id", "revision", 60)
     with pytest.raises(TimeoutError):
         keyed.run_live(idle.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")), 5, seconds=8)
+
+
+def test_totals_take_back_old_values(spark, tmp_path):
+    schema = "id long, revision long, team string, points long"
+    table = maintained.BucketTable(spark, str(tmp_path / "t"), "id", "revision", schema, buckets=4)
+    batches = [[(1, 1, "a", 5), (2, 1, "a", None), (3, 1, "b", 7)], [(1, 2, "b", 6), (3, 1, "z", 99), (2, 0, "a", 50)], [(3, 2, "b", 1), (4, 1, None, 2), (1, 3, "b", 6)]]
+    for rows in batches:
+        stream = feed(spark, tmp_path / "in", rows, schema)
+        run(maintained.maintain_totals(stream, table, "team", ["points"], str(tmp_path / "out"), str(tmp_path / "c")))
+    got = maintained.totals(spark.read.parquet(str(tmp_path / "out")), "team")
+    assert {r["team"]: (r["rows"], r["points"]) for r in got.collect()} == {"a": (1, 0), "b": (2, 7), None: (1, 2)}
