@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import as_text, blocks, text_buffer
+from .arrow import as_text, blocks, release, text_buffer
 from .automaton import SuffixAutomaton
 from .shared import Scratch, new_table_path, salted_join, written
 from .wordscan import NOT_SPACE, Words, mix, run_hashes, scan
@@ -91,16 +91,21 @@ def _contents(distinct: DataFrame, rows: DataFrame, text_col: str, window: int)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(1).to_pylist()
+            lists = batch.column(1)
+            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            fields = {f.name: column for f, column in zip(lists.type.value_type, lists.flatten().flatten(), strict=True)}
+            place = fields["place"].to_numpy()
             for a, b, words in _scan_blocks(batch.column(0)):
-                out = []
-                for i in range(a, b):
-                    base = words.rows[i - a]
-                    for w in wanted[i]:
-                        at = base + w["place"] // 64
-                        out.append((*(w[x] for x in names), words.hashes[at : at + w["place"] % 64 + window].tobytes()))
-                *columns, c = zip(*out, strict=True) if out else ((),) * 5
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array(c, pa.binary())], names=[*names, "words"])
+                x, y = int(bounds[a]), int(bounds[b])
+                row = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+                size = place[x:y] % 64 + window
+                ends = np.cumsum(size)
+                at = words.rows[row] + place[x:y] // 64
+                taken = words.hashes[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if y > x else 0)]
+                edges = np.concatenate([[0], ends * 8]).astype(np.int32)
+                spelled = pa.Array.from_buffers(pa.binary(), y - x, [None, pa.py_buffer(edges), pa.py_buffer(taken)])
+                yield pa.RecordBatch.from_arrays([*(fields[c].slice(x, y - x) for c in names), spelled], names=[*names, "words"])
+        release()
 
     return met.select(text_col, "wanted").mapInArrow(extract, "m long, s long, t long, n long, words binary")
 
@@ -130,6 +135,7 @@ def shard_masks(contents: DataFrame, window: int, n_shards: int) -> DataFrame:
                 held.append(tuple(row))
         if held:
             yield settle(held)
+        release()
 
     return dealt.select("shard", *STRETCH, "n", "words").mapInArrow(build, "m long, s long, t long, n long, mask long")
 
