@@ -84,7 +84,7 @@ def session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark)
     rows = _updates(table(spark, sf_dir, "orders"))
     stream = _files(rows, f"{path}/source", [F.col("batch") == n for n in (1, 2, 3)])
-    kept = maintained.BucketTable(spark, f"{path}/kept", "candidate", "revision", "candidate long, revision long, session long, views long, imported long")
+    kept = maintained.BucketTable(spark, f"{path}/kept", "candidate", "revision", "candidate long, revision long, session long, views long, imported long", buckets=16)
     _run(maintained.maintain_totals(stream, kept, "session", ["views", "imported"], f"{path}/signed", f"{path}/checkpoint"))
     return maintained.totals(spark.read.parquet(f"{path}/signed"), "session")
 
