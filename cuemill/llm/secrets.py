@@ -27,18 +27,27 @@ CANDIDATE = f"(?:{VALUE}|{TOKEN})"
 NAMED = r"[=:](?<=" + NAME + r"[\"'`]?[ \t]{0,3}[=:])|(?<=(?i:bearer)) "
 CUE = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer|client[_-]?secret)"
 BENIGN = r"(?i)(sha1|sha256|md5|commit|revision|checksum|digest|uuid|guid|build|version|static|assets|example|sample|order|invoice|isbn|phone|card|call|page|ref|file|path|image|img)"
-#: Words that mark prose, paths and placeholders when they cover much of a candidate.
+#: Words that mark prose, paths and placeholders when they cover much of a candidate; frequent words of the corpus join them.
 DICTIONARY = "example|sample|dummy|placeholder|changeme|required|optional|hidden|redacted|password|passwd|secret|token|your|insert|here|test|static|assets|images|image|files|file|path|page|index|main|build|release|version|node|modules|https|http|www|html|json|user|admin|local|host|config|default|value|name|data|info|api|key|the|and|for|with|this|that|not|null|none|true|false|must|should|never|always|next|please|enter|reset|forgot|change|empty|missing|invalid|expired|bearer|basic"
 LEFT, RIGHT = 48, 24
 FEATURES = ("length", "digit_share", "upper_share", "lower_share", "other_share", "transitions", "distinct_share", "hex", "dictionary", "path", "separators", "cue", "benign", "assigned", "quoted", "repeats", "word")
 
 
+def learned_dictionary(docs: DataFrame, text_col: str = "text", most: int = 400, least: int = 20) -> str:
+    """``DICTIONARY`` and the most frequent words of five ASCII letters and more of all texts, as a pattern: at most ``most`` words,
+    each there ``least`` times at least."""
+    words = F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit("(?<![a-z0-9])([a-z]{5,20})(?![a-z0-9])"), F.lit(1))
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").count().filter(F.col("count") >= least)
+    found = {r["word"] for r in counted.orderBy(F.desc("count"), "word").limit(most).collect()} | set(DICTIONARY.split("|"))
+    return "|".join(sorted(found, key=lambda w: (-len(w), w)))
+
+
 def _share(candidate: Column, kept: str) -> Column:
     return F.length(F.regexp_replace(candidate, f"[^{kept}]", "")) / F.greatest(F.length(candidate), F.lit(1))
 
 
-def with_features(found: DataFrame) -> DataFrame:
-    """``found`` (candidate, left, right) with the numeric columns in ``FEATURES``."""
+def with_features(found: DataFrame, dictionary: str = DICTIONARY) -> DataFrame:
+    """``found`` (candidate, left, right) with the numeric columns in ``FEATURES``; ``dictionary`` is a pattern of words."""
     c, left, right = F.col("candidate"), F.coalesce(F.col("left"), F.lit("")), F.coalesce(F.col("right"), F.lit(""))
     n = F.greatest(F.length(c), F.lit(1))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]+", "\u0001"), "[a-z]+", "\u0002"), "[A-Z]+", "\u0003"), "[^\u0001\u0002\u0003]+", "\u0004")
@@ -51,7 +60,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "transitions": (F.length(classes) - 1) / n,
         "distinct_share": F.size(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))) / n,
         "hex": c.rlike("^[0-9a-f]+$").cast("double"),
-        "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), DICTIONARY, "")) / n,
+        "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), dictionary, "")) / n,
         "path": (left.rlike(r"[/\\.]$") | c.rlike(r"/.*/|\.[a-z]{2,4}$") | right.rlike(r"^[/\\]")).cast("double"),
         "separators": F.length(F.regexp_replace(c, "[^-_./]", "")) / n,
         "cue": left.rlike(CUE + r"[^\n]{0,12}$").cast("double"),
@@ -85,7 +94,7 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def labelled_texts(spark: SparkSession, n: int = 9000) -> DataFrame:
-    """text, label: sentences with a finding of known kind, made from hashes of row numbers (the same on every run).
+    """text, label, kind: sentences with a finding of known kind, made from hashes of row numbers (the same on every run).
 
     Secrets: keys, tokens and passwords, short and long, after a name or alone. Others: content hashes, identifiers in
     paths and URLs, numbers, versions, placeholders, variables, and plain words after a secret-like name.
@@ -134,32 +143,34 @@ def labelled_texts(spark: SparkSession, n: int = 9000) -> DataFrame:
     column = lambda x: x if isinstance(x, Column) else F.lit(x)
     texts = [F.concat(word(8), F.lit(" "), column(before), column(between), value, after) for _, before, between, value in kinds]
     at = (F.pmod(i, F.lit(len(kinds))) + 1).cast("int")
-    return scratch.result(base.select(F.element_at(F.array(*texts), at).alias("text"), F.element_at(F.array(*[F.lit(k[0]) for k in kinds]), at).cast("double").alias("label")), "labelled")
+    return scratch.result(base.select(F.element_at(F.array(*texts), at).alias("text"), F.element_at(F.array(*[F.lit(k[0]) for k in kinds]), at).cast("double").alias("label"), (at - 1).alias("kind")), "labelled")
 
 
 def labelled_findings(spark: SparkSession, n: int = 9000) -> DataFrame:
-    """candidate, left, right, label: the findings of the scan in ``labelled_texts``."""
-    return find_candidates(labelled_texts(spark, n), "label").select("candidate", "left", "right", F.col("doc_id").alias("label"))
+    """candidate, left, right, label, kind: the findings of the scan in ``labelled_texts``."""
+    texts = labelled_texts(spark, n).withColumn("both", F.struct("label", "kind"))
+    return find_candidates(texts, "both").select("candidate", "left", "right", "doc_id.label", "doc_id.kind")
 
 
-def train_forest(findings: DataFrame, trees: int = 24, depth: int = 7, limit: int = 50_000) -> RandomForestClassificationModel:
+def train_forest(findings: DataFrame, trees: int = 24, depth: int = 7, limit: int = 50_000, dictionary: str = DICTIONARY) -> RandomForestClassificationModel:
     """A forest on labelled findings (candidate, left, right, label 0 or 1), at most ``limit`` of them, chosen by hash.
 
     Rows without candidate or label are left out; at least one row of each label is needed.
     """
     rows = findings.filter("candidate is not null and label in (0, 1)").select("candidate", "left", "right", F.col("label").cast("double").alias("label"))
     rows = rows.orderBy(F.xxhash64("candidate", "left", "right"), "candidate", "label").limit(limit)
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(rows)).select("label", "features")
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(rows, dictionary)).select("label", "features")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(assembled)
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, start, end, candidate, score, is_secret: every candidate of every row of ``docs``.
 
-    Texts are scanned whole and rows apart from each other, so repeated rows each give their findings. Null and empty
+    The dictionary is learned from the texts themselves. Texts are scanned whole and rows apart from each other, so repeated rows each give their findings. Null and empty
     texts and empty tables give none. Extra columns, whatever their names, are ignored.
     """
-    model = train_forest(findings)
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(find_candidates(docs, id_col, text_col)))
+    dictionary = learned_dictionary(docs, text_col)
+    model = train_forest(findings, dictionary=dictionary)
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(find_candidates(docs, id_col, text_col), dictionary))
     scored = model.transform(ready).withColumn("score", F.round(vector_to_array("probability")[1], 6))
     return scored.select("doc_id", "start", "end", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))
