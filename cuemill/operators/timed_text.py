@@ -248,22 +248,35 @@ def _overlapping(left: DataFrame, right: DataFrame, by: str, seconds: float) ->
 
 def best_overlap(segments: DataFrame, sources: DataFrame, by: str, bucket_seconds: float = 300.0) -> DataFrame:
     """For each segment (``by``, seq, start, end) the source (same columns) with the greatest overlap: ties by nearer middle,
-    then by order. A segment that overlaps no source gets the one with the nearest middle, found by windows over both."""
+    then by order. A segment that overlaps no source gets the one with the nearest middle."""
     s = sources.select(by, F.col("seq").alias("source_seq"), F.col("start").alias("__a"), F.col("end").alias("__b"))
     overlap = F.least("end", "__b") - F.greatest("start", "__a")
     apart = F.abs((F.col("start") + F.col("end")) / 2 - (F.col("__a") + F.col("__b")) / 2)
     best = F.min_by(F.struct("source_seq", F.round(overlap, 3).alias("overlap")), F.struct((-overlap).alias("o"), apart.alias("m"), F.col("source_seq").alias("q")))
     met = _overlapping(segments.select(by, "seq", "start", "end"), s, by, bucket_seconds).groupBy(by, "seq").agg(best.alias("b")).select(by, "seq", "b.*")
 
+    lone = segments.select(by, "seq", "start", "end").join(met, [by, "seq"], "left_anti")
+    return met.unionByName(_nearest(lone, sources.join(lone.select(by).distinct(), by, "left_semi"), by, bucket_seconds).withColumn("overlap", F.lit(0.0)))
+
+
+def _nearest(segments: DataFrame, sources: DataFrame, by: str, seconds: float) -> DataFrame:
+    """by, seq and source_seq: for each segment the source with the nearest middle, ties by order; none without a source.
+
+    Windows look inside buckets of time; what lies nearest in other buckets is carried over from a row a bucket.
+    """
     middle = (F.col("start") + F.col("end")) / 2
-    both = segments.select(by, "seq", F.lit(None).cast("long").alias("source_seq"), middle.alias("m")).unionByName(sources.select(by, F.lit(None).cast("long").alias("seq"), F.col("seq").cast("long").alias("source_seq"), middle.alias("m")))
-    w = Window.partitionBy(by).orderBy("m")
+    both = segments.select(by, "seq", F.lit(None).cast("long").alias("source_seq"), middle.alias("m")).unionByName(sources.select(by, F.lit(None).cast(segments.schema["seq"].dataType).alias("seq"), F.col("seq").cast("long").alias("source_seq"), middle.alias("m")))
+    both = both.withColumn("bucket", F.floor(F.col("m") / seconds))
     source = lambda sign: F.when(F.col("source_seq").isNotNull(), F.struct("m", (sign * F.col("source_seq")).alias("q")))
+    w = Window.partitionBy(by, "bucket").orderBy("m")
     near = both.withColumn("__p", F.max(source(-1)).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.min(source(1)).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    ends = both.groupBy(by, "bucket").agg(F.max(source(-1)).alias("last"), F.min(source(1)).alias("first"))
+    v = Window.partitionBy(by).orderBy("bucket")
+    carried = ends.select(by, "bucket", F.max("last").over(v.rowsBetween(Window.unboundedPreceding, -1)).alias("__cp"), F.min("first").over(v.rowsBetween(1, Window.unboundedFollowing)).alias("__cn"))
+    near = near.filter("source_seq is null").join(carried, [by, "bucket"]).withColumn("__p", F.coalesce("__p", "__cp")).withColumn("__n", F.coalesce("__n", "__cn"))
     before = F.when(F.col("__p").isNotNull(), F.struct((F.col("m") - F.col("__p.m")).alias("d"), (-F.col("__p.q")).alias("q")))
     after = F.when(F.col("__n").isNotNull(), F.struct((F.col("__n.m") - F.col("m")).alias("d"), F.col("__n.q").alias("q")))
-    nearest = near.filter("source_seq is null and (__p is not null or __n is not null)").select(by, "seq", F.least(before, after)["q"].alias("source_seq"), F.lit(0.0).alias("overlap"))
-    return met.unionByName(nearest.join(met, [by, "seq"], "left_anti"))
+    return near.filter("__p is not null or __n is not null").select(by, "seq", F.least(before, after)["q"].alias("source_seq"))
 
 
 def intrusions(aligned: DataFrame, sources: DataFrame, by: str, group: str, bucket_seconds: float = 300.0) -> DataFrame:
