@@ -164,8 +164,23 @@ def transcript_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.transcripts(table(spark, sf_dir, "conversations"), "conv_id", ["turn"])
 
 
-@R.add()
+@R.add(
+    r"""WITH RECURSIVE t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM conversations),
+l AS (SELECT *, len(w) AS n, list_transform(w, lambda x: length(x)) AS l FROM t),
+s AS (SELECT *, greatest(coalesce(list_max(l), 0), 42) AS soft, list_transform(range(0, n + 1), lambda i: CAST(coalesce(list_sum(l[1:i]), 0) + i AS BIGINT)) AS z FROM l),
+f AS (SELECT *, z[n + 1] - 1 AS total, greatest(list_reduce(list_transform(l, lambda x: {'p': CAST(1 AS BIGINT), 'f': x}), lambda a, b: CASE WHEN a.f >= 0 AND a.f + 1 + b.f > soft THEN {'p': a.p + 1, 'f': b.f} ELSE {'p': a.p, 'f': a.f + 1 + b.f} END, {'p': CAST(1 AS BIGINT), 'f': CAST(-1 AS BIGINT)}).p,
+  CAST(ceil((z[n + 1] - 1) / soft) AS BIGINT)) AS parts FROM s WHERE n > 1 OR n = 1 AND l[1] <= 32),
+r AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS j, list_transform(range(0, n + 1), lambda i: CASE WHEN i = n THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END) AS best, CAST([] AS BIGINT[][]) AS ends FROM f
+  UNION ALL SELECT conv_id, turn, j + 1, list_append(list_transform(c, lambda x: list_min(x)), 'inf'::DOUBLE), list_append(ends, list_transform(c, lambda x: CAST(list_position(x, list_min(x)) AS BIGINT)))
+  FROM (SELECT r.*, list_transform(range(0, n), lambda i: list_transform(range(1, least(n - i, soft // 2 + 1) + 1), lambda k: CASE WHEN k > 1 AND z[i + k + 1] - z[i + 1] - 1 > soft THEN 'inf'::DOUBLE
+      ELSE (z[i + k + 1] - z[i + 1] - 1 - total / parts) * (z[i + k + 1] - z[i + 1] - 1 - total / parts) + CASE WHEN k = 1 AND n >= 2 * parts THEN total / parts * (total / parts) ELSE 0 END + best[i + k + 1] END)) AS c
+    FROM r JOIN f USING (conv_id, turn) WHERE j < parts)),
+e AS (SELECT conv_id, turn, w, list_reduce(list_transform(list_reverse(ends), lambda x: {'e': x, 'cuts': [CAST(0 AS BIGINT)]}), lambda a, b: {'e': b.e, 'cuts': list_append(a.cuts, a.cuts[-1] + b.e[a.cuts[-1] + 1])}, {'e': CAST([] AS BIGINT[]), 'cuts': [CAST(0 AS BIGINT)]}).cuts AS cuts FROM r JOIN f USING (conv_id, turn) WHERE j = parts)
+SELECT conv_id, turn, list_transform(range(1, len(cuts)), lambda i: array_to_string(w[cuts[i] + 1:cuts[i + 1]], ' ')) AS phrases FROM e
+UNION ALL SELECT conv_id, turn, CASE WHEN n = 0 THEN [''] ELSE list_transform(range(0, m), lambda i: w[1][l[1] // m * i + least(i, l[1] % m) + 1:l[1] // m * (i + 1) + least(i + 1, l[1] % m)]) END FROM (SELECT *, CAST(ceil(l[1] / 32) AS BIGINT) AS m FROM l WHERE n = 0 OR n = 1 AND l[1] > 32)"""
+)
 def phrase_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of conversations in the fewest parts, most even in length."""
     return regions.balanced_phrases(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", 32).select("conv_id", "turn", "phrases")
 
 
