@@ -249,19 +249,26 @@ def small_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ERRORS = (
-    ("NoAudioReceived", "x", "edge_no_audio"), ("KeyError", "No audio was received", "edge_no_audio"), ("ServerTimeoutError", "", "network_timeout"), ("KeyError", "it timed out", "network_timeout"), ("ClientConnectorError", "", "network_connection"), ("ValueError", "bad", "invalid_tts_input"),
-    ("OSError", "disk", "file_io"), ("RuntimeError", "Invalid MP3 header", "invalid_audio"), ("RuntimeError", "other", "unexpected_error"),
-)
-_RETRIES = (("HTTP Error 429", "TikTok", True), ("HTTP Error 429", "YouTube", False), ("Requested format is not available", "YouTube", True), ("Video data is empty", "", True), ("HTTP Error 403", "TikTok", False), (None, None, False))
-_GPU = (("CUDA error: device-side assert", True), ("native torch crash in cuda", False), ("The paging file is too small", False), ("cuBLAS failed", True), ("out of disk", False))
+# Types and parts of messages that errors are put together from.
+_KINDS = ("NoAudioReceived", "KeyError", "ServerTimeoutError", "ClientConnectorError", "WebSocketError", "ValueError", "JSONDecodeError", "OSError", "PermissionError", "RuntimeError", "Error")
+_SAID = ("", "No audio was received", "it Timed out", "Invalid MP3 header", "HTTP Error 429", "Requested format is not available", "video data is empty", "CUDA failed", "\x1b[31mcuBLAS\x1b[0m", "exit 0xC0000005", "HTTP Error 403", "no video formats found", "device-side assert")
+_SOURCES = ("TikTok", "YouTube", "", "tiktok")
+_has_sql = lambda column, words: "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
-@R.add(f"SELECT o_orderkey, {_listed('o_orderkey', [e[2] for e in _ERRORS])} AS code, {_listed('o_orderkey', [r[2] for r in _RETRIES])} AS retry, {_listed('o_orderkey', [g[1] for g in _GPU])} AND o_orderkey % 2 = 0 AS lost_gpu FROM orders")
+@R.add(
+    f"""WITH o AS (SELECT o_orderkey AS k, lower({_listed('o_orderkey', _KINDS)}) AS kind, {_listed('(o_orderkey // 2)', _SAID)} || ' ' || o_orderkey || ' ' || {_listed('o_custkey', _SAID)} AS said, {_listed('o_custkey', _SOURCES)} AS source FROM orders),
+m AS (SELECT *, lower(said) AS low, lower(regexp_replace(said, '\x1b\[[0-9;]*m', '', 'g')) AS plain FROM o)
+SELECT k, CASE WHEN contains(kind, 'noaudioreceived') OR contains(low, 'no audio was received') THEN 'edge_no_audio' WHEN contains(kind, 'timeout') OR contains(low, 'timed out') THEN 'network_timeout' WHEN {_has_sql('kind', ('websocket', 'clientconnector', 'connection'))} THEN 'network_connection'
+  WHEN kind IN ('valueerror', 'unicodedecodeerror', 'jsondecodeerror') THEN 'invalid_tts_input' WHEN kind IN ('oserror', 'ioerror', 'filenotfounderror', 'permissionerror') THEN 'file_io' WHEN kind = 'runtimeerror' AND contains(low, 'invalid mp3') THEN 'invalid_audio' ELSE 'unexpected_error' END AS code,
+{_has_sql('plain', X.FORMAT_MARKERS)} OR source = 'TikTok' AND {_has_sql('plain', X.PASSING_MARKERS)} AS retry, k % 3 <> 0 AND NOT {_has_sql('low', X.CRASH_MARKERS)} AND {_has_sql('low', X.GPU_MARKERS)} AS lost_gpu FROM m"""
+)
 def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    code = X.error_code(_case(k, [e[0] for e in _ERRORS]), _case(k, [e[1] for e in _ERRORS]))
-    return table(spark, sf_dir, "orders").select(k, code.alias("code"), X.is_retryable(_case(k, [r[0] for r in _RETRIES]), _case(k, [r[1] for r in _RETRIES])).alias("retry"), X.is_gpu_failure(_case(k, [g[0] for g in _GPU]), k % 2 == 0).alias("lost_gpu"))
+    """Errors of a type and a message of two parts each: their class, whether a new try may help, and whether a lost accelerator explains them."""
+    k = F.col("k")
+    said = F.concat_ws(" ", _case(F.floor(F.col("o_orderkey") / 2), _SAID), F.col("o_orderkey").cast("string"), _case(F.col("o_custkey"), _SAID))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), _case(F.col("o_orderkey"), _KINDS).alias("kind"), said.alias("said"), _case(F.col("o_custkey"), _SOURCES).alias("source"))
+    return rows.select("k", X.error_code(F.col("kind"), F.col("said")).alias("code"), X.is_retryable(F.col("said"), F.col("source")).alias("retry"), X.is_gpu_failure(F.col("said"), k % 3 != 0).alias("lost_gpu"))
 
 
 @R.add(
@@ -279,12 +286,13 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@R.add("SELECT p_partkey, p_partkey % 6 IN (0, 1, 4) AS mp3 FROM part")
+@R.add("SELECT p_partkey, 400 + p_size * 10 >= 512 AND (p_partkey % 5 = 0 OR p_partkey % 3 = 0 AND p_partkey // 2 % 256 >= 224) AS mp3 FROM part")
 def mp3_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ID3 tag, two frame syncs, a wrong one, an ID3 tag on a stub, and text."""
-    k, pad = F.col("p_partkey"), "00" * 600
-    heads = ["494433" + pad, "FFFB90" + pad, "FF1B90" + pad, "494433", "FFE000" + pad, "616263" + pad]
-    return table(spark, sf_dir, "part").select(k, G.is_mp3(F.unhex(_case(k, heads))).alias("mp3"))
+    """Files of many sizes that begin with a tag, or with two bytes made of their keys, of which some are a frame's sync."""
+    k = F.col("p_partkey")
+    head = F.when(k % 5 == 0, "494433").otherwise(F.concat(F.when(k % 3 == 0, "FF").otherwise("4F"), F.lpad(F.hex(F.floor(k / 2) % 256), 2, "0"), F.lit("00")))
+    content = F.unhex(F.concat(head, F.repeat(F.lit("00"), (F.col("p_size") * 10 + 397).cast("int"))))
+    return table(spark, sf_dir, "part").select(k, G.is_mp3(content).alias("mp3"))
 
 
 @R.add(
