@@ -463,9 +463,9 @@ def current_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def last_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user, and whether it is a failure of the last hour."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_id") % 2 == 1).alias("ok"))
-    now = str(e.agg(F.max("ts")).first()[0])
-    last, failed = feeds.latest_state(e, "user_id", ["ts"]), feeds.remembered_failures(e, "user_id", "ts", now, 3600)
-    return last.join(failed.select("user_id", F.lit(True).alias("remembered")), "user_id", "left").select("user_id", "event_id", F.coalesce("remembered", F.lit(False)).alias("remembered"))
+    now = F.lit(e.agg(F.max("ts").cast("string")).first()[0]).cast(e.schema["ts"].dataType)
+    last = feeds.latest_state(e, "user_id", ["ts", -F.col("event_id")])  # of events at one moment the first, as arg_max reads them
+    return last.select("user_id", "event_id", feeds.is_remembered(F.col("ok"), F.col("ts"), now, 3600).alias("remembered"))
 
 
 @R.add("SELECT user_id, count(*) AS events, max(event_id) AS newest FROM events GROUP BY user_id")

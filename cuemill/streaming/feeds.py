@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -49,12 +49,17 @@ def throttled(events: DataFrame, key: str, value: str, at: str, seconds: float =
     return events.groupBy(key).applyInPandasWithState(step, schema, "last string, at double", "append", GroupStateTimeout.NoTimeout)
 
 
-def latest_state(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+def latest_state(events: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
     """The last event of each candidate decides its state; on a stream in complete or update mode."""
     return events.groupBy(key).agg(F.max_by(F.struct(*events.columns), F.struct(*order)).alias("e")).select("e.*")
 
 
+def is_remembered(ok: Column, at: Column, now: Column, ttl_seconds: int) -> Column:
+    """Whether an event is a failure not older than ``ttl_seconds`` at ``now``, to the microsecond; ``at`` and ``now`` of one type."""
+    return ~ok & (at >= now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
+
+
 def remembered_failures(events: DataFrame, key: str, at: str, now: str, ttl_seconds: int) -> DataFrame:
     """Keys whose last failure is not older than ``ttl_seconds`` and was not followed by a success."""
     last = latest_state(events, key, [at])
-    return last.filter((F.col("ok") == F.lit(False)) & (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col(at).cast("timestamp")) <= ttl_seconds)).select(key, at)
+    return last.filter(is_remembered(F.col("ok"), F.col(at), F.lit(now).cast(events.schema[at].dataType), ttl_seconds)).select(key, at)
