@@ -61,7 +61,8 @@ def proportional_times(rows: DataFrame, by: str, order: Sequence[str], weight: C
     total = F.sum(share).over(Window.partitionBy(by))
     begins = start + (end - start) * (done - share) / total
     ends = F.when(F.lead(share).over(w).isNull(), end).otherwise(start + (end - start) * done / total)
-    return rows.withColumn("cue_start", F.bround(begins, 3)).withColumn("cue_end", F.bround(F.greatest(begins + least, ends), 3))
+    whole = lambda seconds: F.bround(seconds * 1000) / 1000  # noqa: E731  # rounds the milliseconds themselves: seconds printed as a tie may lie beside one
+    return rows.withColumn("cue_start", whole(begins)).withColumn("cue_end", whole(F.greatest(begins + least, ends)))
 
 
 def speech_weight(text: Column) -> Column:
