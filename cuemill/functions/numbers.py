@@ -65,7 +65,13 @@ def count_label(count: Column) -> Column:
 
 
 def memory_label(size: Column) -> Column:
-    return F.when(F.coalesce(size, F.lit(0)) == 0, "--").otherwise(F.format_string("%.1f GB", size / F.lit(1024.0**3)))
+    """Gigabytes with one decimal, rounded as their binary value, a tie to the even digit: a format of the JVM rounds ties up."""
+    n = F.abs(size)
+    part = 10 * (n - F.floor(n))  # of a byte, in tenths
+    tenths = 10 * F.floor(n) + F.floor(part)
+    up = F.shiftright(tenths, 30).bitwiseAND(F.lit(1)).bitwiseOR((part > F.floor(part)).cast("long"))
+    t = F.shiftright(tenths + (2**29 - 1) + up, 30)
+    return F.when(F.coalesce(size, F.lit(0)) == 0, "--").otherwise(F.format_string("%.1f GB", F.signum(size) * t / 10))
 
 
 def date_label(day: Column) -> Column:
