@@ -8,6 +8,7 @@ batch that is run again after a crash writes the same version again. Files that
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from .fanout import Files
 from .feeds import change_state
 
+#: Rows of a bucket that one task sorts and writes; a larger bucket has several tasks, so none grows with the table.
+ROWS_A_TASK = 500_000
+
 
 class BucketTable:
     """A maintained table at ``path``; all calls but ``read`` belong to one writer."""
@@ -31,10 +35,10 @@ class BucketTable:
         return sorted(int(n) for n in self.files.names("manifest") if n.isdigit())
 
     def manifest(self, version: int | None = None) -> dict:
-        """{"version", "revision", "folders": bucket -> folder}; an empty one before the first version."""
+        """{"version", "revision", "folders": bucket -> folder, "rows": bucket -> rows}; an empty one before the first version."""
         have = self.versions()
         if not have or version == -1:
-            return {"version": -1, "revision": -1, "folders": {}}
+            return {"version": -1, "revision": -1, "folders": {}, "rows": {}}
         at = f"{self.path}/manifest/{have[-1] if version is None else version}"
         return json.loads(self.spark.read.text(at, wholetext=True).first()["value"])
 
@@ -46,10 +50,28 @@ class BucketTable:
         return self._rows(sorted(set(self.manifest(version)["folders"].values())))
 
     def rows_of(self, keys: DataFrame, version: int) -> DataFrame:
-        """The rows of some keys in a version, from the buckets that they are in alone."""
-        folders = self.manifest(version)["folders"]
-        touched = [str(r["b"]) for r in keys.select(self._bucket().alias("b")).distinct().collect()]  # at most ``buckets``
-        return self._rows(sorted(folders[b] for b in touched if b in folders)).join(keys.select(self.key).distinct(), self.key, "left_semi")
+        """The rows of some keys, which may occur repeatedly, in a version, from the buckets that they are in alone."""
+        made = self.manifest(version)
+        rows = {str(r["b"]): r["count"] for r in keys.groupBy(self._bucket().alias("b")).count().collect()}  # at most ``buckets``
+        there = sorted(b for b in rows if b in made["folders"])
+        tasks = math.ceil(sum(rows[b] + made.get("rows", {}).get(b, 0) for b in there) / ROWS_A_TASK) or 1
+        found = self._rows(sorted(made["folders"][b] for b in there))
+        return found.repartition(tasks, self.key).join(keys.select(self.key).repartition(tasks, self.key), self.key, "left_semi")
+
+    def _write(self, rows: DataFrame, version: int, shares: list[int]) -> None:
+        """Writes ``rows`` to their buckets, each by its number of tasks in ``shares``, none of which has rows of two buckets."""
+        starts = [sum(shares[:b]) for b in range(self.buckets)]
+        of = lambda numbers: F.element_at(F.lit(numbers), F.col("bucket") + 1)
+        task = of(starts) + F.pmod(F.hash(self.key), F.greatest(of(shares), F.lit(1)))
+        placed = rows.withColumn("bucket", self._bucket()).withColumn("__task", task.cast("int")).repartitionById(max(sum(shares), 1), F.col("__task"))
+        placed.drop("__task").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{version}")
+
+    def _counts(self, version: int, written) -> dict[str, int]:
+        """Rows of the buckets that a version has written."""
+        if not written:
+            return {}
+        rows = self.spark.read.schema(f"{self.schema}, bucket int").parquet(f"{self.path}/data/{version}")
+        return {str(r["bucket"]): r["count"] for r in rows.groupBy("bucket").count().collect()}
 
     def patch(self, changes: DataFrame, version: int, revision: int | None = None, gone: str | None = None, check: Callable[[DataFrame], None] = lambda rows: None) -> dict:
         """Version ``version``: ``changes`` put in by key, the greatest ``order`` winning (a null is the newest), also over what the table
@@ -57,18 +79,22 @@ class BucketTable:
         version is made. The new manifest, with the number of buckets written."""
         last = self.manifest(max((v for v in self.versions() if v < version), default=-1))
         names, late = self.names, F.col(self.order).isNull()
-        fresh = changes.select(*names, *([gone] if gone else [F.lit(False).alias("__gone")])).withColumnRenamed(gone or "__gone", "__gone")
-        fresh = fresh.groupBy(self.key).agg(F.max_by(F.struct(*names, "__gone"), F.struct(late, self.order, *[c for c in names if c not in (self.key, self.order)])).alias("r")).select("r.*", F.lit(True).alias("__new"))
-        touched = sorted(r["b"] for r in fresh.select(self._bucket().alias("b")).distinct().collect())  # at most ``buckets``
+        fresh = changes.select(*names, (F.col(gone) if gone else F.lit(False)).alias("__gone"), F.lit(True).alias("__new"))
+        rows = {r["b"]: r["count"] for r in fresh.groupBy(self._bucket().alias("b")).count().collect()}  # at most ``buckets``
+        touched = sorted(rows)
         old = self._rows([last["folders"][str(b)] for b in touched if str(b) in last["folders"]])
         both = old.select(*names, F.lit(False).alias("__gone"), F.lit(False).alias("__new")).unionByName(fresh)
-        newest = both.groupBy(self.key).agg(F.max_by(F.struct(*names, "__gone"), F.struct(late, self.order, "__new")).alias("r")).select("r.*").filter("not __gone").drop("__gone")
-        placed = newest.withColumn("bucket", self._bucket()).repartition(max(len(touched), 1), "bucket")
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{version}")
+        shares = [0] * self.buckets
+        for b in touched:
+            shares[b] = math.ceil((rows[b] + last.get("rows", {}).get(str(b), 0)) / ROWS_A_TASK)
+        order = F.struct(late, self.order, "__new", *[c for c in names if c not in (self.key, self.order)])
+        newest = both.repartition(max(sum(shares), 1), self.key).groupBy(self.key).agg(F.max_by(F.struct(*names, "__gone"), order).alias("r")).select("r.*").filter("not __gone").drop("__gone")
+        self._write(newest, version, shares)
         written = {n.split("=")[1] for n in self.files.names(f"data/{version}") if n.startswith("bucket=")}
         folders = {b: f for b, f in last["folders"].items() if int(b) not in set(touched)} | {b: f"data/{version}/bucket={b}" for b in written}
         check(self._rows([f"data/{version}/bucket={b}" for b in sorted(written)]))
-        made = {"version": version, "revision": last["revision"] if revision is None else revision, "folders": folders}
+        counts = {b: n for b, n in last.get("rows", {}).items() if int(b) not in set(touched)} | self._counts(version, written)
+        made = {"version": version, "revision": last["revision"] if revision is None else revision, "folders": folders, "rows": counts}
         self.files.write(f"manifest/{version}", json.dumps(made))
         self._vacuum()
         return made | {"touched": len(touched)}
@@ -80,10 +106,13 @@ class BucketTable:
 
     def rebuild(self, rows: DataFrame, version: int, revision: int) -> dict:
         """Version ``version`` from ``rows`` alone, for when changes were lost."""
-        placed = rows.groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), self.order).alias("r")).select("r.*").withColumn("bucket", self._bucket())
-        placed.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{version}")
+        shares = [0] * self.buckets
+        for r in rows.groupBy(self._bucket().alias("b")).count().collect():  # at most ``buckets``
+            shares[r["b"]] = math.ceil(r["count"] / ROWS_A_TASK)
+        newest = rows.repartition(max(sum(shares), 1), self.key).groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), self.order).alias("r")).select("r.*")
+        self._write(newest, version, shares)
         folders = {n.split("=")[1]: f"data/{version}/{n}" for n in self.files.names(f"data/{version}") if n.startswith("bucket=")}
-        made = {"version": version, "revision": revision, "folders": folders}
+        made = {"version": version, "revision": revision, "folders": folders, "rows": self._counts(version, folders)}
         self.files.write(f"manifest/{version}", json.dumps(made))
         self._vacuum()
         return made | {"touched": self.buckets}
@@ -144,7 +173,7 @@ def maintain_totals(stream: DataFrame, table: BucketTable, group: str, values: l
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        keys = batch.select(table.key).distinct()
+        keys = batch.select(table.key)
         before = max((v for v in table.versions() if v < number), default=-1)
         table.patch(batch, number)
         side = lambda version, sign: table.rows_of(keys, version).select(group, F.lit(sign).cast("long").alias("rows"), *[(F.coalesce(F.col(v).cast("long"), F.lit(0)) * sign).alias(v) for v in values])
