@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from cuemill.functions.links import bound
 from cuemill.functions.text import is_meaningful, text_key
+from cuemill.sources.shared import written
 
 LEAST_CONFIDENCE = 0.68
 BOX = "video_id string, frame int, x double, y double, width double, height double, text string, confidence double"
@@ -100,9 +101,9 @@ def clusters(block_boxes: DataFrame) -> DataFrame:
 
 def caption_regions(boxes: DataFrame, samples: int = 24) -> DataFrame:
     """One region a video: the cluster on most frames whose text changes, its widest block, and its 90th-percentile height."""
-    line_boxes = lines(boxes)
-    placed = clusters(blocks(line_boxes))
-    best = placed.withColumn("n", F.row_number().over(Window.partitionBy("video_id", "cluster", "frame").orderBy(F.desc("confidence"), "y", "x"))).filter("n = 1").drop("n")
+    line_boxes = written(lines(boxes))  # each step is read several times, and folding is what takes the time
+    placed = clusters(written(blocks(line_boxes)))
+    best = written(placed.withColumn("n", F.row_number().over(Window.partitionBy("video_id", "cluster", "frame").orderBy(F.desc("confidence"), "y", "x"))).filter("n = 1").drop("n"))
     key = ["video_id", "cluster"]
     labels = best.groupBy(*key, text_key(F.col("text")).alias("label")).count().groupBy(*key).agg(F.count("*").alias("labels"), F.max("count").alias("most"), F.sum("count").alias("frames"))
     rank = best.groupBy(*key).agg(F.avg("confidence").alias("mean")).join(labels, key).filter((F.col("frames") >= max(3, math.ceil(samples * 0.25))) & (F.col("labels") >= 2) & (F.col("most") / F.col("frames") <= 0.8))
